@@ -32,8 +32,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         sign = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if sign == before or sign[0] == 0:
             break
-        before = sign
+        before, old = sign, now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, small=False)
         now = C.materialise(_star(large, small=True), "edges")
+        C.discard(old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

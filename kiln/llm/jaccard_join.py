@@ -2,26 +2,28 @@
 
 Documents with equal sets are one node; a node's set is kept once. Then:
 
-1. Census. Document frequencies of the quarter of all n-grams whose hash is divisible by 4, over all nodes. This fixes
+1. Census. Document frequencies of the third of all n-grams whose hash is divisible by 3, over all nodes. This fixes
    one global order: counted n-grams from rare to common up to COMMON documents, then the uncounted ones by hash, then
    the common ones. Any fixed order gives the same links; a rare-first one gives few candidates.
 2. Prefixes. Two sets of similarity >= t share an n-gram within the first n - ceil(t n) + 1 of either. N-grams counted
    once are in no other set, so they stay in the prefix's count but are not sent. Most nodes send nothing.
 3. Candidates join on prefix n-grams, under the filters below. Only links matter, not all pairs of a group, so there
-   are two passes: first each node is checked with the one hub that shares most prefix n-grams with it; then all
+   are two passes: first each node is checked with the one hub that shares most prefix n-grams with it (a group's hub
+   is the node with the fewest n-grams of its own); then all
    candidate pairs whose nodes are still in different components are. Pairs within one component need no check, so a
    large group of near copies costs about one check a node, and no link between different components is lost.
 4. A pair is checked once, on whole sets.
 
 Filters for sets x, y with overlap bound a = ceil(t/(1+t) (|x|+|y|)): length |x| >= t |y|; positional 1 + the shorter
-rest behind the shared n-gram >= a; suffix: the sets' counts in 8 hash ranges differ by at most |x|+|y|-2a in sum.
+rest behind the shared n-gram >= a; suffix: each set has a signature of 512 bits, the parities of its counts in 512 hash
+classes, and signatures that differ in more than |x|+|y|-2a bits belong to sets that differ in more members than that.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,8 +33,8 @@ from .components import components
 #: N-grams in more nodes than this come last in the order.
 COMMON = 16
 #: N-grams whose hash is divisible by this are counted.
-COUNTED = 4
-#: Partners of one hub that are checked in one task's group of rows.
+COUNTED = 3
+#: Partners of one hub in one group of rows.
 HUB_SHARE = 512
 
 
@@ -80,7 +82,7 @@ def census(k: int, parts: int):
         found = [counted(s) for s in own_nodes(left, right, k).values()]
         hashes, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         part = ((hashes // np.uint64(COUNTED)) % np.uint64(parts)).astype(np.int64)
-        return C.to_blobs(key[0].as_py(), part, {"grams": hashes, "times": np.minimum(times, 65535).astype(np.uint16)})
+        return C.to_blobs(key[0].as_py(), part, {"grams": hashes, "times": np.minimum(times, 255).astype(np.uint8)})
 
     return run
 
@@ -89,7 +91,7 @@ def tally(key, tbl):
     """Of one part: to each bucket, those of its n-grams that two nodes or more have, and how many."""
     owners = tbl.column("b").to_pylist()
     grams = [np.frombuffer(x, np.uint64) for x in tbl.column("grams").to_pylist()]
-    times = np.concatenate([np.frombuffer(x, np.uint16) for x in tbl.column("times").to_pylist()]).astype(np.int64)
+    times = np.concatenate([np.frombuffer(x, np.uint8) for x in tbl.column("times").to_pylist()]).astype(np.int64)
     flat = np.concatenate(grams)
     names, index = np.unique(flat, return_inverse=True)
     total = np.bincount(index, weights=times, minlength=len(names)).astype(np.int64)[index]
@@ -114,7 +116,14 @@ def ordered(own: np.ndarray, grams: np.ndarray, times: np.ndarray) -> tuple[np.n
     return own[order], df[order]
 
 
-PREFIX = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("members", pa.binary())])
+BITS = 512
+PREFIX = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("own", pa.int32()), ("signature", pa.list_(pa.int64())), ("members", pa.binary())])
+
+
+def signature(own: np.ndarray) -> list[int]:
+    """Parities of the members' counts in BITS classes, as 64-bit integers."""
+    odd = (np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
 
 
 def prefixes(k: int, percent: int):
@@ -123,8 +132,7 @@ def prefixes(k: int, percent: int):
         grams, times = C.from_blobs(right.column("grams"), np.uint64), C.from_blobs(right.column("times"), np.uint16).astype(np.int64)
         order = np.argsort(grams, kind="stable")
         grams, times = grams[order], times[order]
-        h, node, n, pos, low, high, members = [], [], [], [], [], [], []
-        kept = []
+        h, node, n, pos, alone, kept = [], [], [], [], [], []
         for name, own in sets.items():
             size = len(own)
             first = size - -(-percent * size // 100) + 1
@@ -132,61 +140,71 @@ def prefixes(k: int, percent: int):
             sent = np.flatnonzero(df[:first] != 1)
             if not len(sent):
                 continue
-            spread = np.minimum(np.bincount((own >> np.uint64(61)).astype(np.int64), minlength=8), 65535).astype(np.uint16).view(np.int64)
             h.append(line[sent].view(np.int64))
             pos.append(sent)
-            for values, value in ((node, name), (n, size), (low, spread[0]), (high, spread[1])):
+            for values, value in ((node, name), (n, size), (alone, int((df == 1).sum()))):
                 values.append(np.full(len(sent), value, np.int64))
-            kept.append((name, size, own.tobytes()))
+            kept.append((name, size, signature(own), own.tobytes()))
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        rows = sum(map(len, h))
-        out = [cat(h), cat(node), cat(n).astype(np.int32), cat(pos).astype(np.int32), cat(low), cat(high)]
-        first = pa.table([*map(pa.array, out), pa.nulls(rows, pa.binary())], schema=PREFIX)
-        m = len(kept)
-        second = pa.table([pa.nulls(m, pa.int64()), pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([x[2] for x in kept], pa.binary())], schema=PREFIX)
+        rows, m = sum(map(len, h)), len(kept)
+        first = pa.table([pa.array(cat(h)), pa.array(cat(node)), *(pa.array(cat(x).astype(np.int32)) for x in (n, pos, alone)), pa.nulls(rows, PREFIX.field("signature").type), pa.nulls(rows, pa.binary())], schema=PREFIX)
+        null = lambda t: pa.nulls(m, t)
+        second = pa.table([null(pa.int64()), pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int32()), null(pa.int32()), null(pa.int32()), pa.array([x[2] for x in kept], PREFIX.field("signature").type), pa.array([x[3] for x in kept], pa.binary())], schema=PREFIX)
         return pa.concat_tables([first, second])
 
     return run
 
 
+def overlap(nx, ny, percent: int):
+    """The least overlap with which sets of nx and ny members link."""
+    return F.floor(((nx + ny) * percent + (100 + percent - 1)) / F.lit(100 + percent))
+
+
 def may_link(x: str, y: str, percent: int):
-    """Length, positional and suffix filter for two prefix rows of one n-gram."""
+    """Length and positional filter for two prefix rows of one n-gram."""
     c = lambda side, name: F.col(f"{side}.{name}").cast("long")
     nx, ny = c(x, "n"), c(y, "n")
-    least = F.floor(((nx + ny) * percent + (100 + percent - 1)) / F.lit(100 + percent))
     rest = 1 + F.least(nx - c(x, "pos") - 1, ny - c(y, "pos") - 1)
-    apart = F.lit(0).cast("long")
-    for name in ("low", "high"):
-        for bits in (0, 16, 32, 48):
-            own = [F.shiftrightunsigned(c(side, name), bits).bitwiseAND(F.lit(65535)) for side in (x, y)]
-            apart = apart + F.abs(own[0] - own[1])
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (rest >= least) & (apart <= nx + ny - 2 * least)
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (rest >= overlap(nx, ny, percent))
+
+
+def near_enough(x: str, y: str, percent: int):
+    """Suffix filter for two nodes."""
+    nx, ny = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
+    apart = sum((F.bit_count(F.col(f"{x}.signature")[i].bitwiseXOR(F.col(f"{y}.signature")[i])) for i in range(BITS // 64)), F.lit(0))
+    return apart <= nx + ny - 2 * overlap(nx, ny, percent)
 
 
 def verify(percent: int):
-    def run(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(ok)), batch.column("y").filter(pa.array(ok))], names=["x", "y"])
+    def run(key, tbl):
+        sets, hubs = {}, {}
+        for x, share, node, members in zip(*(tbl.column(c).to_pylist() for c in ("x", "share", "node", "members"))):
+            sets.setdefault((x, share), []).append((node, np.frombuffer(members, np.uint64)))
+            if node == x:
+                hubs[x, share] = sets[x, share][-1][1]
+        found = []
+        for (x, share), own in sets.items():
+            hub = hubs[x, share]
+            for node, members in own:
+                both = int((hub[np.minimum(np.searchsorted(hub, members), len(hub) - 1)] == members).sum())
+                if node != x and 100 * both >= percent * (len(hub) + len(members) - both):
+                    found.append((x, node))
+        return pa.table({"x": pa.array([f[0] for f in found], pa.int64()), "y": pa.array([f[1] for f in found], pa.int64())})
 
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (x: hub, y) that link. A hub with many partners is split over several rows."""
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Those of pairs (x: hub, y) that link. A hub with many partners is split over several groups of rows."""
     pairs = C.materialise(pairs, "pairs")
     shares = pairs.groupBy("x").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("shares"))
-    dealt = pairs.join(shares, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("shares")).cast("int").alias("share"))
-    hubs = shares.select("x", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).join(sets.select(F.col("node").alias("x"), F.col("members").alias("xs")), "x")
-    whole = dealt.join(sets.select(F.col("node").alias("y"), F.col("members").alias("ys")), "y").join(hubs, ["x", "share"])
-    return whole.select("x", "y", "xs", "ys").mapInArrow(verify(percent), "x long, y long")
+    dealt = pairs.join(shares, "x").select("x", F.pmod(F.xxhash64("y"), F.col("shares")).cast("int").alias("share"), F.col("y").alias("node"))
+    hubs = shares.select("x", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("x").alias("node"))
+    wanted = C.materialise(dealt.unionByName(hubs), "wanted")
+    whole = wanted.join(sets.select("node", "members"), "node").withColumn("g", F.pmod(F.xxhash64("x", "share"), F.lit(parts * 4)))
+    links = C.materialise(whole.groupBy("g").applyInArrow(verify(percent), "x long, y long"), "links")
+    C.discard(pairs, wanted)
+    return links
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -210,25 +228,28 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     counts = docs.groupBy("b").cogroup(absent.groupBy("b")).applyInArrow(census(k, parts), "p int, b int, grams binary, times binary")
     answer = counts.groupBy("p").applyInArrow(tally, "b int, node long, grams binary, times binary").unionByName(absent)
-    sent = docs.groupBy("b").cogroup(answer.groupBy("b")).applyInArrow(prefixes(k, percent), "h long, node long, n int, pos int, low long, high long, members binary")
+    sent = docs.groupBy("b").cogroup(answer.groupBy("b")).applyInArrow(prefixes(k, percent), "h long, node long, n int, pos int, own int, signature array<bigint>, members binary")
     sent = C.materialise(sent, "prefixes")
-    rows, sets = sent.filter("h is not null").drop("members"), sent.filter("members is not null").select("node", "members")
-
-    hub = rows.groupBy("h").agg(F.min(F.struct("n", "node", "pos", "low", "high")).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("h", "hub.*")
-    first = rows.alias("r").join(hub.alias("s"), F.col("r.h") == F.col("s.h")).filter(F.col("r.node") != F.col("s.node")).filter(may_link("r", "s", percent))
-    first = first.groupBy(F.col("r.node").alias("y"), F.col("s.node").alias("x")).count().groupBy("y").agg(F.max(F.struct("count", "x")).alias("best")).select(F.col("best.x").alias("x"), "y")
-    links = C.materialise(linked(first, sets, percent), "links")
+    rows = sent.filter("h is not null").select("h", "node", "n", "pos", "own")
+    sets = sent.filter("members is not null").select("node", "n", "signature", "members")
+
+    group = Window.partitionBy("h")
+    starred = rows.withColumn("hub", F.min(F.struct("own", "n", "node", "pos")).over(group))
+    starred = starred.filter("node <> hub.node").select(F.struct("node", "n", "pos").alias("r"), F.col("hub").alias("s")).filter(may_link("r", "s", percent))
+    first = starred.groupBy(F.col("r.node").alias("y"), F.col("s.node").alias("x")).count().groupBy("y").agg(F.max(F.struct("count", "x")).alias("best")).select(F.col("best.x").alias("x"), "y")
+    side = lambda node: sets.select(F.col("node").alias(node), F.struct("n", "signature").alias(f"of_{node}"))
+    first = first.join(side("x"), "x").join(side("y"), "y").filter(near_enough("of_x", "of_y", percent)).select("x", "y")
+    links = linked(first, sets, percent, parts)
     labels = components(links, "x", "y")
 
     placed = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = C.materialise(placed, "placed")
-    mixed = placed.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("h")
-    left = placed.join(mixed, "h", "left_semi")
-    left = C.materialise(left, "mixed")
-    second = left.alias("r").join(left.alias("s"), (F.col("r.h") == F.col("s.h")) & (F.col("r.label") < F.col("s.label"))).filter(may_link("r", "s", percent))
+    mixed = placed.withColumn("a", F.min("label").over(group)).withColumn("z", F.max("label").over(group)).filter("a <> z").select("h", "node", "n", "pos", "label")
+    left = C.materialise(mixed.join(sets.select("node", "signature"), "node"), "mixed")
+    second = left.alias("r").join(left.alias("s"), (F.col("r.h") == F.col("s.h")) & (F.col("r.label") < F.col("s.label")) & may_link("r", "s", percent) & near_enough("r", "s", percent))
     second = second.select(F.least("r.node", "s.node").alias("x"), F.greatest("r.node", "s.node").alias("y")).distinct()
-    more = linked(second, sets, percent)
+    more = linked(second, sets, percent, parts)
     labels = C.materialise(components(links.unionByName(more), "x", "y"), "labels")
+    C.discard(sent, left, links, more, absent)
 
     least = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     least = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
