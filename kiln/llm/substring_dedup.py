@@ -7,8 +7,8 @@ the suffix tree meet at a node of depth `window` or deeper (an internal node: it
    have equal anchors, and neighbouring windows mostly share one, so a run of windows is one entry. Anchors that one
    document alone has cannot lead to an internal node and go.
 2. Partition. What is left are runs (the words of all windows around one anchor). They are dealt by anchor. Within a
-   part, suffixes are split by prefixes of growing length (1, 2, 4, 8, `window` words: names of equal prefixes are
-   doubled); only suffixes whose prefix another suffix shares go on, so prefixes are as long as they must be.
+   part, prefixes of growing length (2, 4, 8, `window` words) get names, by doubling; only suffixes whose prefix another
+   suffix shares go on, so prefixes are as long as they must be.
 3. Subtrees. At depth `window` each name with two suffixes or more is a deep internal node. Its least doc_id goes back
    to the buckets whose documents lie below it.
 4. Removal. Each bucket looks up its windows and drops the words that they cover.
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-ANCHOR = 6
+ANCHOR, SPLIT = 6, 4
 NO_DOC = np.iinfo(np.int64).max
 
 
@@ -140,39 +140,34 @@ def candidates(window: int, parts: int):
     return run
 
 
-def named(*keys: np.ndarray) -> np.ndarray:
-    """Equal names for equal tuples of keys."""
-    name = np.unique(keys[0], return_inverse=True)[1].astype(np.uint64)
-    for key in keys[1:]:
-        key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-        name = np.unique(name * np.uint64(len(key) + 1) + key, return_inverse=True)[1].astype(np.uint64)
-    return name
+def wider(names: np.ndarray, step: int) -> np.ndarray:
+    """Names of prefixes that are `step` words longer, from those that start `step` words apart."""
+    return C.finalise(names[: len(names) - step] * C.MULTIPLIER + names[step:])
+
+
+def shared_names(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which names occur twice or more, and each name's number."""
+    _, number, times = np.unique(names, return_inverse=True, return_counts=True)
+    return times[number] > 1, number
 
 
 def deep_nodes(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes (indices into starts) that lie below an internal node of depth `window`, and the node of each.
 
-    Prefixes are lengthened by doubling, and a suffix is dropped as soon as no other shares its prefix.
+    Names of prefixes are doubled in length up to `window`. On the way, at SPLIT words, the suffixes whose prefix no
+    other shares are leaves already and go.
     """
-    alive, depth = np.arange(len(starts)), 1
-    letter = np.unique(words, return_inverse=True)[1].astype(np.uint64)
-    names = {1: letter}
-    name = letter[starts] if len(starts) else np.zeros(0, np.uint64)
-    while True:
-        if not len(alive):
-            return alive, name
-        shared = np.bincount(name.astype(np.int64))[name.astype(np.int64)] > 1
-        alive, name = alive[shared], name[shared]
-        if depth == window or not len(alive):
-            return alive, name
-        if 2 * depth <= window:
-            whole = names[depth]
-            wider = named(whole[: len(whole) - depth], whole[depth:]) if len(whole) > depth else np.zeros(0, np.uint64)
-            depth *= 2
-            names = {depth: wider}
-            name = wider[starts[alive]]
-        else:  # the last step: the two overlapping halves cover `window` words
-            name, depth = named(names[depth][starts[alive]], names[depth][starts[alive] + window - depth]), window
+    alive, names, depth = np.arange(len(starts)), words, 1
+    while 2 * depth <= window:
+        names, depth = wider(names, depth) if len(names) > depth else names[:0], 2 * depth
+        if depth == SPLIT and len(alive):
+            alive = alive[shared_names(names[starts])[0]]
+    if not len(alive):
+        return alive, alive
+    at = starts[alive]
+    last = C.finalise(names[at] * C.MULTIPLIER + names[at + window - depth])  # the two halves overlap and cover `window` words
+    both, node = shared_names(last)
+    return alive[both], node[both]
 
 
 def subtrees(window: int):
