@@ -23,7 +23,7 @@ from . import common as C
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose encodings a worker keeps between batches.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 END = -1
 
 
@@ -201,7 +201,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             ids = v.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
 
-    return C.small_batches(df, 4000).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {dict(df.dtypes)[id_col]}, ids binary, n_tokens long")
+    return C.small_batches(df, 1500).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(C.lean_batches(run, lambda: vocabulary(path).kept.clear()), f"doc_id {dict(df.dtypes)[id_col]}, ids binary, n_tokens long")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -212,7 +212,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(v.decode(batch.column("ids").to_pylist()), pa.string())], names=["doc_id", "ids", "n_tokens", "decoded"])
 
-    return df.select("doc_id", "ids", "n_tokens").mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, ids binary, n_tokens long, decoded string")
+    return df.select("doc_id", "ids", "n_tokens").mapInArrow(C.lean_batches(run), f"doc_id {dict(df.dtypes)['doc_id']}, ids binary, n_tokens long, decoded string")
 
 
 def id_array(ids: str = "ids"):

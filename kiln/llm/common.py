@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -20,7 +22,7 @@ MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Parquet bytes that one bucket of documents should hold, so that a Python worker stays small.
 BUCKET_BYTES = 2 << 20
 #: Distinct words whose hashes a worker keeps; others are hashed anew each time.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,3 +170,44 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """Bounds the rows of an Arrow batch, so that long texts do not fill a Python worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: Spark keeps workers for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean_batches(run, at_end=lambda: None):
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            at_end()
+            release()
+
+    return wrapped
+
+
+def lean_group(run):
+    def wrapped(key, tbl):
+        try:
+            return run(key, tbl)
+        finally:
+            release()
+
+    return wrapped
+
+
+def lean_pair(run):
+    def wrapped(key, left, right):
+        try:
+            return run(key, left, right)
+        finally:
+            release()
+
+    return wrapped

@@ -202,7 +202,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataF
     hubs = shares.select("x", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("x").alias("node"))
     wanted = C.materialise(dealt.unionByName(hubs), "wanted")
     whole = wanted.join(sets.select("node", "members"), "node").withColumn("g", F.pmod(F.xxhash64("x", "share"), F.lit(parts * 4)))
-    links = C.materialise(whole.groupBy("g").applyInArrow(verify(percent), "x long, y long"), "links")
+    links = C.materialise(whole.groupBy("g").applyInArrow(C.lean_group(verify(percent)), "x long, y long"), "links")
     C.discard(pairs, wanted)
     return links
 
@@ -220,15 +220,15 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = max(8, n // 4)
     docs = C.bucketed(df.select(id_col, text_col), id_col, text_col, n)
     plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int").alias("b"), F.col(text_col).alias("text"))
-    known = C.materialise(plain.mapInArrow(describe(k), "doc_id long, b int, node long, n long"), "nodes")
+    known = C.materialise(C.small_batches(plain).mapInArrow(C.lean_batches(describe(k)), "doc_id long, b int, node long, n long"), "nodes")
     places = known.filter("n > 0").select("node", "b").distinct()
     stands = places.groupBy("node").agg(F.min("b").alias("home"), F.count("*").alias("c")).filter("c > 1")
     absent = places.join(stands, "node").filter("b <> home").select("b", "node", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("times"))
     absent = C.materialise(absent, "absent")
 
-    counts = docs.groupBy("b").cogroup(absent.groupBy("b")).applyInArrow(census(k, parts), "p int, b int, grams binary, times binary")
+    counts = docs.groupBy("b").cogroup(absent.groupBy("b")).applyInArrow(C.lean_pair(census(k, parts)), "p int, b int, grams binary, times binary")
     answer = counts.groupBy("p").applyInArrow(tally, "b int, node long, grams binary, times binary").unionByName(absent)
-    sent = docs.groupBy("b").cogroup(answer.groupBy("b")).applyInArrow(prefixes(k, percent), "h long, node long, n int, pos int, own int, signature array<bigint>, members binary")
+    sent = docs.groupBy("b").cogroup(answer.groupBy("b")).applyInArrow(C.lean_pair(prefixes(k, percent)), "h long, node long, n int, pos int, own int, signature array<bigint>, members binary")
     sent = C.materialise(sent, "prefixes")
     rows = sent.filter("h is not null").select("h", "node", "n", "pos", "own")
     sets = sent.filter("members is not null").select("node", "n", "signature", "members")

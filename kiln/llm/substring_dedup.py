@@ -245,11 +245,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = C.bucket_count(df)
     docs = C.bucketed(df if keep_text else df.select(id_col, text_col), id_col, text_col, n)
     parts = max(8, n // 4)
-    anchors = docs.groupBy("b").applyInArrow(census(window, parts), "p int, b int, anchors binary")
+    anchors = docs.groupBy("b").applyInArrow(C.lean_group(census(window, parts)), "p int, b int, anchors binary")
     shared = anchors.groupBy("p").applyInArrow(meet, "b int, anchors binary")
-    runs = docs.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(candidates(window, parts), "p int, b int, runs binary, docs binary")
-    nodes = runs.groupBy("p").applyInArrow(subtrees(window), "b int, digests binary, least binary")
+    runs = docs.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(C.lean_pair(candidates(window, parts)), "p int, b int, runs binary, docs binary")
+    nodes = runs.groupBy("p").applyInArrow(C.lean_group(subtrees(window)), "b int, digests binary, least binary")
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if keep_text:
         fields += [T.StructField("kept_text", T.StringType()), T.StructField("rest", docs.schema["rest"].dataType)]
-    return docs.groupBy("b").cogroup(nodes.groupBy("b")).applyInArrow(removal(window, keep_text), T.StructType(fields))
+    return docs.groupBy("b").cogroup(nodes.groupBy("b")).applyInArrow(C.lean_pair(removal(window, keep_text)), T.StructType(fields))
