@@ -38,9 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, and lost executors cost nothing."""
+def materialise(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, and lost executors cost nothing.
+
+    narrow: for rows of a few numbers, which need fewer files than there are shuffle partitions.
+    """
     spark = df.sparkSession
+    df = df.repartition(max(1, partitions(spark) // 16)) if narrow else df
     path = f"{shared_dir(spark)}/kiln-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,7 +26,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Edges stay distributed; each round is written to the shared folder, so lineage stays short. The number of rounds
     grows with the logarithm of the longest path. No edges: no rows.
     """
-    now = C.materialise(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), "edges")
+    now = C.materialise(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), "edges", narrow=True)
     before = None
     while True:
         sign = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
@@ -35,6 +35,6 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         before, old = sign, now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, small=False)
-        now = C.materialise(_star(large, small=True), "edges")
+        now = C.materialise(_star(large, small=True), "edges", narrow=True)
         C.discard(old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

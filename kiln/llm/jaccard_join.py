@@ -196,13 +196,13 @@ def verify(percent: int):
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """Those of pairs (x: hub, y) that link. A hub with many partners is split over several groups of rows."""
-    pairs = C.materialise(pairs, "pairs")
+    pairs = C.materialise(pairs, "pairs", narrow=True)
     shares = pairs.groupBy("x").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("shares"))
     dealt = pairs.join(shares, "x").select("x", F.pmod(F.xxhash64("y"), F.col("shares")).cast("int").alias("share"), F.col("y").alias("node"))
     hubs = shares.select("x", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("x").alias("node"))
-    wanted = C.materialise(dealt.unionByName(hubs), "wanted")
+    wanted = C.materialise(dealt.unionByName(hubs), "wanted", narrow=True)
     whole = wanted.join(sets.select("node", "members"), "node").withColumn("g", F.pmod(F.xxhash64("x", "share"), F.lit(parts * 4)))
-    links = C.materialise(whole.groupBy("g").applyInArrow(C.lean_group(verify(percent)), "x long, y long"), "links")
+    links = C.materialise(whole.groupBy("g").applyInArrow(C.lean_group(verify(percent)), "x long, y long"), "links", narrow=True)
     C.discard(pairs, wanted)
     return links
 
@@ -224,7 +224,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = known.filter("n > 0").select("node", "b").distinct()
     stands = places.groupBy("node").agg(F.min("b").alias("home"), F.count("*").alias("c")).filter("c > 1")
     absent = places.join(stands, "node").filter("b <> home").select("b", "node", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("times"))
-    absent = C.materialise(absent, "absent")
+    absent = C.materialise(absent, "absent", narrow=True)
 
     counts = docs.groupBy("b").cogroup(absent.groupBy("b")).applyInArrow(C.lean_pair(census(k, parts)), "p int, b int, grams binary, times binary")
     answer = counts.groupBy("p").applyInArrow(tally, "b int, node long, grams binary, times binary").unionByName(absent)
@@ -248,7 +248,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     second = left.alias("r").join(left.alias("s"), (F.col("r.h") == F.col("s.h")) & (F.col("r.label") < F.col("s.label")) & may_link("r", "s", percent) & near_enough("r", "s", percent))
     second = second.select(F.least("r.node", "s.node").alias("x"), F.greatest("r.node", "s.node").alias("y")).distinct()
     more = linked(second, sets, percent, parts)
-    labels = C.materialise(components(links.unionByName(more), "x", "y"), "labels")
+    labels = C.materialise(components(links.unionByName(more), "x", "y"), "labels", narrow=True)
     C.discard(sent, left, links, more, absent)
 
     least = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))

@@ -98,7 +98,7 @@ def mix(df: DataFrame, seed: int = 0) -> DataFrame:
     are between rows that are alike. Reruns take the same words. Other columns are not read.
     """
     rows = C.materialise(df.select("doc_id", "source", word_count(F.col("text")).alias("size")), "words")
-    src = C.materialise(targets(rows), "targets")
+    src = C.materialise(targets(rows), "targets", narrow=True)
     placed = packed(rows, src)
     taken = taken_pieces(placed, src, seed).groupBy("rank", "start").agg(F.sum("words").alias("taken"))
     named = placed.alias("d").join(taken.alias("t"), (F.col("d.rank") == F.col("t.rank")) & (F.col("d.start") == F.col("t.start")) & (F.col("d.size") > 0), "left")
@@ -113,7 +113,7 @@ def mixed_documents(df: DataFrame, seed: int = 0) -> DataFrame:
     """
     names = df.columns
     wide = df.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), word_count(F.col("text")).alias("size"))
-    src = C.materialise(targets(wide.select("source", "size")), "targets")
+    src = C.materialise(targets(wide.select("source", "size")), "targets", narrow=True)
     placed = packed(wide, src)
     thin = packed(wide.drop("row"), src)
     taken = taken_pieces(thin, src, seed).groupBy("rank", "start", "pass").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("pieces"))
