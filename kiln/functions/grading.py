@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import last_boxed, put, strip, strip_think
+from .text import last_boxed, let, put, strip, strip_think
 
 # Replacements in the order in which they decide results.
 RELATIONS = [("tfrac", "frac"), ("dfrac", "frac"), ("\\neq", "\\ne"), ("\\leq", "\\le"), ("\\geq", "\\ge"), ("\\left", ""), ("\\right", ""), ("\\{", "{"), ("\\}", "}")]
@@ -42,22 +42,22 @@ def strip_string(c: Column) -> Column:
     s = F.regexp_replace(s, r"\\begin\{array\}\{.*?\}", r"\\begin{pmatrix}")
     s = put(F.regexp_replace(s, r"\\end\{array\}", r"\\end{pmatrix}"), "bmatrix", "pmatrix")
     s = fold(s, RELATIONS)
-    unit = strip(F.regexp_replace(s, r"\\text\{.*?\}$", ""))
-    s = F.when(unit != "", unit).otherwise(s)
+    unit = lambda v: strip(F.regexp_replace(v, r"\\text\{.*?\}$", ""))
+    s = let(s, lambda v: F.when(unit(v) != "", unit(v)).otherwise(v))
     s = fold(s, [(x, "") for x in DEGREES_AND_DOLLARS])
     s = F.regexp_replace(s, r"\\text\{(.*?)\}", "$1")
     s = fold(s, [(x, "") for x in VARIABLES] + [("\\emptyset", "{}"), ("(-\\infty,\\infty)", "\\mathbb{R}")])
     s = fold(s, [(x, "") for x in PERCENT] + [(" .", " 0."), ("{.", "{0."), ("infinity", "\\infty")])
-    s = F.when(F.contains(s, F.lit("\\infty")), s).otherwise(put(s, "inf", "\\infty"))
+    s = let(s, lambda v: F.when(F.contains(v, F.lit("\\infty")), v).otherwise(put(v, "inf", "\\infty")))
     s = fold(s, [("+\\inity", "\\infty"), ("and", ""), ("\\mathbf", "")])
     s = F.regexp_replace(s, r"\\mbox\{.*?\}", "")
-    s = F.when(F.contains(s, F.lit("i")), s).otherwise(put(s, "j", "i"))
+    s = let(s, lambda v: F.when(F.contains(v, F.lit("i")), v).otherwise(put(v, "j", "i")))
     s = F.regexp_replace(F.regexp_replace(s, r"(\d+)\.0*([^\d])", "$1$2"), r"(\d+)\.0*$", "$1")
-    s = F.when(s.startswith("."), F.concat(F.lit("0"), s)).otherwise(s)
-    sides = F.split(s, "=")
-    s = F.when((F.size(sides) == 2) & (F.length(F.get(sides, F.lit(0))) <= 2), F.get(sides, F.lit(1))).otherwise(s)
+    s = F.regexp_replace(s, r"^\.", "0.")
+    sides = lambda v: F.split(v, "=")
+    s = let(s, lambda v: F.when((F.size(sides(v)) == 2) & (F.length(F.get(sides(v), F.lit(0))) <= 2), F.get(sides(v), F.lit(1))).otherwise(v))
     s = put(F.regexp_replace(s, r"\\sqrt(\w+)", r"\\sqrt{$1}"), " ")
-    return slash_fraction(braced_fractions(s))
+    return let(let(s, braced_fractions), slash_fraction)
 
 
 def stated_value(c: Column) -> Column:
@@ -78,7 +78,11 @@ def boxed_or_partial(c: Column) -> Column:
 
 def extract_answer(c: Column, use_last_number: bool = True) -> Column:
     """The answer in a response: boxed, else stated, else the last number; in normal form. Null: null."""
-    s = strip_think(c)
+    return F.when(c.isNotNull(), strip_string(let(strip_think(c), lambda s: stated_or_last(s, use_last_number))))
+
+
+def stated_or_last(s: Column, use_last_number: bool) -> Column:
+    """The raw answer of a response without thinking."""
     after = lambda words: F.regexp_replace(strip(F.get(F.split(strip(F.element_at(F.split(s, words), -1)), "\n"), F.lit(0))), r"^[\s:]+", "")
     number = F.coalesce(F.element_at(F.filter(F.regexp_extract_all(put(s, ","), F.lit(r"-?\d*\.?\d+"), F.lit(0)), lambda x: x != ""), -1), F.lit("")) if use_last_number else F.lit("")
     hoped = F.regexp_extract(s, r"(?s)final answer is \$(.*?)\$\. I hope", 1)
@@ -87,7 +91,7 @@ def extract_answer(c: Column, use_last_number: bool = True) -> Column:
     raw = F.when(has("boxed"), boxed_or_partial(s)).when(has("final answer is $") & has("$. I hope"), strip(hoped)).when(has("the answer is"), stated_value(after("the answer is"))).when(has("final answer is"), stated_value(after("final answer is"))).otherwise(number)
     raw = F.regexp_replace(raw, r"\n\s*", "")
     raw = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "^:", ""), r"\.$", ""), "/$", "")
-    return F.when(c.isNotNull(), strip_string(raw))
+    return raw
 
 
 def simple_answer(c: Column) -> Column:

@@ -22,6 +22,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f names it: nested conditions would else double the expression each time."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def put(c: Column, old: str, new: str = "") -> Column:
     return F.replace(c, F.lit(old), F.lit(new))
 
@@ -126,10 +131,9 @@ def extract_problem(c: Column) -> Column:
     """A generated problem without thinking, preambles (each removed in turn) and whatever solution follows."""
     text = strip_think(c, unclosed=False)
     for p in PREAMBLES:
-        text = F.when(F.lower(text).startswith(p.lower()), strip(F.substring(text, len(p) + 1, 1 << 30))).otherwise(text)
+        text = let(text, lambda v, p=p: F.when(F.lower(v).startswith(p.lower()), strip(F.substring(v, len(p) + 1, 1 << 30))).otherwise(v))
     for m in SOLUTION_STARTS:
-        at = F.instr(text, m)
-        text = F.when(at > 51, strip(F.substr(text, F.lit(1), at - 1))).otherwise(text)
+        text = let(text, lambda v, m=m: F.when(F.instr(v, m) > 51, strip(F.substring_index(v, m, 1))).otherwise(v))
     return text
 
 
@@ -160,8 +164,8 @@ def jaccard(a: Column, b: Column) -> Column:
 def json_object(c: Column, schema: str, required: list[str]) -> Column:
     """The outermost JSON object in free text, trailing commas mended; null without it or a required key."""
     raw = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    found = F.coalesce(F.from_json(raw, schema), F.from_json(F.regexp_replace(raw, r",\s*([}\]])", "$1"), schema))
-    return F.when(reduce(lambda a, b: a & b, [found[k].isNotNull() for k in required]), found)
+    whole = lambda v: F.when(reduce(lambda a, b: a & b, [v[k].isNotNull() for k in required]), v)
+    return F.coalesce(whole(F.from_json(raw, schema)), whole(F.from_json(F.regexp_replace(raw, r",\s*([}\]])", "$1"), schema)))
 
 
 def template(pattern: str, c: Column) -> Column:

@@ -31,7 +31,7 @@ def pass_at_k(scored: DataFrame, prompt: str, source: str, reward: str) -> DataF
 def accuracy_pivot(results: DataFrame, row: str, column: str, values: list[str], score: str) -> DataFrame:
     """Percent with one decimal by row and column; -- where there is none."""
     wide = results.groupBy(row).pivot(column, values).agg(F.avg(score))
-    return wide.select(row, *[F.coalesce(F.format_string("%.1f", F.round(F.col(f"`{v}`") * 100, 1)), F.lit("--")).alias(f"c{i}") for i, v in enumerate(values)])
+    return wide.select(row, *[F.when(F.col(f"`{v}`").isNull(), F.lit("--")).otherwise(F.format_string("%.1f", F.round(F.col(f"`{v}`") * 100, 1))).alias(f"c{i}") for i, v in enumerate(values)])
 
 
 def result_line(ok, idx, gt, pred):

@@ -84,7 +84,7 @@ SELECT x.input AS prompt, x.output AS chosen, x.reward AS chosen_reward, y.outpu
     "avg_at_n": f"WITH e AS (SELECT o_orderpriority, l_orderkey, max(correct::INT) AS b, avg(correct::INT::DOUBLE) AS m FROM {GRADED} GROUP BY 1, 2) SELECT o_orderpriority, count(*) AS total, sum(b)::BIGINT AS any_correct, round(avg(m), 6) AS avg_accuracy FROM e GROUP BY 1",
     "greedy_accuracy": f"SELECT o_orderpriority, sum(correct::INT)::BIGINT AS correct, count(*) AS total, round(avg(correct::INT::DOUBLE), 6) AS accuracy FROM {GRADED} GROUP BY 1",
     "accuracy_pivot": f"SELECT o_orderpriority, " + ", ".join(f"coalesce(printf('%.1f', round(avg(correct::INT::DOUBLE) FILTER (o_orderstatus = '{v}') * 100, 1)), '--') AS c{i}" for i, v in enumerate("FOPX")) + f" FROM {GRADED} GROUP BY 1",
-    "report_lines": "SELECT o_orderkey, '[' || CASE WHEN o_orderstatus = 'F' THEN 'O' ELSE 'X' END || '] #' || left(lpad(o_orderkey::VARCHAR, greatest(3, length(o_orderkey::VARCHAR)), ' '), 3) || '  gt=' || o_orderstatus || '  pred=' || o_orderpriority AS line FROM orders WHERE o_orderkey < 2000",
+    "report_lines": "SELECT o_orderkey, '[' || CASE WHEN o_orderstatus = 'F' THEN 'O' ELSE 'X' END || '] #' || left(lpad(o_orderkey::VARCHAR, greatest(3, length(o_orderkey::VARCHAR))::INT, ' '), 3) || '  gt=' || o_orderstatus || '  pred=' || o_orderpriority AS line FROM orders WHERE o_orderkey < 2000",
     "dynamic_filtering": f"SELECT l_orderkey, count(*) AS n, round(avg(correct::INT::DOUBLE), 6) AS mean FROM {KEPT} GROUP BY 1",
     "refill_accepted": f"SELECT l_orderkey, count(*) AS n FROM {KEPT} WHERE l_orderkey IN (SELECT DISTINCT l_orderkey FROM {KEPT} ORDER BY 1 LIMIT 20) GROUP BY 1",
     "group_baselines": f"""WITH g AS (SELECT l_orderkey, pos, l_discount AS x, count(*) OVER w AS n, sum(l_discount) OVER w AS s, avg(l_discount) OVER w AS m, stddev_samp(l_discount) OVER w AS sd FROM {POS} WINDOW w AS (PARTITION BY l_orderkey))
