@@ -127,13 +127,21 @@ def is_yes(c: Column) -> Column:
     return F.upper(strip(c)).startswith("YES")
 
 
+def without_preamble(p: str):
+    return lambda v: F.when(F.lower(v).startswith(p.lower()), strip(F.substring(v, len(p) + 1, 1 << 30))).otherwise(v)
+
+
+def without_solution(m: str):
+    return lambda v: F.when(F.instr(v, m) > 51, strip(F.substring_index(v, m, 1))).otherwise(v)
+
+
 def extract_problem(c: Column) -> Column:
     """A generated problem without thinking, preambles (each removed in turn) and whatever solution follows."""
     text = strip_think(c, unclosed=False)
     for p in PREAMBLES:
-        text = let(text, lambda v, p=p: F.when(F.lower(v).startswith(p.lower()), strip(F.substring(v, len(p) + 1, 1 << 30))).otherwise(v))
+        text = let(text, without_preamble(p))
     for m in SOLUTION_STARTS:
-        text = let(text, lambda v, m=m: F.when(F.instr(v, m) > 51, strip(F.substring_index(v, m, 1))).otherwise(v))
+        text = let(text, without_solution(m))
     return text
 
 

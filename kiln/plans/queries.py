@@ -21,7 +21,8 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def r6(c):
-    return F.round(c, 6)
+    """Six decimals, and no negative zero."""
+    return F.round(c, 6) + F.lit(0.0)
 
 
 def with_pos(s, d) -> DataFrame:
@@ -199,7 +200,7 @@ def refill_accepted(s, d):
 @query
 def group_baselines(s, d):
     out = rollout.group_baselines(with_pos(s, d), "l_orderkey", "l_discount")
-    return out.select("l_orderkey", "pos", r6("rloo").alias("rloo"), r6("centred").alias("centred"), F.when(F.col("group_std") > 1e-6, F.round("normed", 4)).alias("normed"), r6("group_std").alias("group_std"))
+    return out.select("l_orderkey", "pos", r6("rloo").alias("rloo"), r6("centred").alias("centred"), F.when(F.col("group_std") > 1e-6, F.round("normed", 4) + F.lit(0.0)).alias("normed"), r6("group_std").alias("group_std"))
 
 
 def by_user(s, d) -> DataFrame:
@@ -211,20 +212,20 @@ def by_user(s, d) -> DataFrame:
 def return_to_go(s, d):
     # gamma 1: a running sum from the end
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(0, Window.unboundedFollowing)
-    return t(s, d, "events").select("event_id", F.round(F.sum("value").over(w), 4).alias("togo"))
+    return t(s, d, "events").select("event_id", (F.round(F.sum("value").over(w), 4) + F.lit(0.0)).alias("togo"))
 
 
 @query
 def gae(s, d):
     rows = by_user(s, d).select("user_id", F.slice("e", 1, 12).alias("e"))
     rows = rows.select("user_id", losses.gae(F.transform("e.value", lambda v: v / 2), F.col("e.value"), 0.9, 0.8).alias("adv"))
-    return rows.select("user_id", F.posexplode("adv").alias("p", "a")).select("user_id", "p", F.round("a", 5).alias("advantage"))
+    return rows.select("user_id", F.posexplode("adv").alias("p", "a")).select("user_id", "p", (F.round("a", 5) + F.lit(0.0)).alias("advantage"))
 
 
 @query
 def whitened_advantages(s, d):
     out = rollout.whitened(with_pos(s, d).withColumn("m", F.col("l_returnflag") != "N"), "l_discount", "m")
-    return out.select("l_orderkey", "pos", F.round("l_discount", 5).alias("a"))
+    return out.select("l_orderkey", "pos", (F.round("l_discount", 5) + F.lit(0.0)).alias("a"))
 
 
 @query
