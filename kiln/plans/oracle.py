@@ -117,7 +117,7 @@ SELECT p_partkey, CASE WHEN p IS NULL OR r IS NULL THEN p IS NULL AND r IS NULL
     "tuple_grade": "SELECT p_partkey, p_partkey % 3 = p_partkey % 2 AS equal FROM part",
     "extracted_answers": rf"SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN '\frac{{' || p_size || '}}{{' || p_partkey % 7 + 1 || '}}' ELSE '\frac{{' || p_size || '}}{{' || p_partkey % 7 + 1 || '}}end' END AS answer FROM part",
     "intervals": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '-oo' WHEN 1 THEN '-oo' WHEN 2 THEN '1' END AS lo, CASE WHEN p_partkey % 4 < 3 THEN false END AS lo_closed, CASE WHEN p_partkey % 4 < 3 THEN p_size::VARCHAR END AS hi, CASE WHEN p_partkey % 4 < 3 THEN true END AS hi_closed FROM part",
-    "translate_roundtrip": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN upper('中' || substr(text, 1, 20)) ELSE substr(text, 1, 20) END AS question, lang AS answer FROM documents",
+    "translate_roundtrip": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN reverse('中' || substr(text, 1, 20)) ELSE substr(text, 1, 20) END AS question, lang AS answer FROM documents",
     "sft_prefixes": "WITH p AS (SELECT *, coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, row_number() OVER w - 1 AS k FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, start, start + length(text) - 1 AS stop, k::INT AS turns_before FROM p WHERE role = 'assistant'",
     "multi_turn_mask": "SELECT conv_id, sum(length(text) % 7 + 1)::BIGINT AS total, sum(CASE WHEN role = 'assistant' THEN length(text) % 7 + 1 ELSE 0 END)::BIGINT AS set FROM conversations GROUP BY 1 HAVING bool_or(role = 'assistant')",
     "token_length_filter": "SELECT lang, count(*) AS n FROM documents WHERE doc_id % 3 > 0 AND doc_id % 3 < 398 AND len(string_split(text, ' ')) > 0 GROUP BY 1",

@@ -329,7 +329,7 @@ def intervals(s, d):
 @query
 def translate_roundtrip(s, d):
     rows = t(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("中"), F.substring("text", 1, 20))).otherwise(F.substring("text", 1, 20)).alias("question"), F.col("lang").alias("answer"))
-    return curation.translated(rows, "doc_id", ["question", "answer"], text.has_chinese, F.upper)
+    return curation.translated(rows, "doc_id", ["question", "answer"], text.has_chinese, F.reverse)
 
 
 @query
