@@ -172,3 +172,20 @@ def to_interval(c: Column) -> Column:
         .when(q.rlike(one), made(bound, op == "≥", yes("oo"), yes(False)))
         .when(q.rlike(two), made(strip(t(1)), t(2) == "≤", strip(t(4)), t(3) == "≤"))
     )
+
+
+def inequality_chain(c: Column) -> Column:
+    """struct(terms, ops) of a chain of inequalities, read so that its first operator points up; null if there is none."""
+    s = put(put(put(put(c, "\\le", "≤"), "\\ge", "≥"), "\\lt", "<"), "\\gt", ">")
+    terms = F.transform(F.split(strip(s), r"\s*[<>≤≥]\s*"), strip)
+    ops = F.regexp_extract_all(s, F.lit("[<>≤≥]"), F.lit(0))
+    down = F.get(ops, F.lit(0)).isin(">", "≥")
+    turned = F.transform(F.reverse(ops), lambda o: F.translate(o, "<>≤≥", "><≥≤"))
+    return F.when(F.size(ops) > 0, F.struct(F.when(down, F.reverse(terms)).otherwise(terms).alias("terms"), F.when(down, turned).otherwise(ops).alias("ops")))
+
+
+def may_evaluate(c: Column, forbidden: tuple[str, ...] = ("^{", "^(")) -> Column:
+    """Whether an expression is plain enough for algebra: two unknown letters at most, and no forbidden exponent."""
+    bare = F.regexp_replace(F.regexp_replace(c, "sqrt|frac", ""), r"[^a-zA-Z]", "")
+    letters = F.size(F.array_distinct(F.filter(F.split(bare, ""), lambda x: x != "")))
+    return (letters <= 2) & ~reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in forbidden]) & ~c.rlike(r"\^[0-9]+\^|\^[0-9][0-9]+")

@@ -118,3 +118,15 @@ def gae(values: Column, rewards: Column, gamma: float, lam: float) -> Column:
     """Generalised advantages at each position; the value behind the last one is 0."""
     steps = F.transform(rewards, lambda r, i: r + gamma * F.coalesce(F.get(values, i + 1), F.lit(0.0)) - F.get(values, i))
     return discounted(steps, gamma * lam)
+
+
+def distill(student: Column, teacher: Column, weight: Column, alpha: float = 1.0) -> Column:
+    """Teacher-weighted cross-entropy of one position, scaled by how much less sure the student is, and by the row's weight."""
+    surer = 1 / (1 + F.exp(-alpha * (entropy(student) - entropy(teacher))))
+    return weight * surer * (cross_entropy(student, teacher) - entropy(teacher))
+
+
+def soft_label(logit_good: Column, logit_bad: Column, label: Column) -> Column:
+    """Cross-entropy of a two-way prediction with a label in [0, 1]."""
+    d = logit_good - logit_bad
+    return -(label * log_sigmoid(d) + (1 - label) * log_sigmoid(-d))

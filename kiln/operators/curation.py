@@ -63,3 +63,20 @@ def interleave(parts: list[tuple[DataFrame, float]], key: str, total: int, seed:
         end = draws.filter("k >= of").agg(F.min("n").alias("stop"))
         draws = draws.crossJoin(F.broadcast(end)).filter("stop is null or n < stop").drop("stop")
     return draws.withColumn("place", F.col("k") % F.col("of")).join(rows, ["source_idx", "place"]).drop("place", "size", "of", "k")
+
+
+def weighted_choice(df: DataFrame, key: str, options: dict[str, float], exclude: str | None = None, seed: int = 0) -> DataFrame:
+    """Adds `choice`: an option drawn by a hash of the key, weights renormalised without the excluded one."""
+    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    gone = F.col(exclude) if exclude else F.lit(None).cast("string")
+    share = {name: F.when(gone == name, 0.0).otherwise(F.lit(w)) for name, w in options.items()}
+    total, upto, choice, names = sum(share.values(), F.lit(0.0)), F.lit(0.0), None, list(options)
+    for name in names:
+        upto = upto + share[name]
+        hit = u * total < upto
+        choice = F.when(hit, name) if choice is None else choice.when(hit, name)
+    return df.withColumn("choice", choice)
+
+
+def slice_rows(numbered: DataFrame, i: str, start: int, stop: int) -> DataFrame:
+    return numbered.filter((F.col(i) >= start) & (F.col(i) < stop))

@@ -55,3 +55,25 @@ def kl_coefficient(steps: DataFrame, order: str, kl: str, n: str, start: float,
     error = F.least(F.greatest(F.col(kl) / target - 1, F.lit(-0.2)), F.lit(0.2))
     factor = F.ln(1 + error * F.col(n) / horizon)
     return steps.withColumn("coefficient", start * F.exp(F.sum(factor).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))))
+
+
+def batch_means(df: DataFrame, batch: str, metrics: list[str]) -> DataFrame:
+    """Unweighted means of the batches' means: what a step reports."""
+    each = df.groupBy(batch).agg(*[F.avg(m).alias(m) for m in metrics])
+    return each.agg(*[F.avg(m).alias(m) for m in metrics])
+
+
+def length_weighted(df: DataFrame, value: str, length: str) -> DataFrame:
+    return df.agg(F.try_divide(F.sum(F.col(value) * F.col(length)), F.sum(length)).alias(value))
+
+
+def latest(df: DataFrame, order: str, limit: int) -> DataFrame:
+    """The last `limit` rows: a buffer that drops its oldest."""
+    return df.orderBy(F.desc(order)).limit(limit)
+
+
+def with_padding(df: DataFrame, i: str, total: int, multiple: int) -> DataFrame:
+    """df and as many null rows as make its length a multiple; padding tells which they are."""
+    missing = -total % multiple
+    pad = df.sparkSession.range(missing).select((F.col("id") + total).alias(i), F.lit(True).alias("padding"))
+    return df.withColumn("padding", F.lit(False)).unionByName(pad, allowMissingColumns=True)

@@ -154,5 +154,22 @@ r AS (SELECT *, CASE WHEN g < gs // 2 THEN a ELSE least(4, n - g * 4) - 1 - a EN
 SELECT rank::INT AS rank, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM r WHERE rank < width GROUP BY 1""",
 }
 
+SQL |= {
+    "step_status": f"""WITH b AS (SELECT l_orderkey % 16 AS k, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem GROUP BY 1), w AS (SELECT sum(l_discount * l_quantity) / sum(l_quantity) AS w FROM lineitem)
+SELECT round(avg(d), 6) AS discount, round(avg(t), 6) AS tax, round(any_value(w), 6) AS weighted FROM b, w""",
+    "replay_cap": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 100",
+    "padded_batch": "WITH n AS (SELECT count(*) AS n FROM documents) SELECT false AS padding, n, 0::BIGINT AS first FROM n UNION ALL SELECT true, (48 - n % 48) % 48, n FROM n WHERE n % 48 > 0",
+    "positional_slice": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 64 OFFSET 128",
+    "first_hundredth": "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) <= floor(count(*) OVER () * 0.01)",
+    "length_imbalance": "WITH o AS (SELECT n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), p AS (SELECT i % 8 AS p, sum(n_chars)::BIGINT AS n FROM o GROUP BY 1) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM p",
+    "reward_model_eval": f"WITH b AS (SELECT l_orderkey % 32 AS k, avg((pc > pr)::INT::DOUBLE) AS a, avg(-{_sig('(pc - pr)')}) AS l FROM {PREF} GROUP BY 1) SELECT round(avg(a), 6) AS acc, round(avg(l), 6) AS loss FROM b",
+    "adaptive_kl": "SELECT o_orderkey, round(0.1::DOUBLE * exp(sum(ln(1 + least(greatest(o_totalprice / 100000 - 1, -0.2), 0.2) * 64 / 10000.0)) OVER (ORDER BY o_orderkey)), 6) AS coefficient FROM orders WHERE o_orderkey < 200",
+    "soft_labels": f"SELECT l_orderkey, pos, round(-(CASE WHEN y THEN 0.9 ELSE 0.2 END::DOUBLE * {_sig('(pc - pr)')} + (1 - CASE WHEN y THEN 0.9 ELSE 0.2 END::DOUBLE) * {_sig('(pr - pc)')}), 6) AS loss FROM {PREF}",
+    "inequality_chains": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '1|x|' || p_size WHEN 1 THEN '0|y|' || p_size END AS terms, CASE p_partkey % 3 WHEN 0 THEN '<|≤' WHEN 1 THEN '≤|<' END AS ops FROM part",
+    "eval_guard": "SELECT p_partkey, p_partkey % 4 IN (0, 3) AS ok FROM part",
+    "translation_residue": "SELECT count(*) AS n, sum((doc_id % 4 = 0)::INT)::BIGINT AS left FROM documents",
+    "latex_rows": "SELECT o_orderpriority || " + " || ".join(f"' & ' || coalesce(printf('%.1f', round(avg(correct::INT::DOUBLE) FILTER (o_orderstatus = '{v}') * 100, 1)), '--')" for v in "FOP") + f" AS line FROM {GRADED} GROUP BY o_orderpriority",
+}
+
 # rounding may leave a negative zero, which is a zero
 SQL = {name: re.sub(r"(, [456]\)( END)?) AS ", r"\1 + 0.0::DOUBLE AS ", sql) for name, sql in SQL.items()}

@@ -487,3 +487,87 @@ def metric_lines(s, d):
 @query
 def shuffled_cap(s, d):
     return t(s, d, "documents").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(100).select("doc_id")
+
+
+@query
+def step_status(s, d):
+    rows = with_pos(s, d).withColumn("batch", F.col("l_orderkey") % 16)
+    a = rollout.batch_means(rows, "batch", ["l_discount", "l_tax"]).select(r6("l_discount").alias("discount"), r6("l_tax").alias("tax"))
+    return a.crossJoin(rollout.length_weighted(rows, "l_discount", "l_quantity").select(r6("l_discount").alias("weighted")))  # one row each
+
+
+@query
+def replay_cap(s, d):
+    return rollout.latest(t(s, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 100)
+
+
+@query
+def padded_batch(s, d):
+    rows = packing.number_rows(t(s, d, "documents").select("doc_id"), "doc_id")
+    return rollout.with_padding(rows, "i", rows.count(), 48).groupBy("padding").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+
+
+@query
+def positional_slice(s, d):
+    rows = packing.number_rows(t(s, d, "orders").select("o_orderkey"), "o_orderkey")
+    return curation.slice_rows(rows, "i", 128, 192).select("o_orderkey")
+
+
+@query
+def first_hundredth(s, d):
+    rows = packing.number_rows(t(s, d, "orders").select("o_orderkey"), "o_orderkey")
+    return curation.slice_rows(rows, "i", 0, int(rows.count() * 0.01)).select("o_orderkey")
+
+
+@query
+def length_imbalance(s, d):
+    sums = packing.number_rows(t(s, d, "documents").select("doc_id", "n_chars"), "doc_id").groupBy((F.col("i") % 8).alias("part")).agg(F.sum("n_chars").alias("n"))
+    return sums.agg(F.min("n").alias("least"), F.max("n").alias("most"), r6(F.avg("n")).alias("mean"))
+
+
+@query
+def reward_model_eval(s, d):
+    rows = preference_rows(s, d).withColumn("batch", F.col("l_orderkey") % 32)
+    each = rows.groupBy("batch").agg(F.avg((F.col("pc") > F.col("pr")).cast("double")).alias("acc"), F.avg(losses.pairwise(F.col("pc"), F.col("pr"))).alias("loss"))
+    return each.agg(r6(F.avg("acc")).alias("acc"), r6(F.avg("loss")).alias("loss"))
+
+
+@query
+def adaptive_kl(s, d):
+    steps = t(s, d, "orders").filter("o_orderkey < 200").select("o_orderkey", (F.col("o_totalprice") / 100000).alias("kl"), F.lit(64).alias("n"))
+    return rollout.kl_coefficient(steps, "o_orderkey", "kl", "n", 0.1, 1.0, 10000.0).select("o_orderkey", r6("coefficient").alias("coefficient"))
+
+
+@query
+def strategy_draw(s, d):
+    options = {"harder": 0.30, "rewrite": 0.20, "algebraize": 0.15, "apply": 0.15, "compose": 0.10, "competition": 0.10}
+    return curation.weighted_choice(t(s, d, "orders").select("o_orderkey", F.lit("apply").alias("last")), "o_orderkey", options, "last").groupBy("choice").agg(F.count("*").alias("n"))
+
+
+@query
+def soft_labels(s, d):
+    return preference_rows(s, d).select("l_orderkey", "pos", r6(losses.soft_label(F.col("pc"), F.col("pr"), F.when(F.col("y"), 0.9).otherwise(0.2))).alias("loss"))
+
+
+@query
+def inequality_chains(s, d):
+    a = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('1 < x \\\\le ', p_size) WHEN 1 THEN concat(p_size, ' > y ≥ 0') ELSE 'none' END")
+    return t(s, d, "part").select("p_partkey", grading.inequality_chain(a).alias("c")).select("p_partkey", F.array_join("c.terms", "|").alias("terms"), F.array_join("c.ops", "|").alias("ops"))
+
+
+@query
+def eval_guard(s, d):
+    a = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'x+y' WHEN 1 THEN 'a+b+c' WHEN 2 THEN 'x^{2}' ELSE 'sqrt(x)/2' END")
+    return t(s, d, "part").select("p_partkey", grading.may_evaluate(a).alias("ok"))
+
+
+@query
+def translation_residue(s, d):
+    rows = t(s, d, "documents").select(F.when(F.col("doc_id") % 4 == 0, "中x").otherwise("x").alias("q"))
+    return rows.agg(F.count("*").alias("n"), F.sum(text.has_chinese(F.col("q")).cast("long")).alias("left"))
+
+
+@query
+def latex_rows(s, d):
+    wide = evaluation.accuracy_pivot(graded(s, d).withColumn("c", F.col("correct").cast("double")), "o_orderpriority", "o_orderstatus", ["F", "O", "P"], "c")
+    return wide.select(F.concat_ws(" & ", "o_orderpriority", "c0", "c1", "c2").alias("line"))

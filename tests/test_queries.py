@@ -33,7 +33,7 @@ def test_equals_sql(spark, sf, duck, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(QUERIES) - set(SQL) == {"first_fit", "karmarkar_karp", "interleave", "near_dup_removed", "shuffled_cap"}
+    assert set(QUERIES) - set(SQL) == {"first_fit", "karmarkar_karp", "interleave", "near_dup_removed", "shuffled_cap", "strategy_draw"}
 
 
 def test_packing_queries(spark, sf):
@@ -53,6 +53,8 @@ def test_packing_queries(spark, sf):
 def test_interleave_and_shuffle(spark, sf):
     got = QUERIES["interleave"](spark, sf).toPandas()
     assert len(got) == 500 and 0.6 < (got.source == "src1").mean() < 0.8
+    drawn = {r.choice: r.n for r in QUERIES["strategy_draw"](spark, sf).collect()}
+    assert "apply" not in drawn and abs(drawn["harder"] / sum(drawn.values()) - 0.30 / 0.85) < 0.05
     first = QUERIES["shuffled_cap"](spark, sf).toPandas()
     assert len(set(first.doc_id)) == 100 and list(first.doc_id) == list(QUERIES["shuffled_cap"](spark, sf).toPandas().doc_id)
 
