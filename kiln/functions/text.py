@@ -160,7 +160,8 @@ def unicode_to_latex(c: Column) -> Column:
 def shingles(c: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the text in lower case with white space collapsed; none if it is shorter than n."""
     text = F.regexp_replace(strip(F.lower(c)), r"(?U)\s+", " ")
-    return F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))))
+    own = lambda v: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(v) - (n - 1)), lambda i: F.substr(v, i, F.lit(n))))
+    return let(text, lambda v: F.when(F.length(v) < n, F.array().cast("array<string>")).otherwise(own(v)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -144,7 +144,7 @@ SELECT source, doc_id, grp::INT AS grp FROM r""",
     "image_filter": "SELECT page_id, page_id % 3 = 0 AS image FROM pages",
     "ordered_topn": "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10",
     "shingle_jaccard_pairs": f"WITH s AS {SHING.format(400)}, p AS (SELECT x.doc_id AS i, y.doc_id AS j, len(list_intersect(x.sh, y.sh)) AS b, len(x.sh) + len(y.sh) AS n FROM s x JOIN s y ON x.lang = y.lang AND x.source = y.source AND x.doc_id < y.doc_id) SELECT i, j, round(CASE WHEN n - b > 0 THEN b::DOUBLE / (n - b) ELSE 0 END, 6) AS jaccard FROM p",
-    "minhash_bands": f"""WITH s AS {SHING.format(150)}, e AS (SELECT doc_id, unnest(sh) AS g FROM s), m AS (SELECT doc_id, i, min(md5(i::VARCHAR || '_' || g)) AS h FROM e, range(0, 32) r(i) GROUP BY 1, 2),
+    "minhash_bands": f"""WITH s AS {SHING.format(150)}, e AS (SELECT doc_id, unnest(sh) AS g FROM s), m AS (SELECT doc_id, i, min(left(md5(i::VARCHAR || '_' || g), 15)) AS h FROM e, range(0, 32) r(i) GROUP BY 1, 2),
 b AS (SELECT doc_id, (i // 8)::INT AS band, md5(string_agg(h, ',' ORDER BY i)) AS bucket FROM m GROUP BY 1, 2) SELECT * FROM b""",
     "metric_lines": "SELECT event_type, 'step=' || count(*) || ' | mean=' || printf('%.3f', round(avg(value), 3)) AS line FROM events GROUP BY 1",
     "json_object_parse": "SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS has_k, (length(props) + 2)::INT AS n FROM events",
