@@ -119,7 +119,8 @@ def mixed_documents(df: DataFrame, seed: int = 0) -> DataFrame:
     taken = taken_pieces(thin, src, seed).groupBy("rank", "start", "pass").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("pieces"))
     both = placed.join(taken, ["rank", "start"]).filter("size > 0")
     words = F.regexp_extract_all(F.col("row.text"), F.lit(C.WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    # the array of one keeps the words from being split anew for every piece
+    some = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")), F.lit(0))
     text = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(some)
     both = both.withColumn("text", text)
     fields = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
