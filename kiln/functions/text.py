@@ -160,14 +160,15 @@ def unicode_to_latex(c: Column) -> Column:
 def shingles(c: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the text in lower case with white space collapsed; none if it is shorter than n."""
     text = F.regexp_replace(strip(F.lower(c)), r"(?U)\s+", " ")
-    own = lambda v: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(v) - (n - 1)), lambda i: F.substr(v, i, F.lit(n))))
-    return let(text, lambda v: F.when(F.length(v) < n, F.array().cast("array<string>")).otherwise(own(v)))
+    # an array of characters: substr() would walk a long text from its start for every n-gram
+    own = lambda v: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(v) - n), lambda i: F.concat(*[F.get(v, i + k) for k in range(n)])))
+    return let(F.split(text, ""), lambda v: F.when(F.size(v) < n, F.array().cast("array<string>")).otherwise(own(v)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+    sizes = F.struct(F.size(a).alias("a"), F.size(b).alias("b"), F.size(F.array_intersect(a, b)).alias("both"))
+    return let(sizes, lambda n: F.when((n["a"] == 0) | (n["b"] == 0), F.lit(0.0)).otherwise(n["both"] / (n["a"] + n["b"] - n["both"])))
 
 
 def json_object(c: Column, schema: str, required: list[str]) -> Column:

@@ -50,11 +50,11 @@ def terminal_reward(mask: Column, reward: Column, kl: Column, beta: float) -> Co
     return F.transform(kl, lambda k, i: -max(beta, 0.0) * k + F.when(i == last, reward).otherwise(0.0))
 
 
-def kl_coefficient(steps: DataFrame, order: str, kl: str, n: str, start: float, target: float, horizon: float) -> DataFrame:
-    """The adaptive coefficient after each step: a running product of 1 + clip(kl/target - 1, +-0.2) n / horizon."""
+def kl_coefficient(steps: DataFrame, run: str, order: str, kl: str, n: str, start: float, target: float, horizon: float) -> DataFrame:
+    """The adaptive coefficient after each step of a training run: a running product of 1 + clip(kl/target - 1, +-0.2) n / horizon."""
     error = F.least(F.greatest(F.col(kl) / target - 1, F.lit(-0.2)), F.lit(0.2))
     factor = F.ln(1 + error * F.col(n) / horizon)
-    return steps.withColumn("coefficient", start * F.exp(F.sum(factor).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))))
+    return steps.withColumn("coefficient", start * F.exp(F.sum(factor).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))))
 
 
 def batch_means(df: DataFrame, batch: str, metrics: list[str]) -> DataFrame:

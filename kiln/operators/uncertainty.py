@@ -39,6 +39,17 @@ def count_entropy(responses: DataFrame) -> DataFrame:
     return out.select("prompt", F.round(F.col("h") / F.ln("n_valid"), 6).alias("se"), "n_valid")
 
 
+def pair_counts(answers: DataFrame, prompt: str, answer: str) -> DataFrame:
+    """(prompt, pairs, equal): pairs of a prompt's answers, and those of equal answers, counted without making them.
+
+    A prompt with one answer has no row; null answers equal nothing.
+    """
+    each = answers.groupBy(prompt, answer).agg(F.count("*").alias("c"))
+    two = lambda c: F.floor(c * (c - 1) / 2)
+    out = each.groupBy(prompt).agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col(answer).isNotNull(), two(F.col("c")))), F.lit(0)).alias("equal"))
+    return out.filter("n > 1").select(prompt, two(F.col("n")).alias("pairs"), "equal")
+
+
 def clusters_by_verdict(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(prompt, i, cluster): least index reachable by equal verdicts. pairs: prompt, i, j, equal; members: prompt, i.
 

@@ -46,7 +46,7 @@ def _cl(x: str, lo, hi) -> str:
     return f"least(greatest({x}, {lo}), {hi})"
 
 
-SHING = r"(SELECT doc_id, lang, source, list_distinct([substr(x, i::INT, 3) for i in range(1, length(x) - 1)]) AS sh FROM (SELECT doc_id, lang, source, regexp_replace(trim(lower(text)), '\s+', ' ', 'g') AS x FROM documents WHERE n_chars <= {0}))"
+SHING = r"(SELECT doc_id, lang, source, list_distinct([substr(x, i::INT, 3) for i in range(1, length(x) - 1)]) AS sh FROM (SELECT doc_id, lang, source, regexp_replace(trim(lower(text)), '\s+', ' ', 'g') AS x FROM documents))"
 OVER = "(CASE WHEN least(l_quantity - 30, 20) > 0 THEN l_discount - least(l_quantity - 30, 20) / 20 * 0.5 ELSE l_discount END)"
 EV = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p FROM events)"
 R = "exp(pc - rc)"
@@ -61,7 +61,7 @@ SELECT prompt, round(-sum(c / n * ln(c / n)) / ln(max(n)), 6) AS se, max(n)::BIG
     "se_distribution": f"SELECT count(*) AS n, round(avg(se), 6) AS avg_se, sum((se < 0.1)::INT)::BIGINT AS low, sum((se >= 0.1 AND se < 0.5)::INT)::BIGINT AS mid, sum((se >= 0.5)::INT)::BIGINT AS high FROM {SE} WHERE se IS NOT NULL",
     "se_thresholds": f"SELECT lo::DOUBLE AS lo, hi::DOUBLE AS hi, count(*) AS n, round(avg(label::DOUBLE), 6) AS accuracy FROM {SCORED} JOIN (VALUES (0.0, 0.1), (0.0, 0.3), (0.1, 0.5), (0.5, 1.0)) b(lo, hi) ON score BETWEEN lo AND hi GROUP BY 1, 2",
     "judge_pairs": f"SELECT x.l_orderkey AS prompt, count(*) AS pairs, sum((x.l_returnflag = y.l_returnflag)::INT)::BIGINT AS equal FROM {POS} x JOIN {POS} y ON x.l_orderkey = y.l_orderkey AND x.pos < y.pos GROUP BY 1",
-    "judged_clusters": f"""WITH RECURSIVE m AS (SELECT l_orderkey AS prompt, pos AS i, l_quantity AS q FROM {POS} WHERE l_orderkey % 10 = 0),
+    "judged_clusters": f"""WITH RECURSIVE m AS (SELECT l_orderkey AS prompt, pos AS i, l_quantity AS q FROM {POS}),
 e AS (SELECT x.prompt, x.i, y.i AS j FROM m x JOIN m y ON x.prompt = y.prompt AND x.i <> y.i AND abs(x.q - y.q) <= 5),
 r(prompt, i, j) AS (SELECT prompt, i, i FROM m UNION SELECT r.prompt, r.i, e.j FROM r JOIN e ON r.prompt = e.prompt AND r.j = e.i)
 SELECT prompt, i, min(j) AS cluster FROM r GROUP BY 1, 2""",
@@ -86,13 +86,13 @@ SELECT x.input AS prompt, x.output AS chosen, x.reward AS chosen_reward, y.outpu
     "avg_at_n": f"WITH e AS (SELECT o_orderpriority, l_orderkey, max(correct::INT) AS b, avg(correct::INT::DOUBLE) AS m FROM {GRADED} GROUP BY 1, 2) SELECT o_orderpriority, count(*) AS total, sum(b)::BIGINT AS any_correct, round(avg(m), 6) AS avg_accuracy FROM e GROUP BY 1",
     "greedy_accuracy": f"SELECT o_orderpriority, sum(correct::INT)::BIGINT AS correct, count(*) AS total, round(avg(correct::INT::DOUBLE), 6) AS accuracy FROM {GRADED} GROUP BY 1",
     "accuracy_pivot": f"SELECT o_orderpriority, " + ", ".join(f"coalesce(printf('%.1f', round(avg(correct::INT::DOUBLE) FILTER (o_orderstatus = '{v}') * 100, 1)), '--') AS c{i}" for i, v in enumerate("FOPX")) + f" FROM {GRADED} GROUP BY 1",
-    "report_lines": "SELECT o_orderkey, '[' || CASE WHEN o_orderstatus = 'F' THEN 'O' ELSE 'X' END || '] #' || left(lpad(o_orderkey::VARCHAR, greatest(3, length(o_orderkey::VARCHAR))::INT, ' '), 3) || '  gt=' || o_orderstatus || '  pred=' || o_orderpriority AS line FROM orders WHERE o_orderkey < 2000",
+    "report_lines": "SELECT o_orderkey, '[' || CASE WHEN o_orderstatus = 'F' THEN 'O' ELSE 'X' END || '] #' || left(lpad(o_orderkey::VARCHAR, greatest(3, length(o_orderkey::VARCHAR))::INT, ' '), 3) || '  gt=' || o_orderstatus || '  pred=' || o_orderpriority AS line FROM orders",
     "dynamic_filtering": f"SELECT l_orderkey, count(*) AS n, round(avg(correct::INT::DOUBLE), 6) AS mean FROM {KEPT} GROUP BY 1",
     "refill_accepted": f"SELECT l_orderkey, count(*) AS n FROM {KEPT} WHERE l_orderkey IN (SELECT DISTINCT l_orderkey FROM {KEPT} ORDER BY 1 LIMIT 20) GROUP BY 1",
     "group_baselines": f"""WITH g AS (SELECT l_orderkey, pos, l_discount AS x, count(*) OVER w AS n, sum(l_discount) OVER w AS s, avg(l_discount) OVER w AS m, stddev_samp(l_discount) OVER w AS sd FROM {POS} WINDOW w AS (PARTITION BY l_orderkey))
 SELECT l_orderkey, pos, round(CASE WHEN n > 1 THEN x - (s - x) / (n - 1) END, 6) AS rloo, round(x - m, 6) AS centred, CASE WHEN sd > 1e-6 THEN round((x - m) / (sd + 1e-9), 4) END AS normed, round(sd, 6) AS group_std FROM g""",
     "return_to_go": "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 4) AS togo FROM events",
-    "gae": f"""WITH e AS (SELECT user_id, p, value FROM {EV} WHERE p < 12),
+    "gae": f"""WITH e AS (SELECT user_id, p, value FROM {EV}),
 d AS (SELECT user_id, p, value + 0.9 * coalesce(lead(value / 2) OVER (PARTITION BY user_id ORDER BY p), 0) - value / 2 AS d FROM e)
 SELECT a.user_id, a.p::INT AS p, round(sum(power(0.72, b.p - a.p) * b.d), 5) AS advantage FROM d a JOIN d b ON a.user_id = b.user_id AND b.p >= a.p GROUP BY 1, 2""",
     "whitened_advantages": f"""WITH s AS (SELECT avg(l_discount) AS m, greatest(var_pop(l_discount), 1e-8) AS v FROM lineitem WHERE l_returnflag <> 'N')
@@ -117,7 +117,7 @@ SELECT p_partkey, CASE WHEN p IS NULL OR r IS NULL THEN p IS NULL AND r IS NULL
     "tuple_grade": "SELECT p_partkey, p_partkey % 3 = p_partkey % 2 AS equal FROM part",
     "extracted_answers": rf"SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN '\frac{{' || p_size || '}}{{' || p_partkey % 7 + 1 || '}}' ELSE '\frac{{' || p_size || '}}{{' || p_partkey % 7 + 1 || '}}end' END AS answer FROM part",
     "intervals": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '-oo' WHEN 1 THEN '-oo' WHEN 2 THEN '1' END AS lo, CASE WHEN p_partkey % 4 < 3 THEN false END AS lo_closed, CASE WHEN p_partkey % 4 < 3 THEN p_size::VARCHAR END AS hi, CASE WHEN p_partkey % 4 < 3 THEN true END AS hi_closed FROM part",
-    "translate_roundtrip": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN reverse('中' || substr(text, 1, 20)) ELSE substr(text, 1, 20) END AS question, lang AS answer FROM documents",
+    "translate_roundtrip": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN reverse('中' || text) ELSE text END AS question, lang AS answer FROM documents",
     "sft_prefixes": "WITH p AS (SELECT *, coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, row_number() OVER w - 1 AS k FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, start, start + length(text) - 1 AS stop, k::INT AS turns_before FROM p WHERE role = 'assistant'",
     "multi_turn_mask": "SELECT conv_id, sum(length(text) % 7 + 1)::BIGINT AS total, sum(CASE WHEN role = 'assistant' THEN length(text) % 7 + 1 ELSE 0 END)::BIGINT AS set FROM conversations GROUP BY 1 HAVING bool_or(role = 'assistant')",
     "token_length_filter": "SELECT lang, count(*) AS n FROM documents WHERE doc_id % 3 > 0 AND doc_id % 3 < 398 AND len(string_split(text, ' ')) > 0 GROUP BY 1",
@@ -143,9 +143,10 @@ SELECT d.source, d.doc_id, d.k, CASE WHEN used > 0 AND used + n_chars > 6000 THE
 SELECT source, doc_id, grp::INT AS grp FROM r""",
     "image_filter": "SELECT page_id, page_id % 3 = 0 AS image FROM pages",
     "ordered_topn": "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10",
-    "shingle_jaccard_pairs": f"WITH s AS {SHING.format(400)}, p AS (SELECT x.doc_id AS i, y.doc_id AS j, len(list_intersect(x.sh, y.sh)) AS b, len(x.sh) + len(y.sh) AS n FROM s x JOIN s y ON x.lang = y.lang AND x.source = y.source AND x.doc_id < y.doc_id) SELECT i, j, round(CASE WHEN n - b > 0 THEN b::DOUBLE / (n - b) ELSE 0 END, 6) AS jaccard FROM p",
-    "minhash_bands": f"""WITH s AS {SHING.format(150)}, e AS (SELECT doc_id, unnest(sh) AS g FROM s), m AS (SELECT doc_id, i, min(left(md5(i::VARCHAR || '_' || g), 15)) AS h FROM e, range(0, 32) r(i) GROUP BY 1, 2),
-b AS (SELECT doc_id, (i // 8)::INT AS band, md5(string_agg(h, ',' ORDER BY i)) AS bucket FROM m GROUP BY 1, 2) SELECT * FROM b""",
+    "shingle_jaccard_pairs": f"WITH s AS {SHING}, p AS (SELECT x.doc_id AS i, y.doc_id AS j, len(list_intersect(x.sh, y.sh)) AS b, len(x.sh) + len(y.sh) AS n FROM s x JOIN s y ON y.doc_id = x.doc_id + 1) SELECT i, j, round(CASE WHEN n - b > 0 THEN b::DOUBLE / (n - b) ELSE 0 END, 6) AS jaccard FROM p",
+    "minhash_bands": f"""WITH s AS {SHING}, e AS (SELECT doc_id, unnest(sh) AS g FROM s), v AS (SELECT g, i, left(md5(i::VARCHAR || '_' || g), 15) AS h FROM (SELECT DISTINCT g FROM e), range(0, 32) r(i)),
+m AS (SELECT doc_id, i, min(h) AS h FROM e JOIN v USING (g) GROUP BY 1, 2)
+SELECT doc_id, (i // 8)::INT AS band, md5(string_agg(h, ',' ORDER BY i)) AS bucket FROM m GROUP BY 1, 2 UNION ALL SELECT doc_id, b::INT, md5('') FROM s, range(0, 4) r(b) WHERE coalesce(len(sh), 0) = 0""",
     "metric_lines": "SELECT event_type, 'step=' || count(*) || ' | mean=' || printf('%.3f', round(avg(value), 3)) AS line FROM events GROUP BY 1",
     "json_object_parse": "SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS has_k, (length(props) + 2)::INT AS n FROM events",
     "snake_balance": """WITH o AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
@@ -163,7 +164,7 @@ SELECT round(avg(d), 6) AS discount, round(avg(t), 6) AS tax, round(any_value(w)
     "first_hundredth": "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) <= floor(count(*) OVER () * 0.01)",
     "length_imbalance": "WITH o AS (SELECT n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), p AS (SELECT i % 8 AS p, sum(n_chars)::BIGINT AS n FROM o GROUP BY 1) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM p",
     "reward_model_eval": f"WITH b AS (SELECT l_orderkey % 32 AS k, avg((pc > pr)::INT::DOUBLE) AS a, avg(-{_sig('(pc - pr)')}) AS l FROM {PREF} GROUP BY 1) SELECT round(avg(a), 6) AS acc, round(avg(l), 6) AS loss FROM b",
-    "adaptive_kl": "SELECT o_orderkey, round(0.1::DOUBLE * exp(sum(ln(1 + least(greatest(o_totalprice / 100000 - 1, -0.2), 0.2) * 64 / 10000.0)) OVER (ORDER BY o_orderkey)), 6) AS coefficient FROM orders WHERE o_orderkey < 200",
+    "adaptive_kl": "SELECT o_orderkey, round(0.1::DOUBLE * exp(sum(ln(1 + least(greatest(o_totalprice / 100000 - 1, -0.2), 0.2) * 64 / 10000.0)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)), 6) AS coefficient FROM orders",
     "soft_labels": f"SELECT l_orderkey, pos, round(-(CASE WHEN y THEN 0.9 ELSE 0.2 END::DOUBLE * {_sig('(pc - pr)')} + (1 - CASE WHEN y THEN 0.9 ELSE 0.2 END::DOUBLE) * {_sig('(pr - pc)')}), 6) AS loss FROM {PREF}",
     "inequality_chains": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '1|x|' || p_size WHEN 1 THEN '0|y|' || p_size END AS terms, CASE p_partkey % 3 WHEN 0 THEN '<|≤' WHEN 1 THEN '≤|<' END AS ops FROM part",
     "eval_guard": "SELECT p_partkey, p_partkey % 4 IN (0, 3) AS ok FROM part",

@@ -56,14 +56,12 @@ def se_thresholds(s, d):
 
 @query
 def judge_pairs(s, d):
-    rows = with_pos(s, d).select(F.col("l_orderkey").alias("prompt"), F.col("pos").alias("i"), F.col("l_returnflag").alias("a"))
-    x, y = rows.alias("x"), rows.alias("y")
-    return x.join(y, (F.col("x.prompt") == F.col("y.prompt")) & (F.col("x.i") < F.col("y.i"))).groupBy(F.col("x.prompt").alias("prompt")).agg(F.count("*").alias("pairs"), F.sum((F.col("x.a") == F.col("y.a")).cast("long")).alias("equal"))
+    return uncertainty.pair_counts(t(s, d, "lineitem"), "l_orderkey", "l_returnflag").withColumnRenamed("l_orderkey", "prompt")
 
 
 @query
 def judged_clusters(s, d):
-    rows = with_pos(s, d).filter("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("prompt"), F.col("pos").cast("int").alias("i"), F.col("l_quantity").alias("q"))
+    rows = with_pos(s, d).select(F.col("l_orderkey").alias("prompt"), F.col("pos").cast("int").alias("i"), F.col("l_quantity").alias("q"))
     x, y = rows.alias("x"), rows.alias("y")
     pairs = x.join(y, (F.col("x.prompt") == F.col("y.prompt")) & (F.col("x.i") < F.col("y.i"))).select(F.col("x.prompt").alias("prompt"), F.col("x.i").alias("i"), F.col("y.i").alias("j"), (F.abs(F.col("x.q") - F.col("y.q")) <= 5).alias("equal"))
     return uncertainty.clusters_by_verdict(pairs, rows)
@@ -181,8 +179,7 @@ def accuracy_pivot(s, d):
 
 @query
 def report_lines(s, d):
-    rows = t(s, d, "orders").filter("o_orderkey < 2000")
-    return rows.select("o_orderkey", evaluation.result_line(F.col("o_orderstatus") == "F", F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("line"))
+    return t(s, d, "orders").select("o_orderkey", evaluation.result_line(F.col("o_orderstatus") == "F", F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("line"))
 
 
 @query
@@ -217,8 +214,7 @@ def return_to_go(s, d):
 
 @query
 def gae(s, d):
-    rows = by_user(s, d).select("user_id", F.slice("e", 1, 12).alias("e"))
-    rows = rows.select("user_id", losses.gae(F.transform("e.value", lambda v: v / 2), F.col("e.value"), 0.9, 0.8).alias("adv"))
+    rows = by_user(s, d).select("user_id", losses.gae(F.transform("e.value", lambda v: v / 2), F.col("e.value"), 0.9, 0.8).alias("adv"))
     return rows.select("user_id", F.posexplode("adv").alias("p", "a")).select("user_id", "p", (F.round("a", 5) + F.lit(0.0)).alias("advantage"))
 
 
@@ -328,7 +324,7 @@ def intervals(s, d):
 
 @query
 def translate_roundtrip(s, d):
-    rows = t(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("中"), F.substring("text", 1, 20))).otherwise(F.substring("text", 1, 20)).alias("question"), F.col("lang").alias("answer"))
+    rows = t(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("中"), "text")).otherwise(F.col("text")).alias("question"), F.col("lang").alias("answer"))
     return curation.translated(rows, "doc_id", ["question", "answer"], text.has_chinese, F.reverse)
 
 
@@ -361,8 +357,8 @@ def token_length_filter(s, d):
 
 @query
 def kto_rotation(s, d):
-    rows = t(s, d, "labels").join(t(s, d, "documents"), "doc_id").withColumn("batch", F.floor((F.row_number().over(Window.orderBy("doc_id")) - 1) / 8))
-    return preference.rotated(rows, "batch", "doc_id", "source").select("doc_id", "batch", "mismatched")
+    rows = packing.number_rows(t(s, d, "labels").join(t(s, d, "documents"), "doc_id").select("doc_id", "source"), "doc_id")
+    return preference.rotated(rows.withColumn("batch", F.floor(F.col("i") / 8)), "batch", "doc_id", "source").select("doc_id", "batch", "mismatched")
 
 
 @query
@@ -460,22 +456,20 @@ def ordered_topn(s, d):
 
 @query
 def shingle_jaccard_pairs(s, d):
-    own = t(s, d, "documents").filter("n_chars <= 400").select("doc_id", "lang", "source", text.shingles(F.col("text")).alias("sh"))
-    x, y = own.alias("x"), own.alias("y")
-    pairs = x.join(y, (F.col("x.lang") == F.col("y.lang")) & (F.col("x.source") == F.col("y.source")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    return pairs.select(F.col("x.doc_id").alias("i"), F.col("y.doc_id").alias("j"), r6(text.jaccard(F.col("x.sh"), F.col("y.sh"))).alias("jaccard"))
+    # every document with its successor: pairs grow with the rows; texts are shuffled, their larger n-gram sets are not
+    own = t(s, d, "documents").select("doc_id", "text")
+    pairs = own.alias("x").join(own.alias("y"), F.col("y.doc_id") == F.col("x.doc_id") + 1)
+    return pairs.select(F.col("x.doc_id").alias("i"), F.col("y.doc_id").alias("j"), r6(text.let(F.struct(text.shingles(F.col("x.text")).alias("x"), text.shingles(F.col("y.text")).alias("y")), lambda sets: text.jaccard(sets["x"], sets["y"]))).alias("jaccard"))
 
 
 @query
 def minhash_bands(s, d):
-    docs = t(s, d, "documents").filter("n_chars <= 150")
-    return neardup.bands(neardup.signatures(docs, "doc_id", "text", 32), "doc_id", 4, 8)
+    return neardup.bands(neardup.signatures(t(s, d, "documents"), "doc_id", "text", 32), "doc_id", 4, 8)
 
 
 @query
 def near_dup_removed(s, d):
-    docs = t(s, d, "documents").filter("n_chars <= 2000")
-    return neardup.first_kept(docs, "doc_id", "text", hashes=32, count=4).select("doc_id")
+    return neardup.first_kept(t(s, d, "documents"), "doc_id", "text", hashes=32, count=4).select("doc_id")
 
 
 @query
@@ -534,8 +528,8 @@ def reward_model_eval(s, d):
 
 @query
 def adaptive_kl(s, d):
-    steps = t(s, d, "orders").filter("o_orderkey < 200").select("o_orderkey", (F.col("o_totalprice") / 100000).alias("kl"), F.lit(64).alias("n"))
-    return rollout.kl_coefficient(steps, "o_orderkey", "kl", "n", 0.1, 1.0, 10000.0).select("o_orderkey", r6("coefficient").alias("coefficient"))
+    steps = t(s, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 100000).alias("kl"), F.lit(64).alias("n"))
+    return rollout.kl_coefficient(steps, "o_custkey", "o_orderkey", "kl", "n", 0.1, 1.0, 10000.0).select("o_orderkey", r6("coefficient").alias("coefficient"))
 
 
 @query
