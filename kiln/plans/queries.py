@@ -469,7 +469,7 @@ def minhash_bands(s, d):
 
 @query
 def near_dup_removed(s, d):
-    return neardup.first_kept(t(s, d, "documents"), "doc_id", "text", hashes=32, count=4).select("doc_id")
+    return neardup.first_kept(t(s, d, "documents"), "doc_id", "text").select("doc_id")
 
 
 @query
