@@ -59,7 +59,7 @@ def describe(k: int):
     def run(batches):
         for batch in batches:
             own = sets_of(batch.column("text").to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("b"), pa.array([node_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64())], names=["doc_id", "b", "node", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("b"), pa.array([node_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64())], names=["key", "doc_id", "b", "node", "n"])
 
     return run
 
@@ -216,11 +216,22 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     its component_id is the least id of its component, null if there is none. Repeated rows: one row each, linked.
     Empty table: no rows. Other columns are not read.
     """
+    found = grouped(df, id_col, text_col, k, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def row_key(id_col: str, text_col: str):
+    """Names the rows that have one id and one text."""
+    return F.xxhash64(F.col(id_col).isNull(), id_col, text_col)
+
+
+def grouped(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """A row per row of df: key, doc_id, node, n; where n > 0 also label (the component) and component_id (its least id, or null)."""
     n = C.bucket_count(df)
     parts = max(8, n // 4)
     docs = C.bucketed(df.select(id_col, text_col), id_col, text_col, n)
-    plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int").alias("b"), F.col(text_col).alias("text"))
-    known = C.materialise(C.small_batches(plain).mapInArrow(C.lean_batches(describe(k)), "doc_id long, b int, node long, n long"), "nodes")
+    plain = df.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int").alias("b"), F.col(text_col).alias("text"))
+    known = C.materialise(C.small_batches(plain).mapInArrow(C.lean_batches(describe(k)), "key long, doc_id long, b int, node long, n long"), "nodes")
     places = known.filter("n > 0").select("node", "b").distinct()
     stands = places.groupBy("node").agg(F.min("b").alias("home"), F.count("*").alias("c")).filter("c > 1")
     absent = places.join(stands, "node").filter("b <> home").select("b", "node", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("times"))
@@ -255,13 +266,22 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # only nodes of several members need their component's least id; each node's own is at hand
     whole = least.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = least.join(whole, "label").select("node", "component_id")
-    return known.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = least.join(whole, "label").select("node", "label", "component_id")
+    return known.join(named, "node", "left").select("key", "doc_id", "node", "n", "label", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """df without near copies: of each group the row with the smallest id stays; of rows that repeat an id, one. Null ids stay."""
-    found = similar_groups(df, id_col, text_col, k, percent)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    once = df.join(stay, F.col(id_col) == F.col("__id")).drop("__id").dropDuplicates([id_col])
-    return once.unionByName(df.filter(F.col(id_col).isNull()))
+    """df without near copies: of each group one row stays, that with the smallest id.
+
+    Null ids come last, so a group keeps one of them only if it has no other. Rows that repeat an id stand for
+    themselves: they go only if their own sets are linked with those of a row that stays. Of rows of a group with equal
+    ids the least key stays, of rows with equal texts too the least by a hash of all columns. Rows without words stay.
+    """
+    found = grouped(df, id_col, text_col, k, percent).filter("n > 0")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
+    stay = first.select(F.col("first.key").alias("__key"))
+    words = F.regexp_like(C.null_safe_text(F.col(text_col)), F.lit(C.WORD))
+    rows = df.filter(words).withColumn("__key", row_key(id_col, text_col)).join(stay, "__key", "left_semi")
+    order = Window.partitionBy("__key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    once = rows.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__key", "__row")
+    return once.unionByName(df.filter(~words))
