@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Parquet bytes that one bucket of documents should hold, so that a Python worker stays small.
 BUCKET_BYTES = 2 << 20
+#: Groups of rows into which a key's rows are dealt where one key may be hot.
+SALTS = 256
 #: Distinct words whose hashes a worker keeps; others are hashed anew each time.
 CACHED_WORDS = 200_000
 
@@ -30,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set, as in tests."""
+    """The folder that the driver and all executors share; one of our own only in local mode where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = f"file://{tempfile.mkdtemp(prefix='kiln-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -156,6 +160,17 @@ def rows_of(tbl: pa.Table) -> tuple[list, list, np.ndarray]:
     return [ids[i] for i in order], [texts[i] for i in order], np.array(order, dtype=np.int64)
 
 
+def spread_join(rows: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with small, which has one row a key, where one key may hold a third of all rows.
+
+    Rows of a key are dealt to SALTS groups by a hash of `by`. small is joined to the groups first, of which a key has
+    SALTS at most, and then to the rows by key and group. Keys that small lacks go.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    groups = salted.select(key, "__salt").distinct().join(small, key)
+    return salted.join(groups, [key, "__salt"]).drop("__salt")
+
+
 def null_safe_text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
@@ -172,7 +187,9 @@ def discard(*frames: DataFrame) -> None:
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """Bounds the rows of an Arrow batch, so that long texts do not fill a Python worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:  # the smallest bound asked for holds
+        conf.set(name, str(rows))
     return df
 
 

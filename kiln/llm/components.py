@@ -12,7 +12,7 @@ def _star(pairs: DataFrame, small: bool) -> DataFrame:
     """pairs: (u, v). Each u links its neighbours to the least of them and itself: the larger ones, or (small) the smaller ones and u."""
     own = pairs.filter("v < u") if small else pairs
     least = own.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    linked = own.join(least, "u")
+    linked = C.spread_join(own, least, "u", by="v")  # a hub may have a third of all nodes
     if small:
         out = linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.filter("u <> m").select("u", F.col("m").alias("v")))
     else:

@@ -2,20 +2,22 @@
 
 Documents with equal sets are one node; a node's set is kept once. Then:
 
-1. Census. Document frequencies of the third of all n-grams whose hash is divisible by 3, over all nodes. This fixes
-   one global order: counted n-grams from rare to common up to COMMON documents, then the uncounted ones by hash, then
-   the common ones. Any fixed order gives the same links; a rare-first one gives few candidates.
-2. Prefixes. Two sets of similarity >= t share an n-gram within the first n - ceil(t n) + 1 of either. N-grams counted
-   once are in no other set, so they stay in the prefix's count but are not sent. Most nodes send nothing.
+1. Census. Exact document frequencies of all n-grams over all nodes, pre-aggregated in each bucket. They fix one global
+   order, from rare to common, ties by hash.
+2. Prefixes. Two sets of similarity >= t share an n-gram within the first n - ceil(t n) + 1 of either. N-grams of one
+   node are in no other set, so they stay in the prefix's count but are not sent. Most nodes send nothing.
 3. Candidates join on prefix n-grams, under the filters below. Only links matter, not all pairs of a group, so there
-   are two passes: first each node is checked with the one hub that shares most prefix n-grams with it (a group's hub
-   is the node with the fewest n-grams of its own); then all
-   candidate pairs whose nodes are still in different components are. Pairs within one component need no check, so a
-   large group of near copies costs about one check a node, and no link between different components is lost.
+   are three passes. First each node is checked with the one hub that shares most prefix n-grams with it (an n-gram's
+   hub is the node with the fewest n-grams of its own). Then, of each n-gram, one node of every component is checked
+   with the hub. Last, all candidate pairs whose nodes are still in different components are checked.
+   No link is lost: two nodes that link share a first n-gram in the order; it is in both prefixes, and there both pass
+   the filters. Either they are in one component already, or the last pass meets them. Pairs within one component need
+   no check, so a large group of near copies costs about one check a node.
+   An n-gram's rows are split by its document frequency, which each row carries, so no task holds all of a hot one.
 4. A pair is checked once, on whole sets.
 
-Filters for sets x, y with overlap bound a = ceil(t/(1+t) (|x|+|y|)): length |x| >= t |y|; positional 1 + the shorter
-rest behind the shared n-gram >= a; suffix: each set has a signature of 512 bits, the parities of its counts in 512 hash
+Filters for sets x, y with overlap bound a = ceil(t/(1+t) (|x|+|y|)): length |x| >= t |y|; positional: the shorter rest
+from the shared n-gram on >= a; suffix: each set has a signature of BITS bits, the parities of its counts in BITS hash
 classes, and signatures that differ in more than |x|+|y|-2a bits belong to sets that differ in more members than that.
 """
 
@@ -30,12 +32,12 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-#: N-grams in more nodes than this come last in the order.
-COMMON = 16
-#: N-grams whose hash is divisible by this are counted.
-COUNTED = 3
 #: Partners of one hub in one group of rows.
 HUB_SHARE = 512
+#: Rows of one n-gram in one group of rows.
+HOT = 4096
+#: Cells of like sizes between n and e * n: about four up to the longest partner at 80 percent.
+CELLS = 18
 
 
 def ngram_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -59,30 +61,47 @@ def describe(k: int):
     def run(batches):
         for batch in batches:
             own = sets_of(batch.column("text").to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("b"), pa.array([node_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64())], names=["key", "doc_id", "b", "node", "n"])
+            nodes, sizes = pa.array([node_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64())
+            columns = [batch.column("key"), batch.column("doc_id"), nodes, sizes]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "node", "n"])
 
     return run
 
 
-def own_nodes(left: pa.Table, right: pa.Table, k: int) -> dict[int, np.ndarray]:
-    """Sets of the nodes that this bucket stands for: each once, without those that another bucket stands for."""
-    sets = {node_of(s): s for s in sets_of(left.column("text").to_pylist(), k) if len(s)}
-    for node in right.column("node").to_pylist():
-        if node is not None:
-            sets.pop(node, None)
-    return sets
+def nodes_of(k: int):
+    """Each distinct set that a task meets, once: (node, members)."""
 
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            found = {node_of(s): s for s in sets_of(batch.column("text").to_pylist(), k) if len(s)}
+            new = [(node, s) for node, s in found.items() if node not in seen]
+            seen.update(found)  # as many as a task has rows
+            members = pa.array([s.tobytes() for _, s in new], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in new], pa.int64()), members], names=["node", "members"])
+
+    return run
 
-def counted(h: np.ndarray) -> np.ndarray:
-    return h[(h % np.uint64(COUNTED)) == 0]
 
+def members_of(tbl: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in tbl.column("members").to_pylist()]
 
-def census(k: int, parts: int):
-    def run(key, left, right):
-        found = [counted(s) for s in own_nodes(left, right, k).values()]
-        hashes, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        part = ((hashes // np.uint64(COUNTED)) % np.uint64(parts)).astype(np.int64)
-        return C.to_blobs(key[0].as_py(), part, {"grams": hashes, "times": np.minimum(times, 255).astype(np.uint8)})
+
+def census(parts: int):
+    """To the parts: a bucket's n-grams, and in how many of its nodes those are that are in several. Singles come first."""
+
+    def run(key, tbl):
+        hashes, times = np.unique(np.concatenate(members_of(tbl)), return_counts=True)
+        part = (hashes % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((times > 1, part))
+        hashes, times, part = hashes[order], times[order], part[order]
+        at, out = C.split_runs(part), []
+        for i, j in zip(at[:-1], at[1:]):
+            own = times[i:j]
+            out.append((int(part[i]), hashes[i:j].tobytes(), own[own > 1].astype(np.uint32).tobytes()))
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        p, grams, many = (pa.array([x[c] for x in out], t) for c, t in enumerate(kinds))
+        return pa.table({"p": p, "b": pa.array([key[0].as_py()] * len(out), pa.int32()), "grams": grams, "times": many})
 
     return run
 
@@ -91,66 +110,77 @@ def tally(key, tbl):
     """Of one part: to each bucket, those of its n-grams that two nodes or more have, and how many."""
     owners = tbl.column("b").to_pylist()
     grams = [np.frombuffer(x, np.uint64) for x in tbl.column("grams").to_pylist()]
-    times = np.concatenate([np.frombuffer(x, np.uint8) for x in tbl.column("times").to_pylist()]).astype(np.int64)
-    flat = np.concatenate(grams)
-    names, index = np.unique(flat, return_inverse=True)
-    total = np.bincount(index, weights=times, minlength=len(names)).astype(np.int64)[index]
+    times = []
+    for own, many in zip(grams, tbl.column("times").to_pylist()):
+        many = np.frombuffer(many, np.uint32).astype(np.int64)
+        times += [np.ones(len(own) - len(many), np.int64), many]
+    names, index = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.bincount(index, weights=np.concatenate(times), minlength=len(names)).astype(np.int64)[index]
     out, at = [], 0
     for b, own in zip(owners, grams):
         df = total[at : at + len(own)]
         at += len(own)
         many = df > 1
         if many.any():
-            out.append((b, own[many].tobytes(), np.minimum(df[many], 65535).astype(np.uint16).tobytes()))
-    return pa.table({"b": pa.array([x[0] for x in out], pa.int32()), "node": pa.array([None] * len(out), pa.int64()), "grams": pa.array([x[1] for x in out], pa.binary()), "times": pa.array([x[2] for x in out], pa.binary())})
+            out.append((b, own[many].tobytes(), df[many].astype(np.uint32).tobytes()))
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.table({name: pa.array([x[c] for x in out], t) for c, (name, t) in enumerate(zip(("b", "grams", "times"), kinds))})
 
 
 def ordered(own: np.ndarray, grams: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The set in the global order, and each member's frequency (0: not counted)."""
-    df = np.where((own % np.uint64(COUNTED)) == 0, 1, 0)
+    """The set from rare to common, ties by hash, and each member's document frequency."""
+    df = np.ones(len(own), np.int64)
     if len(grams):
         at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
         df = np.where(grams[at] == own, times[at], df)
-    rank = np.where(df == 0, COMMON + 1, np.where(df > COMMON, df + 1, df))
-    order = np.lexsort((own, rank))
+    order = np.lexsort((own, df))
     return own[order], df[order]
 
 
-BITS = 512
-PREFIX = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("own", pa.int32()), ("signature", pa.list_(pa.int64())), ("members", pa.binary())])
+BITS = 2048
+PREFIX = pa.schema([
+    ("h", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("own", pa.int32()), ("df", pa.int64()),
+    ("signature", pa.list_(pa.int64())), ("members", pa.binary()),
+])
 
 
 def signature(own: np.ndarray) -> list[int]:
     """Parities of the members' counts in BITS classes, as 64-bit integers."""
-    odd = (np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    shift = np.uint64(64 - BITS.bit_length() + 1)
+    odd = (np.bincount((own >> shift).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64).tolist()
 
 
-def prefixes(k: int, percent: int):
+def prefixes(percent: int):
+    """Of a bucket: a row for each prefix n-gram that another node has too, and one with the whole set of each such node."""
+
     def run(key, left, right):
-        sets = own_nodes(left, right, k)
-        grams, times = C.from_blobs(right.column("grams"), np.uint64), C.from_blobs(right.column("times"), np.uint16).astype(np.int64)
+        if not left.num_rows:
+            return PREFIX.empty_table()
+        grams, times = C.from_blobs(right.column("grams"), np.uint64), C.from_blobs(right.column("times"), np.uint32).astype(np.int64)
         order = np.argsort(grams, kind="stable")
         grams, times = grams[order], times[order]
-        h, node, n, pos, alone, kept = [], [], [], [], [], []
-        for name, own in sets.items():
+        columns, kept = {c: [] for c in ("h", "node", "n", "pos", "own", "df")}, []
+        for name, own in zip(left.column("node").to_pylist(), members_of(left)):
             size = len(own)
             first = size - -(-percent * size // 100) + 1
             line, df = ordered(own, grams, times)
             sent = np.flatnonzero(df[:first] != 1)
             if not len(sent):
                 continue
-            h.append(line[sent].view(np.int64))
-            pos.append(sent)
-            for values, value in ((node, name), (n, size), (alone, int((df == 1).sum()))):
-                values.append(np.full(len(sent), value, np.int64))
+            columns["h"].append(line[sent].view(np.int64))
+            columns["pos"].append(sent)
+            columns["df"].append(df[sent])
+            for c, value in (("node", name), ("n", size), ("own", int((df == 1).sum()))):
+                columns[c].append(np.full(len(sent), value, np.int64))
             kept.append((name, size, signature(own), own.tobytes()))
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        rows, m = sum(map(len, h)), len(kept)
-        first = pa.table([pa.array(cat(h)), pa.array(cat(node)), *(pa.array(cat(x).astype(np.int32)) for x in (n, pos, alone)), pa.nulls(rows, PREFIX.field("signature").type), pa.nulls(rows, pa.binary())], schema=PREFIX)
-        null = lambda t: pa.nulls(m, t)
-        second = pa.table([null(pa.int64()), pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int32()), null(pa.int32()), null(pa.int32()), pa.array([x[2] for x in kept], PREFIX.field("signature").type), pa.array([x[3] for x in kept], pa.binary())], schema=PREFIX)
-        return pa.concat_tables([first, second])
+        m = len(kept)
+        rows = [pa.array(cat(columns[c]).astype(PREFIX.field(c).type.to_pandas_dtype())) for c in columns]
+        rows += [pa.nulls(len(rows[0]), PREFIX.field(c).type) for c in ("signature", "members")]
+        whole = {"node": [x[0] for x in kept], "n": [x[1] for x in kept], "signature": [x[2] for x in kept], "members": [x[3] for x in kept]}
+        sets = [pa.array(whole[f.name], f.type) if f.name in whole else pa.nulls(m, f.type) for f in PREFIX]
+        return pa.concat_tables([pa.table(rows, schema=PREFIX), pa.table(sets, schema=PREFIX)])
 
     return run
 
@@ -160,12 +190,15 @@ def overlap(nx, ny, percent: int):
     return F.floor(((nx + ny) * percent + (100 + percent - 1)) / F.lit(100 + percent))
 
 
-def may_link(x: str, y: str, percent: int):
-    """Length and positional filter for two prefix rows of one n-gram."""
-    c = lambda side, name: F.col(f"{side}.{name}").cast("long")
-    nx, ny = c(x, "n"), c(y, "n")
-    rest = 1 + F.least(nx - c(x, "pos") - 1, ny - c(y, "pos") - 1)
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (rest >= overlap(nx, ny, percent))
+def most_partner(percent: int):
+    """The largest partner with which a row may link: its rest from the n-gram on must hold the whole overlap."""
+    return F.floor((F.col("n") - F.col("pos")).cast("long") * (100 + percent) / F.lit(percent)) - F.col("n")
+
+
+def may_link(x: str, y: str):
+    """Length and positional filter for two prefix rows of one n-gram. A partner within `most` is within the length bound."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    return (c(x, "n") <= c(y, "most")) & (c(y, "n") <= c(x, "most"))
 
 
 def near_enough(x: str, y: str, percent: int):
@@ -225,49 +258,94 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col).isNull(), id_col, text_col)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows with `salt`: an n-gram of many documents is split over as many groups of rows as its frequency asks for."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.floor(F.col("df") / HOT) + 1))
+
+
+def each_gram(rows: DataFrame, *found) -> DataFrame:
+    """Aggregates of every n-gram's rows (partial before the shuffle), a copy for each of its groups of rows."""
+    every = rows.groupBy("h").agg(F.first("df").alias("df"), *found)
+    return every.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("df") / HOT)))).drop("df")
+
+
+def starred(rows: DataFrame) -> DataFrame:
+    """(y, x, count): every node y of an n-gram with its hub x, the node with fewest n-grams of its own, where they may link."""
+    hubs = each_gram(rows, F.min(F.struct("own", "n", "node", "most")).alias("s"))
+    both = dealt(rows).join(hubs, ["h", "salt"]).filter("node <> s.node").select(F.struct("n", "node", "most").alias("r"), "s")
+    return both.filter(may_link("r", "s")).groupBy(F.col("r.node").alias("y"), F.col("s.node").alias("x")).count()
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with their component, of n-grams that several components have."""
+    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ends = each_gram(named, F.min("label").alias("a"), F.max("label").alias("z"))
+    return dealt(named).join(ends.filter("a <> z").select("h", "salt"), ["h", "salt"]).drop("salt")
+
+
+def undecided(rows: DataFrame) -> DataFrame:
+    """(x, y): each pair of different components that may link at a shared n-gram, once.
+
+    A row x asks for partners y with n_x <= n_y <= most_x, in cells of like sizes; y answers where n_x <= most_y. Rows
+    that nobody in their cell can ask for go before rows meet, so in a large group only pairs that may link are compared.
+    """
+    cell = lambda c: F.floor(F.ln(c.cast("double")) * CELLS).cast("int")
+    cells = F.explode(F.sequence(cell(F.col("n")), cell(F.col("most"))))
+    asking = rows.filter("most >= n").withColumn("cell", cells).select("h", "cell", "node", "n", "most", "label", "df")
+    homes = dealt(rows).withColumn("cell", cell(F.col("n")))
+    bounds = F.min("n").alias("low"), F.max("most").alias("high"), F.min("label").alias("a"), F.max("label").alias("z")
+    asked = asking.groupBy("h", "cell").agg(F.first("df").alias("df"), *bounds)
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("df") / HOT))).alias("salt")
+    asked = asked.select("h", "cell", "low", "high", "a", "z", salts)
+    heard = homes.join(asked, ["h", "cell", "salt"]).filter("low <= most and n <= high and not (a = label and z = label)")
+    heard = heard.select("h", "cell", "salt", F.struct("node", "n", "most", "label").alias("y"))
+    asking = asking.select("h", "cell", F.struct("node", "n", "most", "label").alias("x"), salts)
+    once = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))
+    pairs = asking.join(heard, ["h", "cell", "salt"]).filter(once & (F.col("x.label") != F.col("y.label")) & may_link("x", "y"))
+    return pairs.select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y")).distinct()
+
+
 def grouped(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """A row per row of df: key, doc_id, node, n; where n > 0 also label (the component) and component_id (its least id, or null)."""
     n = C.bucket_count(df)
-    parts = max(8, n // 4)
-    docs = C.bucketed(df.select(id_col, text_col), id_col, text_col, n)
-    plain = df.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int").alias("b"), F.col(text_col).alias("text"))
-    known = C.materialise(C.small_batches(plain).mapInArrow(C.lean_batches(describe(k)), "key long, doc_id long, b int, node long, n long"), "nodes")
-    places = known.filter("n > 0").select("node", "b").distinct()
-    stands = places.groupBy("node").agg(F.min("b").alias("home"), F.count("*").alias("c")).filter("c > 1")
-    absent = places.join(stands, "node").filter("b <> home").select("b", "node", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("times"))
-    absent = C.materialise(absent, "absent", narrow=True)
-
-    counts = docs.groupBy("b").cogroup(absent.groupBy("b")).applyInArrow(C.lean_pair(census(k, parts)), "p int, b int, grams binary, times binary")
-    answer = counts.groupBy("p").applyInArrow(tally, "b int, node long, grams binary, times binary").unionByName(absent)
-    sent = docs.groupBy("b").cogroup(answer.groupBy("b")).applyInArrow(C.lean_pair(prefixes(k, percent)), "h long, node long, n int, pos int, own int, signature array<bigint>, members binary")
+    parts, spark = max(8, n // 2), df.sparkSession
+    text = F.col(text_col).alias("text")
+    plain = df.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text)
+    known = C.small_batches(plain).mapInArrow(C.lean_batches(describe(k)), "key long, doc_id long, node long, n long")
+    known = C.materialise(known, "nodes")
+    nodes = C.small_batches(df.select(text)).mapInArrow(C.lean_batches(nodes_of(k)), "node long, members binary")
+    nodes = nodes.withColumn("b", F.pmod("node", F.lit(n)).cast("int")).repartition(C.partitions(spark), "b").dropDuplicates(["b", "node"])
+    counts = nodes.groupBy("b").applyInArrow(C.lean_group(census(parts)), "p int, b int, grams binary, times binary")
+    answer = counts.groupBy("p").applyInArrow(C.lean_group(tally), "b int, grams binary, times binary")
+    kind = "h long, node long, n int, pos int, own int, df long, signature array<bigint>, members binary"
+    sent = nodes.groupBy("b").cogroup(answer.groupBy("b")).applyInArrow(C.lean_pair(prefixes(percent)), kind)
     sent = C.materialise(sent, "prefixes")
-    rows = sent.filter("h is not null").select("h", "node", "n", "pos", "own")
+    rows = sent.filter("h is not null").select("h", "node", "n", "own", "df", most_partner(percent).alias("most"))
     sets = sent.filter("members is not null").select("node", "n", "signature", "members")
 
-    group = Window.partitionBy("h")
-    starred = rows.withColumn("hub", F.min(F.struct("own", "n", "node", "pos")).over(group))
-    starred = starred.filter("node <> hub.node").select(F.struct("node", "n", "pos").alias("r"), F.col("hub").alias("s")).filter(may_link("r", "s", percent))
-    first = starred.groupBy(F.col("r.node").alias("y"), F.col("s.node").alias("x")).count().groupBy("y").agg(F.max(F.struct("count", "x")).alias("best")).select(F.col("best.x").alias("x"), "y")
     side = lambda node: sets.select(F.col("node").alias(node), F.struct("n", "signature").alias(f"of_{node}"))
-    first = first.join(side("x"), "x").join(side("y"), "y").filter(near_enough("of_x", "of_y", percent)).select("x", "y")
-    links = linked(first, sets, percent, parts)
-    labels = components(links, "x", "y")
-
-    placed = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.withColumn("a", F.min("label").over(group)).withColumn("z", F.max("label").over(group)).filter("a <> z").select("h", "node", "n", "pos", "label")
-    left = C.materialise(mixed.join(sets.select("node", "signature"), "node"), "mixed")
-    second = left.alias("r").join(left.alias("s"), (F.col("r.h") == F.col("s.h")) & (F.col("r.label") < F.col("s.label")) & may_link("r", "s", percent) & near_enough("r", "s", percent))
-    second = second.select(F.least("r.node", "s.node").alias("x"), F.greatest("r.node", "s.node").alias("y")).distinct()
-    more = linked(second, sets, percent, parts)
-    labels = C.materialise(components(links.unionByName(more), "x", "y"), "labels", narrow=True)
-    C.discard(sent, left, links, more, absent)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(side("x"), "x").join(side("y"), "y").filter(near_enough("of_x", "of_y", percent))
+        return linked(near.select("x", "y"), sets, percent, parts)
+
+    best = starred(rows).groupBy("y").agg(F.max(F.struct("count", "x")).alias("best")).select(F.col("best.x").alias("x"), "y")
+    links = [checked(best)]
+    labels = components(links[0], "x", "y")
+    mixed = C.materialise(labelled(rows, labels), "mixed", narrow=True)
+    one = mixed.groupBy("h", "label").agg(F.min(F.struct("own", "n", "node", "most", "df")).alias("r")).select("h", "r.*")
+    links.append(checked(starred(one).select("x", "y")))
+    labels = components(links[0].unionByName(links[1]), "x", "y")
+    links.append(checked(undecided(labelled(mixed.drop("label"), labels))))
+    labels = C.materialise(components(links[0].unionByName(links[1]).unionByName(links[2]), "x", "y"), "labels", narrow=True)
+    C.discard(sent, mixed, *links)
 
     least = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     least = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # only nodes of several members need their component's least id; each node's own is at hand
     whole = least.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = least.join(whole, "label").select("node", "label", "component_id")
-    return known.join(named, "node", "left").select("key", "doc_id", "node", "n", "label", "component_id")
+    named = C.spread_join(least, whole, "label", by="node").select("node", "label", "component_id")
+    named = named.unionByName(spark.createDataFrame([(-1, None, None)], "node long, label long, component_id long"))  # no words
+    return C.spread_join(known, named, "node", by="key").select("key", "doc_id", "node", "n", "label", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -275,13 +353,17 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     Null ids come last, so a group keeps one of them only if it has no other. Rows that repeat an id stand for
     themselves: they go only if their own sets are linked with those of a row that stays. Of rows of a group with equal
-    ids the least key stays, of rows with equal texts too the least by a hash of all columns. Rows without words stay.
+    ids the least key stays, of rows with equal texts too the least by a hash of all columns. Rows without words (null or
+    empty text) stay. Empty table: no rows. Columns may have any names; all stay.
     """
     found = grouped(df, id_col, text_col, k, percent).filter("n > 0")
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
     stay = first.select(F.col("first.key").alias("__key"))
     words = F.regexp_like(C.null_safe_text(F.col(text_col)), F.lit(C.WORD))
-    rows = df.filter(words).withColumn("__key", row_key(id_col, text_col)).join(stay, "__key", "left_semi")
-    order = Window.partitionBy("__key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    once = rows.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__key", "__row")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    # the row travels as one struct, so its columns may have any names
+    rows = df.filter(words).select(F.struct(*columns).alias("__row"), row_key(id_col, text_col).alias("__key"), F.xxhash64(*columns).alias("__order"))
+    rows = rows.join(stay, "__key", "left_semi")
+    once = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__key").orderBy("__order"))).filter("__place = 1")
+    once = once.select(*[F.col(f"__row.`{c}`").alias(c) for c in df.columns])
     return once.unionByName(df.filter(~words))
