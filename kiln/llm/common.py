@@ -7,7 +7,6 @@ import gc
 import math
 import tempfile
 import uuid
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +22,12 @@ MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BUCKET_BYTES = 2 << 20
 #: Groups of rows into which a key's rows are dealt where one key may be hot.
 SALTS = 256
-#: Distinct words whose hashes a worker keeps; others are hashed anew each time.
-CACHED_WORDS = 200_000
+#: Estimates from here on are Catalyst's word for not knowing.
+UNKNOWN = 1 << 50
+#: Bytes of groups after which a worker gives memory back.
+LEAN_BYTES = 1 << 20
+#: Bytes whose running sums are held at a time, and bytes of the longest word that they serve.
+CHUNK, LONG = 1 << 20, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +58,15 @@ def materialise(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df: for files, their bytes. It sets partition counts only, never results."""
+    """Catalyst's size estimate of df: for files, their bytes. Where it knows none, the texts are added up.
+
+    It sets partition counts only, never results.
+    """
     found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(found, 1 << 50)
+    if found < UNKNOWN:
+        return found
+    texts = [F.coalesce(F.sum(F.octet_length(F.col(f"`{f.name}`"))), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
+    return int(df.agg(sum(texts, F.count("*") * 8)).first()[0])
 
 
 def bucket_count(df: DataFrame, each: int = BUCKET_BYTES) -> int:
@@ -77,30 +86,72 @@ def bucketed(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return dealt.repartition(partitions(df.sparkSession), "b")
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, computed on first sight."""
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """bytes.split() splits on exactly the six characters of the contracts."""
+    raw = (text or "").encode()
+    return (raw.lower() if lower else raw).split()
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxh3_64_intdigest(word)
-        if len(self) < CACHED_WORDS:
-            self[word] = value
-        return value
 
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
-HASHES = WordHashes()
 
+#: A random value for each byte, the same with A-Z as a-z, and powers of the word polynomial's base and of its inverse.
+VALUES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+LOWERED = VALUES[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+UP, DOWN = powers(int(MULTIPLIER), CHUNK), powers(pow(int(MULTIPLIER), -1, 1 << 64), CHUNK)
+SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
-def words_of(text: str | None, lower: bool = False) -> list[bytes]:
-    """bytes.split() splits on exactly the six characters of the contracts."""
-    raw = (text or "").encode()
-    return (raw.lower() if lower else raw).split()
 
+class Words:
+    """The words of an Arrow array of texts: hashes, document bounds (ends) among them, and each word's bytes in raw.
 
-def hashed(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in one array, and where each document starts in it (one more at the end)."""
-    ends = np.zeros(len(docs) + 1, dtype=np.int64)
-    np.cumsum([len(d) for d in docs], out=ends[1:])
-    return np.fromiter(map(HASHES.__getitem__, chain.from_iterable(docs)), dtype=np.uint64, count=int(ends[-1])), ends
+    A word's hash is a polynomial of its bytes modulo 2^64, from running sums over whole chunks; words over LONG bytes
+    are hashed one by one. Nulls have no words.
+    """
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = False):
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+        at = at - at[0]
+        self.raw = raw
+        inner = ~SPACE[raw]
+        first, last = inner.copy(), inner.copy()
+        first[1:] &= ~inner[:-1]
+        last[:-1] &= ~inner[1:]
+        some = np.flatnonzero(at[1:] > at[:-1])  # texts that are not empty: words end with them
+        first[at[:-1][some]] = inner[at[:-1][some]]
+        last[at[1:][some] - 1] = inner[at[1:][some] - 1]
+        self.first, self.last = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.ends = np.searchsorted(self.first, at)
+        self.flat = self._hashes(LOWERED if lower else VALUES, lower)
+
+    def _hashes(self, values: np.ndarray, lower: bool) -> np.ndarray:
+        n = self.last - self.first
+        out, short, i = np.zeros(len(n), np.uint64), np.flatnonzero(n <= LONG), 0
+        first, last = self.first[short], self.last[short]
+        while i < len(short):
+            j = max(i + 1, int(np.searchsorted(last, first[i] + CHUNK, side="right")))
+            base = first[i]
+            x = values[self.raw[base : last[j - 1]]]
+            x *= UP[: len(x)]
+            sums = np.zeros(len(x) + 1, np.uint64)
+            np.cumsum(x, out=sums[1:])
+            out[short[i:j]] = (sums[last[i:j] - base] - sums[first[i:j] - base]) * DOWN[first[i:j] - base]
+            i = j
+        for k in np.flatnonzero(n > LONG).tolist():
+            word = self.raw[self.first[k] : self.last[k]].tobytes()
+            out[k] = xxh3_64_intdigest(word.lower() if lower else word)
+        return finalise(out + n.astype(np.uint64) * MIX)
+
+    def text(self, i: int, j: int) -> bytes:
+        """Bytes from word i to word j - 1."""
+        return self.raw[self.first[i] : self.last[j - 1]].tobytes()
 
 
 def finalise(x: np.ndarray) -> np.ndarray:
@@ -153,13 +204,6 @@ def from_blobs(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype=dtype)
 
 
-def rows_of(tbl: pa.Table) -> tuple[list, list, np.ndarray]:
-    """Ids, texts and the order of a bucket's rows: by id (null last), then text, so that every pass sees the same."""
-    ids, texts = tbl.column("doc_id").to_pylist(), tbl.column("text").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] is not None, texts[i] or ""))
-    return [ids[i] for i in order], [texts[i] for i in order], np.array(order, dtype=np.int64)
-
-
 def spread_join(rows: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
     """rows joined with small, which has one row a key, where one key may hold a third of all rows.
 
@@ -214,12 +258,22 @@ def lean_batches(run, at_end=lambda: None):
     return wrapped
 
 
+GROUPED = [0]
+
+
+def seen(*tables: pa.Table) -> None:
+    GROUPED[0] += sum(t.nbytes for t in tables)
+    if GROUPED[0] >= LEAN_BYTES:
+        GROUPED[0] = 0
+        release()
+
+
 def lean_group(run):
     def wrapped(key, tbl):
         try:
             return run(key, tbl)
         finally:
-            release()
+            seen(tbl)
 
     return wrapped
 
@@ -229,6 +283,6 @@ def lean_pair(run):
         try:
             return run(key, left, right)
         finally:
-            release()
+            seen(left, right)
 
     return wrapped

@@ -47,9 +47,11 @@ def ngram_set(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(C.grams(words, min(k, len(words))))
 
 
-def sets_of(texts: list[str | None], k: int) -> list[np.ndarray]:
-    flat, ends = C.hashed([C.words_of(t, lower=True) for t in texts])
-    return [ngram_set(flat[i:j], k) for i, j in zip(ends[:-1], ends[1:])]
+def sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
+    words = C.Words(texts, lower=True)
+    whole = C.grams(words.flat, k)
+    bounds = zip(words.ends[:-1].tolist(), words.ends[1:].tolist())
+    return [np.unique(whole[i : j - k + 1]) if j - i >= k else ngram_set(words.flat[i:j], k) for i, j in bounds]
 
 
 def node_of(own: np.ndarray) -> int:
@@ -60,7 +62,7 @@ def node_of(own: np.ndarray) -> int:
 def describe(k: int):
     def run(batches):
         for batch in batches:
-            own = sets_of(batch.column("text").to_pylist(), k)
+            own = sets_of(batch.column("text"), k)
             nodes, sizes = pa.array([node_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64())
             columns = [batch.column("key"), batch.column("doc_id"), nodes, sizes]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "node", "n"])
@@ -69,36 +71,55 @@ def describe(k: int):
 
 
 def nodes_of(k: int):
-    """Each distinct set that a task meets, once: (node, members)."""
+    """A text for each distinct set that a task meets: (node, text)."""
 
     def run(batches):
         seen = set()
         for batch in batches:
-            found = {node_of(s): s for s in sets_of(batch.column("text").to_pylist(), k) if len(s)}
-            new = [(node, s) for node, s in found.items() if node not in seen]
+            text = batch.column("text")
+            found = {}
+            for i, own in enumerate(sets_of(text, k)):
+                if len(own):
+                    found.setdefault(node_of(own), i)
+            new = [(node, i) for node, i in found.items() if node not in seen]
             seen.update(found)  # as many as a task has rows
-            members = pa.array([s.tobytes() for _, s in new], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in new], pa.int64()), members], names=["node", "members"])
+            rows = pa.array([i for _, i in new], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in new], pa.int64()), text.take(rows)], names=["node", "text"])
 
     return run
 
 
-def members_of(tbl: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in tbl.column("members").to_pylist()]
+#: An n-gram is counted by the first CLASS bytes of its hash. N-grams that share them count as one, so they may look
+#: more common than they are, to every node alike: the order stays one order, and none that another node has looks unique.
+CLASS = 6
 
 
-def census(parts: int):
+def classes(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - 8 * CLASS)
+
+
+def packed(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :CLASS].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // CLASS, 8), np.uint8)
+    out[:, :CLASS] = np.frombuffer(blob, np.uint8).reshape(-1, CLASS)
+    return out.reshape(-1).view("<u8")
+
+
+def census(k: int, parts: int):
     """To the parts: a bucket's n-grams, and in how many of its nodes those are that are in several. Singles come first."""
 
     def run(key, tbl):
-        hashes, times = np.unique(np.concatenate(members_of(tbl)), return_counts=True)
-        part = (hashes % np.uint64(parts)).astype(np.int64)
+        found, times = np.unique(classes(np.concatenate(sets_of(tbl.column("text"), k))), return_counts=True)
+        part = (found % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((times > 1, part))
-        hashes, times, part = hashes[order], times[order], part[order]
+        found, times, part = found[order], times[order], part[order]
         at, out = C.split_runs(part), []
         for i, j in zip(at[:-1], at[1:]):
             own = times[i:j]
-            out.append((int(part[i]), hashes[i:j].tobytes(), own[own > 1].astype(np.uint32).tobytes()))
+            out.append((int(part[i]), packed(found[i:j]), own[own > 1].astype(np.uint32).tobytes()))
         kinds = (pa.int32(), pa.binary(), pa.binary())
         p, grams, many = (pa.array([x[c] for x in out], t) for c, t in enumerate(kinds))
         return pa.table({"p": p, "b": pa.array([key[0].as_py()] * len(out), pa.int32()), "grams": grams, "times": many})
@@ -109,7 +130,7 @@ def census(parts: int):
 def tally(key, tbl):
     """Of one part: to each bucket, those of its n-grams that two nodes or more have, and how many."""
     owners = tbl.column("b").to_pylist()
-    grams = [np.frombuffer(x, np.uint64) for x in tbl.column("grams").to_pylist()]
+    grams = [unpacked(x) for x in tbl.column("grams").to_pylist()]
     times = []
     for own, many in zip(grams, tbl.column("times").to_pylist()):
         many = np.frombuffer(many, np.uint32).astype(np.int64)
@@ -122,7 +143,7 @@ def tally(key, tbl):
         at += len(own)
         many = df > 1
         if many.any():
-            out.append((b, own[many].tobytes(), df[many].astype(np.uint32).tobytes()))
+            out.append((b, packed(own[many]), df[many].astype(np.uint32).tobytes()))
     kinds = (pa.int32(), pa.binary(), pa.binary())
     return pa.table({name: pa.array([x[c] for x in out], t) for c, (name, t) in enumerate(zip(("b", "grams", "times"), kinds))})
 
@@ -131,8 +152,9 @@ def ordered(own: np.ndarray, grams: np.ndarray, times: np.ndarray) -> tuple[np.n
     """The set from rare to common, ties by hash, and each member's document frequency."""
     df = np.ones(len(own), np.int64)
     if len(grams):
-        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-        df = np.where(grams[at] == own, times[at], df)
+        key = classes(own)
+        at = np.minimum(np.searchsorted(grams, key), len(grams) - 1)
+        df = np.where(grams[at] == key, times[at], df)
     order = np.lexsort((own, df))
     return own[order], df[order]
 
@@ -151,17 +173,18 @@ def signature(own: np.ndarray) -> list[int]:
     return np.packbits(odd).view(np.int64).tolist()
 
 
-def prefixes(percent: int):
+def prefixes(k: int, percent: int):
     """Of a bucket: a row for each prefix n-gram that another node has too, and one with the whole set of each such node."""
 
     def run(key, left, right):
         if not left.num_rows:
             return PREFIX.empty_table()
-        grams, times = C.from_blobs(right.column("grams"), np.uint64), C.from_blobs(right.column("times"), np.uint32).astype(np.int64)
+        grams = unpacked(b"".join(right.column("grams").to_pylist()))
+        times = C.from_blobs(right.column("times"), np.uint32).astype(np.int64)
         order = np.argsort(grams, kind="stable")
         grams, times = grams[order], times[order]
         columns, kept = {c: [] for c in ("h", "node", "n", "pos", "own", "df")}, []
-        for name, own in zip(left.column("node").to_pylist(), members_of(left)):
+        for name, own in zip(left.column("node").to_pylist(), sets_of(left.column("text"), k)):
             size = len(own)
             first = size - -(-percent * size // 100) + 1
             line, df = ordered(own, grams, times)
@@ -313,12 +336,12 @@ def grouped(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
     plain = df.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text)
     known = C.small_batches(plain).mapInArrow(C.lean_batches(describe(k)), "key long, doc_id long, node long, n long")
     known = C.materialise(known, "nodes")
-    nodes = C.small_batches(df.select(text)).mapInArrow(C.lean_batches(nodes_of(k)), "node long, members binary")
+    nodes = C.small_batches(df.select(text)).mapInArrow(C.lean_batches(nodes_of(k)), "node long, text string")
     nodes = nodes.withColumn("b", F.pmod("node", F.lit(n)).cast("int")).repartition(C.partitions(spark), "b").dropDuplicates(["b", "node"])
-    counts = nodes.groupBy("b").applyInArrow(C.lean_group(census(parts)), "p int, b int, grams binary, times binary")
+    counts = nodes.groupBy("b").applyInArrow(C.lean_group(census(k, parts)), "p int, b int, grams binary, times binary")
     answer = counts.groupBy("p").applyInArrow(C.lean_group(tally), "b int, grams binary, times binary")
     kind = "h long, node long, n int, pos int, own int, df long, signature array<bigint>, members binary"
-    sent = nodes.groupBy("b").cogroup(answer.groupBy("b")).applyInArrow(C.lean_pair(prefixes(percent)), kind)
+    sent = nodes.groupBy("b").cogroup(answer.groupBy("b")).applyInArrow(C.lean_pair(prefixes(k, percent)), kind)
     sent = C.materialise(sent, "prefixes")
     rows = sent.filter("h is not null").select("h", "node", "n", "own", "df", most_partner(percent).alias("most"))
     sets = sent.filter("members is not null").select("node", "n", "signature", "members")

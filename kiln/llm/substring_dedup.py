@@ -5,22 +5,23 @@ the suffix tree meet at a node of depth `window` or deeper (an internal node: it
 
 1. Census. Not every prefix is counted, only an anchor of each window: its least 6-word gram, by hash. Equal windows
    have equal anchors, and neighbouring windows mostly share one, so a run of windows is one entry. Anchors that one
-   document alone has cannot lead to an internal node and go.
-2. Partition. What is left are runs (the words of all windows around one anchor). They are dealt by anchor. Within a
-   part, prefixes of growing length (2, 4, 8, `window` words) get names, by doubling; only suffixes whose prefix another
-   suffix shares go on, so prefixes are as long as they must be.
-3. Subtrees. At depth `window` each name with two suffixes or more is a deep internal node. Its least doc_id goes back
-   to the buckets whose documents lie below it.
+   document alone has cannot lead to an internal node and go. For the others the census tells how many runs they have.
+2. Partition. Prefixes have variable length: runs are dealt by their 6-word anchor; where an anchor has more than HEAVY
+   runs, each of its windows is dealt by its own prefix of `window` words instead, of which a bucket sends one. So a
+   group holds HEAVY runs at most, or what one passage has in different buckets.
+3. Subtrees. Prefixes of a group's suffixes get names, by doubling (2, 4, 8, `window` words); suffixes whose prefix of
+   SPLIT words no other shares are leaves already. At depth `window` each name with two suffixes or more is a deep
+   internal node. Its least doc_id goes back to the buckets whose documents lie below it.
 4. Removal. Each bucket looks up its windows and drops the words that they cover.
 
 A bucket sends each distinct run once, with its least and largest doc_id: a group of copies, however large, costs a
-bucket one entry. Documents are shuffled once; the three passes over them read the same exchange.
+bucket one entry. Documents are shuffled once; the three passes over them read the same exchange. Names are 64-bit
+hashes and are compared within one group or bucket only, never across the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from pyspark.sql import types as T
 from . import common as C
 
 ANCHOR, SPLIT = 6, 4
+#: Runs of one anchor from which on its windows are dealt by longer prefixes.
+HEAVY = 4096
 NO_DOC = np.iinfo(np.int64).max
 
 
@@ -38,14 +41,13 @@ class Bucket:
     """Words, window hashes and anchor runs of the documents of one bucket."""
 
     def __init__(self, tbl: pa.Table, window: int):
-        self.ids, self.texts, self.order = C.rows_of(tbl)
-        self.words = [C.words_of(t) for t in self.texts]
-        self.flat, self.ends = C.hashed(self.words)
+        self.ids = tbl.column("doc_id").combine_chunks()
+        self.id_of = self.ids.fill_null(NO_DOC).to_numpy(zero_copy_only=False)
+        self.words = C.Words(tbl.column("text"))
+        self.flat, self.ends = self.words.flat, self.words.ends
         start, doc = C.inside(self.ends, window)
-        known = np.array([i is not None for i in self.ids], dtype=bool)
-        keep = known[doc]  # a document without an id is neither source nor copy
+        keep = self.id_of[doc] != NO_DOC  # a document without an id is neither source nor copy
         self.start, self.doc = start[keep], doc[keep]
-        self.id_of = np.array([NO_DOC if i is None else i for i in self.ids], dtype=np.int64)
         self.window = C.grams(self.flat, window)[self.start] if len(self.start) else np.zeros(0, np.uint64)
 
     def runs(self, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,14 +65,16 @@ class Bucket:
         return anchor[at[:-1]], at
 
 
-def shared_by_two(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The keys, each once and sorted, that have two owners or more."""
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    at = C.split_runs(keys)
-    if len(at) < 2:
-        return keys
-    return keys[at[:-1]][np.minimum.reduceat(owner, at[:-1]) < np.maximum.reduceat(owner, at[:-1])]
+    def distinct(self, anchor: np.ndarray, at: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the runs `keep` (their bounds are `at`) each distinct one, by its least document, and its largest document."""
+        begin, end = at[:-1][keep], at[1:][keep]
+        step = np.arange(len(self.window)) - np.repeat(at[:-1], np.diff(at))
+        sums = np.r_[np.uint64(0), np.cumsum(C.finalise(self.window + step.astype(np.uint64) * C.MIX))]
+        content = C.finalise(sums[end] - sums[begin] + (end - begin).astype(np.uint64) * C.MULTIPLIER)
+        owner = self.id_of[self.doc[begin]]
+        order = np.lexsort((owner, content))
+        cut = C.split_runs(content[order])
+        return keep[order[cut[:-1]]], owner[order[cut[1:] - 1]]
 
 
 def member(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,60 +86,98 @@ def member(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def census(window: int, parts: int):
+    """To the parts: a bucket's anchors, how many distinct runs each has, and whether two of its documents have it."""
+
     def run(key, tbl):
         bucket = Bucket(tbl, window)
-        anchors = np.unique(bucket.runs(window)[0])
-        return C.to_blobs(key[0].as_py(), (anchors % np.uint64(parts)).astype(np.int64), {"anchors": anchors})
+        anchor, at = bucket.runs(window)
+        first, last = bucket.distinct(anchor, at, np.arange(len(anchor)))
+        order = np.argsort(anchor[first], kind="stable")
+        first, last = first[order], last[order]
+        least = bucket.id_of[bucket.doc[at[first]]] if len(first) else last
+        cut = C.split_runs(anchor[first])
+        if len(cut) < 2:
+            return C.to_blobs(key[0].as_py(), np.zeros(0, np.int64), {"anchors": cut[:0], "runs": cut[:0], "both": cut[:0]})
+        both = np.minimum.reduceat(least, cut[:-1]) < np.maximum.reduceat(last, cut[:-1])
+        anchors, runs = anchor[first][cut[:-1]], np.diff(cut)
+        # most anchors have one run of one document: they come first and need no count
+        many = both | (runs > 1)
+        part = (anchors % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((many, part))
+        anchors, runs, both, many, part = anchors[order], runs[order], both[order], many[order], part[order]
+        cut, out = C.split_runs(part), []
+        for i, j in zip(cut[:-1], cut[1:]):
+            own = many[i:j]
+            out.append((int(part[i]), anchors[i:j].tobytes(), runs[i:j][own].astype(np.uint32).tobytes(), both[i:j][own].tobytes()))
+        kinds = (("p", pa.int32()), ("anchors", pa.binary()), ("runs", pa.binary()), ("both", pa.binary()))
+        columns = {name: pa.array([x[c] for x in out], t) for c, (name, t) in enumerate(kinds)}
+        return pa.table({"p": columns["p"], "b": pa.array([key[0].as_py()] * len(out), pa.int32())} | {c: columns[c] for c in ("anchors", "runs", "both")})
 
     return run
 
 
-def meet(key, tbl):
-    """Of one part: to each bucket, those of its anchors that another bucket has too."""
-    blobs, owners = tbl.column("anchors").to_pylist(), tbl.column("b").to_numpy()
-    values = [np.frombuffer(x, np.uint64) for x in blobs]
-    both = shared_by_two(np.concatenate(values), np.repeat(owners, [len(v) for v in values]))
-    found = [(b, v[member(v, both)[0]].tobytes()) for b, v in zip(owners.tolist(), values)]
-    found = [x for x in found if x[1]]
-    return pa.table({"b": pa.array([x[0] for x in found], pa.int32()), "anchors": pa.array([x[1] for x in found], pa.binary())})
+def meet(most: int):
+    """Of one part: to each bucket, those of its anchors that two documents have, those of more than `most` runs apart."""
+
+    def run(key, tbl):
+        blobs, owners = tbl.column("anchors").to_pylist(), tbl.column("b").to_pylist()
+        values, runs, both = [np.frombuffer(x, np.uint64) for x in blobs], [], []
+        for own, r, t in zip(values, tbl.column("runs").to_pylist(), tbl.column("both").to_pylist()):
+            one = len(own) - len(t)
+            runs += [np.ones(one, np.int64), np.frombuffer(r, np.uint32).astype(np.int64)]
+            both += [np.zeros(one, bool), np.frombuffer(t, bool)]
+        names, index, buckets = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        total = np.bincount(index, weights=np.concatenate(runs), minlength=len(names))
+        shared = (buckets > 1) | (np.bincount(index, weights=np.concatenate(both), minlength=len(names)) > 0)
+        shared, heavy, out, at = shared[index], (total > most)[index], [], 0
+        for b, v in zip(owners, values):
+            own, much = shared[at : at + len(v)], heavy[at : at + len(v)]
+            at += len(v)
+            if own.any():
+                out.append((b, v[own & ~much].tobytes(), v[own & much].tobytes()))
+        kinds = (("b", pa.int32()), ("light", pa.binary()), ("heavy", pa.binary()))
+        return pa.table({name: pa.array([x[c] for x in out], t) for c, (name, t) in enumerate(kinds)})
+
+    return run
 
 
-RUNS = pa.schema([("p", pa.int32()), ("b", pa.int32()), ("runs", pa.binary()), ("docs", pa.binary())])
+RUNS = pa.schema([("p", pa.int32()), ("b", pa.int32()), ("runs", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary())])
 
 
 def candidates(window: int, parts: int):
-    """To the parts: each distinct run of words whose anchor two documents share, with its least and largest doc_id here."""
+    """To the parts: each distinct run of words whose anchor two documents share, with its least and largest doc_id here.
+
+    A run of a heavy anchor is sent as its single windows, each to the part of its whole prefix.
+    """
 
     def run(key, left, right):
         if not left.num_rows:
             return RUNS.empty_table()
         bucket = Bucket(left, window)
         anchor, at = bucket.runs(window)
-        if not len(anchor):
-            return RUNS.empty_table()
-        far = np.unique(C.from_blobs(right.column("anchors"), np.uint64))
-        near = shared_by_two(anchor, bucket.id_of[bucket.doc[at[:-1]]])
-        keep = np.flatnonzero(member(anchor, far)[0] | member(anchor, near)[0])
-        if not len(keep):
+        light, heavy = (np.unique(C.from_blobs(right.column(c), np.uint64)) for c in ("light", "heavy"))
+        first, last = bucket.distinct(anchor, at, np.flatnonzero(member(anchor, light)[0]))
+        begin, end, part = at[:-1][first], at[1:][first], anchor[first]
+        single = np.flatnonzero(np.repeat(member(anchor, heavy)[0], np.diff(at)))
+        if len(single):
+            each = np.arange(len(bucket.window) + 1)
+            one, most = bucket.distinct(bucket.window, each, single)
+            begin, end, part, last = np.r_[begin, one], np.r_[end, one + 1], np.r_[part, bucket.window[one]], np.r_[last, most]
+        if not len(begin):
             return RUNS.empty_table()
-        begin, end = at[:-1][keep], at[1:][keep]
-        step = np.arange(len(bucket.window)) - np.repeat(at[:-1], np.diff(at))
-        sums = np.r_[np.uint64(0), np.cumsum(C.finalise(bucket.window + step.astype(np.uint64) * C.MIX))]
-        content = C.finalise(sums[end] - sums[begin] + (end - begin).astype(np.uint64) * C.MULTIPLIER)
         owner = bucket.id_of[bucket.doc[begin]]
-        order = np.lexsort((owner, content))
-        cut = C.split_runs(content[order])
-        first, last = order[cut[:-1]], order[cut[1:] - 1]
-        part = (anchor[keep][first] % np.uint64(parts)).astype(np.int64)
+        part = (part % np.uint64(parts)).astype(np.int64)
         by = np.argsort(part, kind="stable")
-        first, last, part = first[by], last[by], part[by]
-        out, pack, flat = [], zstandard.ZstdCompressor(level=3), list(chain.from_iterable(bucket.words))
+        begin, end, part, owner, last = begin[by], end[by], part[by], owner[by], last[by]
+        out, pack = [], zstandard.ZstdCompressor(level=3)
         cut = C.split_runs(part)
         for i, j in zip(cut[:-1], cut[1:]):
-            text = b"\n".join(b" ".join(flat[bucket.start[begin[k]] : bucket.start[end[k] - 1] + window]) for k in first[i:j])
-            out.append((int(part[i]), pack.compress(text), np.stack([owner[first[i:j]], owner[last[i:j]]]).tobytes()))
-        b = key[0].as_py()
-        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([b] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], schema=RUNS)
+            text = [bucket.words.text(bucket.start[begin[k]], bucket.start[end[k] - 1] + window) for k in range(i, j)]
+            sizes = np.array([len(x) for x in text], np.int64)
+            out.append((int(part[i]), pack.compress(b"".join(text)), sizes.tobytes(), np.stack([owner[i:j], last[i:j]]).tobytes()))
+        b = pa.array([key[0].as_py()] * len(out), pa.int32())
+        p, runs, sizes, docs = (pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary())))
+        return pa.table([p, b, runs, sizes, docs], schema=RUNS)
 
     return run
 
@@ -172,15 +214,18 @@ def deep_nodes(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.n
 
 def subtrees(window: int):
     def run(key, tbl):
-        unpack, runs, owners, least, most = zstandard.ZstdDecompressor(), [], [], [], []
-        for b, text, docs in zip(tbl.column("b").to_pylist(), tbl.column("runs").to_pylist(), tbl.column("docs").to_pylist()):
-            part = [r.split() for r in unpack.decompress(text).split(b"\n")]
+        unpack, texts, sizes, owners, least, most = zstandard.ZstdDecompressor(), [], [], [], [], []
+        for b, text, size, docs in zip(*(tbl.column(c).to_pylist() for c in ("b", "runs", "sizes", "docs"))):
             low, high = np.frombuffer(docs, np.int64).reshape(2, -1)
-            runs += part
-            owners.append(np.full(len(part), b, np.int32))
+            texts.append(unpack.decompress(text))
+            sizes.append(np.frombuffer(size, np.int64))
+            owners.append(np.full(len(low), b, np.int32))
             least.append(low)
             most.append(high)
-        words, ends = C.hashed(runs)
+        bounds = np.r_[0, np.cumsum(np.concatenate(sizes))]
+        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(texts))])
+        found = C.Words(runs)
+        words, ends = found.flat, found.ends
         starts, run_of = C.inside(ends, window)
         owner, least, most = np.concatenate(owners)[run_of], np.concatenate(least)[run_of], np.concatenate(most)[run_of]
         digest = C.grams(words, window)[starts]
@@ -214,24 +259,26 @@ def removal(window: int, keep_text: bool):
         np.add.at(edge, bucket.start[gone], 1)
         np.add.at(edge, bucket.start[gone] + window, -1)
         covered = np.cumsum(edge)[: len(bucket.flat)] > 0
-        removed, shas, kept_texts = [], [], []
-        for i, own in enumerate(bucket.words):
-            mask = covered[bucket.ends[i] : bucket.ends[i + 1]]
-            n = int(mask.sum())
-            kept = b" ".join([w for w, m in zip(own, mask.tolist()) if not m] if n else own)
-            removed.append(n)
+        cut = np.r_[0, np.cumsum(covered)][bucket.ends]
+        removed, shas, kept_texts, texts = np.diff(cut), [], [], left.column("text").to_pylist()
+        for i, (text, n) in enumerate(zip(texts, removed.tolist())):
+            own = C.words_of(text)
+            if n:
+                own = [w for w, gone in zip(own, covered[bucket.ends[i] : bucket.ends[i + 1]].tolist()) if not gone]
+            kept = b" ".join(own)
             shas.append(hashlib.sha256(kept).hexdigest())
             if keep_text:
-                kept_texts.append(kept.decode() if n else bucket.texts[i])
-        out = {"doc_id": pa.array(bucket.ids, pa.int64()), "n_words": pa.array([len(w) for w in bucket.words], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
+                kept_texts.append(kept.decode() if n else text)
+        n_words = pa.array(np.diff(bucket.ends), pa.int64())
+        out = {"doc_id": bucket.ids, "n_words": n_words, "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
         if keep_text:
-            out |= {"kept_text": pa.array(kept_texts, pa.string()), "rest": left.column("rest").take(pa.array(bucket.order)).combine_chunks()}
+            out |= {"kept_text": pa.array(kept_texts, pa.string()), "rest": left.column("rest").combine_chunks()}
         return pa.table(out)
 
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, keep_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, keep_text: bool = False, heavy: int = HEAVY) -> DataFrame:
     """A row per row of df: doc_id, n_words, n_removed, kept_sha256; with keep_text also kept_text and rest (the other columns).
 
     A word is removed when a window of `window` words that covers it also starts in a document with a smaller id.
@@ -245,9 +292,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = C.bucket_count(df)
     docs = C.bucketed(df if keep_text else df.select(id_col, text_col), id_col, text_col, n)
     parts = max(8, n // 4)
-    anchors = docs.groupBy("b").applyInArrow(C.lean_group(census(window, parts)), "p int, b int, anchors binary")
-    shared = anchors.groupBy("p").applyInArrow(meet, "b int, anchors binary")
-    runs = docs.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(C.lean_pair(candidates(window, parts)), "p int, b int, runs binary, docs binary")
+    anchors = docs.groupBy("b").applyInArrow(C.lean_group(census(window, parts)), "p int, b int, anchors binary, runs binary, both binary")
+    shared = anchors.groupBy("p").applyInArrow(C.lean_group(meet(heavy)), "b int, light binary, heavy binary")
+    runs = docs.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(C.lean_pair(candidates(window, parts)), "p int, b int, runs binary, sizes binary, docs binary")
     nodes = runs.groupBy("p").applyInArrow(C.lean_group(subtrees(window)), "b int, digests binary, least binary")
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if keep_text:

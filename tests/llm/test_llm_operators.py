@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,19 @@ def test_components_of_paths_and_stars(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_words_are_those_of_split():
+    own = ["a b c", "", "  x\tyy\r\nzz ", None, "A é ü\x0bq", "z" * 70 + " end", "abc", "abc", " ".join(f"w{i % 9999}" for i in range(400_000))]
+    words = common.Words(pa.array(own))
+    flat = [w for t in own for w in common.words_of(t)]
+    assert np.diff(words.ends).tolist() == [len(common.words_of(t)) for t in own]
+    assert [words.raw[i:j].tobytes() for i, j in zip(words.first, words.last)] == flat
+    names = dict(zip(flat, words.flat.tolist()))
+    assert [names[w] for w in flat] == words.flat.tolist() and len(set(names.values())) == len(names)
+    assert (common.Words(pa.array(["ABC Z" * 9]), True).flat == common.Words(pa.array(["abc z" * 9])).flat).all()
+    assert (common.Words(pa.array(own)[2:7]).flat == words.flat[words.ends[2] : words.ends[7]]).all()
+    assert not len(common.Words(pa.array([], pa.string())).flat)
+
+
 def repeats_by_hand(texts, window=13):
     least, out = {}, []
     for i, t in texts:
@@ -169,6 +183,8 @@ def repeats_by_hand(texts, window=13):
 def test_substring_dedup(docs, texts, nothing):
     got = substring_dedup.remove_repeats(docs).collect()
     assert sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in got) == repeats_by_hand(texts)
+    got = substring_dedup.remove_repeats(docs.repartition(3), heavy=1).collect()  # windows go by their whole prefix
+    assert sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in got) == repeats_by_hand(texts)
     assert substring_dedup.remove_repeats(nothing).count() == 0
     kept = {r.doc_id: r for r in substring_dedup.remove_repeats(docs, keep_text=True).filter("doc_id in (1, 4, 8)").collect()}
     assert kept[1].kept_text is None and kept[4].kept_text == "one" and kept[8].kept_text == "" and kept[4].rest.shard == 2
@@ -269,9 +285,3 @@ def test_license_scan(spark, docs, texts, nothing):
     assert got[5].labels == "" and got[6].n_words == 0 and got[6].labels == "" and got[8].score == 0
     assert got[7].base_labels == "apache" and "apache-like" in got[7].labels
     assert license_scan.scan(docs).count() == len(texts) and license_scan.scan(nothing).count() == 0
-
-
-def test_buckets_see_rows_in_one_order(docs):
-    tbl = common.bucketed(docs, "doc_id", "text", 1).toArrow()
-    a, b = common.rows_of(tbl), common.rows_of(tbl.take(list(reversed(range(tbl.num_rows)))))
-    assert a[:2] == b[:2]
