@@ -96,12 +96,29 @@ FROM s QUALIFY rank <= 20
 """
 
 
+def _draw(value: str, key: str) -> str:
+    t = f"((({value})::BIGINT * 1103515245 + ({key})::BIGINT * 12345 + 99991) % 2147483647)"
+    t = f"(({t} * {t} + ({key})) % 2147483629)"
+    return f"(({t} * {t} + ({value})) % 2147483587 // 16)"
+
+
+def _turn(x: str) -> str:
+    """One turn of the permutation's rounds, as nested selects over wide, high and key."""
+    sql, names = f"SELECT *, {x} // high AS l0, {x} % high AS r0 FROM walk WHERE steps = 0 OR x >= blocks", ("l0", "r0")
+    for i in range(mixing.ROUNDS):
+        left, right = names
+        made = f"({left} + {_draw(right, f'key + {i}')}) % wide AS l{i + 1}" if i % 2 == 0 else f"({right} + {_draw(left, f'key + {i}')}) % high AS r{i + 1}"
+        names = (f"l{i + 1}", right) if i % 2 == 0 else (left, f"r{i + 1}")
+        sql = f"SELECT *, {made} FROM ({sql})"
+    return f"SELECT rank, slot, blocks, wide, high, key, {names[0]} * high + {names[1]} AS x, steps + 1 AS steps FROM ({sql})"
+
+
 def _op8() -> str:
-    primes = ", ".join(map(str, mixing.PRIMES))
     b = mixing.BLOCK
+    key = lambda number: _draw(f"rank * 1009 + {number}", "7")
     return rf"""
-WITH r AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
-s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM r GROUP BY source),
+WITH RECURSIVE r AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM r GROUP BY source),
 s1 AS (SELECT *, ([5, 2, 1])[rank % 3 + 1] AS weight, 2 * source_size AS most FROM s0),
 s2 AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
        / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
@@ -109,18 +126,23 @@ s3 AS (SELECT *, least(most::DOUBLE, max(level) OVER () * weight) AS target, (so
 s4 AS (SELECT *, floor(target + 0.5)::BIGINT AS words FROM s3),
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes FROM s4),
 s6 AS (SELECT *, words - passes * source_size AS rest FROM s5),
-s7 AS (SELECT *, passes * blocks + (rest + {b - 1}) // {b} AS slots FROM s6),
-j AS (SELECT *, unnest(range(0, slots::BIGINT)) AS slot FROM s7 WHERE slots > 0),
-j1 AS (SELECT *, slot // blocks AS pass, slot % blocks AS k, (([{primes}])[rank % {len(mixing.PRIMES)} + 1])::BIGINT AS a FROM j),
-j2 AS (SELECT rank, (((a % blocks)::BIGINT * k::BIGINT) + ((rank + 1) * 40503 + (pass + 1) * 30011) % blocks) % blocks AS block,
-       CASE WHEN pass < passes THEN {b} ELSE least({b}, rest - k * {b}) END AS take FROM j1),
-d AS (SELECT r.*, s7.rank, s7.source_size, s7.target,
-      coalesce(sum(size) OVER (PARTITION BY s7.rank ORDER BY doc_id % {mixing.PARTS}, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-      FROM r JOIN s7 ON r.source IS NOT DISTINCT FROM s7.source),
+s7 AS (SELECT *, passes * blocks + (rest + {b - 1}) // {b} AS slots, (n_rows + {mixing.PART_ROWS - 1}) // {mixing.PART_ROWS} AS parts FROM s6),
+n AS (SELECT rank, unnest(range(0, slots::BIGINT)) AS number FROM s7 WHERE slots > 0),
+c AS (SELECT rank, {_draw("number", key("0"))} % {mixing.SHARDS} AS shard, count(*) AS n FROM n GROUP BY 1, 2),
+c1 AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rank ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM c),
+j AS (SELECT rank, shard, first + unnest(range(0, n)) AS slot FROM c1),
+j1 AS (SELECT j.rank, shard, slot, blocks, passes, rest, slot // blocks AS pass, slot % blocks AS k FROM j JOIN s7 USING (rank)),
+w0 AS (SELECT rank, slot, blocks::BIGINT AS blocks, k::BIGINT AS x, ceil(sqrt(blocks::DOUBLE))::BIGINT AS wide, ({key("pass + 1")})::BIGINT AS key FROM j1),
+walk(rank, slot, blocks, wide, high, key, x, steps) AS (SELECT rank, slot, blocks, wide, (blocks + wide - 1) // wide, key, x, 0 FROM w0 UNION ALL {_turn("x")}),
+j2 AS (SELECT j1.rank, shard, walk.x AS block, CASE WHEN pass < passes THEN {b} ELSE least({b}, rest - k * {b}) END AS take
+       FROM j1 JOIN walk ON walk.rank = j1.rank AND walk.slot = j1.slot AND walk.steps > 0 AND walk.x < j1.blocks),
+d0 AS (SELECT r.*, s7.rank, s7.source_size, s7.target, {_draw("coalesce(doc_id, size) % 2147483648", "s7.rank")} % parts AS part FROM r JOIN s7 ON r.source IS NOT DISTINCT FROM s7.source),
+d AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY part, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d0),
 p AS (SELECT rank, start, size, unnest(range((start // {b})::BIGINT, ((start + size - 1) // {b} + 1)::BIGINT)) AS block FROM d WHERE size > 0),
 p1 AS (SELECT rank, start, block, greatest(start, block * {b}) - block * {b} AS low, least(start + size, (block + 1) * {b}) - greatest(start, block * {b}) AS length FROM p),
-t AS (SELECT p1.rank, p1.start, sum(greatest(0, least(length, take - low))) AS taken FROM p1 JOIN j2 ON p1.rank = j2.rank AND p1.block = j2.block GROUP BY 1, 2)
-SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END::BIGINT AS taken
+t0 AS (SELECT p1.rank, p1.start, shard, least(length, take - low) AS words FROM p1 JOIN j2 ON p1.rank = j2.rank AND p1.block = j2.block),
+t AS (SELECT rank, start, sum(words) AS taken, array_to_string(list_sort(list(DISTINCT shard::INT)), ',') AS shards FROM t0 WHERE words > 0 GROUP BY 1, 2)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END::BIGINT AS taken, CASE WHEN size > 0 THEN coalesce(shards, '') ELSE '' END AS shards
 FROM d LEFT JOIN t ON d.rank = t.rank AND d.start = t.start
 """
 

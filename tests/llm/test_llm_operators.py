@@ -2,16 +2,18 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kiln.llm import additive_ann, bpe, common, components, jaccard_join, license_scan, mixing, mpeg_audio, pu_quality, sharding, substring_dedup, warc
+from kiln.llm import additive_ann, bpe, common, components, jaccard_join, license_scan, mixing, mpeg_audio, pu_quality, queries, sharding, substring_dedup, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, shard int, words string, b int, node long, label long"
@@ -106,6 +108,35 @@ def test_sharding(docs, texts, nothing):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
+def shards_by_hand(texts, shards=16, parts=sharding.PARTS):
+    """(doc_id, size, text_crc32, shard, slot) by one walk over all rows in the global order."""
+    rows = []
+    for i, t in texts:
+        raw = (t or "").encode()
+        crc = zlib.crc32(raw)
+        seed = 42 if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
+        part = (xxhash.xxh64_intdigest(struct.pack("<q", crc), seed) + (1 << 63)) % (1 << 64) - (1 << 63)
+        rows.append((part % parts, i is not None, i or 0, crc, len(raw) + 1))
+    total, at, slots, out = sum(r[4] for r in rows), 0, [0] * shards, []
+    for _, known, i, crc, size in sorted(rows):
+        shard = min(shards - 1, (2 * at + size) * shards // (2 * total))
+        out.append((i if known else -1, size, crc, shard, slots[shard]))
+        slots[shard] += 1
+        at += size
+    return sorted(out)
+
+
+def test_shards_equal_one_walk(spark, sf, docs, texts, tmp_path):
+    tidy = lambda df: sorted((r.doc_id if r.doc_id is not None else -1, r.size, r.text_crc32, r.shard, r.slot) for r in df.collect())
+    assert tidy(sharding.shard(docs)) == shards_by_hand(texts)
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    found = queries.op3_sharding(spark, sf)
+    assert tidy(found) == shards_by_hand([(r.doc_id, r.text) for r in whole.collect()])
+    assert {(r.law, r.grown_shard) for r in found.collect()} == {("bytes", None)}
+    whole.repartition(7).write.option("compression", "none").parquet(f"{tmp_path}/documents.parquet")
+    assert tidy(queries.op3_sharding(spark, str(tmp_path))) == tidy(found)  # files and their sizes decide nothing
+
+
 def test_shards_are_even(spark, sf):
     got = sharding.shard(spark.read.parquet(f"{sf}/documents.parquet")).groupBy("shard").agg(F.sum("size").alias("n"), F.max("size").alias("m")).collect()
     assert len(got) == 16 and max(r.n for r in got) - min(r.n for r in got) <= 2 * max(r.m for r in got)
@@ -263,16 +294,29 @@ def test_mixing(docs, nothing, texts):
     assert ((per.taken - per.target).abs() <= mixing.BLOCK).all()
     assert abs(per.target.sum() - 1.5 * got["size"].sum()) < 1e-6
     out = mixing.mixed_documents(docs)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and mixing.mixed_documents(docs, shard="to").columns == [*docs.columns, "to"]
     assert out.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == got.taken.sum()
 
 
 def test_permutations_take_each_block_once(spark):
-    src = spark.createDataFrame([(0, "a", 5000, 1.0, 5, 2, 0, 10), (1, "b", 1, 1.0, 1, 1, 0, 1), (2, "c", 10, 1.0, 7, 0, 3000, 3)], "rank int, source string, source_size long, target double, blocks long, passes long, rest long, slots long")
+    rows = [(0, "a", 5000, 1.0, 5, 2, 0, 10, 1), (1, "b", 1, 1.0, 1, 1, 0, 1, 1), (2, "c", 10, 1.0, 7, 0, 3000, 3, 1), (3, "d", 9, 1.0, 2999, 1, 0, 2999, 1)]
+    src = spark.createDataFrame(rows, "rank long, source string, source_size long, target double, blocks long, passes long, rest long, slots long, parts long")
     got = mixing.slots(src).toPandas()
     for (_, p), own in got[got["rank"] == 0].groupby(["rank", "pass"]):
         assert sorted(own.block) == [0, 1, 2, 3, 4]
     assert got[got["rank"] == 2]["take"].sum() == 3000 and got[got["rank"] == 2].block.nunique() == 3
+    wide = got[got["rank"] == 3].sort_values("slot")
+    assert sorted(wide.block) == list(range(2999)) and abs(np.corrcoef(wide.slot, wide.block)[0, 1]) < 0.1
+
+
+def test_shard_counts_are_multinomial(spark):
+    src = spark.createDataFrame([(r, 64_000) for r in range(4)], "rank long, slots long")
+    got = mixing.shard_counts(src).toPandas()
+    assert (got.groupby("rank").n.sum() == 64_000).all() and got.groupby("rank").shard.nunique().eq(64).all()
+    for _, own in got.groupby("rank"):
+        own = own.sort_values("shard")
+        assert list(own["first"]) == [0, *own.n.cumsum()[:-1]]
+        assert 25 < ((own.n - 1000) ** 2 / 1000).sum() < 120  # chi-square of 63 degrees of freedom
 
 
 def test_license_scan(spark, docs, texts, nothing):
