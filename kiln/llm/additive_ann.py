@@ -1,13 +1,16 @@
 """Nearest neighbours by inner product: additive quantisation, lookup-table scoring, exact reranking.
 
 A vector's direction is the sum of one word from each of LEVELS full-dimensional codebooks, each fitted to what the ones
-before leave over, and chosen by beam search. Its stored norm is the factor that brings the sum to the vector's length.
-A query's score for a vector is that norm times the sum of LEVELS table entries (inner products of the query with the
-words). The best by score are reranked by exact inner products. How many, the query decides: first FIRST of them; then
-all whose score comes within the scoring error seen on those of the FIRST best exact values. So a crowd of near copies
-that codes cannot tell apart is reranked whole, and there is no cap.
-
-Queries and codes meet in blocks: every block of queries with every block of rows, each pair one task's work.
+before leave over, and chosen by beam search. Its stored norm is the factor that brings the sum to the vector's length;
+its stored slack is the length of what the sum leaves over, over the root of the dimension: how far a score may be off.
+
+1. A query's score for a vector is the norm times the sum of LEVELS table entries (inner products of the query with the
+   words). Queries and codes meet in blocks, the one fixed set of queries with all rows; vectors stay behind.
+2. A block keeps for each query the rows whose score plus SLACKS times the slack reaches its bar: the k-th largest score
+   less as much. The best bar of all blocks then holds for the query. So a crowd of near copies that codes cannot tell
+   apart is kept whole, and there is no cap. Of rows with equal vectors those that k others with smaller ids precede in
+   every list are left out before.
+3. The survivors are joined with their vectors and ranked by exact inner products.
 """
 
 from __future__ import annotations
@@ -16,15 +19,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from . import common as C
 
-LEVELS, WORDS, BEAM = 16, 256, 4
-#: Bound of the sample on which codebooks are fitted; rows of a block of queries and of a block of vectors.
-SAMPLE, QUERY_BLOCK, ROW_BLOCK = 8192, 1024, 16_384
-FIRST, ROUNDS = 256, 6
+LEVELS, WORDS, BEAM = 32, 256, 4
+#: Bound of the sample on which codebooks are fitted, and their rounds of k-means.
+SAMPLE, ROUNDS = 8192, 6
+#: Rows of a block of queries and of a block of codes; queries and candidates of one group that is ranked.
+QUERY_BLOCK, ROW_BLOCK, RANKED, CANDIDATES = 2048, 32_768, 16, 4096
+#: Slacks by which a score may be off.
+SLACKS = 2.0
 
 
 def fit(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -45,8 +52,8 @@ def fit(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return np.stack(books)
 
 
-def encode(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes by beam search, and stored norms: length of x to projection of its direction on the sum of its words."""
+def encode(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes by beam search, stored norms (length of x to projection of its direction on the sum of its words), slacks."""
     n, d = x.shape
     length = np.linalg.norm(x.astype(np.float64), axis=1)
     rest = (x / length[:, None]).astype(np.float32)[:, None, :]
@@ -68,7 +75,9 @@ def encode(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     square = np.einsum("ij,ij->i", near, near)
     unit = (x / length[:, None]).astype(np.float32)
     scale = np.einsum("ij,ij->i", unit, near) / np.maximum(square, 1e-12)
-    return codes, (length * np.where(scale > 0, scale, 1.0)).astype(np.float32)
+    scale = np.where(scale > 0, scale, 1.0)
+    slack = length * np.linalg.norm(unit - near * scale[:, None], axis=1) / math.sqrt(d)
+    return codes, (length * scale).astype(np.float32), slack.astype(np.float32)
 
 
 def scores(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
@@ -85,28 +94,16 @@ def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.cumsum(x * q, axis=1)[:, -1]
 
 
-def search_block(qid, queries, ids, x, codes, norms, books, k):
-    """Rows (query, row index, exact score) of each query's k nearest in the block."""
-    out = []
-    approximate = scores(queries, books, codes, norms)
-    exact_x = x.astype(np.float64)
-    for i in range(len(qid)):
-        other = ids != qid[i]
-        line = np.where(other, approximate[i], -np.inf)
-        first = min(FIRST, len(line))
-        top = np.argpartition(-line, first - 1)[:first]
-        top = top[other[top]]
-        if not len(top):
-            continue
-        q = queries[i].astype(np.float64)
-        exact = inner(exact_x[top], q)
-        if len(top) >= k and len(line) > first:
-            error = np.abs(exact - line[top]).max()
-            bar = np.partition(exact, len(exact) - k)[len(exact) - k] - error
-            top = np.flatnonzero(line >= min(bar, line[top].min()))
-            exact = inner(exact_x[top], q)
-        best = np.lexsort((ids[top], -exact))[:k]
-        out.append((np.full(len(best), qid[i]), ids[top][best], exact[best]))
+def survivors(qid, queries, ids, codes, norms, slacks, books, k):
+    """(query, row index, upper, bar) of all rows of a block that may be among a query's k nearest."""
+    out, found = [], scores(queries, books, codes, norms)
+    for i, q in enumerate(qid):
+        off = SLACKS * slacks * np.linalg.norm(queries[i])
+        other = ids != q
+        low = np.where(other, found[i] - off, -np.inf)
+        bar = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+        at = np.flatnonzero(other & (found[i] + off >= bar))
+        out.append((np.full(len(at), q), at, (found[i] + off)[at], np.full(len(at), bar)))
     return out
 
 
@@ -118,10 +115,25 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.filter(F.col(id_col).isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & some).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
-def matrix(column) -> np.ndarray:
+def matrix(column, d: int) -> np.ndarray:
+    """Vectors of a list column, zeros behind those shorter than d."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    out, flat = np.zeros((len(column), d)), column.flatten().to_numpy(zero_copy_only=False)
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, np.int64)
+    out[np.arange(d)[None, :] < sizes[:, None]] = flat
+    return out
+
+
+def crowded_out(narrow: DataFrame, k: int) -> DataFrame:
+    """(row) that can be in nobody's k nearest: rows of equal vectors behind k + 1 smaller ids, or k rows of their own id."""
+    many = narrow.groupBy("name").agg(F.count("*").alias("c")).filter(F.col("c") > k).select("name")
+    crowd = C.spread_join(narrow, many, "name", by="vec_id").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(C.SALTS)))
+    kept = crowd
+    for keys in (["name", "salt"], ["name"]):  # a part of a crowd first, then what is left of it
+        by = Window.partitionBy(*keys).orderBy("vec_id")
+        own = Window.partitionBy(*keys, "vec_id").orderBy("row")
+        kept = kept.withColumn("ids", F.dense_rank().over(by)).withColumn("own", F.row_number().over(own)).filter((F.col("ids") <= k + 1) & (F.col("own") <= k))
+    return crowd.join(kept.select("row"), "row", "left_anti").select("row")
 
 
 def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, every: int = 20) -> DataFrame:
@@ -129,49 +141,86 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
 
     score is the inner product of the stored vectors in double precision; ties go to the smaller id. All rows are indexed
     and candidates; rows with the query's own id are not. Fewer than k candidates: all of them. Vectors that are null,
-    zero, or hold null or non-finite components, and rows without an id, take no part, nor do vectors whose length is not
-    the most frequent one. Repeated rows: each is a candidate; a repeated query id is searched once, with one of its
-    vectors. Empty table: no rows. Other columns are not read.
+    zero, or hold null or non-finite components, and rows without an id, take no part. Shorter vectors count as if zeros
+    followed. Repeated rows: each is a candidate; a repeated query id is searched once, with one of its vectors. Empty
+    table: no rows. Other columns are not read.
     """
     spark = df.sparkSession
     good = usable(df, id_col, vec_col)
-    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    total, d = good.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     result = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
+    if not total:
         return spark.createDataFrame([], result)
-    good = good.filter(F.size("v") == sizes["d"])
-    total = sizes["n"]
-    part = max(1, math.ceil(total / SAMPLE))
-    sample = good.filter(F.pmod(F.xxhash64("vec_id"), F.lit(part)) == 0).limit(2 * SAMPLE).toArrow()  # bounded: about SAMPLE rows
-    x = matrix(sample.column("v")) if sample.num_rows else matrix(good.limit(SAMPLE).toArrow().column("v"))
+    # the same rows every time: a sample ordered by a hash of id and vector
+    sample = good.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).toArrow()
+    x = matrix(sample.column("v"), d)
     books = fit((x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32))
     rows, asked = max(1, math.ceil(total / ROW_BLOCK)), max(1, math.ceil(total / every / QUERY_BLOCK))
     shipped = spark.sparkContext.broadcast(books)  # LEVELS x WORDS vectors, whatever the input
 
     def code(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             if batch.num_rows:
-                codes, norms = encode(matrix(batch.column("v")), shipped.value)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], names=["vec_id", "v", "codes", "norm"])
-
-    coded = C.materialise(C.small_batches(good, 2000).mapInArrow(code, "vec_id long, v array<double>, codes binary, norm float"), "codes")
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")
-    left = coded.withColumn("r", block).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-    right = coded.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asked)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r"))
+                v = matrix(batch.column("v"), d)
+                codes, norms, slacks = encode(v, shipped.value)
+                raw = [r.tobytes() for r in v]
+                columns = [pa.array(np.arange(row, row + len(v))), batch.column("vec_id"), pa.array(raw, pa.binary()), pa.array([xxh3_128_digest(r) for r in raw], pa.binary())]
+                columns += [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(slacks)]
+                row += len(v)
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "vec_id", "v", "name", "codes", "norm", "slack"])
+
+    kind = "row long, vec_id long, v binary, name binary, codes binary, norm float, slack float"
+    coded = C.materialise(C.small_batches(good, 2000).mapInArrow(C.lean_batches(code), kind), "codes")
+    gone = crowded_out(coded.select("row", "vec_id", "name"), k)
+    part = F.pmod(F.xxhash64("row"), F.lit(rows)).cast("int").alias("r")
+    left = coded.join(gone, "row", "left_anti").select("row", "vec_id", "codes", "norm", "slack", part, F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("q"))
+    queries = coded.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by("v", "row").alias("v"))
+    queries = C.materialise(queries, "queries")
+    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asked)).cast("int").alias("q")
+    right = queries.select("vec_id", "v", block, F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r"))
 
     def meet(key, rows_, queries_):
         out = []
         if rows_.num_rows and queries_.num_rows:
-            ids, x_ = rows_.column("vec_id").to_numpy(), matrix(rows_.column("v"))
+            ids, row = rows_.column("vec_id").to_numpy(), rows_.column("row").to_numpy()
             codes = np.frombuffer(b"".join(rows_.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-            norms = rows_.column("norm").to_numpy()
-            qid, q = queries_.column("vec_id").to_numpy(), matrix(queries_.column("v"))
+            norms, slacks = rows_.column("norm").to_numpy(), rows_.column("slack").to_numpy()
+            qid, q = queries_.column("vec_id").to_numpy(), np.frombuffer(b"".join(queries_.column("v").to_pylist())).reshape(-1, d)
             for i in range(0, len(qid), 64):
-                out += search_block(qid[i : i + 64], q[i : i + 64], ids, x_, codes, norms, shipped.value, k)
+                out += [(a, row[b], u, t) for a, b, u, t in survivors(qid[i : i + 64], q[i : i + 64], ids, codes, norms, slacks, shipped.value, k)]
+        cat = lambda j, t: pa.array(np.concatenate([o[j] for o in out]) if out else np.zeros(0), t)
+        return pa.table({"query_id": cat(0, pa.int64()), "row": cat(1, pa.int64()), "upper": cat(2, pa.float32()), "bar": cat(3, pa.float32())})
+
+    met = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(C.lean_pair(meet), "query_id long, row long, upper float, bar float")
+    whole = Window.partitionBy("query_id")
+    kept = met.withColumn("best", F.max("bar").over(whole)).filter("upper >= best").withColumn("c", F.count("*").over(whole))
+    salt = F.pmod(F.xxhash64("row"), F.floor(F.col("c") / CANDIDATES) + 1)
+    group = F.pmod(F.xxhash64("query_id"), F.lit(max(1, math.ceil(total / every / RANKED)))).cast("int").alias("g")
+    kept = C.materialise(kept.select("query_id", "row", group, salt.cast("int").alias("s")), "survivors")
+    pairs = kept.join(coded.select("row", "vec_id", "v"), "row")
+    whom = queries.withColumnRenamed("vec_id", "query_id").join(kept.select("query_id", F.col("g").alias("to"), F.col("s").alias("salt")).distinct(), "query_id")
+
+    def rank(key, pairs_, queries_):
+        out = []
+        if pairs_.num_rows:
+            vectors = {q: np.frombuffer(v) for q, v in zip(queries_.column("query_id").to_pylist(), queries_.column("v").to_pylist())}
+            qid, ids = pairs_.column("query_id").to_numpy(), pairs_.column("vec_id").to_numpy()
+            x_ = np.frombuffer(b"".join(pairs_.column("v").to_pylist())).reshape(-1, d)
+            order = np.argsort(qid, kind="stable")
+            cut = C.split_runs(qid[order])
+            for i, j in zip(cut[:-1], cut[1:]):
+                own = order[i:j]
+                exact = inner(x_[own], vectors[int(qid[own[0]])])
+                best = np.lexsort((ids[own], -exact))[:k]
+                out.append((qid[own][best], ids[own][best], exact[best]))
         cat = lambda j, t: pa.array(np.concatenate([o[j] for o in out]) if out else np.zeros(0), t)
         return pa.table({"query_id": cat(0, pa.int64()), "vec_id": cat(1, pa.int64()), "score": cat(2, pa.float64())})
 
-    found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    # each block sends k rows a query at most
+    found = pairs.groupBy("g", "s").cogroup(whom.groupBy("to", "salt")).applyInArrow(C.lean_pair(rank), "query_id long, vec_id long, score double")
+    # each group sends k rows a query at most
     ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.down")).alias("score"))
+    ranked = ranked.select("query_id", F.posexplode("best").alias("at", "b"))
+    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.down")).alias("score"))
