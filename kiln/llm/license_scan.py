@@ -1,31 +1,24 @@
 """Fuzzy search for short licence notices: exact seeds by pigeonhole, then bounded-error matching by the regex library.
 
-A notice with at most e edits in it has one of its e + 1 pieces unchanged. Pieces that occur give candidate places; a
-window around each is matched with a bounded number of errors, which gives the span and the edits.
+A notice with at most e edits in it has one of its e + 1 pieces unchanged. One automaton finds the pieces of all notices
+in one walk; those that occur give candidate places, windows around them are joined where they overlap, and each is
+matched with a bounded number of errors, which gives the spans and the edits.
 """
 
 from __future__ import annotations
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .notices import notices
 
 #: Phrases of the base and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Notices of the method: phrases of words, labels and the edits they may have.
-NOTICES = {
-    "gnu general public license": ("gpl-like", 3),
-    "gnu lesser general public license": ("lgpl-like", 3),
-    "apache license version": ("apache-like", 2),
-    "mit license": ("mit-like", 1),
-    "mozilla public license": ("mpl-like", 2),
-    "bsd license": ("bsd-like", 1),
-    "all rights reserved": ("reserved-like", 2),
-    "creative commons attribution": ("cc-like", 3),
-}
 #: Bytes that part words become spaces, capital letters small ones: words are what is left.
 FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -42,51 +35,75 @@ class Notice:
         self.seeds = seeds(self.phrase, edits)
         self.match = regex.compile(b"(?e)\\b(?:" + regex.escape(self.phrase, special_only=True) + b"){e<=%d}(?![0-9a-z])" % edits)
 
-    def spans(self, line: bytes) -> list[tuple[int, int, int]]:
-        """(begin, end, edits) of the notice in a line of words, without overlaps, best first at each place."""
-        found, done, slack = [], -1, self.edits + 2
-        places = set()
-        for offset, piece in self.seeds:
-            at = line.find(piece)
-            while at >= 0:
-                places.add(at - offset)
-                at = line.find(piece, at + 1)
+    def spans(self, line: bytes, places: list[int]) -> list[tuple[int, int, int]]:
+        """(begin, end, edits) of the notice in the windows around the places, from left to right, without overlaps."""
+        found, slack = [], self.edits + 2
+        windows: list[list[int]] = []
         for place in sorted(places):
-            if place + len(self.phrase) <= done:
-                continue
-            begin = max(0, place - slack)
-            hit = self.match.search(line[max(0, begin - 1) : place + len(self.phrase) + slack + 1])
-            if hit:
-                start = hit.start() + max(0, begin - 1)
-                end = hit.end() + max(0, begin - 1)
-                if start >= done:
-                    found.append((start, end, sum(hit.fuzzy_counts)))
-                    done = end
+            begin, end = max(0, place - slack), place + len(self.phrase) + slack + 1
+            if windows and begin <= windows[-1][1]:
+                windows[-1][1] = max(end, windows[-1][1])
+            else:
+                windows.append([begin, end])
+        for begin, end in windows:
+            for hit in self.match.finditer(line[max(0, begin - 1) : end]):
+                at = hit.start() + max(0, begin - 1)
+                found.append((at, at + len(hit[0]), sum(hit.fuzzy_counts)))
         return found
 
 
-SEARCHES = [Notice(phrase, label, edits) for phrase, (label, edits) in NOTICES.items()]
+SEARCHES = [Notice(*notice) for notice in notices()]
+
+
+def automaton() -> ahocorasick.Automaton:
+    """All notices' pieces: a piece gives the (notice, offset of its last byte) that have it."""
+    pieces: dict[str, list[tuple[int, int]]] = {}
+    for i, notice in enumerate(SEARCHES):
+        for offset, piece in notice.seeds:
+            pieces.setdefault(piece.decode(), []).append((i, offset + len(piece) - 1))
+    out = ahocorasick.Automaton()
+    for piece, owners in pieces.items():
+        out.add_word(piece, owners)
+    out.make_automaton()
+    return out
+
+
+PIECES = automaton()
+
+
+def candidate_places(line: bytes) -> dict[int, list[int]]:
+    """For each notice of which a piece occurs, where it would begin."""
+    out: dict[int, list[int]] = {}
+    for at, owners in PIECES.iter(line.decode("latin-1")):
+        for i, offset in owners:
+            out.setdefault(i, []).append(at - offset)
+    return out
 
 
 def base_places(line: bytes) -> list[tuple[int, str]]:
     """First word (from 0) and label of every place where a phrase's words stand consecutively. line: words, each between two spaces."""
-    out = []
+    found = []
     for phrase, label in BASE.items():
         needle = b" %s " % phrase.encode()
         at = line.find(needle)
         while at >= 0:
-            out.append((line.count(b" ", 0, at), label))
+            found.append((at, label))
             at = line.find(needle, at + 1)
-    return out
+    if not found:
+        return []
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    return list(zip(np.searchsorted(spaces, [at for at, _ in found]).tolist(), [label for _, label in found]))
 
 
 def scan_text(text: str | None) -> dict:
     words = (text or "").encode().translate(FOLD).split()
     line = b" " + b" ".join(words) + b" "
     base, spans = base_places(line), []
-    for notice in SEARCHES:
-        for begin, end, edits in notice.spans(line):
+    for i, places in candidate_places(line).items():
+        notice = SEARCHES[i]
+        for begin, end, edits in notice.spans(line, places):
             spans.append({"label": notice.label, "begin": begin - 1, "end": end - 1, "edits": edits, "score": 1 - edits / len(notice.phrase)})
+    spans.sort(key=lambda s: (s["begin"], s["end"], s["label"]))
     own = sorted({label for _, label in base})
     return {"n_words": len(words), "n_base": len(base), "first_word": min((i for i, _ in base), default=None), "last_word": max((i for i, _ in base), default=None), "base_labels": ",".join(own), "labels": ",".join(sorted({*own, *(s["label"] for s in spans)})), "score": 1.0 if base else max((s["score"] for s in spans), default=0.0), "spans": spans}
 
@@ -99,7 +116,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     spans: label, edits, score, and byte offsets in the words of the text, lower-cased and joined by one space. score: 1
     with a base place, else the best notice's share of unchanged letters, else 0. Null or empty text: no words, empty
-    labels, score 0. Repeated rows: one row each. Null id stays null. Empty table: no rows. Other columns are not read.
+    labels, score 0. Long texts are read whole, in time that grows with their length. Repeated rows: one row each. Null id stays null. Empty table: no rows. Other columns are not read.
     """
 
     def run(batches):

@@ -42,7 +42,7 @@ def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     offsets = F.crc32(F.array_join("offsets", ",").cast("binary"))
     feature = F.concat_ws(" ", F.lit("mp3"), F.format_string("%dHz frames=%d samples=%d skipped=%d failed=%d table=%d:%d offsets=%d", "hertz", "frames", "samples", "skipped", "failed", "table_frames", F.crc32("toc"), offsets))
     tail = F.expr("substring(payload, greatest(octet_length(payload) - 31, 1), 32)")
-    return found.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "seconds")
+    return found.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "seconds", "intact")
 
 
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+    return license_scan.scan(table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
 
 
 def queries() -> dict:

@@ -1,7 +1,9 @@
 """Each operator against brute force, and its defined results for nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import json
 import random
+import re
 import struct
 import zlib
 
@@ -11,6 +13,8 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -290,6 +294,63 @@ def test_media_damage():
     assert mpeg_audio.parse(media[:-100])["frames"] == good["frames"] - 1
 
 
+def frame(data: bytes, size: int = 417) -> bytes:
+    """A frame of 128 kbit/s and 44,100 Hz, stereo, without checksum: 32 bytes of side information, then data."""
+    return (b"\xff\xfb\x90\x00" + bytes(32) + data).ljust(size, b"\0")
+
+
+def test_media_tables_and_tags():
+    audio = frame(b"") * 10
+    plain = mpeg_audio.parse(audio)
+    assert (plain["frames"], plain["samples"], plain["hertz"], plain["intact"]) == (10, 11520, 44100, None)
+    toc = bytes(range(100))
+    only = mpeg_audio.parse(frame(b"Xing" + struct.pack(">I", 4) + toc) + audio)
+    assert only["table"]["frames"] is None and only["table"]["toc"] == toc and only["frames"] == 10
+    gap = struct.pack(">I", (576 << 12 | 1000))[1:]
+    lame = mpeg_audio.parse(frame(b"Info" + struct.pack(">III", 3, 10, 5000) + b"LAME3.100".ljust(21, b"\0") + gap) + audio)
+    assert lame["table"]["frames"] == 10 and lame["samples"] == 11520 - 1576 and lame["seconds"] == (11520 - 1576) / 44100
+    vbri = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 50, 5000, 10, 4, 1, 2, 3) + bytes(8)
+    found = mpeg_audio.parse(frame(vbri) + audio)
+    assert found["frames"] == 10 and found["table"]["frames"] == 10 and len(found["table"]["toc"]) == 8
+    text = b"\x01" + "Größe".encode("utf-16")
+    body = b"TIT2" + mpeg_audio.synchsafe(len(text)) + b"\0\0" + text + b"TALB" + mpeg_audio.synchsafe(200) + b"\0\0" + b"\x03" + b"a" * 199
+    new = mpeg_audio.parse(b"ID3\x04\0\0" + mpeg_audio.synchsafe(len(body)) + body + audio + b"TAG" + b"Old title".ljust(30, b"\0") + b"Artist".ljust(95, b"\0"))
+    assert new["fields"] == {"TIT2": "Größe", "TALB": "a" * 199, "TPE1": "Artist"} and new["frames"] == 10 and new["skipped"] == 0
+    extended = b"ID3\x04\0\x40" + mpeg_audio.synchsafe(len(body) + 6) + b"\0\0\0\x06\x01\0" + body
+    assert mpeg_audio.parse(extended + audio)["fields"]["TIT2"] == "Größe"
+    short = b"\xff\xfb\x10\x00" + bytes(32) + b"Xing"
+    assert mpeg_audio.parse(short)["frames"] == 0  # the table that raised an error
+
+
+@given(st.binary(max_size=400), st.integers(0, 60), st.integers(0, 400))
+@settings(max_examples=300, deadline=None)
+def test_media_of_any_bytes(noise, cut, at):
+    media = mpeg_audio.pack(mpeg_audio.padded(b"text"), 4)
+    for raw in (noise, noise + frame(b"Xing" + noise)[: 60 + cut] , frame(noise, 417) + noise, media[:at] + noise + media[at + cut :], b"ID3" + noise):
+        found = mpeg_audio.parse(raw)
+        assert found["frames"] == len(found["offsets"]) and 0 <= found["skipped"] <= len(raw) and found["samples"] >= 0
+
+
+def test_media_query_equals_formulas(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = {r.doc_id: r for r in queries.op6_mpeg_audio(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        raw = (d.text or "").encode()
+        payload, r = raw + b"\xff" * (-len(raw) % 576 if raw else 576), got[d.doc_id]
+        n = len(payload) // 576
+        sizes = [768 if i % 8 == 7 else 672 for i in range(n)]
+        head = 10 + 2 * 10 + len("\0n_bytes\0" + str(len(raw))) + len("\0sha256\0") + 64
+        offsets = [head + 672 + sum(sizes[:i]) for i in range(n)]
+        media = mpeg_audio.pack(payload, len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-32:]) and r.seconds == n * 1152 / 48000 and r.intact
+        assert (r.media_bytes, r.media_sha256) == (head + 672 + sum(sizes), hashlib.sha256(media).hexdigest())
+        ends = [sum(sizes[: n * i // 100]) for i in range(100)]
+        toc = bytes(min(255, 256 * e // sum(sizes)) for e in ends)
+        assert r.feature == f"mp3 48000Hz frames={n} samples={n * 1152} skipped=0 failed=0 table={n}:{zlib.crc32(toc)} offsets={zlib.crc32(','.join(map(str, offsets)).encode())}"
+
+
 def test_quality(spark, docs, nothing):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -344,6 +405,39 @@ def test_shard_counts_are_multinomial(spark):
         assert 25 < ((own.n - 1000) ** 2 / 1000).sum() < 120  # chi-square of 63 degrees of freedom
 
 
+def test_license_query_equals_walk(spark, sf, tmp_path):
+    """Every column of the query against word-by-word phrases and notices searched without seeds."""
+    whole = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rnd, notices = random.Random(4), license_scan.notices()
+    for i in range(120):  # notices with edits, whole and joined to other words
+        phrase = rnd.choice(notices)[0]
+        for _ in range(rnd.randrange(5)):
+            at = rnd.randrange(len(phrase))
+            phrase = phrase[:at] + rnd.choice(["", "x", phrase[at] + "y"]) + phrase[at + 1 :]
+        whole[10_000_000 + i] = f"{sentence(rnd, 5)} {phrase.title()}, {sentence(rnd, 4)} {rnd.choice(['MIT-License', 'cc  by', ''])}"
+    spark.createDataFrame(list(whole.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op10_license_scan(spark, str(tmp_path)).collect()}
+    assert set(got) == set(whole)
+    for i, text in whole.items():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        places = [(k, label) for phrase, label in license_scan.BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        line, near, best = (" " + " ".join(words) + " ").encode(), set(), 1.0 if places else 0.0
+        for notice in license_scan.SEARCHES:
+            for hit in notice.match.finditer(line):
+                near.add(notice.label)
+                best = max(best, 1 - sum(hit.fuzzy_counts) / len(notice.phrase))
+        own, r = sorted({label for _, label in places}), got[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), ",".join(own))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert r.labels == ",".join(sorted({*own, *near})) and abs(r.score - best) < 1e-9
+        assert {s["label"] for s in json.loads(r.spans)} == near
+
+
+def test_license_scan_of_a_very_long_text():
+    found = license_scan.scan_text("cc by " * 300_000)
+    assert found["n_base"] == 300_000 and found["last_word"] == 599_998
+
+
 def test_license_scan(spark, docs, texts, nothing):
     rows = [(1, "Under the GNU General-Public license, v3"), (2, "MIT  License and mit license"), (3, "CC BY-NC cc by cc by"), (4, "gnu genral publc license"), (5, "submit license"), (6, None), (7, "Apache License, Versoin 2"), (8, "nothing here")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
