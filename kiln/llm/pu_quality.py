@@ -1,9 +1,16 @@
 """Quality scores by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives are rows labelled 1, the unlabelled text is a sample of all documents, and the class prior is estimated
-as the smoothed share of positives among the labels. A linear model on surface features of the whole text minimises
+Trusted positives are rows labelled 1; rows labelled 0 are never used. All other text is unlabelled, and all of it counts:
+its risk, gradients and statistics are sums over every document that is not held out, added up by the tasks. A linear
+model on surface features of the whole text minimises
 prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]) with the logistic loss l, so that its output is a
-probability. When the second term is below zero the step is taken against it, as the estimator asks.
+probability. With that loss l(g) - l(-g) = -g, so while the second term is not below zero the risk is
+E_U[l(-g)] - prior * E_P[g], which is convex: Newton's steps take a few passes over the features. A step that would bring
+the second term below zero is shortened.
+
+The class prior is estimated from positives and unlabelled text alone. A model that tells trusted from unlabelled rows
+gives scores; no set of scores holds a larger share of the positives than of the unlabelled text divided by the prior, so
+the prior is the least ratio of the two shares over the sets "at least this score" that hold enough positives.
 """
 
 from __future__ import annotations
@@ -19,12 +26,15 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bounds of the fitting samples: labelled rows, and unlabelled documents.
-LABELLED, UNLABELLED = 12_000, 12_000
+#: Bound of the labelled rows that the fit uses, drawn by a hash of the id.
+LABELLED = 12_000
 #: Rows of this remainder by FOLDS are held out: they are not learned from.
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.3
-STEPS, RATE, DECAY = 600, 0.05, 1e-4
+#: Passes of one fit at most, and the weight of the squared weights.
+PASSES, DECAY = 14, 1e-4
+#: Bins of the scores from which the prior is estimated, and the share of positives that a set must hold.
+BINS, ENOUGH = 1000, 0.3
 KEEP_LETTERS = {name: bytes(sorted(set(range(256)) - set(chars))) for name, chars in {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "mark": b"!?", "bar": b"|<>{}[]\\/=_~^", "symbol": b"#$%&*@+", "stop": b".,;:", "line": b"\n", "high": range(128, 256)}.items()}
 
 
@@ -49,95 +59,197 @@ def expand(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, x * x], axis=1)
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 class Model:
-    def __init__(self, mean, scale, weights, bias, prior):
-        self.mean, self.scale, self.weights, self.bias, self.prior = mean, scale, weights, bias, prior
+    def __init__(self, mean, scale, weights, prior):
+        self.mean, self.scale, self.weights, self.prior = mean, scale, weights, prior
+
+    def design(self, x: np.ndarray) -> np.ndarray:
+        return np.c_[np.clip((expand(x) - self.mean) / self.scale, -8, 8), np.ones(len(x))]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.zeros(0)
-        z = np.clip((expand(x) - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return sigmoid(self.design(x) @ self.weights) if len(x) else np.zeros(0)
+
+
+#: A model without evidence: every score is one half.
+NEUTRAL = Model(np.zeros(2 * WIDTH), np.ones(2 * WIDTH), np.zeros(2 * WIDTH + 1), 0.5)
+
 
+def losses(design: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Rows, sum of l(-g), its gradient, its second derivatives and the sum of the rows: all that a pass adds up."""
+    g = design @ weights
+    p = sigmoid(g)
+    bend = (design * (p * (1 - p))[:, None]).T @ design
+    return np.concatenate([[len(design), np.logaddexp(0, g).sum()], design.T @ p, bend.ravel(), design.sum(0)])
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimises the non-negative risk by Adam. With no positives or nothing unlabelled, every score is the prior."""
-    width = 2 * WIDTH
-    start = math.log(prior / (1 - prior))
+
+def minimise(positive: np.ndarray, unlabelled, prior: float | None, start: np.ndarray) -> np.ndarray:
+    """Weights of least risk. positive: their design rows; unlabelled: weights -> the summed losses() of all unlabelled rows.
+
+    With no prior the two kinds of rows are told apart, each kind counted as a half.
+    """
+    width, w, before = positive.shape[1], start, None
+    step = np.zeros(width)
+    for _ in range(PASSES):
+        n, value, *rest = unlabelled(w)
+        gradient, bend = np.array(rest[:width]) / n, np.array(rest[width : width + width * width]).reshape(width, width) / n
+        value /= n
+        g = positive @ w
+        if prior is None:
+            value, gradient = value + np.logaddexp(0, -g).mean(), gradient - (sigmoid(-g) @ positive) / len(g)
+            bend = bend + (positive * (sigmoid(g) * sigmoid(-g))[:, None]).T @ positive / len(g)
+            fits = True
+        else:
+            fits = value - prior * np.logaddexp(0, g).mean() >= 0
+            value, gradient = value - prior * g.mean(), gradient - prior * positive.mean(0)
+        value += DECAY * (w[:-1] ** 2).sum() / 2
+        if before is not None and (not fits or value > before + 1e-12):
+            step = step / 2
+            w = w - step
+            if np.abs(step).max() < 1e-4:
+                break
+            continue
+        if before is not None and before - value < 1e-9:
+            break
+        before = value
+        ridge = np.full(width, DECAY)
+        ridge[-1] = 1e-9
+        step = -np.linalg.solve(bend + np.diag(ridge), gradient + np.r_[DECAY * w[:-1], 0])
+        step *= min(1.0, 8 / max(1e-12, np.abs(step).max()))
+        w = w + step
+    return w
+
+
+def mixture_share(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior from histograms of scores, from low to high, of positives and of unlabelled rows."""
+    p, u = (np.cumsum(h[::-1]) / max(1, h.sum()) for h in (positive, unlabelled))
+    sets = p >= ENOUGH
+    # a share seen among n rows may be off by a deviation or so
+    slack = np.sqrt(p * (1 - p) / max(1, positive.sum())) + 1e-12
+    return float(np.clip(np.min(u[sets] / np.maximum(p[sets] - slack[sets], 1e-9)), 0.01, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """A model from arrays of features: what train() does over a table."""
     if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), start, prior)
-    p, u = expand(positive), expand(unlabelled)
-    mean, scale = u.mean(0), u.std(0) + 1e-3
-    p, u = np.clip((p - mean) / scale, -8, 8), np.clip((u - mean) / scale, -8, 8)
-    w = np.zeros(width + 1)
-    w[-1] = start
-    p, u = np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
-    first, second = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for step in range(1, STEPS + 1):
-        gp, gu = p @ w, u @ w
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        d_negative = u.T @ sigmoid(gu) / len(u) - prior * (p.T @ sigmoid(gp)) / len(p)
-        d_positive = -prior * (p.T @ sigmoid(-gp)) / len(p)
-        grad = d_positive + d_negative if negative >= 0 else -d_negative
-        grad[:-1] += DECAY * w[:-1]
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
-        w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, w[:-1], w[-1], prior)
+        return NEUTRAL
+    rows = expand(unlabelled)
+    shape = Model(rows.mean(0), rows.std(0) + 1e-3, None, None)
+    designed = shape.design(unlabelled)
+    histogram = lambda x, w: np.bincount(np.minimum((sigmoid(x @ w) * BINS).astype(int), BINS - 1), minlength=BINS)
+    return solved(shape, shape.design(positive), lambda w: losses(designed, w), lambda w: histogram(designed, w))
+
+
+def solved(shape: Model, positive: np.ndarray, unlabelled, histogram) -> Model:
+    """Prior, then weights. unlabelled and histogram: sums over all unlabelled rows for given weights."""
+    apart = minimise(positive, unlabelled, None, np.zeros(positive.shape[1]))
+    own = np.bincount(np.minimum((sigmoid(positive @ apart) * BINS).astype(int), BINS - 1), minlength=BINS)
+    prior = mixture_share(own, histogram(apart))
+    start = np.r_[np.zeros(positive.shape[1] - 1), math.log(prior / (1 - prior))]
+    # sums of tasks may differ in the last digits from run to run: those are cut off
+    return Model(shape.mean, shape.scale, np.round(minimise(positive, unlabelled, prior, start), 6), prior)
 
 
 def fold(id_col):
-    return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(FOLDS))
+    return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on bounded samples drawn by a hash of the id, without held-out rows. labels: doc_id, quality; nulls are skipped."""
+def featured(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, trusted, x) of every row of docs, written once. labels: doc_id, quality; nulls are skipped."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = known.filter(fold(F.col("doc_id")) != HELD)
-    n, ones = known.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
-    total = docs.count()
-    prior = min(0.99, max(0.01, (ones + 1) / (n + 2)))
-    draw = lambda bound, size, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, bound / max(1, size)) * (1 << 30))
-    trusted = known.filter("quality = 1").filter(draw(LABELLED, n, 1)).select("doc_id").withColumn("trusted", F.lit(True))
-    text = docs.select("doc_id", "text").filter("doc_id is not null").filter(fold(F.col("doc_id")) != HELD)
-    # trusted holds about LABELLED rows at most: small enough to send to every task
-    rows = text.join(F.broadcast(trusted), "doc_id", "left").withColumn("open", draw(UNLABELLED, total, 2)).filter("trusted or open")
-    rows = with_features(rows.select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"), "open")).toArrow()
-    x = np.array(rows.column("features").to_pylist(), dtype=np.float64).reshape(-1, WIDTH)
-    return fit(x[rows.column("trusted").to_numpy()], x[rows.column("open").to_numpy()], prior)
-
-
-def with_features(rows: DataFrame) -> DataFrame:
+    known = known.filter((fold(F.col("doc_id")) != HELD) & (F.col("quality") == 1))
+    n = known.count()
+    bound = int(min(1.0, LABELLED / max(1, n)) * (1 << 30))
+    trusted = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < bound).select("doc_id", F.lit(True).alias("trusted"))
+    # about LABELLED rows at most: small enough to send to every task
+    rows = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left")
+    rows = rows.select("doc_id", (fold(F.col("doc_id")) == HELD).alias("held_out"), F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+
     def run(batches):
         for batch in batches:
             x = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("trusted"), batch.column("open"), pa.array(x, pa.list_(pa.float64()))], names=["trusted", "open", "features"])
+            columns = [batch.column(c) for c in ("doc_id", "held_out", "trusted")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "held_out", "trusted", "x"])
+
+    kind = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, trusted boolean, x array<double>"
+    return C.materialise(C.small_batches(rows).mapInArrow(C.lean_batches(run), kind), "features")
 
-    return C.small_batches(rows).mapInArrow(run, "trusted boolean, open boolean, features array<double>")
 
+def matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
 
-def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
+
+def summed(rows: DataFrame, f, width: int) -> np.ndarray:
+    """f(features) -> vector of `width` numbers, added up over all rows; each task sends one vector."""
+
+    def run(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += f(matrix(batch.column("x")))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(total)], names=["i", "v"])
+
+    found = rows.select("x").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # `width` rows
+    out = np.zeros(width)
+    for r in found:
+        out[r["i"]] = r["v"]
+    return out
+
+
+def train(table: DataFrame) -> Model:
+    """Fits on a table of featured(): its trusted rows against all rows that are not held out."""
+    open_, wide = table.filter("not held_out"), 2 * WIDTH
+    positive = matrix(table.filter("trusted").select("x").orderBy(F.xxhash64("x")).toArrow().column("x").combine_chunks())  # LABELLED rows
+    sums = summed(open_, lambda x: np.concatenate([[len(x)], expand(x).sum(0), (expand(x) ** 2).sum(0)]), 1 + 2 * wide)
+    n = sums[0]
+    if not len(positive) or not n:
+        return NEUTRAL
+    mean = sums[1 : 1 + wide] / n
+    scale = np.sqrt(np.maximum(sums[1 + wide :] / n - mean**2, 0)) + 1e-3
+    shape, width = Model(mean, scale, None, None), wide + 1
+
+    def unlabelled(w):
+        return summed(open_, lambda x: losses(shape.design(x), w), 2 + 2 * width + width * width)
+
+    def histogram(w):
+        return summed(open_, lambda x: np.bincount(np.minimum((sigmoid(shape.design(x) @ w) * BINS).astype(int), BINS - 1), minlength=BINS).astype(float), BINS)
+
+    return solved(shape, shape.design(positive), unlabelled, histogram)
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs, whole texts.
 
     score: probability that the label is 1; predicted: 1 from THRESHOLD on. A score depends on the text alone. Null or
     empty text: features zero, scored like any other. Null id: scored, held_out as the checksum of an empty string says.
-    Repeated rows: one row each, with equal scores. No labels: every score is the prior, one half. Empty table: no rows.
+    Repeated rows: one row each, with equal scores. No positive labels: every score is one half. Empty table: no rows.
+    Other columns are not read.
     """
-    model = model or train(docs, labels)
+    table = featured(docs, labels)
+    model = train(table)
 
     def run(batches):
         for batch in batches:
-            x = np.array([features(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(-1, WIDTH)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
+            scores = pa.array(model.score(matrix(batch.column("x"))), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), scores], names=["doc_id", "held_out", "score"])
 
-    out = C.small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
-    held = fold(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) == HELD
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    kind = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double"
+    out = table.select("doc_id", "held_out", "x").mapInArrow(run, kind)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns."""
-    model = train(docs, labels)
+    """The rows of docs that are not rejected, with all their columns, which may have any names besides doc_id and text.
+
+    Null or empty text: scored like any other. Null ids and repeated rows: each row by its own text. No positive labels:
+    all stay. Empty table: no rows.
+    """
+    table = featured(docs, labels)
+    model = train(table)
+    C.discard(table)
     names = docs.columns
 
     @F.pandas_udf("double")

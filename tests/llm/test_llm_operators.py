@@ -365,11 +365,39 @@ def test_quality(spark, docs, nothing):
     assert pu_quality.score(docs, some).count() == docs.count() and pu_quality.accepted(docs, some).columns == docs.columns
 
 
-def test_risk_is_not_negative():
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_of_a_known_mixture(share):
+    """The prior is found from positives and unlabelled rows alone, and the model tells the kinds apart."""
     rng = np.random.default_rng(0)
-    good, bad = rng.normal(0.2, 0.05, (300, pu_quality.WIDTH)), rng.normal(0.6, 0.05, (60, pu_quality.WIDTH))
-    model = pu_quality.fit(good[:150], np.r_[good[150:], bad], 150 / 210)
-    assert (model.score(good) >= 0.3).mean() > 0.95 and (model.score(bad) < 0.3).mean() > 0.95
+    good = lambda n: rng.normal(0.3, 0.08, (n, pu_quality.WIDTH))
+    bad = lambda n: rng.normal(0.4, 0.08, (n, pu_quality.WIDTH))
+    n = int(4000 * share)
+    model = pu_quality.fit(good(1000), np.r_[good(n), bad(4000 - n)])
+    assert abs(model.prior - share) < 0.08
+    assert (model.score(good(500)) >= 0.3).mean() > 0.9 and (model.score(bad(500)) < 0.3).mean() > 0.85
+
+
+def test_risk_stays_above_zero():
+    rng = np.random.default_rng(1)
+    x = np.c_[rng.normal(size=(60, 20)), np.ones(60)]
+    p = np.c_[rng.normal(1.0, 1.0, size=(30, 20)), np.ones(30)]
+    w = pu_quality.minimise(p, lambda v: pu_quality.losses(x, v), 0.6, np.zeros(21))
+    value = np.logaddexp(0, x @ w).mean() - 0.6 * np.logaddexp(0, p @ w).mean()
+    assert value >= -1e-6
+
+
+def test_sums_over_a_table_equal_those_over_arrays(spark):
+    rng = np.random.default_rng(2)
+    words = ["good prose here.", "xx||<<>>{}", "Plain Text, with marks!", "1 2 3 4 5"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 30)))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int("||" not in t)) for i, t in rows if i % 2], "doc_id long, quality int")
+    table = pu_quality.featured(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), labels)
+    model, x = pu_quality.train(table), {r.doc_id: r for r in table.collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    assert {i for i, r in x.items() if r.trusted} == {i for i, t in rows if i % 2 and "||" not in t and not held(i)}
+    rows = lambda keep: np.array([r.x for i, r in sorted(x.items()) if keep(i, r)])
+    same = pu_quality.fit(rows(lambda i, r: r.trusted), rows(lambda i, r: not held(i)))
+    assert abs(model.prior - same.prior) < 1e-6 and np.allclose(model.weights, same.weights, atol=1e-3)
 
 
 def test_mixing(docs, nothing, texts):
