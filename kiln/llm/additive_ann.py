@@ -25,13 +25,13 @@ from xxhash import xxh3_128_digest
 
 from . import common as C
 
-LEVELS, WORDS, BEAM = 32, 256, 4
+LEVELS, WORDS, BEAM = 48, 256, 3
 #: Bound of the sample on which codebooks are fitted, and their rounds of k-means.
-SAMPLE, ROUNDS = 8192, 6
+SAMPLE, ROUNDS = 8192, 5
 #: Rows of a block of queries and of a block of codes; queries and candidates of one group that is ranked.
 QUERY_BLOCK, ROW_BLOCK, RANKED, CANDIDATES = 2048, 32_768, 16, 4096
 #: Slacks by which a score may be off.
-SLACKS = 2.0
+SLACKS = 1.0
 
 
 def fit(x: np.ndarray, seed: int = 0) -> np.ndarray:
