@@ -4,9 +4,9 @@ Trusted positives are rows labelled 1; rows labelled 0 are never used. All other
 its risk, gradients and statistics are sums over every document that is not held out, added up by the tasks. A linear
 model on surface features of the whole text minimises
 prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]) with the logistic loss l, so that its output is a
-probability. With that loss l(g) - l(-g) = -g, so while the second term is not below zero the risk is
-E_U[l(-g)] - prior * E_P[g], which is convex: Newton's steps take a few passes over the features. A step that would bring
-the second term below zero is shortened.
+probability. Below zero the second term counts with its sign turned, as the estimator steps against it there; the turn
+is smoothed, so that Newton's steps, which take a few passes over the features, can go along it. A step that makes the
+risk larger is halved.
 
 The class prior is estimated from positives and unlabelled text alone. A model that tells trusted from unlabelled rows
 gives scores; no set of scores holds a larger share of the positives than of the unlabelled text divided by the prior, so
@@ -31,8 +31,8 @@ LABELLED = 12_000
 #: Rows of this remainder by FOLDS are held out: they are not learned from.
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.3
-#: Passes of one fit at most, and the weight of the squared weights.
-PASSES, DECAY = 14, 1e-4
+#: Passes of one fit at most, the weight of the squared weights, and how sharply the risk's second term turns at zero.
+PASSES, DECAY, SOFT = 24, 1e-4, 0.01
 #: Bins of the scores from which the prior is estimated, and the share of positives that a set must hold.
 BINS, ENOUGH = 1000, 0.3
 KEEP_LETTERS = {name: bytes(sorted(set(range(256)) - set(chars))) for name, chars in {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "mark": b"!?", "bar": b"|<>{}[]\\/=_~^", "symbol": b"#$%&*@+", "stop": b".,;:", "line": b"\n", "high": range(128, 256)}.items()}
@@ -98,21 +98,25 @@ def minimise(positive: np.ndarray, unlabelled, prior: float | None, start: np.nd
         gradient, bend = np.array(rest[:width]) / n, np.array(rest[width : width + width * width]).reshape(width, width) / n
         value /= n
         g = positive @ w
+        own = (positive * (sigmoid(g) * sigmoid(-g))[:, None]).T @ positive / len(g)
         if prior is None:
             value, gradient = value + np.logaddexp(0, -g).mean(), gradient - (sigmoid(-g) @ positive) / len(g)
-            bend = bend + (positive * (sigmoid(g) * sigmoid(-g))[:, None]).T @ positive / len(g)
-            fits = True
-        else:
-            fits = value - prior * np.logaddexp(0, g).mean() >= 0
-            value, gradient = value - prior * g.mean(), gradient - prior * positive.mean(0)
+            bend = bend + own
+        else:  # the second term, held at zero from both sides: below zero the step goes against it
+            rest, slope = value - prior * np.logaddexp(0, g).mean(), gradient - prior * (sigmoid(g) @ positive) / len(g)
+            size = math.hypot(rest, SOFT)
+            c = rest / size
+            value = prior * np.logaddexp(0, -g).mean() + size
+            gradient = c * slope - prior * (sigmoid(-g) @ positive) / len(g)
+            bend = max(c, 0) * bend + (1 - max(c, 0)) * prior * own + SOFT**2 / size**3 * np.outer(slope, slope)
         value += DECAY * (w[:-1] ** 2).sum() / 2
-        if before is not None and (not fits or value > before + 1e-12):
+        if before is not None and value > before + 1e-12:
             step = step / 2
             w = w - step
             if np.abs(step).max() < 1e-4:
                 break
             continue
-        if before is not None and before - value < 1e-9:
+        if before is not None and before - value < 1e-8:
             break
         before = value
         ridge = np.full(width, DECAY)
@@ -127,9 +131,7 @@ def mixture_share(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The prior from histograms of scores, from low to high, of positives and of unlabelled rows."""
     p, u = (np.cumsum(h[::-1]) / max(1, h.sum()) for h in (positive, unlabelled))
     sets = p >= ENOUGH
-    # a share seen among n rows may be off by a deviation or so
-    slack = np.sqrt(p * (1 - p) / max(1, positive.sum())) + 1e-12
-    return float(np.clip(np.min(u[sets] / np.maximum(p[sets] - slack[sets], 1e-9)), 0.01, 0.99))
+    return float(np.clip(np.min(u[sets] / p[sets]), 0.01, 0.99))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
@@ -146,6 +148,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
 def solved(shape: Model, positive: np.ndarray, unlabelled, histogram) -> Model:
     """Prior, then weights. unlabelled and histogram: sums over all unlabelled rows for given weights."""
     apart = minimise(positive, unlabelled, None, np.zeros(positive.shape[1]))
+    # the model has seen these positives, so they score a little high and the prior errs low, the safer side
     own = np.bincount(np.minimum((sigmoid(positive @ apart) * BINS).astype(int), BINS - 1), minlength=BINS)
     prior = mixture_share(own, histogram(apart))
     start = np.r_[np.zeros(positive.shape[1] - 1), math.log(prior / (1 - prior))]
