@@ -204,14 +204,14 @@ def from_blobs(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype=dtype)
 
 
-def spread_join(rows: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+def spread_join(rows: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
     """rows joined with small, which has one row a key, where one key may hold a third of all rows.
 
     Rows of a key are dealt to SALTS groups by a hash of `by`. small is joined to the groups first, of which a key has
-    SALTS at most, and then to the rows by key and group. Keys that small lacks go.
+    SALTS at most, and then to the rows by key and group. Keys that small lacks go (inner) or have nulls (left).
     """
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    groups = salted.select(key, "__salt").distinct().join(small, key)
+    groups = salted.select(key, "__salt").distinct().join(small, key, how)
     return salted.join(groups, [key, "__salt"]).drop("__salt")
 
 

@@ -36,6 +36,8 @@ from .components import components
 HUB_SHARE = 512
 #: Rows of one n-gram in one group of rows.
 HOT = 4096
+#: Doublings of the paths of which components are made between the passes.
+CLIMBS = 3
 #: Cells of like sizes between n and e * n: about four up to the longest partner at 80 percent.
 CELLS = 18
 
@@ -299,13 +301,30 @@ def starred(rows: DataFrame) -> DataFrame:
     return both.filter(may_link("r", "s")).groupBy(F.col("r.node").alias("y"), F.col("s.node").alias("x")).count()
 
 
-def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows with their component, of n-grams that several components have."""
-    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def climbed(parents: DataFrame) -> DataFrame:
+    """(node, label) with the label's label in place of the label, CLIMBS times over: paths shorten to their roots.
+
+    parents is a forest, since a parent comes before its child in one order. Where a path is longer still, its nodes have
+    several labels, which are merely more components than there are: later passes check more, and lose nothing.
+    """
+    up = parents
+    for _ in range(CLIMBS):
+        higher = up.toDF("label", "higher")
+        up = C.spread_join(up, higher, "label", by="node", how="left").select("node", F.coalesce("higher", "label").alias("label"))
+    return up
+
+
+def split_grams(named: DataFrame) -> DataFrame:
+    """Rows of n-grams that several components have."""
     ends = each_gram(named, F.min("label").alias("a"), F.max("label").alias("z"))
     return dealt(named).join(ends.filter("a <> z").select("h", "salt"), ["h", "salt"]).drop("salt")
 
 
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with their component, of n-grams that several components have."""
+    return split_grams(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+
 def undecided(rows: DataFrame) -> DataFrame:
     """(x, y): each pair of different components that may link at a shared n-gram, once.
 
@@ -354,14 +373,21 @@ def grouped(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
 
     best = starred(rows).groupBy("y").agg(F.max(F.struct("count", "x")).alias("best")).select(F.col("best.x").alias("x"), "y")
     links = [checked(best)]
-    labels = components(links[0], "x", "y")
+    labels = C.materialise(climbed(links[0].select(F.col("y").alias("node"), F.col("x").alias("label"))), "labels", narrow=True)
     mixed = C.materialise(labelled(rows, labels), "mixed", narrow=True)
-    one = mixed.groupBy("h", "label").agg(F.min(F.struct("own", "n", "node", "most", "df")).alias("r")).select("h", "r.*")
+    one = mixed.groupBy("h", "label").agg(F.min(F.struct("own", "n", "node", "most", "df")).alias("r")).select("h", "r.*", "label")
+    of = one.select("node", "label").distinct()
     links.append(checked(starred(one).select("x", "y")))
-    labels = components(links[0].unionByName(links[1]), "x", "y")
-    links.append(checked(undecided(labelled(mixed.drop("label"), labels))))
-    labels = C.materialise(components(links[0].unionByName(links[1]).unionByName(links[2]), "x", "y"), "labels", narrow=True)
-    C.discard(sent, mixed, *links)
+    # a component joins the least of those that it is linked with
+    hooks = links[1].join(of.toDF("x", "a"), "x").join(of.toDF("y", "b"), "y").filter("a <> b")
+    hooks = hooks.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))
+    higher = climbed(hooks).toDF("label", "top")
+    again = C.spread_join(mixed, higher, "label", by="node", how="left").withColumn("label", F.coalesce("top", "label")).drop("top")
+    links.append(checked(undecided(split_grams(again))))
+    everything = links[0].unionByName(links[1]).unionByName(links[2])
+    labels_ = C.materialise(components(everything, "x", "y"), "labels", narrow=True)
+    C.discard(sent, mixed, labels, *links)
+    labels = labels_
 
     least = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     least = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
