@@ -37,7 +37,7 @@ HUB_SHARE = 512
 #: Rows of one n-gram in one group of rows.
 HOT = 4096
 #: Doublings of the paths of which components are made between the passes.
-CLIMBS = 3
+CLIMBS = 2
 #: Cells of like sizes between n and e * n: about four up to the longest partner at 80 percent.
 CELLS = 18
 
@@ -307,10 +307,13 @@ def climbed(parents: DataFrame) -> DataFrame:
     parents is a forest, since a parent comes before its child in one order. Where a path is longer still, its nodes have
     several labels, which are merely more components than there are: later passes check more, and lose nothing.
     """
-    up = parents
+    up = C.materialise(parents, "parents", narrow=True)
     for _ in range(CLIMBS):
         higher = up.toDF("label", "higher")
-        up = C.spread_join(up, higher, "label", by="node", how="left").select("node", F.coalesce("higher", "label").alias("label"))
+        next_ = C.spread_join(up, higher, "label", by="node", how="left").select("node", F.coalesce("higher", "label").alias("label"))
+        next_ = C.materialise(next_, "parents", narrow=True)  # each round names the table three times: plans would grow as 3 to the rounds
+        C.discard(up)
+        up = next_
     return up
 
 
@@ -373,7 +376,7 @@ def grouped(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
 
     best = starred(rows).groupBy("y").agg(F.max(F.struct("count", "x")).alias("best")).select(F.col("best.x").alias("x"), "y")
     links = [checked(best)]
-    labels = C.materialise(climbed(links[0].select(F.col("y").alias("node"), F.col("x").alias("label"))), "labels", narrow=True)
+    labels = climbed(links[0].select(F.col("y").alias("node"), F.col("x").alias("label")))
     mixed = C.materialise(labelled(rows, labels), "mixed", narrow=True)
     one = mixed.groupBy("h", "label").agg(F.min(F.struct("own", "n", "node", "most", "df")).alias("r")).select("h", "r.*", "label")
     of = one.select("node", "label").distinct()
@@ -383,14 +386,16 @@ def grouped(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
     hooks = hooks.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))
     higher = climbed(hooks).toDF("label", "top")
     again = C.spread_join(mixed, higher, "label", by="node", how="left").withColumn("label", F.coalesce("top", "label")).drop("top")
-    links.append(checked(undecided(split_grams(again))))
+    again = C.materialise(again, "again", narrow=True)
+    left = C.materialise(split_grams(again), "left", narrow=True)
+    links.append(checked(undecided(left)))
     everything = links[0].unionByName(links[1]).unionByName(links[2])
     labels_ = C.materialise(components(everything, "x", "y"), "labels", narrow=True)
-    C.discard(sent, mixed, labels, *links)
+    C.discard(sent, mixed, labels, higher, again, left, *links)
     labels = labels_
 
     least = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
-    least = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = C.materialise(least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "least", narrow=True)
     whole = least.groupBy("label").agg(F.min("low").alias("component_id"))
     named = C.spread_join(least, whole, "label", by="node").select("node", "label", "component_id")
     named = named.unionByName(spark.createDataFrame([(-1, None, None)], "node long, label long, component_id long"))  # no words
