@@ -73,9 +73,10 @@ def total(x: Column) -> Column:
 
 
 def log_sum_exp(x: Column) -> Column:
-    """Stable; an empty array gives null."""
+    """Stable. Empty arrays, and such with nothing but -inf, give -inf."""
     top = F.array_max(x)
-    return top + F.ln(total(F.transform(x, lambda v: F.exp(v - top))))
+    low = F.coalesce(top, F.lit(float("-inf"))) == float("-inf")
+    return F.when(low & x.isNotNull(), float("-inf")).otherwise(top + F.ln(total(F.transform(x, lambda v: F.exp(v - top)))))
 
 
 def softmax(x: Column) -> Column:
@@ -105,25 +106,80 @@ def top_k(logits: Column, k: int) -> Column:
 
 
 def masked_mean(x: Column, mask: Column) -> Column:
+    """Null where the mask is empty."""
     return F.try_divide(total(F.zip_with(x, mask, lambda a, m: a * m)), total(F.transform(mask, lambda m: m.cast("double"))))
 
 
-def discounted(rewards: Column, gamma: float) -> Column:
-    """Return to go at each position of an array."""
-    rev = F.aggregate(F.reverse(rewards), F.array().cast("array<double>"), lambda acc, r: F.concat(F.array(r + gamma * F.coalesce(F.get(acc, F.lit(0)), F.lit(0.0))), acc))
-    return rev
+def where(mask: Column, x: Column) -> Column:
+    return F.zip_with(x, mask, lambda a, m: F.when(m.cast("boolean"), a).otherwise(0.0))
 
 
-def gae(values: Column, rewards: Column, gamma: float, lam: float) -> Column:
-    """Generalised advantages at each position; the value behind the last one is 0."""
-    steps = F.transform(rewards, lambda r, i: r + gamma * F.coalesce(F.get(values, i + 1), F.lit(0.0)) - F.get(values, i))
+def discounted(rewards: Column, gamma: float, mask: Column | None = None) -> Column:
+    """Return to go at each position of an array; masked rewards count as 0."""
+    own = rewards if mask is None else where(mask, rewards)
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
+    add = lambda s, r: F.struct((r + gamma * s["sum"]).alias("sum"), F.array_append(s["out"], r + gamma * s["sum"]).alias("out"))
+    return F.reverse(F.aggregate(F.reverse(own), start, add, lambda s: s["out"]))
+
+
+def gae(values: Column, rewards: Column, gamma: float, lam: float, mask: Column | None = None) -> Column:
+    """Generalised advantages at each position; the value behind the last one is 0; masked values and rewards count as 0."""
+    v, r = (values, rewards) if mask is None else (where(mask, values), where(mask, rewards))
+    steps = F.zip_with(F.arrays_zip(r.alias("r"), v.alias("v")), F.slice(F.array_append(v, F.lit(0.0)), 2, F.size(v)), lambda s, n: s["r"] + gamma * n - s["v"])
     return discounted(steps, gamma * lam)
 
 
-def distill(student: Column, teacher: Column, weight: Column, alpha: float = 1.0) -> Column:
-    """Teacher-weighted cross-entropy of one position, scaled by how much less sure the student is, and by the row's weight."""
-    surer = 1 / (1 + F.exp(-alpha * (entropy(student) - entropy(teacher))))
-    return weight * surer * (cross_entropy(student, teacher) - entropy(teacher))
+def gae_returns(advantages: Column, values: Column, mask: Column | None = None) -> Column:
+    return F.zip_with(advantages, values if mask is None else where(mask, values), lambda a, v: a + v)
+
+
+def sequence_ratio(log_ratio: Column, mask: Column) -> Column:
+    """exp of the masked mean of a sequence's log-ratios at its masked positions, 0 elsewhere: one ratio a sequence."""
+    ratio = F.exp(masked_mean(log_ratio, mask))
+    return F.transform(mask, lambda m: F.when(m.cast("boolean"), ratio).otherwise(0.0))
+
+
+def sequence_gate(log_ratio: Column, mask: Column, low: float, high: float) -> Column:
+    """Importance factors exp(log_ratio), all 0 if the sequence's geometric mean lies outside the bounds."""
+    inside = F.exp(masked_mean(log_ratio, mask)).between(low, high)
+    return F.transform(log_ratio, lambda x: F.when(inside, F.exp(x)).otherwise(0.0))
+
+
+def kd_position(student: Column, teacher: Column, label: Column, ignore: int = -100) -> Column:
+    """Distillation cross-entropy of one position; infinite student logits add nothing; null where the label is ignored."""
+    p, z = softmax(teacher), log_sum_exp(student)
+    parts = F.zip_with(p, student, lambda a, b: F.when(F.abs(b) == float("inf"), 0.0).otherwise(a * (b - z)))
+    return F.when(label != ignore, -total(parts))
+
+
+def top_cross_entropy(student: Column, values: Column, ids: Column) -> Column:
+    """- sum p_teacher log p_student over the teacher's top logits, its softmax renormalised over them."""
+    z = log_sum_exp(student)
+    return -total(F.zip_with(softmax(values), ids, lambda p, i: p * (F.get(student, i) - z)))
+
+
+def surer(student: Column, values: Column, alpha: float = 5.0) -> Column:
+    """sigmoid(alpha (student's entropy - teacher's entropy over its top logits))."""
+    return 1 / (1 + F.exp(-alpha * (entropy(student) - entropy(values))))
+
+
+def hard_label(logits: Column, index: Column) -> Column:
+    """Cross-entropy of logits with the index of the right one."""
+    return log_sum_exp(logits) - F.get(logits, index)
+
+
+def argmax(x: Column) -> Column:
+    return (F.array_position(x, F.array_max(x)) - 1).cast("int")
+
+
+def beyond(logps: Column, start: Column) -> Column:
+    """An answer's log-probabilities: those from a start on, which is the prompt's length."""
+    return F.slice(logps, start + 1, F.greatest(F.size(logps) - start, F.lit(0)))
+
+
+def step_loss(policy_loss: Column, kl_: Column, entropy_: Column, beta: float, c: float, rows: Column, step_rows: Column) -> Column:
+    """(policy + beta KL - c entropy), scaled by a micro-batch's share of its step's rows."""
+    return (policy_loss + beta * kl_ - c * entropy_) * rows / step_rows
 
 
 def soft_label(logit_good: Column, logit_bad: Column, label: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from kiln.plans import training
 from kiln.functions.text import CHOICE_MARKERS, PROBLEM_MARKERS, SOLUTION_MARKERS
 
 POS = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT AS pos FROM lineitem)"
@@ -174,3 +175,5 @@ SELECT round(avg(d), 6) AS discount, round(avg(t), 6) AS tax, round(any_value(w)
 
 # rounding may leave a negative zero, which is a zero
 SQL = {name: re.sub(r"(, [456]\)( END)?) AS ", r"\1 + 0.0::DOUBLE AS ", sql) for name, sql in SQL.items()}
+
+SQL |= training.SQL

@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions import grading, losses, text
 from kiln.operators import chat, curation, evaluation, neardup, packing, preference, rollout, uncertainty
-
-QUERIES = {}
-
-
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def r6(c):
-    """Six decimals, and no negative zero."""
-    return F.round(c, 6) + F.lit(0.0)
-
-
-def with_pos(s, d) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return t(s, d, "lineitem").withColumn("pos", F.row_number().over(w))
-
+from kiln.plans import training  # noqa: F401  its queries register themselves
+from kiln.plans.registry import QUERIES, preference_rows, query, r6, t, with_pos  # noqa: F401
 
 def responses(s, d) -> DataFrame:
     return t(s, d, "lineitem").select(F.col("l_orderkey").alias("prompt"), F.concat(F.expr("nullif(l_returnflag, 'N')"), F.col("l_linestatus")).alias("boxed"), (-F.col("l_extendedprice") / 1000).alias("slp"), F.col("l_quantity").alias("len"))
@@ -380,10 +360,6 @@ def topk_logits(s, d):
     return t(s, d, "embeddings").select("vec_id", F.posexplode(top).alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("rank"), F.col("x.id").cast("int").alias("id"), r6("x.value").alias("value"))
 
 
-def preference_rows(s, d) -> DataFrame:
-    return with_pos(s, d).select("l_orderkey", "pos", (-F.col("l_quantity") / 10).alias("pc"), (-F.col("l_discount") * 30).alias("pr"), (-F.col("l_tax") * 40).alias("rc"), (-F.col("l_linenumber") / 2.0).alias("rr"), (F.col("l_returnflag") == "R").alias("y"))
-
-
 @query
 def preference_losses(s, d):
     c = [F.col(x) for x in ("pc", "pr", "rc", "rr")]
