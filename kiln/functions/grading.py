@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import last_boxed, let, put, strip, strip_think
+from .text import last_boxed, let, put, response_part, split_tuple, strip, strip_think, thousands_removed, unicode_to_latex
 
 # Replacements in the order in which they decide results.
 RELATIONS = [("tfrac", "frac"), ("dfrac", "frac"), ("\\neq", "\\ne"), ("\\leq", "\\le"), ("\\geq", "\\ge"), ("\\left", ""), ("\\right", ""), ("\\{", "{"), ("\\}", "}")]
@@ -134,19 +134,66 @@ def item_equal(p: Column, r: Column) -> Column:
     return same | F.coalesce(number_tier(p, r), unbracketed(strip(p)) == unbracketed(strip(r)))
 
 
+def set_to_pmatrix(c: Column) -> Column:
+    """Each {a,b,...} as a column vector; a backslash parts its entries."""
+    sets = F.regexp_extract_all(strip(c), F.lit(r"\{.*,.*\}"), F.lit(0))
+    vector = lambda m: F.concat(F.lit("\\begin{pmatrix}"), put(F.regexp_replace(m, r"^[{}]+|[{}]+$", ""), ",", "\\"), F.lit("\\end{pmatrix}"))
+    return F.array_join(F.transform(sets, vector), ", ")
+
+
+def matrix_cells(c: Column) -> Column:
+    """Rows of cells of a pmatrix or bmatrix; null if it is none."""
+    shape = r"(?s)^\\begin\{[pb]matrix\}(.*)\\end\{[pb]matrix\}$"
+    lines = F.filter(F.transform(F.split(F.regexp_extract(c, shape, 1), r"\\\\"), strip), lambda x: x != "")
+    return F.when(c.rlike(shape), F.transform(lines, lambda x: F.split(x, "&")))
+
+
+def all_equal(a: Column, b: Column) -> Column:
+    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.coalesce(item_equal(x, y), F.lit(False))), lambda x: x)
+
+
+def matrices_equal(p: Column, r: Column) -> Column:
+    a, b = matrix_cells(p), matrix_cells(r)
+    rows = F.zip_with(a, b, lambda x, y: F.coalesce(all_equal(x, y), F.lit(False)))
+    return F.coalesce((F.size(a) == F.size(b)) & F.forall(rows, lambda x: x), F.lit(False))
+
+
+def equations_equal(p: Column, r: Column) -> Column:
+    """Both equations: equal sides, in either order. One of them "x = value": its value against the other."""
+    sides = lambda c: F.transform(F.split(c, "="), strip)
+    side = lambda c, i: F.get(sides(c), F.lit(i))
+    one = lambda c: F.size(sides(c)) == 2
+    named = lambda c: one(c) & (F.length(side(c, 0)) <= 2)
+    none = lambda c: ~F.contains(c, F.lit("="))
+    straight = item_equal(side(p, 0), side(r, 0)) & item_equal(side(p, 1), side(r, 1))
+    crossed = item_equal(side(p, 0), side(r, 1)) & item_equal(side(p, 1), side(r, 0))
+    found = F.when(one(p) & one(r), straight | crossed).when(named(p) & none(r), item_equal(side(p, 1), r)).when(named(r) & none(p), item_equal(p, side(r, 1)))
+    return F.coalesce(found, F.lit(False))
+
+
+def both(p: Column, r: Column, f) -> Column:
+    """f(p, r) with either side computed once."""
+    return let(F.struct(p.alias("p"), r.alias("r")), lambda x: f(x["p"], x["r"]))
+
+
 def math_equal(p: Column, r: Column) -> Column:
-    """Native tiers: case, numbers (final when both are), brackets, tuples element by element. Null on either side: false.
+    """Native tiers: case, numbers (final when both are), brackets, tuples, matrices by cell, equations. Null on either
+    side: false.
 
     Answers that only symbolic algebra could equate count as different here; undecided() tells which they are.
     """
-    p, r = strip(p), strip(r)
+    return F.coalesce(both(strip(p), strip(r), tiers), F.lit(False))
+
+
+def tiers(p: Column, r: Column) -> Column:
+    same = F.lower(p) == F.lower(r)
+    r = F.when(F.contains(p, F.lit("pmatrix")) & ~F.contains(r, F.lit("pmatrix")), set_to_pmatrix(r)).otherwise(r)
     edge = lambda c: F.regexp_replace(c, r"^[\[\]()]+|[\[\]()]+$", "")
     brackets = F.when(same_kind(p, r), unbracketed(edge(p)) == unbracketed(edge(r))).otherwise(unbracketed(p) == unbracketed(r))
     shaped = lambda c: c.rlike(r"^[(\[].+[)\]]")
     parts = lambda c: F.split(F.substr(c, F.lit(2), F.length(c) - 2), ",")
-    tuple_ = shaped(p) & shaped(r) & (F.size(parts(p)) == F.size(parts(r))) & F.forall(F.zip_with(parts(p), parts(r), item_equal), lambda x: x)
-    graded = F.when(F.lower(p) == F.lower(r), F.lit(True)).otherwise(F.coalesce(number_tier(p, r), (p != "") & (brackets | tuple_)))
-    return F.coalesce(graded, F.lit(False))
+    tuple_ = shaped(p) & shaped(r) & all_equal(parts(p), parts(r))
+    return F.when(same, F.lit(True)).otherwise(F.coalesce(number_tier(p, r), (p != "") & (brackets | tuple_ | matrices_equal(p, r) | equations_equal(p, r))))
 
 
 def undecided(p: Column, r: Column) -> Column:
@@ -189,3 +236,137 @@ def may_evaluate(c: Column, forbidden: tuple[str, ...] = ("^{", "^(")) -> Column
     bare = F.regexp_replace(F.regexp_replace(c, "sqrt|frac", ""), r"[^a-zA-Z]", "")
     letters = F.size(F.array_distinct(F.filter(F.split(bare, ""), lambda x: x != "")))
     return (letters <= 2) & ~reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in forbidden]) & ~c.rlike(r"\^[0-9]+\^|\^[0-9][0-9]+")
+
+
+# Units that the grade normaliser drops, and words for powers of ten, in order.
+UNITS = "degree cm centimeter meter mile second minute hour day week month year foot feet inch yard".split()
+POWERS = [("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")]
+
+
+def boxed_only(c: Column) -> Column:
+    """Contents of the last boxed answer; null without one, where it never closes, or where the last is an fbox."""
+    return F.when(F.contains(c, F.lit("\\boxed")), last_boxed(c, trim=False))
+
+
+def simple_normalised(c: Column) -> Column:
+    """struct(number, text): lower case without $ , %, as a number where it is one."""
+    text = strip(F.regexp_replace(F.lower(strip(c)), r"[$,%]", ""))
+    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.struct(number.alias("number"), F.when(number.isNull(), text).alias("text"))
+
+
+def undollared(c: Column, mark: str = "$") -> Column:
+    n = len(mark)
+    return F.when(c.startswith(mark) & c.endswith(mark) & (F.length(c) >= 2 * n), strip(F.substr(c, F.lit(n + 1), F.length(c) - 2 * n))).otherwise(c)
+
+
+def truth_normalised(c: Column) -> Column:
+    """A reference answer in the form that answers of a model get."""
+    bare = undollared(strip(c))
+    return let(bare, lambda x: let(extract_answer(x, use_last_number=False), lambda e: F.when(F.coalesce(e, F.lit("")) == "", strip_string(x)).otherwise(strip_string(e))))
+
+
+def deep_normalised(c: Column) -> Column:
+    """Without option labels, dollar signs and broken commands, before the normal form."""
+    s = undollared(undollared(strip(c)), "$$")
+    s = unicode_to_latex(F.regexp_replace(s, r"^[A-D]\.\s*", ""))
+    s = F.regexp_replace(s, r"sqrt\(([^)]+)\)", r"\\sqrt{$1}")
+    s = put(put(s, "\\text{rac}", "\\frac"), "\x0crac", "\\frac")
+    s = F.regexp_replace(s, r"(?<!\\f)(?<![a-z])rac\{", r"\\frac{")
+    s = put(s, "\\wedgeq", "\\wedge q")
+    s = F.regexp_replace(s, r"\\(mathrm|text)\{e\}", "e")
+    s = F.regexp_replace(s, r"\\frac\{([^}]+)\}\{1\}", "$1")
+    s = fold(s, [("\\[", "["), ("\\]", "]"), ("\\left", ""), ("\\right", "")])
+    return let(strip(F.regexp_replace(s, r"\s+", " ")), strip_string)
+
+
+def value_of(c: Column) -> Column:
+    """The number that a decimal, a/b or \\frac{a}{b} states; null for anything else."""
+    n = r"([+-]?(?:\d+\.?\d*|\.\d+))"
+    quotient = lambda pattern: F.try_divide(F.regexp_extract(c, pattern, 2).try_cast("double"), F.regexp_extract(c, pattern, 3).try_cast("double")) * F.when(F.regexp_extract(c, pattern, 1) == "-", -1).otherwise(1)
+    plain = F.when(c.rlike(NUMBER), c.try_cast("double"))
+    return F.coalesce(plain, quotient(rf"^(-?)\s*\\frac\{{{n}\}}\{{{n}\}}$"), quotient(rf"^(-?){n}\s*/\s*{n}$"))
+
+
+def enhanced_equal(p: Column, r: Column) -> Column:
+    """math_equal, or that of deep normal forms, equal intervals, equal chains of inequalities, or equal values."""
+
+    def intervals(x: Column, y: Column) -> Column:
+        a, b = to_interval(x), to_interval(y)
+        ends = lambda i, j: (i["lo_closed"] == j["lo_closed"]) & (i["hi_closed"] == j["hi_closed"]) & item_equal(strip_string(i["lo"]), strip_string(j["lo"])) & item_equal(strip_string(i["hi"]), strip_string(j["hi"]))
+        return F.coalesce(both(a, b, ends), F.lit(False))
+
+    def chains(x: Column, y: Column) -> Column:
+        terms = lambda i, j: (F.size(i["terms"]) == F.size(j["terms"])) & (i["ops"] == j["ops"]) & F.forall(F.zip_with(i["terms"], j["terms"], lambda u, v: item_equal(strip_string(u), strip_string(v))), lambda e: e)
+        return F.coalesce(both(inequality_chain(x), inequality_chain(y), terms), F.lit(False))
+
+    deep = both(deep_normalised(p), deep_normalised(r), lambda a, b: tiers(a, b) | F.coalesce(both(value_of(a), value_of(b), lambda u, v: F.abs(u - v) < 1e-6 * F.greatest(F.lit(1.0), F.abs(v))), F.lit(False)))
+    return F.coalesce(math_equal(p, r) | intervals(p, r) | chains(p, r) | F.coalesce(deep, F.lit(False)), F.lit(False))
+
+
+def competition_form(c: Column) -> Column:
+    """The competition normal form; the trimmed answer itself where its commands break off."""
+    answer = strip(c)
+    inner = F.regexp_extract(answer, r"^\\text\{(.+?)\}$", 1)
+    return let(F.when(inner != "", strip(inner)).otherwise(answer), lambda a: F.coalesce(competition_steps(a), a))
+
+
+def competition_steps(a: Column) -> Column:
+    """Null where the answer breaks off."""
+    s = fold(a, [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")])
+    units = lambda v: F.split(v, r"\\text\{ ")
+    s = let(s, lambda v: F.when(F.size(units(v)) <= 2, F.get(units(v), F.lit(0))))
+    s = fold(s, [("\\%", ""), (" .", " 0."), ("{.", "{0.")])
+    s = F.regexp_replace(s, r"^\.", "0.")
+    sides = lambda v: F.split(v, "=")
+    s = let(s, lambda v: F.when((F.size(sides(v)) == 2) & (F.length(F.get(sides(v), F.lit(0))) <= 2), F.get(sides(v), F.lit(1))).otherwise(v))
+    roots = lambda v: F.slice(F.split(v, r"\\sqrt"), 2, 1 << 20)
+    s = let(s, lambda v: F.when(~F.exists(roots(v), lambda x: x == ""), F.regexp_replace(v, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}")))
+    short = lambda v: F.get(F.filter(F.slice(F.split(v, r"\\frac"), 2, 1 << 20), lambda x: ~x.startswith("{") & (F.length(x) < 2)), F.lit(0))
+    s = let(put(s, " "), lambda v: F.when(F.coalesce(short(v), F.lit("x")) != "", braced_fractions(v)))
+    whole = r"(-?[1-9]\d*|0)"
+    return let(s, lambda v: F.when(v == "0.5", F.lit("\\frac{1}{2}")).otherwise(F.regexp_replace(v, rf"^{whole}/{whole}$", r"\\frac{$1}{$2}")))
+
+
+def grade_form(c: Column) -> Column:
+    """The grade normal form: no units, signs of money and percent, spaces or braces; whole numbers without decimals."""
+    inner = F.regexp_extract(c, r"^\\text\{(.+?)\}$", 1)
+    s = F.when(inner != "", inner).otherwise(c)
+    s = fold(s, [("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "), *POWERS])
+    for unit in UNITS:
+        s = F.regexp_replace(s, rf"{unit}(es)?(s)? *(\^[0-9]+)?", "")
+    s = F.regexp_replace(s, r"\^ *\\circ", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?s)^\{(.*)\}$", "$1"), r",\\! *", "")
+    s = let(s, lambda v: F.when(strip(v).rlike(NUMBER) & (F.abs(strip(v).try_cast("double") % 1) < 1e-7), F.format_string("%.0f", strip(v).try_cast("double"))).otherwise(v))
+    s = fold(s, [("\\tfrac", "\\frac"), ("\\dfrac", "\\frac")])
+    s = F.regexp_replace(s, r"\\frac\{([^{}]*)\}\{([^{}]*)\}", " $1/$2")
+    s = fold(F.regexp_replace(s, r"\\sqrt\{([^{}]*)\}", "sqrt($1)"), [("\\pi", "pi"), ("\\infty", "inf"), ("\\cup", "U"), ("\\cdot", "*"), ("\\times", "*")])
+    s = F.regexp_replace(F.regexp_replace(strip(s), "- *", "-"), "([0-9]) +([0-9])", "$1+$2")
+    s = F.lower(fold(s, [(" ", ""), ("{", ""), ("}", "")]))
+    return let(s, lambda v: let(thousands_removed(v), lambda x: F.when(x.rlike(NUMBER) & (F.abs(x.try_cast("double") % 1) < 1e-7), F.format_string("%.0f", x.try_cast("double"))).otherwise(v)))
+
+
+def grade_answer(given: Column, truth: Column) -> Column:
+    """Equal competition forms, or equal grade forms, or equal elements: fractions literally, whole numbers only with
+    whole numbers, others by value. Symbolic equality of other expressions is not decided here. Null: false."""
+
+    def elements(a: Column, b: Column) -> Column:
+        frac = lambda c: c.rlike(r"^-?[0-9]+.?/0*[1-9][0-9]*.?$")
+        whole = lambda c: F.coalesce(F.abs(c.try_cast("double") % 1) < 1e-7, F.lit(False))
+        value = lambda x, y: F.coalesce(F.abs(value_of(x) - value_of(y)) < 1e-9, x == y)
+        pair = lambda x, y: F.when(frac(x) & frac(y), x == y).when(whole(x) != whole(y), False).otherwise(value(x, y))
+        x, y = split_tuple(thousands_removed(a)), split_tuple(thousands_removed(b))
+        return (a == b) | (b != "") & (a != "") & (F.size(x) == F.size(y)) & F.forall(F.zip_with(x, y, pair), lambda e: e)
+
+    equal = both(competition_form(given), competition_form(truth), lambda a, b: a == b) | both(grade_form(given), grade_form(truth), elements)
+    return F.coalesce(equal, F.lit(False))
+
+
+def math_reward(query: Column, prompt: Column, label: Column) -> Column:
+    """1.0 where the boxed answer of the response is graded equal to the label, else 0.0."""
+    return let(response_part(query, prompt), lambda r: grade_answer(boxed_only(r), label).cast("double"))
+
+
+def verify_answer(response: Column, label: Column) -> Column:
+    """Whether a response's extracted answer equals the label, both in normal form."""
+    return both(extract_answer(response), strip_string(label), lambda a, b: F.coalesce(tiers(strip(a), strip(b)), F.lit(False)))

@@ -191,3 +191,42 @@ def split_tuple(c: Column) -> Column:
     """Parts of a bracketed tuple, trimmed; a text without brackets is one part."""
     inner = F.regexp_extract(c, r"^[(\[](.*)[)\]]$", 1)
     return F.when(inner != "", F.transform(F.split(inner, ","), strip)).otherwise(F.array(c))
+
+
+def first_line(c: Column) -> Column:
+    return strip(F.get(F.split(strip_think(c, unclosed=False), "\n"), F.lit(0)))
+
+
+def question_blocks(c: Column) -> Column:
+    """array<struct<num, raw>>: the text cut before each "N.【" at a line's start, with a full-width or half-width dot."""
+    head = r"(?:^|\n)\s*-?\s*\d{1,4}\s*[.．。·]\s*【"
+    marked = F.regexp_replace(c, rf"({head})", "\u0001$1")
+    blocks = F.transform(F.slice(F.split(marked, "\u0001"), 2, 1 << 20), strip)
+    return F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, r"^-?\s*(\d{1,4})", 1).cast("int").alias("num"), b.alias("raw")))
+
+
+def response_part(query: Column, prompt: Column) -> Column:
+    """The query behind the prompt's length, if the prompt occurs in it."""
+    return F.when(F.coalesce(F.contains(query, prompt), F.lit(False)), F.substr(query, F.length(prompt) + 1)).otherwise(query)
+
+
+def json_array(c: Column, schema: str) -> Column:
+    """The objects of the outermost JSON array in free text; where it cannot be read, each flat object that has a
+    question and an answer."""
+    whole = F.from_json(F.regexp_extract(c, r"(?s)\[.*\]", 0), f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})
+    parts = F.transform(F.regexp_extract_all(c, F.lit(r"\{[^{}]+\}"), F.lit(0)), lambda x: F.from_json(x, f"struct<{schema}>"))
+    single = F.filter(parts, lambda x: x["question"].isNotNull() & x["answer"].isNotNull())
+    return F.when(F.size(whole) > 0, whole).otherwise(single)
+
+
+def log_line(ts: Column, prefix: Column, step: Column, values: Column) -> Column:
+    """"[time] prefix step=N | k=v | ...": the map's keys in order, values with six decimals."""
+    entries = F.array_sort(F.map_entries(values))
+    shown = F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.6f", e["value"])))
+    head = F.concat(F.lit("["), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("] "), prefix, F.lit(" step="), step.cast("string"))
+    return F.concat_ws(" | ", F.array(head), shown)
+
+
+def file_number(name: Column, missing: int = 999) -> Column:
+    """The lecture number in a file's name, by which files are ordered."""
+    return F.coalesce(F.nullif(F.regexp_extract(name, r"第(\d+)讲", 1), F.lit("")).cast("int"), F.lit(missing))

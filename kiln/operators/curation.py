@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.operators.lineage import running
+
 
 def funnel(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
     """(stage, kept, removed) of filters applied in turn, in one pass over the data."""
@@ -52,10 +54,12 @@ def interleave(parts: list[tuple[DataFrame, float]], key: str, total: int, seed:
     for i in range(len(parts) - 2, -1, -1):
         pick = F.when(u < edges[i], i).otherwise(pick)
     draws = spark.range(total).withColumnRenamed("id", "n").withColumn("source_idx", pick.cast("int"))
-    draws = draws.withColumn("k", F.row_number().over(Window.partitionBy("source_idx").orderBy("n")) - 1)
+    picks = {f"k{i}": (F.col("source_idx") == i).cast("long") for i in range(len(parts))}
+    draws = running(draws, ["n"], picks)
+    draws = draws.withColumn("k", F.get(F.array(*picks), F.col("source_idx")) - 1).drop("i", *picks)
     rows = None
     for i, (df, _) in enumerate(parts):
-        own = df.withColumn("place", F.row_number().over(Window.orderBy(key)) - 1).withColumn("size", F.count("*").over(Window.partitionBy())).withColumn("source_idx", F.lit(i))
+        own = running(df, [key]).withColumnRenamed("i", "place").join(F.broadcast(df.agg(F.count("*").alias("size")))).withColumn("source_idx", F.lit(i))
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
     sizes = rows.groupBy("source_idx").agg(F.max("size").alias("of"))
     draws = draws.join(F.broadcast(sizes), "source_idx")  # a row for each source

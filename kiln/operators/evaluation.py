@@ -38,9 +38,9 @@ def result_line(ok, idx, gt, pred):
     return F.concat(F.lit("["), F.when(ok, "O").otherwise("X"), F.lit("] #"), F.lpad(idx.cast("string"), 3, " "), F.lit("  gt="), gt, F.lit("  pred="), pred)
 
 
-def histogram(values: DataFrame, x: str, low: float, high: float, bins: int) -> DataFrame:
-    """(bin, n, density); values outside [low, high] are dropped, the last bin is closed."""
+def histogram(values: DataFrame, x: str, low: float, high: float, bins: int, *by: str) -> DataFrame:
+    """(by, bin, n, density); values outside [low, high] are dropped, the last bin is closed; densities are a class's own."""
     width = (high - low) / bins
     own = values.filter(F.col(x).between(low, high)).withColumn("bin", F.least(F.floor((F.col(x) - low) / width), F.lit(bins - 1)).cast("long"))
-    counts = own.groupBy("bin").agg(F.count("*").alias("n"))
-    return counts.withColumn("density", F.round(F.col("n") / (F.sum("n").over(Window.partitionBy()) * width), 6))
+    counts = own.groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    return counts.withColumn("density", F.round(F.col("n") / (F.sum("n").over(Window.partitionBy(*by)) * width), 6))

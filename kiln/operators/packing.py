@@ -5,19 +5,15 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kiln.operators.lineage import running
 
-def number_rows(df: DataFrame, key: str, parts: int = 256) -> DataFrame:
-    """Adds i, from 0 in order of a numeric key: ranges of the key are numbered apart, then offset by the rows before them."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn("i", F.lit(0).cast("long"))
-    width = max(1, -(-(high - low + 1) // parts))
-    own = df.withColumn("_p", F.floor((F.col(key) - low) / width))
-    before = own.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    return own.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1).join(F.broadcast(before), "_p").withColumn("i", (F.col("_b") + F.col("_k")).cast("long")).drop("_p", "_k", "_b")  # `parts` rows
+
+def number_rows(df: DataFrame, *order) -> DataFrame:
+    """Adds i, from 0 in the given order. Rows with null keys come first and are numbered like others."""
+    return running(df, list(order))
 
 
 def rank_shard(df: DataFrame, i: str, total: int, replicas: int, drop_last: bool = False) -> DataFrame:
@@ -43,8 +39,8 @@ def snake(df: DataFrame, length: str, pos: str, ranks: int) -> DataFrame:
     """(rank, turn): sorted by length, cut in groups of `ranks`; the groups of the last half are reversed and laid
     between those of the first, so that sums are near equal. A last group that is not full is left out.
     """
-    w = Window.orderBy(F.desc(length), pos)
-    own = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    own = number_rows(df, F.desc(length), pos).withColumnRenamed("i", "_i")
+    own = own.join(F.broadcast(df.agg(F.count("*").alias("_n"))))  # one row
     groups = F.ceil(F.col("_n") / ranks)
     half = F.floor(groups / 2)
     g, at = F.floor(F.col("_i") / ranks), F.col("_i") % ranks
@@ -126,9 +122,95 @@ def first_fit_bins(df: DataFrame, batch: str, key: str, length: str, most: int)
 
 
 def budget_groups(df: DataFrame, doc: str, pos: str, length: str, budget: int) -> DataFrame:
-    """(doc, pos, grp): blocks of a document in order, a new group begun when the budget would be passed."""
-    blocks = F.sort_array(F.collect_list(F.struct(pos, length)))
-    step = lambda s, b: F.when((s["used"] > 0) & (s["used"] + b[length] > budget), F.struct(b[length].cast("long").alias("used"), (s["grp"] + 1).alias("grp"), F.concat(s["out"], F.array(s["grp"] + 1)).alias("out"))).otherwise(F.struct((s["used"] + b[length]).cast("long").alias("used"), s["grp"].alias("grp"), F.concat(s["out"], F.array(s["grp"])).alias("out")))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("grp"), F.array().cast("array<int>").alias("out"))
-    made = df.groupBy(doc).agg(blocks.alias("b")).select(doc, F.explode(F.arrays_zip(F.col(f"b.{pos}").alias("pos"), F.aggregate("b", start, step)["out"].alias("grp"))).alias("z"))
-    return made.select(doc, F.col("z.pos").alias(pos), F.col("z.grp").alias("grp"))
+    """(doc, pos, grp): blocks of a document in order, a new group begun when the budget would be passed.
+
+    Whether a group begins depends on all blocks before, so a document is one task's: two numbers a block, one walk.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([pos, length])
+        used, grp, out = 0, 0, []
+        for n in pdf[length].tolist():
+            if used > 0 and used + n > budget:
+                used, grp = 0, grp + 1
+            used += n
+            out.append(grp)
+        return pd.DataFrame({doc: pdf[doc].values, pos: pdf[pos].values, "grp": out})
+
+    kinds = dict(df.dtypes)
+    return df.select(doc, pos, length).groupBy(doc).applyInPandas(run, f"{doc} {kinds[doc]}, {pos} {kinds[pos]}, grp int")
+
+
+def fewest_bins(lengths: list[int], most: int) -> int:
+    return max(first_fit(lengths, most), default=-1) + 1
+
+
+def micro_batches(df: DataFrame, step: str, rank: str, pos: str, length: str, most: int) -> DataFrame:
+    """(step, rank, pos, micro, loss_scale, optimizer_step): each rank's rows of a step in as many micro-batches as the
+    rank that needs most has by first fit, balanced by differencing. loss_scale: the micro-batch's share of the rank's
+    rows; optimizer_step: 1 in the last one. A (step, rank) is what one device trains on, so it fits a task.
+    """
+    kinds = dict(df.dtypes)
+    keys = f"{step} {kinds[step]}, {rank} {kinds[rank]}"
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        return pd.DataFrame({step: pdf[step].iloc[:1].values, rank: pdf[rank].iloc[:1].values, "_most": [fewest_bins(pdf[length].tolist(), most)]})
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos).reset_index(drop=True)
+        parts = differencing(pdf[length].tolist(), min(int(pdf["_most"].iloc[0]), len(pdf)))
+        micro = {i: j for j, own in enumerate(parts) for i in own}
+        at = [micro[i] for i in range(len(pdf))]
+        scale = [len(parts[j]) / len(pdf) for j in at]
+        return pdf[[step, rank, pos]].assign(micro=at, loss_scale=scale, optimizer_step=[int(j == len(parts) - 1) for j in at])
+
+    rows = df.select(step, rank, pos, length)
+    need = rows.groupBy(step, rank).applyInPandas(count, f"{keys}, _most int").groupBy(step).agg(F.max("_most").alias("_most"))
+    kind = f"{keys}, {pos} {kinds[pos]}, micro int, loss_scale double, optimizer_step int"
+    return rows.join(need, step).groupBy(step, rank).applyInPandas(deal, kind)
+
+
+def rollout_batches(df: DataFrame, batch: str, pos: str, length: str, most: int, actors: int) -> DataFrame:
+    """(batch, pos, micro): as many balanced micro-batches as first fit needs, rounded down to a multiple of the actors,
+    one an actor at least."""
+    kinds = dict(df.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos).reset_index(drop=True)
+        lengths = pdf[length].tolist()
+        n = max(fewest_bins(lengths, most) // actors * actors, actors)
+        micro = {i: j for j, own in enumerate(differencing(lengths, n)) for i in own}
+        return pdf[[batch, pos]].assign(micro=[micro[i] for i in range(len(pdf))])
+
+    return df.select(batch, pos, length).groupBy(batch).applyInPandas(run, f"{batch} {kinds[batch]}, {pos} {kinds[pos]}, micro int")
+
+
+def round_robin(i: Column, engines: int) -> Column:
+    return (i % engines).cast("int")
+
+
+def least_loaded(i: Column, pending: list[int], each: int) -> Column:
+    """The engine of the i-th prompt, each taken by the least loaded engine (ties to the first) and adding `each` to it.
+
+    Until the loads are level the order is worked out here, from the engines alone; then it goes round and round.
+    """
+    heap = [(n, e) for e, n in enumerate(pending)]
+    heapq.heapify(heap)
+    first: list[int] = []
+    while max(heap)[0] - heap[0][0] >= each:
+        n, e = heapq.heappop(heap)
+        first.append(e)
+        heapq.heappush(heap, (n + each, e))
+    ring = [e for _, e in sorted(heap)]
+    begin = F.get(F.array(*[F.lit(e) for e in first]), i) if first else F.lit(None).cast("int")
+    return F.when(i < len(first), begin).otherwise(F.get(F.array(*[F.lit(e) for e in ring]), (i - len(first)) % len(ring))).cast("int")
+
+
+def ceildiv(a: Column, b: int) -> Column:
+    return F.ceil(a / b)
+
+
+def reverse_index(df: DataFrame, i: str, target: str) -> DataFrame:
+    """(i, target) turned round: for each target the place it came from."""
+    return df.select(F.col(target).alias(i), F.col(i).alias(target))

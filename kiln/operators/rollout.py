@@ -23,8 +23,9 @@ def dynamic_filter(df: DataFrame, group: str, score: str, low: float, high: floa
 
 def first_accepted(df: DataFrame, group: str, n: int) -> DataFrame:
     """The first n groups, by key; none if there are fewer."""
-    groups = df.select(group).distinct().withColumn("_k", F.row_number().over(Window.orderBy(group))).filter(F.col("_k") <= n)
-    enough = groups.withColumn("_c", F.count("*").over(Window.partitionBy())).filter(F.col("_c") == n).select(group)
+    groups = df.select(group).distinct().orderBy(group).limit(n)  # n rows
+    found = groups.agg(F.count("*").alias("_c"))
+    enough = groups.join(F.broadcast(found)).filter(F.col("_c") == n).select(group)
     return df.join(enough, group, "left_semi")
 
 

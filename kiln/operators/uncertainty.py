@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.operators.lineage import running
+
 LONGEST, MOST_NULLS = 200, 2
 
 
@@ -88,27 +90,41 @@ def se_distribution(se: DataFrame) -> DataFrame:
     return se.filter("se is not null").agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("avg_se"), n(x < 0.1).alias("low"), n((x >= 0.1) & (x < 0.5)).alias("mid"), n(x >= 0.5).alias("high"))
 
 
+def cumulated(scored: DataFrame) -> DataFrame:
+    """(i, label, tp, fp): scores from high to low, ties by pos, with the positives and negatives so far."""
+    return running(scored, [F.desc("score"), F.col("pos")], {"tp": F.col("label"), "fp": 1 - F.col("label")}).select("i", "label", "tp", "fp")
+
+
 def roc_points(scored: DataFrame) -> DataFrame:
     """(rank, tpr, fpr) from (pos, label, score): scores from high to low, ties in input order and not grouped."""
-    order = Window.orderBy(F.desc("score"), "pos").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    p, n = F.sum("label").over(everything), F.sum(1 - F.col("label")).over(everything)
-    return scored.select(F.row_number().over(Window.orderBy(F.desc("score"), "pos")).alias("rank"), F.try_divide(F.sum("label").over(order), p).alias("tpr"), F.try_divide(F.sum(1 - F.col("label")).over(order), n).alias("fpr"))
+    of = scored.agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    rows = cumulated(scored).join(F.broadcast(of))  # one row
+    return rows.select((F.col("i") + 1).cast("int").alias("rank"), F.try_divide("tp", "p").alias("tpr"), F.try_divide("fp", "n").alias("fpr"))
 
 
 def auroc(scored: DataFrame) -> DataFrame:
     """Trapezoids under roc_points; null with one class only.
 
-    Without a global sort: rows are ranked within ranges of the score, and ranges add their positives before them.
+    Rows are dealt to ranges of (score, pos), so neither distinct scores nor one frequent score meet in one task.
     """
-    ranges = scored.groupBy("score").agg(F.count("*").alias("rows"), F.sum("label").alias("own"))
-    before = ranges.withColumn("above", F.coalesce(F.sum("own").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = scored.join(before.select("score", "above"), "score").withColumn("tp", F.col("above") + F.sum("label").over(Window.partitionBy("score").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     # a negative adds a column of width 1/n at the height of the positives so far
-    total = rows.agg(F.sum((1 - F.col("label")) * F.col("tp")).alias("area"), F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    total = cumulated(scored).agg(F.sum((1 - F.col("label")) * F.col("tp")).alias("area"), F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     return total.select(F.round(F.try_divide(F.col("area").cast("double"), (F.col("p") * F.col("n")).cast("double")), 6).alias("auroc"))
 
 
+def class_summary(scored: DataFrame, *by: str) -> DataFrame:
+    """(by, n, mean, median, least, most) of the scores."""
+    return scored.groupBy(*by).agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.min("score").alias("least"), F.max("score").alias("most"))
+
+
+def online_entropy(responses: Column) -> Column:
+    """Normalised entropy of an array of cluster names: 1 for none, 0 for one, else over ln of their number."""
+    n = F.size(responses)
+    share = F.transform(F.array_distinct(responses), lambda c: F.size(F.filter(responses, lambda r: r == c)) / n)
+    entropy = -F.aggregate(share, F.lit(0.0), lambda a, p: a + p * F.ln(p))
+    return F.when(n == 0, 1.0).when(n == 1, 0.0).otherwise(entropy / F.ln(n))
+
+
 def binned_accuracy(scored: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, n, accuracy, stderr) over equal bins of [0, 1], the last closed; empty bins are left out."""
     own = scored.withColumn("bin", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from kiln.plans import training
+from kiln.plans import records, training
 from kiln.functions.text import CHOICE_MARKERS, PROBLEM_MARKERS, SOLUTION_MARKERS
 
 POS = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT AS pos FROM lineitem)"
@@ -29,7 +29,7 @@ SOLUTION, PROBLEM, CHOICE = _has("lower(q)", SOLUTION_MARKERS) + " >= 2", _has("
 OUT = "(SELECT user_id AS input, event_id AS pos, value AS reward, event_type AS output FROM events)"
 GRADED = "(SELECT l_orderkey, o_orderpriority, o_orderstatus, l_returnflag = 'R' AS correct FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 KEPT = f"(SELECT * FROM {GRADED} QUALIFY avg(correct::INT::DOUBLE) OVER (PARTITION BY l_orderkey) > 0 AND avg(correct::INT::DOUBLE) OVER (PARTITION BY l_orderkey) < 1)"
-SCORED = "(SELECT doc_id AS pos, 1 - quality AS label, least(n_chars / 5000.0, 1.0)::DOUBLE AS score FROM labels JOIN documents USING (doc_id))"
+SCORED = "(SELECT doc_id AS pos, 1 - quality AS label, n_chars / (n_chars + 5000.0::DOUBLE)::DOUBLE AS score FROM labels JOIN documents USING (doc_id))"
 PREF = f"(SELECT l_orderkey, pos, -l_quantity / 10 AS pc, -l_discount * 30 AS pr, -l_tax * 40 AS rc, (-l_linenumber / 2.0)::DOUBLE AS rr, l_returnflag = 'R' AS y FROM {POS})"
 PART = "CASE WHEN p_partkey % 11 = 0 THEN '}' ELSE '}}' END"
 
@@ -137,7 +137,7 @@ SELECT a.vec_id, round(-sum(exp(b.v - zb.z) * (a.v - za.z)), 6) AS loss FROM v a
 w AS (SELECT o_orderkey, i, n FROM o UNION ALL SELECT o_orderkey, i + n, n FROM o WHERE i + n < ((n + 6) // 7) * 7)
 SELECT (i % 7)::INT AS rank, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM w GROUP BY 1""",
     "chunk_shard": "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT (i // ((n + 5) // 6))::INT AS actor, count(*) AS n, min(o_orderkey) AS first FROM o GROUP BY 1",
-    "concat_blend": "SELECT doc_id, source, 'clean' AS \"from\" FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id, source, 'augment' FROM documents WHERE source = 'src2'",
+    "concat_blend": "SELECT doc_id, source, 'clean' AS \"from\" FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id, source, 'augment' FROM documents WHERE source IS DISTINCT FROM 'src1'",
     "char_budget_groups": """WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
 r(source, doc_id, k, used, grp) AS (SELECT source, doc_id, k, n_chars, 0 FROM d WHERE k = 1 UNION ALL
 SELECT d.source, d.doc_id, d.k, CASE WHEN used > 0 AND used + n_chars > 6000 THEN n_chars ELSE used + n_chars END, CASE WHEN used > 0 AND used + n_chars > 6000 THEN grp + 1 ELSE grp END FROM r JOIN d ON d.source = r.source AND d.k = r.k + 1)
@@ -145,9 +145,9 @@ SELECT source, doc_id, grp::INT AS grp FROM r""",
     "image_filter": "SELECT page_id, page_id % 3 = 0 AS image FROM pages",
     "ordered_topn": "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10",
     "shingle_jaccard_pairs": f"WITH s AS {SHING}, p AS (SELECT x.doc_id AS i, y.doc_id AS j, len(list_intersect(x.sh, y.sh)) AS b, len(x.sh) + len(y.sh) AS n FROM s x JOIN s y ON y.doc_id = x.doc_id + 1) SELECT i, j, round(CASE WHEN n - b > 0 THEN b::DOUBLE / (n - b) ELSE 0 END, 6) AS jaccard FROM p",
-    "minhash_bands": f"""WITH s AS {SHING}, e AS (SELECT doc_id, unnest(sh) AS g FROM s), v AS (SELECT g, i, left(md5(i::VARCHAR || '_' || g), 15) AS h FROM (SELECT DISTINCT g FROM e), range(0, 32) r(i)),
+    "minhash_bands": f"""WITH s AS {SHING}, e AS (SELECT doc_id, unnest(sh) AS g FROM s), v AS (SELECT g, i, left(md5(i::VARCHAR || '_' || g), 15) AS h FROM (SELECT DISTINCT g FROM e), range(0, 128) r(i)),
 m AS (SELECT doc_id, i, min(h) AS h FROM e JOIN v USING (g) GROUP BY 1, 2)
-SELECT doc_id, (i // 8)::INT AS band, md5(string_agg(h, ',' ORDER BY i)) AS bucket FROM m GROUP BY 1, 2 UNION ALL SELECT doc_id, b::INT, md5('') FROM s, range(0, 4) r(b) WHERE coalesce(len(sh), 0) = 0""",
+SELECT doc_id, (i // 8)::INT AS band, md5(string_agg(h, ',' ORDER BY i)) AS bucket FROM m GROUP BY 1, 2 UNION ALL SELECT doc_id, b::INT, md5('') FROM s, range(0, 16) r(b) WHERE coalesce(len(sh), 0) = 0""",
     "metric_lines": "SELECT event_type, 'step=' || count(*) || ' | mean=' || printf('%.3f', round(avg(value), 3)) AS line FROM events GROUP BY 1",
     "json_object_parse": "SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS has_k, (length(props) + 2)::INT AS n FROM events",
     "snake_balance": """WITH o AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
@@ -176,4 +176,4 @@ SELECT round(avg(d), 6) AS discount, round(avg(t), 6) AS tax, round(any_value(w)
 # rounding may leave a negative zero, which is a zero
 SQL = {name: re.sub(r"(, [456]\)( END)?) AS ", r"\1 + 0.0::DOUBLE AS ", sql) for name, sql in SQL.items()}
 
-SQL |= training.SQL
+SQL |= training.SQL | records.SQL

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kiln.functions import grading, losses, text
 from kiln.operators import chat, curation, evaluation, neardup, packing, preference, rollout, uncertainty
-from kiln.plans import training  # noqa: F401  its queries register themselves
+from kiln.operators.records import tier_weights
+from kiln.plans import records, training  # noqa: F401  their queries register themselves
 from kiln.plans.registry import QUERIES, preference_rows, query, r6, t, with_pos  # noqa: F401
 
 def responses(s, d) -> DataFrame:
@@ -226,7 +227,7 @@ def terminal_reward(s, d):
 
 def scored(s, d) -> DataFrame:
     rows = t(s, d, "labels").join(t(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return rows.select(F.col("doc_id").alias("pos"), (1 - F.col("quality")).alias("label"), F.least(F.col("n_chars") / 5000.0, F.lit(1.0)).alias("score"))
+    return rows.select(F.col("doc_id").alias("pos"), (1 - F.col("quality")).alias("label"), (F.col("n_chars") / (F.col("n_chars") + 5000.0)).alias("score"))
 
 
 @query
@@ -246,7 +247,8 @@ def binned_accuracy(s, d):
 
 @query
 def class_summary(s, d):
-    return scored(s, d).groupBy("label").agg(F.count("*").alias("n"), r6(F.avg("score")).alias("mean"), r6(F.median("score")).alias("median"), r6(F.min("score")).alias("least"), r6(F.max("score")).alias("most"))
+    out = uncertainty.class_summary(scored(s, d), "label")
+    return out.select("label", "n", *[r6(c).alias(c) for c in ("mean", "median", "least", "most")])
 
 
 @query
@@ -391,7 +393,7 @@ def snake_balance(s, d):
 
 @query
 def first_fit(s, d):
-    rows = t(s, d, "documents").select("doc_id", F.least("n_chars", F.lit(8000)).alias("n"), F.floor(F.col("doc_id") / 50).alias("batch"))
+    rows = t(s, d, "documents").select("doc_id", F.col("n_chars").alias("n"), F.floor(F.col("doc_id") / 50).alias("batch"))
     return packing.first_fit_bins(rows, "batch", "doc_id", "n", 8000)
 
 
@@ -409,14 +411,16 @@ def char_budget_groups(s, d):
 @query
 def concat_blend(s, d):
     docs = t(s, d, "documents").select("doc_id", "source")
-    a, b = docs.filter("source = 'src1'").withColumn("from", F.lit("clean")), docs.filter("source = 'src2'").withColumn("from", F.lit("augment"))
+    clean = F.coalesce(F.col("source") == "src1", F.lit(False))
+    a, b = docs.filter(clean).withColumn("from", F.lit("clean")), docs.filter(~clean).withColumn("from", F.lit("augment"))
     return a.unionByName(b)
 
 
 @query
 def interleave(s, d):
     docs = t(s, d, "documents").select("doc_id", "source")
-    return curation.interleave([(docs.filter("source = 'src1'"), 0.7), (docs.filter("source = 'src2'"), 0.3)], "doc_id", 500)
+    first = F.coalesce(F.col("source") == "src1", F.lit(False))
+    return curation.interleave([(docs.filter(first), 0.7), (docs.filter(~first), 0.3)], "doc_id", docs.count())
 
 
 @query
@@ -440,7 +444,7 @@ def shingle_jaccard_pairs(s, d):
 
 @query
 def minhash_bands(s, d):
-    return neardup.bands(neardup.signatures(t(s, d, "documents"), "doc_id", "text", 32), "doc_id", 4, 8)
+    return neardup.bands(neardup.signatures(t(s, d, "documents"), "doc_id", "text"), "doc_id")
 
 
 @query
@@ -510,8 +514,7 @@ def adaptive_kl(s, d):
 
 @query
 def strategy_draw(s, d):
-    options = {"harder": 0.30, "rewrite": 0.20, "algebraize": 0.15, "apply": 0.15, "compose": 0.10, "competition": 0.10}
-    return curation.weighted_choice(t(s, d, "orders").select("o_orderkey", F.lit("apply").alias("last")), "o_orderkey", options, "last").groupBy("choice").agg(F.count("*").alias("n"))
+    return curation.weighted_choice(t(s, d, "orders").select("o_orderkey", F.lit("apply").alias("last")), "o_orderkey", tier_weights("easy"), "last").groupBy("choice").agg(F.count("*").alias("n"))
 
 
 @query
