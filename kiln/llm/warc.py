@@ -3,7 +3,8 @@
 A bundle is a run of independent Zstandard frames, each with whole WARC records, and a footer: a skippable frame with
 the seek table (compressed and plain size of every frame) of the seekable format. The index maps a record to its bundle,
 frame, and offset and length within the frame's plain bytes, so that a reader decompresses one frame. Bundles are rows
-of a table in the shared folder: Spark commits them, so a lost executor leaves nothing half-written.
+of a table in the shared folder: Spark commits them, so a lost executor leaves nothing half-written. Their names deal
+them to 256 shelves, folders of the table; fetch() reads the index of all and the content of the shelves it needs.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 8 << 20
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Payloads of fewer bytes are always stored.
 LEAST_PAYLOAD = 1000
-#: Rows with one payload are dealt to this many tasks.
-SALTS = 16
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -112,26 +111,27 @@ def plan(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     same = rows.filter(F.octet_length("payload") >= LEAST_PAYLOAD).groupBy("digest").agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).filter("n > 1 and stored is not null")
-    same = same.select("digest", "stored", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    known = rows.join(same, ["digest", "salt"], "left")
-    return known.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("stored")), F.col("stored")).alias("refers_to"))
+    # one payload may be a third of all rows: its rows are dealt to many tasks
+    known = C.spread_join(rows, same.select("digest", "stored"), "digest", by="page_id", how="left")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("stored")), F.col("stored")).alias("refers_to")
+    return known.select("page_id", "url", "payload", "digest", refers)
 
 
-BUNDLES = "bundle string, content binary, records array<struct<page_id: bigint, frame: int, at: int, length: int>>"
+BUNDLES = "bundle string, shelf string, content binary, records array<struct<page_id: bigint, frame: int, at: int, length: int>>"
 RECORDS = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("at", pa.int32()), ("length", pa.int32())]))
 
 
 def write(pages: DataFrame) -> DataFrame:
-    """Bundles of all pages, written to the shared folder: bundle, content (the file's bytes), records (its index).
+    """Bundles of all pages, written to the shared folder: bundle, content (the file's bytes), records (its index), shelf.
 
     Null html: an empty payload. Null url: an empty one. Null page_id: named null, never referred to; with equal payloads
-    it revisits the largest id. Rows that repeat the largest id are all responses. Empty table: no bundles.
+    it revisits the largest id. Rows that repeat the largest id are all responses. Very long html: a frame of its own.
+    Empty table: no bundles. Other columns, under any names, are not read.
     """
 
     def run(batches):
         bundle = Bundle()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([bundle.name]), pa.array([bundle.content()], pa.binary()), pa.array([bundle.index], RECORDS)], names=["bundle", "content", "records"])
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([bundle.name]), pa.array([bundle.name[:2]]), pa.array([bundle.content()], pa.binary()), pa.array([bundle.index], RECORDS)], names=["bundle", "shelf", "content", "records"])
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
                 bundle.add(row[0], record(*row))
@@ -141,11 +141,11 @@ def write(pages: DataFrame) -> DataFrame:
         if bundle.index:
             yield out()
 
-    return C.materialise(C.small_batches(plan(pages), 500).mapInArrow(run, BUNDLES), "warc")
+    return C.materialise(C.small_batches(plan(pages), 500).mapInArrow(run, BUNDLES), "warc", by="shelf")
 
 
 def index(bundles: DataFrame) -> DataFrame:
-    """page_id -> bundle, frame, offset and length in the frame."""
+    """page_id -> bundle, frame, offset and length in the frame. No bundles: no rows; null ids have rows too."""
     return bundles.select("bundle", F.explode("records").alias("r")).select("bundle", "r.*")
 
 
@@ -174,8 +174,12 @@ def read(bundles: DataFrame) -> DataFrame:
 
 
 def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The records of the page_ids in wanted: only frames that hold one are decompressed."""
+    """The records of the page_ids in wanted: only frames that hold one are decompressed, and only shelves that hold one
+    are read. Ids that no record has, and null ones, give no rows; an id that several records have gives them all."""
     at = index(bundles).join(wanted.select("page_id").distinct(), "page_id").groupBy("bundle").agg(F.collect_list(F.struct("page_id", "frame", "at", "length")).alias("records"))
+    at = C.materialise(at, "wanted")
+    shelves = [r[0] for r in at.select(F.substring("bundle", 1, 2)).distinct().collect()]  # 256 at most
+    held = bundles.filter(F.col("shelf").isin(shelves)).select("bundle", "content")
 
     def run(batches):
         for batch in batches:
@@ -184,4 +188,12 @@ def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
                 plain = {k: read_frame(content, frames[k]) for k in {r["frame"] for r in records}}
                 yield found_batch([parse(plain[r["frame"]][r["at"] : r["at"] + r["length"]]) for r in records])
 
-    return bundles.select("bundle", "content").join(at, "bundle").select("content", "records").mapInArrow(run, FOUND)
+    return held.join(at, "bundle").select("content", "records").mapInArrow(run, FOUND)
+
+
+def contradictions(found: DataFrame) -> DataFrame:
+    """Revisits of read() whose digest or length is not that of the response they refer to, or that refer to none."""
+    stored = found.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("length")).distinct()
+    both = C.spread_join(found.filter("record_type = 'revisit'").drop("payload"), stored.groupBy("refers_to").agg(F.collect_set(F.struct("digest", "length")).alias("of")), "refers_to", by="page_id", how="left")
+    same = F.exists("of", lambda x: (x["digest"] == F.col("payload_digest")) & (x["length"] == F.col("payload_bytes")))
+    return both.filter(~F.coalesce(same, F.lit(False))).drop("of")

@@ -86,7 +86,10 @@ def test_warc_round_trip(spark):
     assert by[4, "u"].record_type == by[5, "u"].record_type == by[6, "u"].record_type == "response" and by[6, "u"].payload_bytes == 0
     assert by[7, "a%20b"].refers_to == 8 and by[7, "a%20b"].payload_digest == hashlib.sha1(("é" * 900).encode()).hexdigest()
     assert sum(r.record_type == "response" for r in got if (r.page_id or 0) >= 100) == 1
-    found = warc.fetch(bundles, spark.createDataFrame([(4,), (399,), (999,)], "page_id long")).collect()
+    assert warc.contradictions(warc.read(bundles)).count() == 0
+    wrong = warc.read(bundles).withColumn("payload_digest", F.when(F.col("page_id") == 1, "0").otherwise(F.col("payload_digest")))
+    assert [r.page_id for r in warc.contradictions(wrong).collect()] == [1]
+    found = warc.fetch(bundles, spark.createDataFrame([(4,), (399,), (999,), (None,)], "page_id long")).collect()
     assert sorted((r.page_id, bytes(r.payload)[:4]) for r in found) == [(4, b"smal"), (399, b"copy")]
     assert warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
