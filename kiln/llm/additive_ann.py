@@ -112,7 +112,9 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col(vec_col)
     bad = F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     some = F.exists(v, lambda e: e != 0)
-    return df.filter(F.col(id_col).isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & some).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
+    return df.filter(
+        F.col(id_col).isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & some
+    ).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
 def matrix(column, d: int) -> np.ndarray:
@@ -127,16 +129,22 @@ def matrix(column, d: int) -> np.ndarray:
 def crowded_out(narrow: DataFrame, k: int) -> DataFrame:
     """(row) that can be in nobody's k nearest: rows of equal vectors behind k + 1 smaller ids, or k rows of their own id."""
     many = narrow.groupBy("name").agg(F.count("*").alias("c")).filter(F.col("c") > k).select("name")
-    crowd = C.spread_join(narrow, many, "name", by="vec_id").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(C.SALTS)))
+    crowd = C.spread_join(narrow, many, "name", by="vec_id").withColumn(
+        "salt", F.pmod(F.xxhash64("vec_id"), F.lit(C.SALTS))
+    )
     kept = crowd
     for keys in (["name", "salt"], ["name"]):  # a part of a crowd first, then what is left of it
         by = Window.partitionBy(*keys).orderBy("vec_id")
         own = Window.partitionBy(*keys, "vec_id").orderBy("row")
-        kept = kept.withColumn("ids", F.dense_rank().over(by)).withColumn("own", F.row_number().over(own)).filter((F.col("ids") <= k + 1) & (F.col("own") <= k))
+        kept = kept.withColumn("ids", F.dense_rank().over(by)).withColumn("own", F.row_number().over(own)).filter(
+            (F.col("ids") <= k + 1) & (F.col("own") <= k)
+        )
     return crowd.join(kept.select("row"), "row", "left_anti").select("row")
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, every: int = 20) -> DataFrame:
+def nearest(
+    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, every: int = 20
+) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, the k rows of largest inner product.
 
     score is the inner product of the stored vectors in double precision; ties go to the smaller id. All rows are indexed
@@ -167,16 +175,25 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
                 v = matrix(batch.column("v"), d)
                 codes, norms, slacks = encode(v, shipped.value)
                 raw = [r.tobytes() for r in v]
-                columns = [pa.array(np.arange(row, row + len(v))), batch.column("vec_id"), pa.array(raw, pa.binary()), pa.array([xxh3_128_digest(r) for r in raw], pa.binary())]
+                columns = [
+                    pa.array(np.arange(row, row + len(v))),
+                    batch.column("vec_id"),
+                    pa.array(raw, pa.binary()),
+                    pa.array([xxh3_128_digest(r) for r in raw], pa.binary()),
+                ]
                 columns += [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(slacks)]
                 row += len(v)
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "vec_id", "v", "name", "codes", "norm", "slack"])
+                yield pa.RecordBatch.from_arrays(
+                    columns, names=["row", "vec_id", "v", "name", "codes", "norm", "slack"]
+                )
 
     kind = "row long, vec_id long, v binary, name binary, codes binary, norm float, slack float"
     coded = C.materialise(C.small_batches(good, 2000).mapInArrow(C.lean_batches(code), kind), "codes")
     gone = crowded_out(coded.select("row", "vec_id", "name"), k)
     part = F.pmod(F.xxhash64("row"), F.lit(rows)).cast("int").alias("r")
-    left = coded.join(gone, "row", "left_anti").select("row", "vec_id", "codes", "norm", "slack", part, F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("q"))
+    left = coded.join(gone, "row", "left_anti").select(
+        "row", "vec_id", "codes", "norm", "slack", part, F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("q")
+    )
     queries = coded.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by("v", "row").alias("v"))
     queries = C.materialise(queries, "queries")
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asked)).cast("int").alias("q")
@@ -188,20 +205,35 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
             ids, row = rows_.column("vec_id").to_numpy(), rows_.column("row").to_numpy()
             codes = np.frombuffer(b"".join(rows_.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             norms, slacks = rows_.column("norm").to_numpy(), rows_.column("slack").to_numpy()
-            qid, q = queries_.column("vec_id").to_numpy(), np.frombuffer(b"".join(queries_.column("v").to_pylist())).reshape(-1, d)
+            qid, q = queries_.column("vec_id").to_numpy(), np.frombuffer(
+                b"".join(queries_.column("v").to_pylist())
+            ).reshape(-1, d)
             for i in range(0, len(qid), 64):
                 out += [(a, row[b], u, t) for a, b, u, t in survivors(qid[i : i + 64], q[i : i + 64], ids, codes, norms, slacks, shipped.value, k)]
         cat = lambda j, t: pa.array(np.concatenate([o[j] for o in out]) if out else np.zeros(0), t)
-        return pa.table({"query_id": cat(0, pa.int64()), "row": cat(1, pa.int64()), "upper": cat(2, pa.float32()), "bar": cat(3, pa.float32())})
-
-    met = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(C.lean_pair(meet), "query_id long, row long, upper float, bar float")
+        return pa.table(
+            {
+                "query_id": cat(0, pa.int64()),
+                "row": cat(1, pa.int64()),
+                "upper": cat(2, pa.float32()),
+                "bar": cat(3, pa.float32()),
+            }
+        )
+
+    met = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(
+        C.lean_pair(meet), "query_id long, row long, upper float, bar float"
+    )
     whole = Window.partitionBy("query_id")
-    kept = met.withColumn("best", F.max("bar").over(whole)).filter("upper >= best").withColumn("c", F.count("*").over(whole))
+    kept = met.withColumn(
+        "best", F.max("bar").over(whole)
+    ).filter("upper >= best").withColumn("c", F.count("*").over(whole))
     salt = F.pmod(F.xxhash64("row"), F.floor(F.col("c") / CANDIDATES) + 1)
     group = F.pmod(F.xxhash64("query_id"), F.lit(max(1, math.ceil(total / every / RANKED)))).cast("int").alias("g")
     kept = C.materialise(kept.select("query_id", "row", group, salt.cast("int").alias("s")), "survivors")
     pairs = kept.join(coded.select("row", "vec_id", "v"), "row")
-    whom = queries.withColumnRenamed("vec_id", "query_id").join(kept.select("query_id", F.col("g").alias("to"), F.col("s").alias("salt")).distinct(), "query_id")
+    whom = queries.withColumnRenamed("vec_id", "query_id").join(
+        kept.select("query_id", F.col("g").alias("to"), F.col("s").alias("salt")).distinct(), "query_id"
+    )
 
     def rank(key, pairs_, queries_):
         out = []
@@ -219,8 +251,17 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
         cat = lambda j, t: pa.array(np.concatenate([o[j] for o in out]) if out else np.zeros(0), t)
         return pa.table({"query_id": cat(0, pa.int64()), "vec_id": cat(1, pa.int64()), "score": cat(2, pa.float64())})
 
-    found = pairs.groupBy("g", "s").cogroup(whom.groupBy("to", "salt")).applyInArrow(C.lean_pair(rank), "query_id long, vec_id long, score double")
+    found = pairs.groupBy("g", "s").cogroup(whom.groupBy("to", "salt")).applyInArrow(
+        C.lean_pair(rank), "query_id long, vec_id long, score double"
+    )
     # each group sends k rows a query at most
-    ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k).alias("best"))
+    ranked = found.groupBy("query_id").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k).alias("best")
+    )
     ranked = ranked.select("query_id", F.posexplode("best").alias("at", "b"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.down")).alias("score"))
+    return ranked.select(
+        "query_id",
+        (F.col("at") + 1).cast("int").alias("rank"),
+        F.col("b.vec_id").alias("vec_id"),
+        (-F.col("b.down")).alias("score"),
+    )

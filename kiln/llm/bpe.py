@@ -43,7 +43,9 @@ class Vocabulary:
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: raw(t) for t, i in spec["model"]["vocab"].items() if t not in self.special} | {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of = {
+            i: raw(t) for t, i in spec["model"]["vocab"].items() if t not in self.special
+        } | {i: t.encode() for t, i in self.special.items()}
         self.id_of = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.rank = {}
         for n, pair in enumerate(spec["model"]["merges"]):
@@ -56,7 +58,9 @@ class Vocabulary:
         self.sizes = {k: (*sorted(v, reverse=True), 2, 1) for k, v in sizes.items()}
         self.size_of = {i: len(t) for i, t in self.bytes_of.items()}
         self.words = regex.compile(PATTERN)
-        self.splitter = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.splitter = regex.compile(
+            "(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")"
+        ) if self.special else None
         self.fits: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
 
@@ -149,7 +153,14 @@ class Vocabulary:
             self.kept.update(self.encode_words(new))
             table = self.kept
         look = table.__getitem__
-        out = [b"".join(chain.from_iterable((little_endian([special]),) if special is not None else map(look, words) for special, words in own)) for own in pieces]
+        out = [
+            b"".join(
+                chain.from_iterable(
+                    (little_endian([special]),) if special is not None else map(look, words) for special, words in own
+                )
+            )
+            for own in pieces
+        ]
         if table is not self.kept:
             self.kept = table if len(table) <= KEPT_WORDS else {}
         return out
@@ -199,9 +210,15 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         v = vocabulary(path)
         for batch in batches:
             ids = v.encode(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
+                names=["doc_id", "ids", "n_tokens"],
+            )
 
-    return C.small_batches(df, 1500).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(C.lean_batches(run, lambda: vocabulary(path).kept.clear()), f"doc_id {dict(df.dtypes)[id_col]}, ids binary, n_tokens long")
+    return C.small_batches(df, 1500).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        C.lean_batches(run, lambda: vocabulary(path).kept.clear()),
+        f"doc_id {dict(df.dtypes)[id_col]}, ids binary, n_tokens long",
+    )
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -210,18 +227,35 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(v.decode(batch.column("ids").to_pylist()), pa.string())], names=["doc_id", "ids", "n_tokens", "decoded"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(v.decode(batch.column("ids").to_pylist()), pa.string())],
+                names=["doc_id", "ids", "n_tokens", "decoded"],
+            )
 
-    return df.select("doc_id", "ids", "n_tokens").mapInArrow(C.lean_batches(run), f"doc_id {dict(df.dtypes)['doc_id']}, ids binary, n_tokens long, decoded string")
+    return df.select("doc_id", "ids", "n_tokens").mapInArrow(
+        C.lean_batches(run), f"doc_id {dict(df.dtypes)['doc_id']}, ids binary, n_tokens long, decoded string"
+    )
 
 
 def id_array(ids: str = "ids"):
     """Column: the ids as array<bigint>."""
     h = F.hex(F.col(ids))
-    return F.when(F.length(F.col(ids)) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), (F.length(F.col(ids)) / 4).cast("int") - 1), lambda i: F.conv(F.concat(*[F.substr(h, i * 8 + 1 + 2 * k, F.lit(2)) for k in (3, 2, 1, 0)]), 16, 10).cast("bigint")))
+    return F.when(F.length(F.col(ids)) == 0, F.array().cast("array<bigint>")).otherwise(
+        F.transform(
+            F.sequence(F.lit(0), (F.length(F.col(ids)) / 4).cast("int") - 1),
+            lambda i: F.conv(
+                F.concat(*[F.substr(h, i * 8 + 1 + 2 * k, F.lit(2)) for k in (3, 2, 1, 0)]), 16, 10
+            ).cast("bigint"),
+        )
+    )
 
 
 def round_trip(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes what was encoded."""
     both = decode(encode(df, path), path)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return both.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

@@ -66,7 +66,10 @@ def input_bytes(df: DataFrame) -> int:
     found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if found < UNKNOWN:
         return found
-    texts = [F.coalesce(F.sum(F.octet_length(F.col(f"`{f.name}`"))), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
+    texts = [
+        F.coalesce(F.sum(F.octet_length(F.col(f"`{f.name}`"))), F.lit(0)) for f in df.schema if f.dataType.typeName()
+        == "string"
+    ]
     return int(df.agg(sum(texts, F.count("*") * 8)).first()[0])
 
 
@@ -83,7 +86,9 @@ def bucketed(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     others = [c for c in df.columns if c not in (id_col, text_col)]
     b = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int")
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
-    dealt = df.select(b.alias("b"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
+    dealt = df.select(
+        b.alias("b"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest")
+    )
     return dealt.repartition(partitions(df.sparkSession), "b")
 
 
@@ -117,8 +122,12 @@ class Words:
         texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
         texts = texts.cast(pa.large_binary()).fill_null(b"")
         _, offsets, data = texts.buffers()
-        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+        at = np.frombuffer(offsets, np.int64)[
+            texts.offset : texts.offset + len(texts) + 1
+        ] if len(texts) else np.zeros(1, np.int64)
+        raw = np.frombuffer(
+            data, np.uint8
+        )[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
         at = at - at[0]
         self.raw = raw
         inner = ~SPACE[raw]
@@ -194,7 +203,10 @@ def to_blobs(b: int, part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Tab
     order = np.argsort(part, kind="stable")
     part = part[order]
     at = split_runs(part)
-    out = {"p": pa.array(part[at[:-1]].astype(np.int32), pa.int32()), "b": pa.array(np.full(len(at) - 1, b, dtype=np.int32), pa.int32())}
+    out = {
+        "p": pa.array(part[at[:-1]].astype(np.int32), pa.int32()),
+        "b": pa.array(np.full(len(at) - 1, b, dtype=np.int32), pa.int32()),
+    }
     for name, values in columns.items():
         values = values[order]
         out[name] = pa.array([values[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())

@@ -14,7 +14,9 @@ def _star(pairs: DataFrame, small: bool) -> DataFrame:
     least = own.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     linked = C.spread_join(own, least, "u", by="v")  # a hub may have a third of all nodes
     if small:
-        out = linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.filter("u <> m").select("u", F.col("m").alias("v")))
+        out = linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            least.filter("u <> m").select("u", F.col("m").alias("v"))
+        )
     else:
         out = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.filter("u <> v").distinct()
@@ -26,7 +28,11 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Edges stay distributed; each round is written to the shared folder, so lineage stays short. The number of rounds
     grows with the logarithm of the longest path. No edges: no rows.
     """
-    now = C.materialise(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), "edges", narrow=True)
+    now = C.materialise(
+        edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(),
+        "edges",
+        narrow=True,
+    )
     before = None
     while True:
         sign = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
@@ -37,4 +43,6 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         large = _star(both, small=False)
         now = C.materialise(_star(large, small=True), "edges", narrow=True)
         C.discard(old)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+    )

@@ -86,7 +86,9 @@ def nodes_of(k: int):
             new = [(node, i) for node, i in found.items() if node not in seen]
             seen.update(found)  # as many as a task has rows
             rows = pa.array([i for _, i in new], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in new], pa.int64()), text.take(rows)], names=["node", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([node for node, _ in new], pa.int64()), text.take(rows)], names=["node", "text"]
+            )
 
     return run
 
@@ -147,7 +149,9 @@ def tally(key, tbl):
         if many.any():
             out.append((b, packed(own[many]), df[many].astype(np.uint32).tobytes()))
     kinds = (pa.int32(), pa.binary(), pa.binary())
-    return pa.table({name: pa.array([x[c] for x in out], t) for c, (name, t) in enumerate(zip(("b", "grams", "times"), kinds))})
+    return pa.table(
+        {name: pa.array([x[c] for x in out], t) for c, (name, t) in enumerate(zip(("b", "grams", "times"), kinds))}
+    )
 
 
 def ordered(own: np.ndarray, grams: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +167,9 @@ def ordered(own: np.ndarray, grams: np.ndarray, times: np.ndarray) -> tuple[np.n
 
 BITS = 2048
 PREFIX = pa.schema([
-    ("h", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("own", pa.int32()), ("df", pa.int64()),
+    ("h", pa.int64()), (
+        "node", pa.int64()
+    ), ("n", pa.int32()), ("pos", pa.int32()), ("own", pa.int32()), ("df", pa.int64()),
     ("signature", pa.list_(pa.int64())), ("members", pa.binary()),
 ])
 
@@ -203,7 +209,12 @@ def prefixes(k: int, percent: int):
         m = len(kept)
         rows = [pa.array(cat(columns[c]).astype(PREFIX.field(c).type.to_pandas_dtype())) for c in columns]
         rows += [pa.nulls(len(rows[0]), PREFIX.field(c).type) for c in ("signature", "members")]
-        whole = {"node": [x[0] for x in kept], "n": [x[1] for x in kept], "signature": [x[2] for x in kept], "members": [x[3] for x in kept]}
+        whole = {
+            "node": [x[0] for x in kept],
+            "n": [x[1] for x in kept],
+            "signature": [x[2] for x in kept],
+            "members": [x[3] for x in kept],
+        }
         sets = [pa.array(whole[f.name], f.type) if f.name in whole else pa.nulls(m, f.type) for f in PREFIX]
         return pa.concat_tables([pa.table(rows, schema=PREFIX), pa.table(sets, schema=PREFIX)])
 
@@ -229,7 +240,10 @@ def may_link(x: str, y: str):
 def near_enough(x: str, y: str, percent: int):
     """Suffix filter for two nodes."""
     nx, ny = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
-    apart = sum((F.bit_count(F.col(f"{x}.signature")[i].bitwiseXOR(F.col(f"{y}.signature")[i])) for i in range(BITS // 64)), F.lit(0))
+    apart = sum(
+        (F.bit_count(F.col(f"{x}.signature")[i].bitwiseXOR(F.col(f"{y}.signature")[i])) for i in range(BITS // 64)),
+        F.lit(0),
+    )
     return apart <= nx + ny - 2 * overlap(nx, ny, percent)
 
 
@@ -247,7 +261,9 @@ def verify(percent: int):
                 both = int((hub[np.minimum(np.searchsorted(hub, members), len(hub) - 1)] == members).sum())
                 if node != x and 100 * both >= percent * (len(hub) + len(members) - both):
                     found.append((x, node))
-        return pa.table({"x": pa.array([f[0] for f in found], pa.int64()), "y": pa.array([f[1] for f in found], pa.int64())})
+        return pa.table(
+            {"x": pa.array([f[0] for f in found], pa.int64()), "y": pa.array([f[1] for f in found], pa.int64())}
+        )
 
     return run
 
@@ -256,16 +272,26 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataF
     """Those of pairs (x: hub, y) that link. A hub with many partners is split over several groups of rows."""
     pairs = C.materialise(pairs, "pairs", narrow=True)
     shares = pairs.groupBy("x").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("shares"))
-    dealt = pairs.join(shares, "x").select("x", F.pmod(F.xxhash64("y"), F.col("shares")).cast("int").alias("share"), F.col("y").alias("node"))
-    hubs = shares.select("x", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("x").alias("node"))
+    dealt = pairs.join(shares, "x").select(
+        "x", F.pmod(F.xxhash64("y"), F.col("shares")).cast("int").alias("share"), F.col("y").alias("node")
+    )
+    hubs = shares.select(
+        "x", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("x").alias("node")
+    )
     wanted = C.materialise(dealt.unionByName(hubs), "wanted", narrow=True)
-    whole = wanted.join(sets.select("node", "members"), "node").withColumn("g", F.pmod(F.xxhash64("x", "share"), F.lit(parts * 4)))
-    links = C.materialise(whole.groupBy("g").applyInArrow(C.lean_group(verify(percent)), "x long, y long"), "links", narrow=True)
+    whole = wanted.join(sets.select("node", "members"), "node").withColumn(
+        "g", F.pmod(F.xxhash64("x", "share"), F.lit(parts * 4))
+    )
+    links = C.materialise(
+        whole.groupBy("g").applyInArrow(C.lean_group(verify(percent)), "x long, y long"), "links", narrow=True
+    )
     C.discard(pairs, wanted)
     return links
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def similar_groups(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
+) -> DataFrame:
     """A row per row of df: doc_id, n_shingles, component_id.
 
     Words are lower-cased (A-Z only). A set holds the distinct k-word shingles of the whole text; a text of fewer words
@@ -275,7 +301,11 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Empty table: no rows. Other columns are not read.
     """
     found = grouped(df, id_col, text_col, k, percent)
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
 
 
 def row_key(id_col: str, text_col: str):
@@ -297,7 +327,9 @@ def each_gram(rows: DataFrame, *found) -> DataFrame:
 def starred(rows: DataFrame) -> DataFrame:
     """(y, x, count): every node y of an n-gram with its hub x, the node with fewest n-grams of its own, where they may link."""
     hubs = each_gram(rows, F.min(F.struct("own", "n", "node", "most")).alias("s"))
-    both = dealt(rows).join(hubs, ["h", "salt"]).filter("node <> s.node").select(F.struct("n", "node", "most").alias("r"), "s")
+    both = dealt(rows).join(hubs, ["h", "salt"]).filter("node <> s.node").select(
+        F.struct("n", "node", "most").alias("r"), "s"
+    )
     return both.filter(may_link("r", "s")).groupBy(F.col("r.node").alias("y"), F.col("s.node").alias("x")).count()
 
 
@@ -310,7 +342,9 @@ def climbed(parents: DataFrame) -> DataFrame:
     up = C.materialise(parents, "parents", narrow=True)
     for _ in range(CLIMBS):
         higher = up.toDF("label", "higher")
-        next_ = C.spread_join(up, higher, "label", by="node", how="left").select("node", F.coalesce("higher", "label").alias("label"))
+        next_ = C.spread_join(up, higher, "label", by="node", how="left").select(
+            "node", F.coalesce("higher", "label").alias("label")
+        )
         next_ = C.materialise(next_, "parents", narrow=True)  # each round names the table three times: plans would grow as 3 to the rounds
         C.discard(up)
         up = next_
@@ -342,11 +376,15 @@ def undecided(rows: DataFrame) -> DataFrame:
     asked = asking.groupBy("h", "cell").agg(F.first("df").alias("df"), *bounds)
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("df") / HOT))).alias("salt")
     asked = asked.select("h", "cell", "low", "high", "a", "z", salts)
-    heard = homes.join(asked, ["h", "cell", "salt"]).filter("low <= most and n <= high and not (a = label and z = label)")
+    heard = homes.join(asked, ["h", "cell", "salt"]).filter(
+        "low <= most and n <= high and not (a = label and z = label)"
+    )
     heard = heard.select("h", "cell", "salt", F.struct("node", "n", "most", "label").alias("y"))
     asking = asking.select("h", "cell", F.struct("node", "n", "most", "label").alias("x"), salts)
     once = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))
-    pairs = asking.join(heard, ["h", "cell", "salt"]).filter(once & (F.col("x.label") != F.col("y.label")) & may_link("x", "y"))
+    pairs = asking.join(heard, ["h", "cell", "salt"]).filter(
+        once & (F.col("x.label") != F.col("y.label")) & may_link("x", "y")
+    )
     return pairs.select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y")).distinct()
 
 
@@ -359,7 +397,9 @@ def grouped(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
     known = C.small_batches(plain).mapInArrow(C.lean_batches(describe(k)), "key long, doc_id long, node long, n long")
     known = C.materialise(known, "nodes")
     nodes = C.small_batches(df.select(text)).mapInArrow(C.lean_batches(nodes_of(k)), "node long, text string")
-    nodes = nodes.withColumn("b", F.pmod("node", F.lit(n)).cast("int")).repartition(C.partitions(spark), "b").dropDuplicates(["b", "node"])
+    nodes = nodes.withColumn(
+        "b", F.pmod("node", F.lit(n)).cast("int")
+    ).repartition(C.partitions(spark), "b").dropDuplicates(["b", "node"])
     counts = nodes.groupBy("b").applyInArrow(C.lean_group(census(k, parts)), "p int, b int, grams binary, times binary")
     answer = counts.groupBy("p").applyInArrow(C.lean_group(tally), "b int, grams binary, times binary")
     kind = "h long, node long, n int, pos int, own int, df long, signature array<bigint>, members binary"
@@ -374,18 +414,24 @@ def grouped(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
         near = pairs.join(side("x"), "x").join(side("y"), "y").filter(near_enough("of_x", "of_y", percent))
         return linked(near.select("x", "y"), sets, percent, parts)
 
-    best = starred(rows).groupBy("y").agg(F.max(F.struct("count", "x")).alias("best")).select(F.col("best.x").alias("x"), "y")
+    best = starred(rows).groupBy("y").agg(
+        F.max(F.struct("count", "x")).alias("best")
+    ).select(F.col("best.x").alias("x"), "y")
     links = [checked(best)]
     labels = climbed(links[0].select(F.col("y").alias("node"), F.col("x").alias("label")))
     mixed = C.materialise(labelled(rows, labels), "mixed", narrow=True)
-    one = mixed.groupBy("h", "label").agg(F.min(F.struct("own", "n", "node", "most", "df")).alias("r")).select("h", "r.*", "label")
+    one = mixed.groupBy("h", "label").agg(
+        F.min(F.struct("own", "n", "node", "most", "df")).alias("r")
+    ).select("h", "r.*", "label")
     of = one.select("node", "label").distinct()
     links.append(checked(starred(one).select("x", "y")))
     # a component joins the least of those that it is linked with
     hooks = links[1].join(of.toDF("x", "a"), "x").join(of.toDF("y", "b"), "y").filter("a <> b")
     hooks = hooks.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))
     higher = climbed(hooks).toDF("label", "top")
-    again = C.spread_join(mixed, higher, "label", by="node", how="left").withColumn("label", F.coalesce("top", "label")).drop("top")
+    again = C.spread_join(
+        mixed, higher, "label", by="node", how="left"
+    ).withColumn("label", F.coalesce("top", "label")).drop("top")
     again = C.materialise(again, "again", narrow=True)
     left = C.materialise(split_grams(again), "left", narrow=True)
     links.append(checked(undecided(left)))
@@ -395,14 +441,18 @@ def grouped(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
     labels = labels_
 
     least = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
-    least = C.materialise(least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "least", narrow=True)
+    least = C.materialise(
+        least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "least", narrow=True
+    )
     whole = least.groupBy("label").agg(F.min("low").alias("component_id"))
     named = C.spread_join(least, whole, "label", by="node").select("node", "label", "component_id")
     named = named.unionByName(spark.createDataFrame([(-1, None, None)], "node long, label long, component_id long"))  # no words
     return C.spread_join(known, named, "node", by="key").select("key", "doc_id", "node", "n", "label", "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def one_of_each(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
+) -> DataFrame:
     """df without near copies: of each group one row stays, that with the smallest id.
 
     Null ids come last, so a group keeps one of them only if it has no other. Rows that repeat an id stand for
@@ -411,13 +461,21 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     empty text) stay. Empty table: no rows. Columns may have any names; all stay.
     """
     found = grouped(df, id_col, text_col, k, percent).filter("n > 0")
-    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
+    first = found.groupBy("label").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
+    )
     stay = first.select(F.col("first.key").alias("__key"))
     words = F.regexp_like(C.null_safe_text(F.col(text_col)), F.lit(C.WORD))
     columns = [F.col(f"`{c}`") for c in df.columns]
     # the row travels as one struct, so its columns may have any names
-    rows = df.filter(words).select(F.struct(*columns).alias("__row"), row_key(id_col, text_col).alias("__key"), F.xxhash64(*columns).alias("__order"))
+    rows = df.filter(words).select(
+        F.struct(*columns).alias("__row"),
+        row_key(id_col, text_col).alias("__key"),
+        F.xxhash64(*columns).alias("__order"),
+    )
     rows = rows.join(stay, "__key", "left_semi")
-    once = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__key").orderBy("__order"))).filter("__place = 1")
+    once = rows.withColumn(
+        "__place", F.row_number().over(Window.partitionBy("__key").orderBy("__order"))
+    ).filter("__place = 1")
     once = once.select(*[F.col(f"__row.`{c}`").alias(c) for c in df.columns])
     return once.unionByName(df.filter(~words))

@@ -33,7 +33,9 @@ class Notice:
     def __init__(self, phrase: str, label: str, edits: int):
         self.phrase, self.label, self.edits = phrase.encode(), label, edits
         self.seeds = seeds(self.phrase, edits)
-        self.match = regex.compile(b"(?e)\\b(?:" + regex.escape(self.phrase, special_only=True) + b"){e<=%d}(?![0-9a-z])" % edits)
+        self.match = regex.compile(
+            b"(?e)\\b(?:" + regex.escape(self.phrase, special_only=True) + b"){e<=%d}(?![0-9a-z])" % edits
+        )
 
     def spans(self, line: bytes, places: list[int]) -> list[tuple[int, int, int]]:
         """(begin, end, edits) of the notice in the windows around the places, from left to right, without overlaps."""
@@ -102,13 +104,49 @@ def scan_text(text: str | None) -> dict:
     for i, places in candidate_places(line).items():
         notice = SEARCHES[i]
         for begin, end, edits in notice.spans(line, places):
-            spans.append({"label": notice.label, "begin": begin - 1, "end": end - 1, "edits": edits, "score": 1 - edits / len(notice.phrase)})
+            spans.append(
+                {
+                    "label": notice.label,
+                    "begin": begin - 1,
+                    "end": end - 1,
+                    "edits": edits,
+                    "score": 1 - edits / len(notice.phrase),
+                }
+            )
     spans.sort(key=lambda s: (s["begin"], s["end"], s["label"]))
     own = sorted({label for _, label in base})
-    return {"n_words": len(words), "n_base": len(base), "first_word": min((i for i, _ in base), default=None), "last_word": max((i for i, _ in base), default=None), "base_labels": ",".join(own), "labels": ",".join(sorted({*own, *(s["label"] for s in spans)})), "score": 1.0 if base else max((s["score"] for s in spans), default=0.0), "spans": spans}
-
-
-TYPES = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": pa.list_(pa.struct([("label", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("score", pa.float64())]))}
+    return {
+        "n_words": len(words),
+        "n_base": len(base),
+        "first_word": min((i for i, _ in base), default=None),
+        "last_word": max((i for i, _ in base), default=None),
+        "base_labels": ",".join(own),
+        "labels": ",".join(sorted({*own, *(s["label"] for s in spans)})),
+        "score": 1.0 if base else max((s["score"] for s in spans), default=0.0),
+        "spans": spans,
+    }
+
+
+TYPES = {
+    "n_words": pa.int64(),
+    "n_base": pa.int64(),
+    "first_word": pa.int64(),
+    "last_word": pa.int64(),
+    "base_labels": pa.string(),
+    "labels": pa.string(),
+    "score": pa.float64(),
+    "spans": pa.list_(
+        pa.struct(
+            [
+                ("label", pa.string()),
+                ("begin", pa.int32()),
+                ("end", pa.int32()),
+                ("edits", pa.int32()),
+                ("score", pa.float64()),
+            ]
+        )
+    ),
+}
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,7 +160,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     def run(batches):
         for batch in batches:
             found = [scan_text(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([f[k] for f in found], t) for k, t in TYPES.items())], names=["doc_id", *TYPES])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array([f[k] for f in found], t) for k, t in TYPES.items())],
+                names=["doc_id", *TYPES],
+            )
 
     kind = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, begin: int, end: int, edits: int, score: double>>"
-    return C.small_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {dict(df.dtypes)[id_col]}, {kind}")
+    return C.small_batches(df).select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
+    ).mapInArrow(run, f"doc_id {dict(df.dtypes)[id_col]}, {kind}")

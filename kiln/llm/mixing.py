@@ -54,19 +54,29 @@ def permuted(k: Column, n: Column, key: Column) -> Column:
 
         def half(s: Column, i: Column) -> Column:
             even = i % 2 == 0
-            drawn = let(F.struct(F.when(even, s["right"]).otherwise(s["left"]).alias("v"), (key + i).alias("k")), lambda x: draw(x["v"], x["k"]))
+            drawn = let(
+                F.struct(F.when(even, s["right"]).otherwise(s["left"]).alias("v"), (key + i).alias("k")),
+                lambda x: draw(x["v"], x["k"]),
+            )
             left = F.when(even, (s["left"] + drawn) % wide).otherwise(s["left"])
-            return F.struct(left.alias("left"), F.when(even, s["right"]).otherwise((s["right"] + drawn) % high).alias("right"))
+            return F.struct(
+                left.alias("left"), F.when(even, s["right"]).otherwise((s["right"] + drawn) % high).alias("right")
+            )
 
         def turn(x: Column) -> Column:
             start = F.struct(F.floor(x / high).alias("left"), (x % high).alias("right"))
-            return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, half, lambda s: s["left"] * high + s["right"])
+            return F.aggregate(
+                F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, half, lambda s: s["left"] * high + s["right"]
+            )
 
         step = lambda x, i: F.when((i > 0) & (x < n), x).otherwise(turn(x))
         return F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), k.cast("long"), step)
 
     found = let(F.struct(wide.alias("wide"), F.ceil(n / wide).alias("high")), walked)
-    return let(found, lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a permutation's walk did not end")).cast("long")))
+    return let(
+        found,
+        lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a permutation's walk did not end")).cast("long")),
+    )
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -80,31 +90,55 @@ def targets(rows: DataFrame) -> DataFrame:
     everything = Window.partitionBy()
     src = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     src = src.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("rank") % len(WEIGHTS) + 1))
-    src = src.withColumn("most", F.col("source_size") * MOST).withColumn("asked", F.sum("source_size").over(everything) * F.lit(SHARE))
+    src = src.withColumn("most", F.col("source_size") * MOST).withColumn(
+        "asked", F.sum("source_size").over(everything) * F.lit(SHARE)
+    )
     by_ratio = Window.orderBy(F.col("most") / F.col("weight"), "rank")
     full = F.coalesce(F.sum("most").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     open_weight = F.sum("weight").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     src = src.withColumn("level", (F.col("asked") - full) / open_weight)
-    src = src.withColumn("target", F.least(F.col("most").cast("double"), F.max("level").over(everything) * F.col("weight")))
-    src = src.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK)).withColumn("words", F.floor(F.col("target") + 0.5))
-    src = src.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0))
+    src = src.withColumn(
+        "target", F.least(F.col("most").cast("double"), F.max("level").over(everything) * F.col("weight"))
+    )
+    src = src.withColumn(
+        "blocks", F.ceil(F.col("source_size") / BLOCK)
+    ).withColumn("words", F.floor(F.col("target") + 0.5))
+    src = src.withColumn(
+        "passes", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0)
+    )
     src = src.withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
     src = src.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / BLOCK))
     src = src.withColumn("parts", F.ceil(F.col("n_rows") / PART_ROWS))
-    return src.select(F.col("rank").cast("long").alias("rank"), "source", "source_size", "target", "blocks", "passes", "rest", "slots", "parts")
+    return src.select(
+        F.col("rank").cast("long").alias("rank"),
+        "source",
+        "source_size",
+        "target",
+        "blocks",
+        "passes",
+        "rest",
+        "slots",
+        "parts",
+    )
 
 
 def numbered(src: DataFrame, count: str) -> DataFrame:
     """src with `number` from 0 to count - 1, a row each, made by many tasks."""
-    chunks = src.filter(F.col(count) > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK))))
+    chunks = src.filter(F.col(count) > 0).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK)))
+    )
     last = F.least(F.col(count), (F.col("chunk") + 1) * CHUNK) - 1
-    return chunks.repartition("rank", "chunk").withColumn("number", F.explode(F.sequence(F.col("chunk") * CHUNK, last))).drop("chunk")
+    return chunks.repartition("rank", "chunk").withColumn(
+        "number", F.explode(F.sequence(F.col("chunk") * CHUNK, last))
+    ).drop("chunk")
 
 
 def shard_counts(src: DataFrame, seed: int = 0, shards: int = SHARDS) -> DataFrame:
     """(rank, shard, n, first): each shard's multinomial count of a source's slots, and the first of its slot numbers."""
     shard = draw(F.col("number"), key_of(F.col("rank"), F.lit(0), seed)) % shards
-    drawn = numbered(src, "slots").select("rank", shard.cast("int").alias("shard")).groupBy("rank", "shard").agg(F.count("*").alias("n"))
+    drawn = numbered(src, "slots").select(
+        "rank", shard.cast("int").alias("shard")
+    ).groupBy("rank", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # `shards` rows a source
     return drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
@@ -113,7 +147,9 @@ def slots(src: DataFrame, seed: int = 0, shards: int = SHARDS) -> DataFrame:
     """A row for each slot: rank, shard, slot, pass, block, take (words from the block's start)."""
     counts = shard_counts(src, seed, shards).join(src.select("rank", "blocks", "passes", "rest"), "rank")
     each = numbered(counts, "n").withColumn("slot", F.col("first") + F.col("number"))
-    each = each.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("k", F.col("slot") % F.col("blocks"))
+    each = each.withColumn(
+        "pass", F.floor(F.col("slot") / F.col("blocks"))
+    ).withColumn("k", F.col("slot") % F.col("blocks"))
     block = permuted(F.col("k"), F.col("blocks"), key_of(F.col("rank"), F.col("pass") + 1, seed))
     whole = F.lit(BLOCK).cast("long")
     take = F.when(F.col("pass") < F.col("passes"), whole).otherwise(F.least(whole, F.col("rest") - F.col("k") * BLOCK))
@@ -136,7 +172,9 @@ def packed(rows: DataFrame, src: DataFrame) -> DataFrame:
     rows = rows.withColumn("part", part).drop("parts")
     totals = rows.groupBy("rank", "part").agg(F.sum("size").alias("part_words"))
     before = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("rank", "part", F.coalesce(F.sum("part_words").over(before), F.lit(0)).alias("words_before"))
+    offsets = totals.select(
+        "rank", "part", F.coalesce(F.sum("part_words").over(before), F.lit(0)).alias("words_before")
+    )
     within = Window.partitionBy("rank", "part").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("run", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = rows.join(offsets.hint("merge"), ["rank", "part"])
@@ -149,10 +187,19 @@ def taken_pieces(placed: DataFrame, src: DataFrame, seed: int = 0) -> DataFrame:
     blocks = F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK)))
     pieces = placed.filter("size > 0").select("rank", "start", "size", blocks.alias("block"))
     low, high = F.greatest(F.col("start"), F.col("block") * BLOCK), F.least(end, (F.col("block") + 1) * BLOCK)
-    pieces = pieces.select("rank", "block", "start", (low - F.col("block") * BLOCK).alias("at"), (low - F.col("start")).alias("first"), (high - low).alias("length"))
+    pieces = pieces.select(
+        "rank",
+        "block",
+        "start",
+        (low - F.col("block") * BLOCK).alias("at"),
+        (low - F.col("start")).alias("first"),
+        (high - low).alias("length"),
+    )
     out = pieces.join(slots(src, seed).hint("merge"), ["rank", "block"])
     words = F.least(F.col("length"), F.col("take") - F.col("at"))
-    return out.withColumn("words", words).filter("words > 0").select("rank", "start", "shard", "slot", "pass", "first", "words")
+    return out.withColumn("words", words).filter("words > 0").select(
+        "rank", "start", "shard", "slot", "pass", "first", "words"
+    )
 
 
 def mix(df: DataFrame, seed: int = 0) -> DataFrame:
@@ -169,7 +216,14 @@ def mix(df: DataFrame, seed: int = 0) -> DataFrame:
     taken = taken_pieces(placed, src, seed).groupBy("rank", "start").agg(F.sum("words").alias("taken"), shards)
     same = (F.col("d.rank") == F.col("t.rank")) & (F.col("d.start") == F.col("t.start")) & (F.col("d.size") > 0)
     named = placed.alias("d").join(taken.hint("merge").alias("t"), same, "left")
-    return named.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))
+    return named.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce("shards", F.lit("")).alias("shards"),
+    )
 
 
 def mixed_documents(df: DataFrame, seed: int = 0, shard: str | None = None) -> DataFrame:
@@ -181,7 +235,12 @@ def mixed_documents(df: DataFrame, seed: int = 0, shard: str | None = None) -> D
     source of its own. Repeated rows: each has words of its own. Empty table: no rows. Reruns agree.
     """
     names = df.columns
-    wide = df.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), word_count(F.col("text")).alias("size"))
+    wide = df.select(
+        "doc_id",
+        "source",
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+        word_count(F.col("text")).alias("size"),
+    )
     src = C.materialise(targets(wide.select("source", "size")), "targets", narrow=True)
     placed = packed(wide, src)
     thin = packed(wide.drop("row"), src)
@@ -189,7 +248,9 @@ def mixed_documents(df: DataFrame, seed: int = 0, shard: str | None = None) -> D
     taken = taken_pieces(thin, src, seed).groupBy("rank", "start", "pass").agg(F.sum("words").alias("taken"), pieces)
     both = placed.join(taken.hint("merge"), ["rank", "start"]).filter("size > 0")
     words = F.regexp_extract_all(F.col("row.text"), F.lit(C.WORD), F.lit(0))
-    cut = lambda w: F.flatten(F.transform("pieces", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int"))))
+    cut = lambda w: F.flatten(
+        F.transform("pieces", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))
+    )
     # the array of one keeps the words from being split anew for every piece
     some = F.get(F.transform(F.array(words), lambda w: F.array_join(cut(w), " ")), F.lit(0))
     text = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(some)

@@ -90,7 +90,12 @@ def pack(payload: bytes, n_bytes: int) -> bytes:
         at += size
     toc = bytes(min(255, 256 * ends[count * i // 100] // total) for i in range(100))
     table = b"Xing" + struct.pack(">III", 7, count, total + LOW[1]) + toc
-    parts = [tag({"n_bytes": str(n_bytes), "sha256": hashlib.sha256(payload).hexdigest()}), LOW[0], table, bytes(LOW[1] - len(LOW[0]) - len(table))]
+    parts = [
+        tag({"n_bytes": str(n_bytes), "sha256": hashlib.sha256(payload).hexdigest()}),
+        LOW[0],
+        table,
+        bytes(LOW[1] - len(LOW[0]) - len(table)),
+    ]
     for i, (start, _) in enumerate(starts):
         parts += (start, payload[i * UNIT : i * UNIT + UNIT], FILL[start])
     return b"".join(parts)
@@ -149,11 +154,15 @@ def rate_table(frame: bytes, data: int) -> dict | None:
     Xing and Info tables stand behind the side information (data), VBRI tables 36 bytes into the frame.
     """
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
-        delay, total, frames, entries, _, width = (number(frame[i:j]) for i, j in ((42, 44), (46, 50), (50, 54), (54, 56), (56, 58), (58, 60)))
+        delay, total, frames, entries, _, width = (
+            number(frame[i:j]) for i, j in ((42, 44), (46, 50), (50, 54), (54, 56), (56, 58), (58, 60))
+        )
         return {"frames": frames, "bytes": total, "toc": frame[62 : 62 + entries * width], "delay": delay, "padding": 0}
     if frame[data : data + 4] not in (b"Xing", b"Info"):
         return None
-    flags, at, out = number(frame[data + 4 : data + 8]), data + 8, {"frames": None, "bytes": None, "toc": None, "delay": 0, "padding": 0}
+    flags, at, out = number(frame[data + 4 : data + 8]), data + 8, {
+        "frames": None, "bytes": None, "toc": None, "delay": 0, "padding": 0
+    }
     for bit, name, n in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100), (8, None, 4)):
         if flags & bit:
             raw = frame[at : at + n]
@@ -186,7 +195,9 @@ def parse(stream: bytes) -> dict:
     while at + 4 <= end:
         info = header_info(stream[at : at + 4]) if stream[at] == 255 else None
         behind = at + info[0] if info else 0
-        if not info or behind > end or not synced and behind + 4 <= end and not header_info(stream[behind : behind + 4]):
+        if not info or behind > end or not synced and behind + 4 <= end and not header_info(
+            stream[behind : behind + 4]
+        ):
             following = stream.find(b"\xff", at + 1, end)
             following = end if following < 0 else following
             skipped += following - at
@@ -219,8 +230,21 @@ def parse(stream: bytes) -> dict:
         samples = max(0, samples - table["delay"] - table["padding"])
     payload = b"".join(parts)
     intact = hashlib.sha256(payload).hexdigest() == fields["sha256"] if "sha256" in fields else None
-    out = {"frames": len(offsets), "samples": samples, "hertz": hertz, "seconds": samples / hertz if hertz else 0.0, "offsets": offsets, "fields": fields}
-    return out | {"table": table, "skipped": skipped + max(0, end - max(at, 0)), "failed": failed, "payload": payload, "intact": intact}
+    out = {
+        "frames": len(offsets),
+        "samples": samples,
+        "hertz": hertz,
+        "seconds": samples / hertz if hertz else 0.0,
+        "offsets": offsets,
+        "fields": fields,
+    }
+    return out | {
+        "table": table,
+        "skipped": skipped + max(0, end - max(at, 0)),
+        "failed": failed,
+        "payload": payload,
+        "intact": intact,
+    }
 
 
 def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,12 +258,30 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
                 raw = [(t or "").encode() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([pack(padded(r), len(r)) for r in raw], pa.binary())], names=["doc_id", "media"])
-
-    return C.small_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {dict(df.dtypes)[id_col]}, media binary")
-
-
-FOUND = {"frames": pa.int64(), "samples": pa.int64(), "hertz": pa.int64(), "seconds": pa.float64(), "offsets": pa.list_(pa.int64()), "table_frames": pa.int64(), "toc": pa.binary(), "skipped": pa.int64(), "failed": pa.int64(), "n_bytes": pa.int64(), "intact": pa.bool_(), "payload": pa.binary()}
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([pack(padded(r), len(r)) for r in raw], pa.binary())],
+                    names=["doc_id", "media"],
+                )
+
+    return C.small_batches(df).select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
+    ).mapInArrow(run, f"doc_id {dict(df.dtypes)[id_col]}, media binary")
+
+
+FOUND = {
+    "frames": pa.int64(),
+    "samples": pa.int64(),
+    "hertz": pa.int64(),
+    "seconds": pa.float64(),
+    "offsets": pa.list_(pa.int64()),
+    "table_frames": pa.int64(),
+    "toc": pa.binary(),
+    "skipped": pa.int64(),
+    "failed": pa.int64(),
+    "n_bytes": pa.int64(),
+    "intact": pa.bool_(),
+    "payload": pa.binary(),
+}
 
 
 def probe(df: DataFrame) -> DataFrame:
@@ -254,8 +296,21 @@ def probe(df: DataFrame) -> DataFrame:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
                 found = [parse(m or b"") for m in part.column("media").to_pylist()]
                 for f in found:
-                    f |= {"n_bytes": int(f["fields"]["n_bytes"]) if f["fields"].get("n_bytes", "").isdecimal() else None, "table_frames": f["table"]["frames"] if f["table"] else None, "toc": f["table"]["toc"] if f["table"] else None}
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("media"), *(pa.array([f[k] for f in found], t) for k, t in FOUND.items())], names=["doc_id", "media", *FOUND])
+                    f |= {
+                        "n_bytes": int(f["fields"]["n_bytes"]) if f["fields"].get("n_bytes", "").isdecimal() else None,
+                        "table_frames": f["table"]["frames"] if f["table"] else None,
+                        "toc": f["table"]["toc"] if f["table"] else None,
+                    }
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        part.column("media"),
+                        *(pa.array([f[k] for f in found], t) for k, t in FOUND.items()),
+                    ],
+                    names=["doc_id", "media", *FOUND],
+                )
 
     kind = "frames long, samples long, hertz long, seconds double, offsets array<bigint>, table_frames long, toc binary, skipped long, failed long, n_bytes long, intact boolean, payload binary"
-    return C.small_batches(df).select("doc_id", "media").mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, media binary, {kind}")
+    return C.small_batches(df).select("doc_id", "media").mapInArrow(
+        run, f"doc_id {dict(df.dtypes)['doc_id']}, media binary, {kind}"
+    )

@@ -49,7 +49,17 @@ def features(text: str | None) -> list[float]:
     same = sum(map(operator.eq, words, islice(words, 1, None))) / m
     pairs = list(zip(words, islice(words, 1, None)))
     lines = raw.split(b"\n")
-    return [*share, math.sqrt(same), len(set(words)) / m, len(set(pairs)) / max(1, len(pairs)), len(set(lines)) / len(lines), math.log1p(m) / 10, n / m / 10, math.log1p(n / len(lines)) / 10, math.sqrt(sum(len(w) == 1 for w in words) / m)]
+    return [
+        *share,
+        math.sqrt(same),
+        len(set(words)) / m,
+        len(set(pairs)) / max(1, len(pairs)),
+        len(set(lines)) / len(lines),
+        math.log1p(m) / 10,
+        n / m / 10,
+        math.log1p(n / len(lines)) / 10,
+        math.sqrt(sum(len(w) == 1 for w in words) / m),
+    ]
 
 
 WIDTH = len(KEEP_LETTERS) + 8
@@ -95,7 +105,9 @@ def minimise(positive: np.ndarray, unlabelled, prior: float | None, start: np.nd
     step = np.zeros(width)
     for _ in range(PASSES):
         n, value, *rest = unlabelled(w)
-        gradient, bend = np.array(rest[:width]) / n, np.array(rest[width : width + width * width]).reshape(width, width) / n
+        gradient, bend = np.array(rest[:width]) / n, np.array(
+            rest[width : width + width * width]
+        ).reshape(width, width) / n
         value /= n
         g = positive @ w
         own = (positive * (sigmoid(g) * sigmoid(-g))[:, None]).T @ positive / len(g)
@@ -162,20 +174,31 @@ def fold(id_col):
 
 def featured(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, trusted, x) of every row of docs, written once. labels: doc_id, quality; nulls are skipped."""
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = labels.filter(
+        "doc_id is not null and quality is not null"
+    ).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.filter((fold(F.col("doc_id")) != HELD) & (F.col("quality") == 1))
     n = known.count()
     bound = int(min(1.0, LABELLED / max(1, n)) * (1 << 30))
-    trusted = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < bound).select("doc_id", F.lit(True).alias("trusted"))
+    trusted = known.filter(
+        F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < bound
+    ).select("doc_id", F.lit(True).alias("trusted"))
     # about LABELLED rows at most: small enough to send to every task
     rows = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left")
-    rows = rows.select("doc_id", (fold(F.col("doc_id")) == HELD).alias("held_out"), F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+    rows = rows.select(
+        "doc_id",
+        (fold(F.col("doc_id")) == HELD).alias("held_out"),
+        F.coalesce("trusted", F.lit(False)).alias("trusted"),
+        "text",
+    )
 
     def run(batches):
         for batch in batches:
             x = [features(t) for t in batch.column("text").to_pylist()]
             columns = [batch.column(c) for c in ("doc_id", "held_out", "trusted")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "held_out", "trusted", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "held_out", "trusted", "x"]
+            )
 
     kind = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, trusted boolean, x array<double>"
     return C.materialise(C.small_batches(rows).mapInArrow(C.lean_batches(run), kind), "features")
@@ -205,7 +228,9 @@ def summed(rows: DataFrame, f, width: int) -> np.ndarray:
 def train(table: DataFrame) -> Model:
     """Fits on a table of featured(): its trusted rows against all rows that are not held out."""
     open_, wide = table.filter("not held_out"), 2 * WIDTH
-    positive = matrix(table.filter("trusted").select("x").orderBy(F.xxhash64("x")).toArrow().column("x").combine_chunks())  # LABELLED rows
+    positive = matrix(  # LABELLED rows
+        table.filter("trusted").select("x").orderBy(F.xxhash64("x")).toArrow().column("x").combine_chunks()
+    )
     sums = summed(open_, lambda x: np.concatenate([[len(x)], expand(x).sum(0), (expand(x) ** 2).sum(0)]), 1 + 2 * wide)
     n = sums[0]
     if not len(positive) or not n:
@@ -218,7 +243,13 @@ def train(table: DataFrame) -> Model:
         return summed(open_, lambda x: losses(shape.design(x), w), 2 + 2 * width + width * width)
 
     def histogram(w):
-        return summed(open_, lambda x: np.bincount(np.minimum((sigmoid(shape.design(x) @ w) * BINS).astype(int), BINS - 1), minlength=BINS).astype(float), BINS)
+        return summed(
+            open_,
+            lambda x: np.bincount(
+                np.minimum((sigmoid(shape.design(x) @ w) * BINS).astype(int), BINS - 1), minlength=BINS
+            ).astype(float),
+            BINS,
+        )
 
     return solved(shape, shape.design(positive), unlabelled, histogram)
 
@@ -237,7 +268,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             scores = pa.array(model.score(matrix(batch.column("x"))), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), scores], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), scores], names=["doc_id", "held_out", "score"]
+            )
 
     kind = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double"
     out = table.select("doc_id", "held_out", "x").mapInArrow(run, kind)

@@ -26,7 +26,15 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +48,34 @@ def op5_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mpeg_audio.probe(mpeg_audio.to_media(table(spark, sf_dir, "documents")))
     offsets = F.crc32(F.array_join("offsets", ",").cast("binary"))
-    feature = F.concat_ws(" ", F.lit("mp3"), F.format_string("%dHz frames=%d samples=%d skipped=%d failed=%d table=%d:%d offsets=%d", "hertz", "frames", "samples", "skipped", "failed", "table_frames", F.crc32("toc"), offsets))
+    feature = F.concat_ws(
+        " ",
+        F.lit("mp3"),
+        F.format_string(
+            "%dHz frames=%d samples=%d skipped=%d failed=%d table=%d:%d offsets=%d",
+            "hertz",
+            "frames",
+            "samples",
+            "skipped",
+            "failed",
+            "table_frames",
+            F.crc32("toc"),
+            offsets,
+        ),
+    )
     tail = F.expr("substring(payload, greatest(octet_length(payload) - 31, 1), 32)")
-    return found.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "seconds", "intact")
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+        "seconds",
+        "intact",
+    )
 
 
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +95,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_sharding, op4_jaccard_join, op5_additive_ann, op6_mpeg_audio, op7_pu_quality, op8_mixing, op9_substring_dedup, op10_license_scan)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_bpe,
+            op2_warc,
+            op3_sharding,
+            op4_jaccard_join,
+            op5_additive_ann,
+            op6_mpeg_audio,
+            op7_pu_quality,
+            op8_mixing,
+            op9_substring_dedup,
+            op10_license_scan,
+        )
+    }
 
 
 OP2 = """

@@ -12,7 +12,9 @@ from . import common as C
 PARTS = 4096
 
 
-def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, parts: int = PARTS) -> DataFrame:
+def shard(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, parts: int = PARTS
+) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of df.
 
     size: UTF-8 bytes of the text (null: none) plus 1. Rows have one global order: by partition (a hash of id and
@@ -23,18 +25,33 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     texts: as their bytes say. Other columns are not read.
     """
     text = C.null_safe_text(F.col(text_col))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = df.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
     rows = C.materialise(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts))), "sizes")
     before, whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     offsets = rows.groupBy("part").agg(F.sum("size").alias("part_bytes"), F.count("*").alias("part_rows"))
     upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     # `parts` rows
-    offsets = offsets.select("part", upto("part_bytes").alias("bytes_before"), upto("part_rows").alias("rows_before"), F.sum("part_bytes").over(whole).alias("total"))
+    offsets = offsets.select(
+        "part",
+        upto("part_bytes").alias("bytes_before"),
+        upto("part_rows").alias("rows_before"),
+        F.sum("part_bytes").over(whole).alias("total"),
+    )
     within = Window.partitionBy("part").orderBy("doc_id", "text_crc32", "size")
     run = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("run", run).withColumn("rank", F.row_number().over(within) - 1).join(F.broadcast(offsets), "part")
-    placed = placed.withColumn("start", F.col("bytes_before") + F.col("run")).withColumn("row", F.col("rows_before") + F.col("rank"))
+    placed = rows.withColumn("run", run).withColumn(
+        "rank", F.row_number().over(within) - 1
+    ).join(F.broadcast(offsets), "part")
+    placed = placed.withColumn(
+        "start", F.col("bytes_before") + F.col("run")
+    ).withColumn("row", F.col("rows_before") + F.col("rank"))
     middle = F.floor((2 * F.col("start") + F.col("size")) * shards / (2 * F.col("total")))
     placed = placed.withColumn("shard", F.least(F.lit(shards - 1), middle).cast("int"))
     first = placed.groupBy("shard").agg(F.min("row").alias("first"))  # a row for each shard
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).cast("long").alias("slot"))
+    return placed.join(F.broadcast(first), "shard").select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).cast("long").alias("slot")
+    )

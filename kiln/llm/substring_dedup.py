@@ -97,7 +97,9 @@ def census(window: int, parts: int):
         least = bucket.id_of[bucket.doc[at[first]]] if len(first) else last
         cut = C.split_runs(anchor[first])
         if len(cut) < 2:
-            return C.to_blobs(key[0].as_py(), np.zeros(0, np.int64), {"anchors": cut[:0], "runs": cut[:0], "both": cut[:0]})
+            return C.to_blobs(
+                key[0].as_py(), np.zeros(0, np.int64), {"anchors": cut[:0], "runs": cut[:0], "both": cut[:0]}
+            )
         both = np.minimum.reduceat(least, cut[:-1]) < np.maximum.reduceat(last, cut[:-1])
         anchors, runs = anchor[first][cut[:-1]], np.diff(cut)
         # most anchors have one run of one document: they come first and need no count
@@ -108,10 +110,20 @@ def census(window: int, parts: int):
         cut, out = C.split_runs(part), []
         for i, j in zip(cut[:-1], cut[1:]):
             own = many[i:j]
-            out.append((int(part[i]), anchors[i:j].tobytes(), runs[i:j][own].astype(np.uint32).tobytes(), both[i:j][own].tobytes()))
+            out.append(
+                (
+                    int(part[i]),
+                    anchors[i:j].tobytes(),
+                    runs[i:j][own].astype(np.uint32).tobytes(),
+                    both[i:j][own].tobytes(),
+                )
+            )
         kinds = (("p", pa.int32()), ("anchors", pa.binary()), ("runs", pa.binary()), ("both", pa.binary()))
         columns = {name: pa.array([x[c] for x in out], t) for c, (name, t) in enumerate(kinds)}
-        return pa.table({"p": columns["p"], "b": pa.array([key[0].as_py()] * len(out), pa.int32())} | {c: columns[c] for c in ("anchors", "runs", "both")})
+        return pa.table(
+            {"p": columns["p"], "b": pa.array([key[0].as_py()] * len(out), pa.int32())}
+            | {c: columns[c] for c in ("anchors", "runs", "both")}
+        )
 
     return run
 
@@ -141,7 +153,9 @@ def meet(most: int):
     return run
 
 
-RUNS = pa.schema([("p", pa.int32()), ("b", pa.int32()), ("runs", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary())])
+RUNS = pa.schema(
+    [("p", pa.int32()), ("b", pa.int32()), ("runs", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary())]
+)
 
 
 def candidates(window: int, parts: int):
@@ -162,7 +176,9 @@ def candidates(window: int, parts: int):
         if len(single):
             each = np.arange(len(bucket.window) + 1)
             one, most = bucket.distinct(bucket.window, each, single)
-            begin, end, part, last = np.r_[begin, one], np.r_[end, one + 1], np.r_[part, bucket.window[one]], np.r_[last, most]
+            begin, end, part, last = np.r_[begin, one], np.r_[end, one + 1], np.r_[
+                part, bucket.window[one]
+            ], np.r_[last, most]
         if not len(begin):
             return RUNS.empty_table()
         owner = bucket.id_of[bucket.doc[begin]]
@@ -174,9 +190,18 @@ def candidates(window: int, parts: int):
         for i, j in zip(cut[:-1], cut[1:]):
             text = [bucket.words.text(bucket.start[begin[k]], bucket.start[end[k] - 1] + window) for k in range(i, j)]
             sizes = np.array([len(x) for x in text], np.int64)
-            out.append((int(part[i]), pack.compress(b"".join(text)), sizes.tobytes(), np.stack([owner[i:j], last[i:j]]).tobytes()))
+            out.append(
+                (
+                    int(part[i]),
+                    pack.compress(b"".join(text)),
+                    sizes.tobytes(),
+                    np.stack([owner[i:j], last[i:j]]).tobytes(),
+                )
+            )
         b = pa.array([key[0].as_py()] * len(out), pa.int32())
-        p, runs, sizes, docs = (pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary())))
+        p, runs, sizes, docs = (
+            pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))
+        )
         return pa.table([p, b, runs, sizes, docs], schema=RUNS)
 
     return run
@@ -223,7 +248,9 @@ def subtrees(window: int):
             least.append(low)
             most.append(high)
         bounds = np.r_[0, np.cumsum(np.concatenate(sizes))]
-        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(texts))])
+        runs = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(texts))]
+        )
         found = C.Words(runs)
         words, ends = found.flat, found.ends
         starts, run_of = C.inside(ends, window)
@@ -238,10 +265,18 @@ def subtrees(window: int):
             low[suffix[order]] = np.repeat(np.minimum.reduceat(least[suffix[order]], at[:-1]), np.diff(at))
         hit = np.flatnonzero(low < most)
         order = hit[np.lexsort((digest[hit], owner[hit]))]
-        new = np.r_[True, (digest[order][1:] != digest[order][:-1]) | (owner[order][1:] != owner[order][:-1])][: len(order)]
+        new = np.r_[
+            True, (digest[order][1:] != digest[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        ][: len(order)]
         order = order[new]
         cut = C.split_runs(owner[order])
-        return pa.table({"b": pa.array(owner[order][cut[:-1]], pa.int32()), "digests": pa.array([digest[order[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()), "least": pa.array([low[order[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())})
+        return pa.table(
+            {
+                "b": pa.array(owner[order][cut[:-1]], pa.int32()),
+                "digests": pa.array([digest[order[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()),
+                "least": pa.array([low[order[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()),
+            }
+        )
 
     return run
 
@@ -270,7 +305,12 @@ def removal(window: int, keep_text: bool):
             if keep_text:
                 kept_texts.append(kept.decode() if n else text)
         n_words = pa.array(np.diff(bucket.ends), pa.int64())
-        out = {"doc_id": bucket.ids, "n_words": n_words, "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
+        out = {
+            "doc_id": bucket.ids,
+            "n_words": n_words,
+            "n_removed": pa.array(removed, pa.int64()),
+            "kept_sha256": pa.array(shas, pa.string()),
+        }
         if keep_text:
             out |= {"kept_text": pa.array(kept_texts, pa.string()), "rest": left.column("rest").combine_chunks()}
         return pa.table(out)
@@ -278,7 +318,14 @@ def removal(window: int, keep_text: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, keep_text: bool = False, heavy: int = HEAVY) -> DataFrame:
+def remove_repeats(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = 13,
+    keep_text: bool = False,
+    heavy: int = HEAVY,
+) -> DataFrame:
     """A row per row of df: doc_id, n_words, n_removed, kept_sha256; with keep_text also kept_text and rest (the other columns).
 
     A word is removed when a window of `window` words that covers it also starts in a document with a smaller id.
@@ -292,11 +339,22 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = C.bucket_count(df)
     docs = C.bucketed(df if keep_text else df.select(id_col, text_col), id_col, text_col, n)
     parts = max(8, n // 4)
-    anchors = docs.groupBy("b").applyInArrow(C.lean_group(census(window, parts)), "p int, b int, anchors binary, runs binary, both binary")
+    anchors = docs.groupBy("b").applyInArrow(
+        C.lean_group(census(window, parts)), "p int, b int, anchors binary, runs binary, both binary"
+    )
     shared = anchors.groupBy("p").applyInArrow(C.lean_group(meet(heavy)), "b int, light binary, heavy binary")
-    runs = docs.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(C.lean_pair(candidates(window, parts)), "p int, b int, runs binary, sizes binary, docs binary")
+    runs = docs.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(
+        C.lean_pair(candidates(window, parts)), "p int, b int, runs binary, sizes binary, docs binary"
+    )
     nodes = runs.groupBy("p").applyInArrow(C.lean_group(subtrees(window)), "b int, digests binary, least binary")
-    fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+    fields = [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("n_words", T.LongType()),
+        T.StructField("n_removed", T.LongType()),
+        T.StructField("kept_sha256", T.StringType()),
+    ]
     if keep_text:
         fields += [T.StructField("kept_text", T.StringType()), T.StructField("rest", docs.schema["rest"].dataType)]
-    return docs.groupBy("b").cogroup(nodes.groupBy("b")).applyInArrow(C.lean_pair(removal(window, keep_text)), T.StructType(fields))
+    return docs.groupBy("b").cogroup(nodes.groupBy("b")).applyInArrow(
+        C.lean_pair(removal(window, keep_text)), T.StructType(fields)
+    )

@@ -35,7 +35,15 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     name = "null" if page_id is None else page_id
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:page:{name}>",
+        "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Target-URI: {url}",
+        "Content-Type: application/http;msgtype=response",
+        f"WARC-Payload-Digest: sha1:{digest}",
+    ]
     if refers_to is not None:
         lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     lines.append(f"Content-Length: {len(block)}")
@@ -102,7 +110,15 @@ def parse(raw: bytes) -> dict:
     if fields["WARC-Type"] == "response" and (hashlib.sha1(payload).hexdigest() != stated or len(payload) != length):
         raise ValueError(f"record {page} is damaged")
     refers = fields.get("WARC-Refers-To")
-    return {"page_id": page, "payload_bytes": length, "payload_digest": stated, "record_type": fields["WARC-Type"], "refers_to": name(refers[len("<urn:page:") : -1]) if refers else None, "url": fields["WARC-Target-URI"], "payload": payload if fields["WARC-Type"] == "response" else None}
+    return {
+        "page_id": page,
+        "payload_bytes": length,
+        "payload_digest": stated,
+        "record_type": fields["WARC-Type"],
+        "refers_to": name(refers[len("<urn:page:") : -1]) if refers else None,
+        "url": fields["WARC-Target-URI"],
+        "payload": payload if fields["WARC-Type"] == "response" else None,
+    }
 
 
 def plan(pages: DataFrame) -> DataFrame:
@@ -110,7 +126,9 @@ def plan(pages: DataFrame) -> DataFrame:
     payload = C.null_safe_text(F.col("html")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    same = rows.filter(F.octet_length("payload") >= LEAST_PAYLOAD).groupBy("digest").agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).filter("n > 1 and stored is not null")
+    same = rows.filter(F.octet_length("payload") >= LEAST_PAYLOAD).groupBy("digest").agg(
+        F.max("page_id").alias("stored"), F.count("*").alias("n")
+    ).filter("n > 1 and stored is not null")
     # one payload may be a third of all rows: its rows are dealt to many tasks
     known = C.spread_join(rows, same.select("digest", "stored"), "digest", by="page_id", how="left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("stored")), F.col("stored")).alias("refers_to")
@@ -118,7 +136,9 @@ def plan(pages: DataFrame) -> DataFrame:
 
 
 BUNDLES = "bundle string, shelf string, content binary, records array<struct<page_id: bigint, frame: int, at: int, length: int>>"
-RECORDS = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("at", pa.int32()), ("length", pa.int32())]))
+RECORDS = pa.list_(
+    pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("at", pa.int32()), ("length", pa.int32())])
+)
 
 
 def write(pages: DataFrame) -> DataFrame:
@@ -131,9 +151,19 @@ def write(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         bundle = Bundle()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([bundle.name]), pa.array([bundle.name[:2]]), pa.array([bundle.content()], pa.binary()), pa.array([bundle.index], RECORDS)], names=["bundle", "shelf", "content", "records"])
+        out = lambda: pa.RecordBatch.from_arrays(
+            [
+                pa.array([bundle.name]),
+                pa.array([bundle.name[:2]]),
+                pa.array([bundle.content()], pa.binary()),
+                pa.array([bundle.index], RECORDS),
+            ],
+            names=["bundle", "shelf", "content", "records"],
+        )
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
+            for row in zip(
+                *(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))
+            ):
                 bundle.add(row[0], record(*row))
                 if bundle.size >= BUNDLE_BYTES:
                     yield out()
@@ -153,7 +183,15 @@ FOUND = "page_id long, payload_bytes long, payload_digest string, record_type st
 
 
 def found_batch(rows: list[dict]) -> pa.RecordBatch:
-    types = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "payload": pa.binary()}
+    types = {
+        "page_id": pa.int64(),
+        "payload_bytes": pa.int64(),
+        "payload_digest": pa.string(),
+        "record_type": pa.string(),
+        "refers_to": pa.int64(),
+        "url": pa.string(),
+        "payload": pa.binary(),
+    }
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in types.items()], names=list(types))
 
 
@@ -176,7 +214,9 @@ def read(bundles: DataFrame) -> DataFrame:
 def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
     """The records of the page_ids in wanted: only frames that hold one are decompressed, and only shelves that hold one
     are read. Ids that no record has, and null ones, give no rows; an id that several records have gives them all."""
-    at = index(bundles).join(wanted.select("page_id").distinct(), "page_id").groupBy("bundle").agg(F.collect_list(F.struct("page_id", "frame", "at", "length")).alias("records"))
+    at = index(bundles).join(wanted.select("page_id").distinct(), "page_id").groupBy("bundle").agg(
+        F.collect_list(F.struct("page_id", "frame", "at", "length")).alias("records")
+    )
     at = C.materialise(at, "wanted")
     shelves = [r[0] for r in at.select(F.substring("bundle", 1, 2)).distinct().collect()]  # 256 at most
     held = bundles.filter(F.col("shelf").isin(shelves)).select("bundle", "content")
@@ -193,7 +233,17 @@ def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def contradictions(found: DataFrame) -> DataFrame:
     """Revisits of read() whose digest or length is not that of the response they refer to, or that refer to none."""
-    stored = found.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("length")).distinct()
-    both = C.spread_join(found.filter("record_type = 'revisit'").drop("payload"), stored.groupBy("refers_to").agg(F.collect_set(F.struct("digest", "length")).alias("of")), "refers_to", by="page_id", how="left")
+    stored = found.filter("record_type = 'response'").select(
+        F.col("page_id").alias("refers_to"),
+        F.col("payload_digest").alias("digest"),
+        F.col("payload_bytes").alias("length"),
+    ).distinct()
+    both = C.spread_join(
+        found.filter("record_type = 'revisit'").drop("payload"),
+        stored.groupBy("refers_to").agg(F.collect_set(F.struct("digest", "length")).alias("of")),
+        "refers_to",
+        by="page_id",
+        how="left",
+    )
     same = F.exists("of", lambda x: (x["digest"] == F.col("payload_digest")) & (x["length"] == F.col("payload_bytes")))
     return both.filter(~F.coalesce(same, F.lit(False))).drop("of")

@@ -32,7 +32,25 @@ def sentence(rnd, n):
 def texts():
     rnd = random.Random(1)
     base = sentence(rnd, 60)
-    own = [(1, None), (2, ""), (3, " \t\n "), (4, "one"), (5, "one two"), (6, "ONE two"), (7, base), (8, base), (9, base.upper()), (10, base + " tail"), (11, sentence(rnd, 30) + " " + base[:200]), (12, sentence(rnd, 40_000)), (None, base), (13, "a " * 400), (14, "a " * 400 + "b"), (12, "repeated id"), (5, "one two")]
+    own = [
+        (1, None),
+        (2, ""),
+        (3, " \t\n "),
+        (4, "one"),
+        (5, "one two"),
+        (6, "ONE two"),
+        (7, base),
+        (8, base),
+        (9, base.upper()),
+        (10, base + " tail"),
+        (11, sentence(rnd, 30) + " " + base[:200]),
+        (12, sentence(rnd, 40_000)),
+        (None, base),
+        (13, "a " * 400),
+        (14, "a " * 400 + "b"),
+        (12, "repeated id"),
+        (5, "one two"),
+    ]
     for i in range(20, 60):
         words = base.split()
         for _ in range(rnd.randrange(4)):
@@ -43,7 +61,10 @@ def texts():
 
 @pytest.fixture(scope="module")
 def docs(spark, texts):
-    return spark.createDataFrame([(i, t, "en", None if n % 7 == 0 else f"s{n % 3}", None, 1, 2, "x", 3, 4, 5) for n, (i, t) in enumerate(texts)], DOCS)
+    return spark.createDataFrame(
+        [(i, t, "en", None if n % 7 == 0 else f"s{n % 3}", None, 1, 2, "x", 3, 4, 5) for n, (i, t) in enumerate(texts)],
+        DOCS,
+    )
 
 
 @pytest.fixture(scope="module")
@@ -53,21 +74,38 @@ def nothing(spark):
 
 def test_bpe_equals_library(spark, docs, texts, nothing):
     t = Tokenizer.from_file(PATH)
-    got = sorted(((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs, PATH).collect()))
+    got = sorted(
+        ((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs, PATH).collect())
+    )
     want = []
     for i, x in texts:
         ids = t.encode(x or "", add_special_tokens=False).ids
-        want.append((i or -1, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+        want.append(
+            (
+                i or -1,
+                len(ids),
+                hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest(),
+            )
+        )
     assert got == sorted(want)
     assert bpe.round_trip(nothing, PATH).count() == 0
     one = spark.createDataFrame([(1, "hello<|endoftext|> world"), (2, "")], "doc_id long, text string")
-    assert {r.doc_id: r.a for r in bpe.encode(one, PATH).select("doc_id", bpe.id_array().alias("a")).collect()} == {1: t.encode("hello<|endoftext|> world").ids, 2: []}
+    assert {
+        r.doc_id: r.a for r in bpe.encode(one, PATH).select("doc_id", bpe.id_array().alias("a")).collect()
+    } == {1: t.encode("hello<|endoftext|> world").ids, 2: []}
 
 
 def test_bpe_odd_texts():
     t, v, rnd = Tokenizer.from_file(PATH), bpe.Vocabulary(PATH), random.Random(2)
     odd = ["a<|endoftext|>b", "x" * 50_000, "  \n\n x\r\n ", "\x00�", "don't we'LL", "ab" * 3000]
-    odd += ["".join(chr(rnd.choice([rnd.randrange(1, 0x250), rnd.randrange(0x3000, 0x9000), rnd.randrange(0x1F600, 0x1F640)])) for _ in range(80)) for _ in range(200)]
+    odd += [
+        "".join(
+            chr(rnd.choice([rnd.randrange(1, 0x250), rnd.randrange(0x3000, 0x9000), rnd.randrange(0x1F600, 0x1F640)]))
+            for _ in range(80)
+        )
+        for _ in range(200)
+    ]
     ids = v.encode(odd)
     assert [list(bpe.numbers(i)) for i in ids] == [e.ids for e in t.encode_batch(odd, add_special_tokens=False)]
     assert v.decode(ids) == odd and v.decode([None, bpe.little_endian([v.id_of[b"\xe4"]])]) == ["", "�"]
@@ -75,7 +113,18 @@ def test_bpe_odd_texts():
 
 def test_warc_round_trip(spark):
     big = "y" * 1500
-    rows = [(1, "u", big), (2, "u", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "a b", "é" * 900), (8, "u", "é" * 900), (None, "u", big), (3, "again", big)]
+    rows = [
+        (1, "u", big),
+        (2, "u", big),
+        (3, None, big),
+        (4, "u", "small"),
+        (5, "u", "small"),
+        (6, "u", None),
+        (7, "a b", "é" * 900),
+        (8, "u", "é" * 900),
+        (None, "u", big),
+        (3, "again", big),
+    ]
     rows += [(i, "u", "copy" * 400) for i in range(100, 400)]
     bundles = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
     got = warc.read(bundles).collect()
@@ -83,11 +132,17 @@ def test_warc_round_trip(spark):
     by = {(r.page_id, r.url): r for r in got}
     assert by[1, "u"].record_type == "revisit" and by[1, "u"].refers_to == 3 and by[1, "u"].payload_bytes == 1500
     assert by[3, ""].record_type == by[3, "again"].record_type == "response" and by[None, "u"].refers_to == 3
-    assert by[4, "u"].record_type == by[5, "u"].record_type == by[6, "u"].record_type == "response" and by[6, "u"].payload_bytes == 0
-    assert by[7, "a%20b"].refers_to == 8 and by[7, "a%20b"].payload_digest == hashlib.sha1(("é" * 900).encode()).hexdigest()
+    assert by[
+        4, "u"
+    ].record_type == by[5, "u"].record_type == by[6, "u"].record_type == "response" and by[6, "u"].payload_bytes == 0
+    assert by[7, "a%20b"].refers_to == 8 and by[7, "a%20b"].payload_digest == hashlib.sha1(
+        ("é" * 900).encode()
+    ).hexdigest()
     assert sum(r.record_type == "response" for r in got if (r.page_id or 0) >= 100) == 1
     assert warc.contradictions(warc.read(bundles)).count() == 0
-    wrong = warc.read(bundles).withColumn("payload_digest", F.when(F.col("page_id") == 1, "0").otherwise(F.col("payload_digest")))
+    wrong = warc.read(bundles).withColumn(
+        "payload_digest", F.when(F.col("page_id") == 1, "0").otherwise(F.col("payload_digest"))
+    )
     assert [r.page_id for r in warc.contradictions(wrong).collect()] == [1]
     found = warc.fetch(bundles, spark.createDataFrame([(4,), (399,), (999,), (None,)], "page_id long")).collect()
     assert sorted((r.page_id, bytes(r.payload)[:4]) for r in found) == [(4, b"smal"), (399, b"copy")]
@@ -97,7 +152,12 @@ def test_warc_round_trip(spark):
 def test_bundle_frames_are_independent():
     b = warc.Bundle()
     for i in range(50):
-        b.add(i, warc.record(i, "u", bytes([65 + i % 20]) * 20_000, hashlib.sha1(bytes([65 + i % 20]) * 20_000).hexdigest(), None))
+        b.add(
+            i,
+            warc.record(
+                i, "u", bytes([65 + i % 20]) * 20_000, hashlib.sha1(bytes([65 + i % 20]) * 20_000).hexdigest(), None
+            ),
+        )
     content = b.content()
     table = warc.seek_table(content)
     assert len(table) > 2
@@ -111,7 +171,9 @@ def test_bundle_frames_are_independent():
 def test_sharding(docs, texts, nothing):
     got = sharding.shard(docs).collect()
     assert len(got) == len(texts) and sharding.shard(nothing).count() == 0
-    assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted((i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts)
+    assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted(
+        (i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts
+    )
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
@@ -135,7 +197,9 @@ def shards_by_hand(texts, shards=16, parts=sharding.PARTS):
 
 
 def test_shards_equal_one_walk(spark, sf, docs, texts, tmp_path):
-    tidy = lambda df: sorted((r.doc_id if r.doc_id is not None else -1, r.size, r.text_crc32, r.shard, r.slot) for r in df.collect())
+    tidy = lambda df: sorted(
+        (r.doc_id if r.doc_id is not None else -1, r.size, r.text_crc32, r.shard, r.slot) for r in df.collect()
+    )
     assert tidy(sharding.shard(docs)) == shards_by_hand(texts)
     whole = spark.read.parquet(f"{sf}/documents.parquet")
     found = queries.op3_sharding(spark, sf)
@@ -146,7 +210,9 @@ def test_shards_equal_one_walk(spark, sf, docs, texts, tmp_path):
 
 
 def test_shards_are_even(spark, sf):
-    got = sharding.shard(spark.read.parquet(f"{sf}/documents.parquet")).groupBy("shard").agg(F.sum("size").alias("n"), F.max("size").alias("m")).collect()
+    got = sharding.shard(spark.read.parquet(f"{sf}/documents.parquet")).groupBy("shard").agg(
+        F.sum("size").alias("n"), F.max("size").alias("m")
+    ).collect()
     assert len(got) == 16 and max(r.n for r in got) - min(r.n for r in got) <= 2 * max(r.m for r in got)
 
 
@@ -154,7 +220,9 @@ def components_by_hand(texts, k=5):
     sets = []
     for _, t in texts:
         w = (t or "").encode().lower().split()
-        sets.append(frozenset([tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [tuple(w)] if w else []))
+        sets.append(
+            frozenset([tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [tuple(w)] if w else [])
+        )
     root = list(range(len(texts)))
 
     def find(i):
@@ -171,7 +239,9 @@ def components_by_hand(texts, k=5):
     for i, (d, _) in enumerate(texts):
         if d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
-    return sorted(((d or -1), len(sets[i]), (least.get(find(i)) if sets[i] else d) or -1) for i, (d, _) in enumerate(texts))
+    return sorted(
+        ((d or -1), len(sets[i]), (least.get(find(i)) if sets[i] else d) or -1) for i, (d, _) in enumerate(texts)
+    )
 
 
 def test_jaccard_groups(docs, texts, nothing):
@@ -179,7 +249,9 @@ def test_jaccard_groups(docs, texts, nothing):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == components_by_hand(texts)
     assert jaccard_join.similar_groups(nothing).count() == 0
     kept = jaccard_join.one_of_each(docs)
-    assert kept.columns == docs.columns and kept.filter("doc_id = 7").count() == 1 and kept.filter("doc_id in (8, 9)").count() == 0
+    assert kept.columns == docs.columns and kept.filter("doc_id = 7").count() == 1 and kept.filter(
+        "doc_id in (8, 9)"
+    ).count() == 0
 
 
 def test_large_groups_of_near_copies(spark, monkeypatch):
@@ -230,7 +302,17 @@ def test_components_of_paths_and_stars(spark):
 
 
 def test_words_are_those_of_split():
-    own = ["a b c", "", "  x\tyy\r\nzz ", None, "A é ü\x0bq", "z" * 70 + " end", "abc", "abc", " ".join(f"w{i % 9999}" for i in range(400_000))]
+    own = [
+        "a b c",
+        "",
+        "  x\tyy\r\nzz ",
+        None,
+        "A é ü\x0bq",
+        "z" * 70 + " end",
+        "abc",
+        "abc",
+        " ".join(f"w{i % 9999}" for i in range(400_000)),
+    ]
     words = common.Words(pa.array(own))
     flat = [w for t in own for w in common.words_of(t)]
     assert np.diff(words.ends).tolist() == [len(common.words_of(t)) for t in own]
@@ -255,7 +337,9 @@ def repeats_by_hand(texts, window=13):
         for k in range(len(w) - window + 1) if i is not None else ():
             if least[tuple(w[k : k + window])] < i:
                 cut[k : k + window] = [True] * window
-        out.append(((i or -1), len(w), sum(cut), hashlib.sha256(b" ".join(x for x, c in zip(w, cut) if not c)).hexdigest()))
+        out.append(
+            ((i or -1), len(w), sum(cut), hashlib.sha256(b" ".join(x for x, c in zip(w, cut) if not c)).hexdigest())
+        )
     return sorted(out)
 
 
@@ -265,7 +349,10 @@ def test_substring_dedup(docs, texts, nothing):
     got = substring_dedup.remove_repeats(docs.repartition(3), heavy=1).collect()  # windows go by their whole prefix
     assert sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in got) == repeats_by_hand(texts)
     assert substring_dedup.remove_repeats(nothing).count() == 0
-    kept = {r.doc_id: r for r in substring_dedup.remove_repeats(docs, keep_text=True).filter("doc_id in (1, 4, 8)").collect()}
+    kept = {
+        r.doc_id: r
+        for r in substring_dedup.remove_repeats(docs, keep_text=True).filter("doc_id in (1, 4, 8)").collect()
+    }
     assert kept[1].kept_text is None and kept[4].kept_text == "one" and kept[8].kept_text == "" and kept[4].rest.shard == 2
     with pytest.raises(ValueError):
         substring_dedup.remove_repeats(docs, window=5)
@@ -275,7 +362,14 @@ def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 16)).astype(np.float32)
     x[100:160] = x[100] + rng.normal(size=(60, 16)) * 0.001
-    rows = [(i, [float(v) for v in x[i]]) for i in range(300)] + [(400, None), (420, [0.0] * 16), (440, [None] * 16), (460, [float("nan")] * 16), (480, [float("inf")] + [0.0] * 15), (None, [1.0] * 16)]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(300)] + [
+        (400, None),
+        (420, [0.0] * 16),
+        (440, [None] * 16),
+        (460, [float("nan")] * 16),
+        (480, [float("inf")] + [0.0] * 15),
+        (None, [1.0] * 16),
+    ]
     got = additive_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5).collect()
     exact = x.astype(np.float64) @ x.astype(np.float64).T
     hit = 0
@@ -285,7 +379,9 @@ def test_nearest(spark):
         assert [r for r, _, _ in own] == [1, 2, 3, 4, 5] and all(abs(s - exact[q][v]) < 1e-9 for _, v, s in own)
         hit += len({v for _, v, _ in own} & set(want))
     assert hit >= 0.9 * 75 and {r.query_id for r in got} == set(range(0, 300, 20))
-    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    few = spark.createDataFrame(
+        [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>"
+    )
     assert [(r.query_id, r.rank, r.vec_id) for r in additive_ann.nearest(few).collect()] == [(0, 1, 1), (0, 2, 2)]
     assert additive_ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -311,14 +407,19 @@ def test_nearest_of_equal_and_shorter_vectors(spark):
     rows = [(i, [1.0, 2.0]) for i in range(400)] + [(1000 + i, [0.5]) for i in range(3)] + [(20, [1.0, 2.0])] * 30
     got = additive_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).toPandas()
     own = lambda q: list(got[got.query_id == q].sort_values("rank").vec_id)
-    assert own(0) == [1, 2, 3, 4, 5] and own(20) == [0, 1, 2, 3, 4] and own(380) == [0, 1, 2, 3, 4] and own(1000) == [0, 1, 2, 3, 4]
+    assert own(0) == [
+        1, 2, 3, 4, 5
+    ] and own(20) == [0, 1, 2, 3, 4] and own(380) == [0, 1, 2, 3, 4] and own(1000) == [0, 1, 2, 3, 4]
 
 
 def test_media_round_trip(docs, texts, nothing):
     got = mpeg_audio.probe(mpeg_audio.to_media(docs)).collect()
     want = sorted((i or -1, mpeg_audio.padded((t or "").encode()), len((t or "").encode())) for i, t in texts)
     assert sorted((r.doc_id or -1, bytes(r.payload), r.n_bytes) for r in got) == want
-    assert all(r.failed == 0 and r.skipped == 0 and r.seconds == r.frames * 1152 / 48000 and r.table_frames == r.frames for r in got)
+    assert all(
+        r.failed == 0 and r.skipped == 0 and r.seconds == r.frames * 1152 / 48000 and r.table_frames == r.frames
+        for r in got
+    )
     assert mpeg_audio.probe(mpeg_audio.to_media(nothing)).count() == 0
 
 
@@ -350,15 +451,26 @@ def test_media_tables_and_tags():
     only = mpeg_audio.parse(frame(b"Xing" + struct.pack(">I", 4) + toc) + audio)
     assert only["table"]["frames"] is None and only["table"]["toc"] == toc and only["frames"] == 10
     gap = struct.pack(">I", (576 << 12 | 1000))[1:]
-    lame = mpeg_audio.parse(frame(b"Info" + struct.pack(">III", 3, 10, 5000) + b"LAME3.100".ljust(21, b"\0") + gap) + audio)
-    assert lame["table"]["frames"] == 10 and lame["samples"] == 11520 - 1576 and lame["seconds"] == (11520 - 1576) / 44100
+    lame = mpeg_audio.parse(
+        frame(b"Info" + struct.pack(">III", 3, 10, 5000) + b"LAME3.100".ljust(21, b"\0") + gap) + audio
+    )
+    assert lame["table"]["frames"] == 10 and lame["samples"] == 11520 - 1576 and lame["seconds"] == (
+        11520 - 1576
+    ) / 44100
     vbri = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 50, 5000, 10, 4, 1, 2, 3) + bytes(8)
     found = mpeg_audio.parse(frame(vbri) + audio)
     assert found["frames"] == 10 and found["table"]["frames"] == 10 and len(found["table"]["toc"]) == 8
     text = b"\x01" + "Größe".encode("utf-16")
-    body = b"TIT2" + mpeg_audio.synchsafe(len(text)) + b"\0\0" + text + b"TALB" + mpeg_audio.synchsafe(200) + b"\0\0" + b"\x03" + b"a" * 199
-    new = mpeg_audio.parse(b"ID3\x04\0\0" + mpeg_audio.synchsafe(len(body)) + body + audio + b"TAG" + b"Old title".ljust(30, b"\0") + b"Artist".ljust(95, b"\0"))
-    assert new["fields"] == {"TIT2": "Größe", "TALB": "a" * 199, "TPE1": "Artist"} and new["frames"] == 10 and new["skipped"] == 0
+    body = b"TIT2" + mpeg_audio.synchsafe(
+        len(text)
+    ) + b"\0\0" + text + b"TALB" + mpeg_audio.synchsafe(200) + b"\0\0" + b"\x03" + b"a" * 199
+    new = mpeg_audio.parse(
+        b"ID3\x04\0\0" + mpeg_audio.synchsafe(len(body)) + body + audio + b"TAG" + b"Old title".ljust(30, b"\0")
+        + b"Artist".ljust(95, b"\0")
+    )
+    assert new["fields"] == {
+        "TIT2": "Größe", "TALB": "a" * 199, "TPE1": "Artist"
+    } and new["frames"] == 10 and new["skipped"] == 0
     extended = b"ID3\x04\0\x40" + mpeg_audio.synchsafe(len(body) + 6) + b"\0\0\0\x06\x01\0" + body
     assert mpeg_audio.parse(extended + audio)["fields"]["TIT2"] == "Größe"
     short = b"\xff\xfb\x10\x00" + bytes(32) + b"Xing"
@@ -369,7 +481,13 @@ def test_media_tables_and_tags():
 @settings(max_examples=300, deadline=None)
 def test_media_of_any_bytes(noise, cut, at):
     media = mpeg_audio.pack(mpeg_audio.padded(b"text"), 4)
-    for raw in (noise, noise + frame(b"Xing" + noise)[: 60 + cut] , frame(noise, 417) + noise, media[:at] + noise + media[at + cut :], b"ID3" + noise):
+    for raw in (
+        noise,
+        noise + frame(b"Xing" + noise)[: 60 + cut],
+        frame(noise, 417) + noise,
+        media[:at] + noise + media[at + cut :],
+        b"ID3" + noise,
+    ):
         found = mpeg_audio.parse(raw)
         assert found["frames"] == len(found["offsets"]) and 0 <= found["skipped"] <= len(raw) and found["samples"] >= 0
 
@@ -386,7 +504,9 @@ def test_media_query_equals_formulas(spark, sf):
         head = 10 + 2 * 10 + len("\0n_bytes\0" + str(len(raw))) + len("\0sha256\0") + 64
         offsets = [head + 672 + sum(sizes[:i]) for i in range(n)]
         media = mpeg_audio.pack(payload, len(raw))
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (
+            len(raw), len(payload), hashlib.sha256(payload).hexdigest()
+        )
         assert r.tail_crc32 == zlib.crc32(payload[-32:]) and r.seconds == n * 1152 / 48000 and r.intact
         assert (r.media_bytes, r.media_sha256) == (head + 672 + sum(sizes), hashlib.sha256(media).hexdigest())
         ends = [sum(sizes[: n * i // 100]) for i in range(100)]
@@ -397,15 +517,21 @@ def test_media_query_equals_formulas(spark, sf):
 def test_quality(spark, docs, nothing):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    got = pu_quality.score(spark.read.parquet(f"{d}/documents.parquet"), labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    got = pu_quality.score(
+        spark.read.parquet(f"{d}/documents.parquet"), labels
+    ).toPandas().merge(labels.toPandas(), on="doc_id")
     held = got[got.held_out]
     assert (held.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in held.doc_id]).all()
-    assert (held.predicted == held.quality).mean() > 0.95 and got.score.between(0, 1).all() and ((got.score >= 0.3) == (got.predicted == 1)).all()
+    assert (held.predicted == held.quality).mean() > 0.95 and got.score.between(0, 1).all() and (
+        (got.score >= 0.3) == (got.predicted == 1)
+    ).all()
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {round(r.score, 6) for r in pu_quality.score(docs, none).collect()} == {0.5}
     assert pu_quality.score(nothing, none).count() == 0
     some = spark.createDataFrame([(7, 1), (7, None), (8, 0), (None, 1)], "doc_id long, quality int")
-    assert pu_quality.score(docs, some).count() == docs.count() and pu_quality.accepted(docs, some).columns == docs.columns
+    assert pu_quality.score(
+        docs, some
+    ).count() == docs.count() and pu_quality.accepted(docs, some).columns == docs.columns
 
 
 @pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
@@ -447,7 +573,9 @@ def test_sums_over_a_table_equal_those_over_arrays(spark):
 def test_mixing(docs, nothing, texts):
     got = mixing.mix(docs).toPandas()
     assert len(got) == len(texts) and (got.taken <= 2 * got["size"]).all() and mixing.mix(nothing).count() == 0
-    assert sorted(map(str, got.itertuples(index=False))) == sorted(map(str, mixing.mix(docs).toPandas().itertuples(index=False)))
+    assert sorted(map(str, got.itertuples(index=False))) == sorted(
+        map(str, mixing.mix(docs).toPandas().itertuples(index=False))
+    )
     per = got.groupby("source_size").agg(target=("target", "first"), taken=("taken", "sum"))
     assert ((per.taken - per.target).abs() <= mixing.BLOCK).all()
     assert abs(per.target.sum() - 1.5 * got["size"].sum()) < 1e-6
@@ -457,8 +585,16 @@ def test_mixing(docs, nothing, texts):
 
 
 def test_permutations_take_each_block_once(spark):
-    rows = [(0, "a", 5000, 1.0, 5, 2, 0, 10, 1), (1, "b", 1, 1.0, 1, 1, 0, 1, 1), (2, "c", 10, 1.0, 7, 0, 3000, 3, 1), (3, "d", 9, 1.0, 2999, 1, 0, 2999, 1)]
-    src = spark.createDataFrame(rows, "rank long, source string, source_size long, target double, blocks long, passes long, rest long, slots long, parts long")
+    rows = [
+        (0, "a", 5000, 1.0, 5, 2, 0, 10, 1),
+        (1, "b", 1, 1.0, 1, 1, 0, 1, 1),
+        (2, "c", 10, 1.0, 7, 0, 3000, 3, 1),
+        (3, "d", 9, 1.0, 2999, 1, 0, 2999, 1),
+    ]
+    src = spark.createDataFrame(
+        rows,
+        "rank long, source string, source_size long, target double, blocks long, passes long, rest long, slots long, parts long",
+    )
     got = mixing.slots(src).toPandas()
     for (_, p), own in got[got["rank"] == 0].groupby(["rank", "pass"]):
         assert sorted(own.block) == [0, 1, 2, 3, 4]
@@ -486,8 +622,12 @@ def test_license_query_equals_walk(spark, sf, tmp_path):
         for _ in range(rnd.randrange(5)):
             at = rnd.randrange(len(phrase))
             phrase = phrase[:at] + rnd.choice(["", "x", phrase[at] + "y"]) + phrase[at + 1 :]
-        whole[10_000_000 + i] = f"{sentence(rnd, 5)} {phrase.title()}, {sentence(rnd, 4)} {rnd.choice(['MIT-License', 'cc  by', ''])}"
-    spark.createDataFrame(list(whole.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+        whole[
+            10_000_000 + i
+        ] = f"{sentence(rnd, 5)} {phrase.title()}, {sentence(rnd, 4)} {rnd.choice(['MIT-License', 'cc  by', ''])}"
+    spark.createDataFrame(
+        list(whole.items()), "doc_id long, text string"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in queries.op10_license_scan(spark, str(tmp_path)).collect()}
     assert set(got) == set(whole)
     for i, text in whole.items():
@@ -511,7 +651,16 @@ def test_license_scan_of_a_very_long_text():
 
 
 def test_license_scan(spark, docs, texts, nothing):
-    rows = [(1, "Under the GNU General-Public license, v3"), (2, "MIT  License and mit license"), (3, "CC BY-NC cc by cc by"), (4, "gnu genral publc license"), (5, "submit license"), (6, None), (7, "Apache License, Versoin 2"), (8, "nothing here")]
+    rows = [
+        (1, "Under the GNU General-Public license, v3"),
+        (2, "MIT  License and mit license"),
+        (3, "CC BY-NC cc by cc by"),
+        (4, "gnu genral publc license"),
+        (5, "submit license"),
+        (6, None),
+        (7, "Apache License, Versoin 2"),
+        (8, "nothing here"),
+    ]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].base_labels == "gpl" and got[1].first_word == 2 and got[1].score == 1.0
     assert (got[2].n_base, got[2].first_word, got[2].last_word) == (2, 0, 3)

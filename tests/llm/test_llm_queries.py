@@ -14,7 +14,12 @@ def test_equals_sql(spark, sf, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want, got = con.execute(Q.oracle_sql()[name]).df(), Q.queries()[name](spark, sf).toPandas()
     assert set(want.columns) == set(got.columns)
-    tidy = lambda df: sorted((tuple("~" if pd.isna(v) else str(float(v)) if isinstance(v, (int, float)) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False)))
+    tidy = lambda df: sorted(
+        (
+            tuple("~" if pd.isna(v) else str(float(v)) if isinstance(v, (int, float)) else str(v) for v in r)
+            for r in df[sorted(df.columns)].itertuples(index=False)
+        )
+    )
     assert tidy(got) == tidy(want)
 
 

@@ -21,7 +21,22 @@ STAGES = dict(corpus_pipeline.STAGES)
 def rows():
     rnd = random.Random(11)
     base = sentence(rnd, 60)
-    texts = [(1, None), (2, ""), (3, " \n "), (4, "one"), (7, base), (8, base), (9, base + " end"), (10, sentence(rnd, 20) + " " + base[:300]), (11, sentence(rnd, 6000)), (None, base), (None, None), (12, "again"), (12, sentence(rnd, 30)), (4, "one")]
+    texts = [
+        (1, None),
+        (2, ""),
+        (3, " \n "),
+        (4, "one"),
+        (7, base),
+        (8, base),
+        (9, base + " end"),
+        (10, sentence(rnd, 20) + " " + base[:300]),
+        (11, sentence(rnd, 6000)),
+        (None, base),
+        (None, None),
+        (12, "again"),
+        (12, sentence(rnd, 30)),
+        (4, "one"),
+    ]
     texts += [(20 + i, sentence(rnd, rnd.randrange(1, 90))) for i in range(30)]
     return [(i, t, "en", None if n % 5 == 0 else f"s{n % 3}", len(t or ""), 7, "k", 3, "x", "y", 1) for n, (i, t) in enumerate(texts)]
 
@@ -34,7 +49,10 @@ def docs(spark, rows):
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("sf")
-    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(7, 50)] + [(None, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(
+        [(i, int(i % 4 > 0), 0) for i in range(7, 50)] + [(None, 1, 0), (8, None, 0)],
+        "doc_id long, quality int, toxic int",
+    ).write.parquet(f"{path}/labels.parquet")
     return str(path)
 
 
@@ -53,7 +71,9 @@ def test_quality(spark, docs, folder, rows):
     assert out.columns == docs.columns
     model = pu_quality.train(pu_quality.featured(docs, spark.read.parquet(f"{folder}/labels.parquet")))
     scores = model.score(np.array([pu_quality.features(r[1]) for r in rows]))
-    assert bag(out.collect(), "doc_id", "text") == collections.Counter((r[0], r[1]) for r, s in zip(rows, scores) if s >= pu_quality.THRESHOLD)
+    assert bag(out.collect(), "doc_id", "text") == collections.Counter(
+        (r[0], r[1]) for r, s in zip(rows, scores) if s >= pu_quality.THRESHOLD
+    )
 
 
 def test_near_copies(spark, docs, folder, rows):
@@ -77,7 +97,9 @@ def test_near_copies(spark, docs, folder, rows):
 def test_repeats(spark, docs, folder, rows):
     out = STAGES["repeats"](spark, docs, folder)
     assert out.columns == docs.columns
-    want = collections.Counter((i, removed, sha) for i, _, removed, sha in repeats_by_hand([(r[0], r[1]) for r in rows]))
+    want = collections.Counter(
+        (i, removed, sha) for i, _, removed, sha in repeats_by_hand([(r[0], r[1]) for r in rows])
+    )
     got = collections.Counter()
     by_id = collections.defaultdict(list)
     for r in rows:
