@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 from .text import last_boxed, let, put, response_part, split_tuple, strip, strip_think, thousands_removed, unicode_to_latex
 
 # Replacements in the order in which they decide results.
-RELATIONS = [("tfrac", "frac"), ("dfrac", "frac"), ("\\neq", "\\ne"), ("\\leq", "\\le"), ("\\geq", "\\ge"), ("\\left", ""), ("\\right", ""), ("\\{", "{"), ("\\}", "}")]
+RELATIONS = [
+    ("tfrac", "frac"),
+    ("dfrac", "frac"),
+    ("\\neq", "\\ne"),
+    ("\\leq", "\\le"),
+    ("\\geq", "\\ge"),
+    ("\\left", ""),
+    ("\\right", ""),
+    ("\\{", "{"),
+    ("\\}", "}"),
+]
 DEGREES_AND_DOLLARS = ["^{\\circ}", "^\\circ", "\\$", "$", "\\(", "\\)"]
 VARIABLES = ["x=", "y=", "z=", "x\\in", "y\\in", "z\\in", "x\\to", "y\\to", "z\\to"]
 PERCENT = ["\\%", "%"]
@@ -25,7 +35,12 @@ def braced_fractions(c: Column) -> Column:
     """\\frac ab with braces around both; a \\frac with too little behind it leaves the whole text alone."""
     parts = F.split(c, r"\\frac")
     short = F.exists(F.slice(parts, 2, 1 << 20), lambda p: ~p.startswith("{") & (F.length(p) < 2))
-    mended = F.transform(parts, lambda p, i: F.when((i == 0) | p.startswith("{"), p).otherwise(F.regexp_replace(F.regexp_replace(p, r"(?s)^(.)\{", r"{$1}{"), r"(?s)^([^{])([^{])", r"{$1}{$2}")))
+    mended = F.transform(
+        parts,
+        lambda p, i: F.when((i == 0) | p.startswith("{"), p).otherwise(
+            F.regexp_replace(F.regexp_replace(p, r"(?s)^(.)\{", r"{$1}{"), r"(?s)^([^{])([^{])", r"{$1}{$2}")
+        ),
+    )
     return F.when(short, c).otherwise(F.array_join(mended, "\\frac"))
 
 
@@ -33,7 +48,9 @@ def slash_fraction(c: Column) -> Column:
     """a/b as \\frac{a}{b} for plain integers or operands with a root."""
     whole = r"(-?[1-9]\d*|0)"
     side = rf"({whole}|[^/]*sqrt[^/]*)"
-    return F.when(c.rlike(rf"^{side}/{side}$"), F.regexp_replace(c, r"^([^/]*)/([^/]*)$", r"\\frac{$1}{$2}")).otherwise(c)
+    return F.when(
+        c.rlike(rf"^{side}/{side}$"), F.regexp_replace(c, r"^([^/]*)/([^/]*)$", r"\\frac{$1}{$2}")
+    ).otherwise(c)
 
 
 def strip_string(c: Column) -> Column:
@@ -55,7 +72,12 @@ def strip_string(c: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(s, r"(\d+)\.0*([^\d])", "$1$2"), r"(\d+)\.0*$", "$1")
     s = F.regexp_replace(s, r"^\.", "0.")
     sides = lambda v: F.split(v, "=")
-    s = let(s, lambda v: F.when((F.size(sides(v)) == 2) & (F.length(F.get(sides(v), F.lit(0))) <= 2), F.get(sides(v), F.lit(1))).otherwise(v))
+    s = let(
+        s,
+        lambda v: F.when(
+            (F.size(sides(v)) == 2) & (F.length(F.get(sides(v), F.lit(0))) <= 2), F.get(sides(v), F.lit(1))
+        ).otherwise(v),
+    )
     s = put(F.regexp_replace(s, r"\\sqrt(\w+)", r"\\sqrt{$1}"), " ")
     return let(let(s, braced_fractions), slash_fraction)
 
@@ -63,17 +85,26 @@ def strip_string(c: Column) -> Column:
 def stated_value(c: Column) -> Column:
     """Behind "the answer is": a leading number without commas, else the text up to the next sentence."""
     number = F.replace(F.regexp_extract(c, r"^\$?(-?\d[\d,]*\.?\d*)", 1), F.lit(","), F.lit(""))
-    return F.when(number != "", number).otherwise(strip(F.get(F.split(c, r"(?<=[^a-zA-Z])\s+(?=[A-Z][a-z])"), F.lit(0))))
+    return F.when(number != "", number).otherwise(
+        strip(F.get(F.split(c, r"(?<=[^a-zA-Z])\s+(?=[A-Z][a-z])"), F.lit(0)))
+    )
 
 
 def boxed_or_partial(c: Column) -> Column:
     """Behind the last "boxed": the braces' contents, even if they never close; without braces up to a dollar sign."""
     tail = F.element_at(F.split(c, "boxed"), -1)
     step = lambda s, ch: F.when(s["depth"] == 0, s).otherwise(
-        F.struct((s["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)).alias("depth"), F.when((ch == "}") & (s["depth"] == 1), s["text"]).otherwise(F.concat(s["text"], ch)).alias("text"))
+        F.struct(
+            (s["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)).alias("depth"),
+            F.when((ch == "}") & (s["depth"] == 1), s["text"]).otherwise(F.concat(s["text"], ch)).alias("text"),
+        )
+    )
+    inner = F.aggregate(
+        F.split(F.substring(tail, 2, 1 << 30), ""), F.struct(F.lit(1).alias("depth"), F.lit("").alias("text")), step
+    )["text"]
+    return F.when(tail == "", tail).when(tail.startswith("{"), inner).otherwise(
+        strip(F.get(F.split(tail, r"\$"), F.lit(0)))
     )
-    inner = F.aggregate(F.split(F.substring(tail, 2, 1 << 30), ""), F.struct(F.lit(1).alias("depth"), F.lit("").alias("text")), step)["text"]
-    return F.when(tail == "", tail).when(tail.startswith("{"), inner).otherwise(strip(F.get(F.split(tail, r"\$"), F.lit(0))))
 
 
 def extract_answer(c: Column, use_last_number: bool = True) -> Column:
@@ -83,12 +114,25 @@ def extract_answer(c: Column, use_last_number: bool = True) -> Column:
 
 def stated_or_last(s: Column, use_last_number: bool) -> Column:
     """The raw answer of a response without thinking."""
-    after = lambda words: F.regexp_replace(strip(F.get(F.split(strip(F.element_at(F.split(s, words), -1)), "\n"), F.lit(0))), r"^[\s:]+", "")
-    number = F.coalesce(F.element_at(F.filter(F.regexp_extract_all(put(s, ","), F.lit(r"-?\d*\.?\d+"), F.lit(0)), lambda x: x != ""), -1), F.lit("")) if use_last_number else F.lit("")
+    after = lambda words: F.regexp_replace(
+        strip(F.get(F.split(strip(F.element_at(F.split(s, words), -1)), "\n"), F.lit(0))), r"^[\s:]+", ""
+    )
+    number = F.coalesce(
+        F.element_at(
+            F.filter(F.regexp_extract_all(put(s, ","), F.lit(r"-?\d*\.?\d+"), F.lit(0)), lambda x: x != ""), -1
+        ),
+        F.lit(""),
+    ) if use_last_number else F.lit("")
     hoped = F.regexp_extract(s, r"(?s)final answer is \$(.*?)\$\. I hope", 1)
     has = lambda words: F.contains(s, F.lit(words))
-    number = F.when(F.size(F.regexp_extract_all(put(s, ","), F.lit(r"-?\d*\.?\d+"), F.lit(0))) > 0, number).otherwise(F.lit(""))
-    raw = F.when(has("boxed"), boxed_or_partial(s)).when(has("final answer is $") & has("$. I hope"), strip(hoped)).when(has("the answer is"), stated_value(after("the answer is"))).when(has("final answer is"), stated_value(after("final answer is"))).otherwise(number)
+    number = F.when(
+        F.size(F.regexp_extract_all(put(s, ","), F.lit(r"-?\d*\.?\d+"), F.lit(0))) > 0, number
+    ).otherwise(F.lit(""))
+    raw = F.when(has("boxed"), boxed_or_partial(s)).when(
+        has("final answer is $") & has("$. I hope"), strip(hoped)
+    ).when(has("the answer is"), stated_value(after("the answer is"))).when(
+        has("final answer is"), stated_value(after("final answer is"))
+    ).otherwise(number)
     raw = F.regexp_replace(raw, r"\n\s*", "")
     raw = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "^:", ""), r"\.$", ""), "/$", "")
     return raw
@@ -137,7 +181,9 @@ def item_equal(p: Column, r: Column) -> Column:
 def set_to_pmatrix(c: Column) -> Column:
     """Each {a,b,...} as a column vector; a backslash parts its entries."""
     sets = F.regexp_extract_all(strip(c), F.lit(r"\{.*,.*\}"), F.lit(0))
-    vector = lambda m: F.concat(F.lit("\\begin{pmatrix}"), put(F.regexp_replace(m, r"^[{}]+|[{}]+$", ""), ",", "\\"), F.lit("\\end{pmatrix}"))
+    vector = lambda m: F.concat(
+        F.lit("\\begin{pmatrix}"), put(F.regexp_replace(m, r"^[{}]+|[{}]+$", ""), ",", "\\"), F.lit("\\end{pmatrix}")
+    )
     return F.array_join(F.transform(sets, vector), ", ")
 
 
@@ -149,7 +195,9 @@ def matrix_cells(c: Column) -> Column:
 
 
 def all_equal(a: Column, b: Column) -> Column:
-    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.coalesce(item_equal(x, y), F.lit(False))), lambda x: x)
+    return (F.size(a) == F.size(b)) & F.forall(
+        F.zip_with(a, b, lambda x, y: F.coalesce(item_equal(x, y), F.lit(False))), lambda x: x
+    )
 
 
 def matrices_equal(p: Column, r: Column) -> Column:
@@ -167,7 +215,9 @@ def equations_equal(p: Column, r: Column) -> Column:
     none = lambda c: ~F.contains(c, F.lit("="))
     straight = item_equal(side(p, 0), side(r, 0)) & item_equal(side(p, 1), side(r, 1))
     crossed = item_equal(side(p, 0), side(r, 1)) & item_equal(side(p, 1), side(r, 0))
-    found = F.when(one(p) & one(r), straight | crossed).when(named(p) & none(r), item_equal(side(p, 1), r)).when(named(r) & none(p), item_equal(p, side(r, 1)))
+    found = F.when(one(p) & one(r), straight | crossed).when(
+        named(p) & none(r), item_equal(side(p, 1), r)
+    ).when(named(r) & none(p), item_equal(p, side(r, 1)))
     return F.coalesce(found, F.lit(False))
 
 
@@ -189,11 +239,15 @@ def tiers(p: Column, r: Column) -> Column:
     same = F.lower(p) == F.lower(r)
     r = F.when(F.contains(p, F.lit("pmatrix")) & ~F.contains(r, F.lit("pmatrix")), set_to_pmatrix(r)).otherwise(r)
     edge = lambda c: F.regexp_replace(c, r"^[\[\]()]+|[\[\]()]+$", "")
-    brackets = F.when(same_kind(p, r), unbracketed(edge(p)) == unbracketed(edge(r))).otherwise(unbracketed(p) == unbracketed(r))
+    brackets = F.when(
+        same_kind(p, r), unbracketed(edge(p)) == unbracketed(edge(r))
+    ).otherwise(unbracketed(p) == unbracketed(r))
     shaped = lambda c: c.rlike(r"^[(\[].+[)\]]")
     parts = lambda c: F.split(F.substr(c, F.lit(2), F.length(c) - 2), ",")
     tuple_ = shaped(p) & shaped(r) & all_equal(parts(p), parts(r))
-    return F.when(same, F.lit(True)).otherwise(F.coalesce(number_tier(p, r), (p != "") & (brackets | tuple_ | matrices_equal(p, r) | equations_equal(p, r))))
+    return F.when(same, F.lit(True)).otherwise(
+        F.coalesce(number_tier(p, r), (p != "") & (brackets | tuple_ | matrices_equal(p, r) | equations_equal(p, r)))
+    )
 
 
 def undecided(p: Column, r: Column) -> Column:
@@ -228,14 +282,22 @@ def inequality_chain(c: Column) -> Column:
     ops = F.regexp_extract_all(s, F.lit("[<>≤≥]"), F.lit(0))
     down = F.get(ops, F.lit(0)).isin(">", "≥")
     turned = F.transform(F.reverse(ops), lambda o: F.translate(o, "<>≤≥", "><≥≤"))
-    return F.when(F.size(ops) > 0, F.struct(F.when(down, F.reverse(terms)).otherwise(terms).alias("terms"), F.when(down, turned).otherwise(ops).alias("ops")))
+    return F.when(
+        F.size(ops) > 0,
+        F.struct(
+            F.when(down, F.reverse(terms)).otherwise(terms).alias("terms"),
+            F.when(down, turned).otherwise(ops).alias("ops"),
+        ),
+    )
 
 
 def may_evaluate(c: Column, forbidden: tuple[str, ...] = ("^{", "^(")) -> Column:
     """Whether an expression is plain enough for algebra: two unknown letters at most, and no forbidden exponent."""
     bare = F.regexp_replace(F.regexp_replace(c, "sqrt|frac", ""), r"[^a-zA-Z]", "")
     letters = F.size(F.array_distinct(F.filter(F.split(bare, ""), lambda x: x != "")))
-    return (letters <= 2) & ~reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in forbidden]) & ~c.rlike(r"\^[0-9]+\^|\^[0-9][0-9]+")
+    return (letters <= 2) & ~reduce(
+        lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in forbidden]
+    ) & ~c.rlike(r"\^[0-9]+\^|\^[0-9][0-9]+")
 
 
 # Units that the grade normaliser drops, and words for powers of ten, in order.
@@ -257,13 +319,22 @@ def simple_normalised(c: Column) -> Column:
 
 def undollared(c: Column, mark: str = "$") -> Column:
     n = len(mark)
-    return F.when(c.startswith(mark) & c.endswith(mark) & (F.length(c) >= 2 * n), strip(F.substr(c, F.lit(n + 1), F.length(c) - 2 * n))).otherwise(c)
+    return F.when(
+        c.startswith(mark) & c.endswith(mark) & (F.length(c) >= 2 * n),
+        strip(F.substr(c, F.lit(n + 1), F.length(c) - 2 * n)),
+    ).otherwise(c)
 
 
 def truth_normalised(c: Column) -> Column:
     """A reference answer in the form that answers of a model get."""
     bare = undollared(strip(c))
-    return let(bare, lambda x: let(extract_answer(x, use_last_number=False), lambda e: F.when(F.coalesce(e, F.lit("")) == "", strip_string(x)).otherwise(strip_string(e))))
+    return let(
+        bare,
+        lambda x: let(
+            extract_answer(x, use_last_number=False),
+            lambda e: F.when(F.coalesce(e, F.lit("")) == "", strip_string(x)).otherwise(strip_string(e)),
+        ),
+    )
 
 
 def deep_normalised(c: Column) -> Column:
@@ -283,7 +354,9 @@ def deep_normalised(c: Column) -> Column:
 def value_of(c: Column) -> Column:
     """The number that a decimal, a/b or \\frac{a}{b} states; null for anything else."""
     n = r"([+-]?(?:\d+\.?\d*|\.\d+))"
-    quotient = lambda pattern: F.try_divide(F.regexp_extract(c, pattern, 2).try_cast("double"), F.regexp_extract(c, pattern, 3).try_cast("double")) * F.when(F.regexp_extract(c, pattern, 1) == "-", -1).otherwise(1)
+    quotient = lambda pattern: F.try_divide(
+        F.regexp_extract(c, pattern, 2).try_cast("double"), F.regexp_extract(c, pattern, 3).try_cast("double")
+    ) * F.when(F.regexp_extract(c, pattern, 1) == "-", -1).otherwise(1)
     plain = F.when(c.rlike(NUMBER), c.try_cast("double"))
     return F.coalesce(plain, quotient(rf"^(-?)\s*\\frac\{{{n}\}}\{{{n}\}}$"), quotient(rf"^(-?){n}\s*/\s*{n}$"))
 
@@ -293,14 +366,26 @@ def enhanced_equal(p: Column, r: Column) -> Column:
 
     def intervals(x: Column, y: Column) -> Column:
         a, b = to_interval(x), to_interval(y)
-        ends = lambda i, j: (i["lo_closed"] == j["lo_closed"]) & (i["hi_closed"] == j["hi_closed"]) & item_equal(strip_string(i["lo"]), strip_string(j["lo"])) & item_equal(strip_string(i["hi"]), strip_string(j["hi"]))
+        ends = lambda i, j: (i["lo_closed"] == j["lo_closed"]) & (i["hi_closed"] == j["hi_closed"]) & item_equal(
+            strip_string(i["lo"]), strip_string(j["lo"])
+        ) & item_equal(strip_string(i["hi"]), strip_string(j["hi"]))
         return F.coalesce(both(a, b, ends), F.lit(False))
 
     def chains(x: Column, y: Column) -> Column:
-        terms = lambda i, j: (F.size(i["terms"]) == F.size(j["terms"])) & (i["ops"] == j["ops"]) & F.forall(F.zip_with(i["terms"], j["terms"], lambda u, v: item_equal(strip_string(u), strip_string(v))), lambda e: e)
+        terms = lambda i, j: (F.size(i["terms"]) == F.size(j["terms"])) & (i["ops"] == j["ops"]) & F.forall(
+            F.zip_with(i["terms"], j["terms"], lambda u, v: item_equal(strip_string(u), strip_string(v))), lambda e: e
+        )
         return F.coalesce(both(inequality_chain(x), inequality_chain(y), terms), F.lit(False))
 
-    deep = both(deep_normalised(p), deep_normalised(r), lambda a, b: tiers(a, b) | F.coalesce(both(value_of(a), value_of(b), lambda u, v: F.abs(u - v) < 1e-6 * F.greatest(F.lit(1.0), F.abs(v))), F.lit(False)))
+    deep = both(
+        deep_normalised(p),
+        deep_normalised(r),
+        lambda a, b: tiers(a, b)
+        | F.coalesce(
+            both(value_of(a), value_of(b), lambda u, v: F.abs(u - v) < 1e-6 * F.greatest(F.lit(1.0), F.abs(v))),
+            F.lit(False),
+        ),
+    )
     return F.coalesce(math_equal(p, r) | intervals(p, r) | chains(p, r) | F.coalesce(deep, F.lit(False)), F.lit(False))
 
 
@@ -313,19 +398,50 @@ def competition_form(c: Column) -> Column:
 
 def competition_steps(a: Column) -> Column:
     """Null where the answer breaks off."""
-    s = fold(a, [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")])
+    s = fold(
+        a,
+        [
+            ("\n", ""),
+            ("\\!", ""),
+            ("\\\\", "\\"),
+            ("tfrac", "frac"),
+            ("dfrac", "frac"),
+            ("\\left", ""),
+            ("\\right", ""),
+            ("^{\\circ}", ""),
+            ("^\\circ", ""),
+            ("\\$", ""),
+        ],
+    )
     units = lambda v: F.split(v, r"\\text\{ ")
     s = let(s, lambda v: F.when(F.size(units(v)) <= 2, F.get(units(v), F.lit(0))))
     s = fold(s, [("\\%", ""), (" .", " 0."), ("{.", "{0.")])
     s = F.regexp_replace(s, r"^\.", "0.")
     sides = lambda v: F.split(v, "=")
-    s = let(s, lambda v: F.when((F.size(sides(v)) == 2) & (F.length(F.get(sides(v), F.lit(0))) <= 2), F.get(sides(v), F.lit(1))).otherwise(v))
+    s = let(
+        s,
+        lambda v: F.when(
+            (F.size(sides(v)) == 2) & (F.length(F.get(sides(v), F.lit(0))) <= 2), F.get(sides(v), F.lit(1))
+        ).otherwise(v),
+    )
     roots = lambda v: F.slice(F.split(v, r"\\sqrt"), 2, 1 << 20)
-    s = let(s, lambda v: F.when(~F.exists(roots(v), lambda x: x == ""), F.regexp_replace(v, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}")))
-    short = lambda v: F.get(F.filter(F.slice(F.split(v, r"\\frac"), 2, 1 << 20), lambda x: ~x.startswith("{") & (F.length(x) < 2)), F.lit(0))
+    s = let(
+        s,
+        lambda v: F.when(
+            ~F.exists(roots(v), lambda x: x == ""), F.regexp_replace(v, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}")
+        ),
+    )
+    short = lambda v: F.get(
+        F.filter(F.slice(F.split(v, r"\\frac"), 2, 1 << 20), lambda x: ~x.startswith("{") & (F.length(x) < 2)), F.lit(0)
+    )
     s = let(put(s, " "), lambda v: F.when(F.coalesce(short(v), F.lit("x")) != "", braced_fractions(v)))
     whole = r"(-?[1-9]\d*|0)"
-    return let(s, lambda v: F.when(v == "0.5", F.lit("\\frac{1}{2}")).otherwise(F.regexp_replace(v, rf"^{whole}/{whole}$", r"\\frac{$1}{$2}")))
+    return let(
+        s,
+        lambda v: F.when(v == "0.5", F.lit("\\frac{1}{2}")).otherwise(
+            F.regexp_replace(v, rf"^{whole}/{whole}$", r"\\frac{$1}{$2}")
+        ),
+    )
 
 
 def grade_form(c: Column) -> Column:
@@ -337,13 +453,31 @@ def grade_form(c: Column) -> Column:
         s = F.regexp_replace(s, rf"{unit}(es)?(s)? *(\^[0-9]+)?", "")
     s = F.regexp_replace(s, r"\^ *\\circ", "")
     s = F.regexp_replace(F.regexp_replace(s, r"(?s)^\{(.*)\}$", "$1"), r",\\! *", "")
-    s = let(s, lambda v: F.when(strip(v).rlike(NUMBER) & (F.abs(strip(v).try_cast("double") % 1) < 1e-7), F.format_string("%.0f", strip(v).try_cast("double"))).otherwise(v))
+    s = let(
+        s,
+        lambda v: F.when(
+            strip(v).rlike(NUMBER) & (F.abs(strip(v).try_cast("double") % 1) < 1e-7),
+            F.format_string("%.0f", strip(v).try_cast("double")),
+        ).otherwise(v),
+    )
     s = fold(s, [("\\tfrac", "\\frac"), ("\\dfrac", "\\frac")])
     s = F.regexp_replace(s, r"\\frac\{([^{}]*)\}\{([^{}]*)\}", " $1/$2")
-    s = fold(F.regexp_replace(s, r"\\sqrt\{([^{}]*)\}", "sqrt($1)"), [("\\pi", "pi"), ("\\infty", "inf"), ("\\cup", "U"), ("\\cdot", "*"), ("\\times", "*")])
+    s = fold(
+        F.regexp_replace(s, r"\\sqrt\{([^{}]*)\}", "sqrt($1)"),
+        [("\\pi", "pi"), ("\\infty", "inf"), ("\\cup", "U"), ("\\cdot", "*"), ("\\times", "*")],
+    )
     s = F.regexp_replace(F.regexp_replace(strip(s), "- *", "-"), "([0-9]) +([0-9])", "$1+$2")
     s = F.lower(fold(s, [(" ", ""), ("{", ""), ("}", "")]))
-    return let(s, lambda v: let(thousands_removed(v), lambda x: F.when(x.rlike(NUMBER) & (F.abs(x.try_cast("double") % 1) < 1e-7), F.format_string("%.0f", x.try_cast("double"))).otherwise(v)))
+    return let(
+        s,
+        lambda v: let(
+            thousands_removed(v),
+            lambda x: F.when(
+                x.rlike(NUMBER) & (F.abs(x.try_cast("double") % 1) < 1e-7),
+                F.format_string("%.0f", x.try_cast("double")),
+            ).otherwise(v),
+        ),
+    )
 
 
 def grade_answer(given: Column, truth: Column) -> Column:
@@ -356,9 +490,13 @@ def grade_answer(given: Column, truth: Column) -> Column:
         value = lambda x, y: F.coalesce(F.abs(value_of(x) - value_of(y)) < 1e-9, x == y)
         pair = lambda x, y: F.when(frac(x) & frac(y), x == y).when(whole(x) != whole(y), False).otherwise(value(x, y))
         x, y = split_tuple(thousands_removed(a)), split_tuple(thousands_removed(b))
-        return (a == b) | (b != "") & (a != "") & (F.size(x) == F.size(y)) & F.forall(F.zip_with(x, y, pair), lambda e: e)
+        return (a == b) | (b != "") & (a != "") & (F.size(x) == F.size(y)) & F.forall(
+            F.zip_with(x, y, pair), lambda e: e
+        )
 
-    equal = both(competition_form(given), competition_form(truth), lambda a, b: a == b) | both(grade_form(given), grade_form(truth), elements)
+    equal = both(
+        competition_form(given), competition_form(truth), lambda a, b: a == b
+    ) | both(grade_form(given), grade_form(truth), elements)
     return F.coalesce(equal, F.lit(False))
 
 
@@ -369,4 +507,6 @@ def math_reward(query: Column, prompt: Column, label: Column) -> Column:
 
 def verify_answer(response: Column, label: Column) -> Column:
     """Whether a response's extracted answer equals the label, both in normal form."""
-    return both(extract_answer(response), strip_string(label), lambda a, b: F.coalesce(tiers(strip(a), strip(b)), F.lit(False)))
+    return both(
+        extract_answer(response), strip_string(label), lambda a, b: F.coalesce(tiers(strip(a), strip(b)), F.lit(False))
+    )

@@ -28,7 +28,9 @@ def log_exp(chosen: Column, rejected: Column) -> Column:
     return -log_sigmoid(chosen - rejected)
 
 
-def dpo(pc: Column, pr: Column, rc: Column, rr: Column, beta: float, smoothing: float = 0.0, ipo: bool = False) -> Column:
+def dpo(
+    pc: Column, pr: Column, rc: Column, rr: Column, beta: float, smoothing: float = 0.0, ipo: bool = False
+) -> Column:
     """Preference loss of policy and reference log-probabilities of the chosen and the rejected answer."""
     logits = (pc - pr) - (rc - rr)
     if ipo:
@@ -36,11 +38,15 @@ def dpo(pc: Column, pr: Column, rc: Column, rr: Column, beta: float, smoothing:
     return -log_sigmoid(beta * logits) * (1 - smoothing) - log_sigmoid(-beta * logits) * smoothing
 
 
-def kto(reward: Column, kl_mean: Column, is_chosen: Column, chosen_weight: float = 1.0, rejected_weight: float = 1.0) -> Column:
+def kto(
+    reward: Column, kl_mean: Column, is_chosen: Column, chosen_weight: float = 1.0, rejected_weight: float = 1.0
+) -> Column:
     """reward: beta times the log-ratio. kl_mean is held at 0 from below."""
     k = F.greatest(kl_mean, F.lit(0.0))
     sigmoid = lambda x: 1 / (1 + F.exp(-x))
-    return F.when(is_chosen, chosen_weight * (1 - sigmoid(reward - k))).otherwise(rejected_weight * (1 - sigmoid(k - reward)))
+    return F.when(
+        is_chosen, chosen_weight * (1 - sigmoid(reward - k))
+    ).otherwise(rejected_weight * (1 - sigmoid(k - reward)))
 
 
 def policy(ratio: Column, advantage: Column, low: float = 0.2, high: float = 0.2, dual: float | None = None) -> Column:
@@ -76,7 +82,9 @@ def log_sum_exp(x: Column) -> Column:
     """Stable. Empty arrays, and such with nothing but -inf, give -inf."""
     top = F.array_max(x)
     low = F.coalesce(top, F.lit(float("-inf"))) == float("-inf")
-    return F.when(low & x.isNotNull(), float("-inf")).otherwise(top + F.ln(total(F.transform(x, lambda v: F.exp(v - top)))))
+    return F.when(low & x.isNotNull(), float("-inf")).otherwise(
+        top + F.ln(total(F.transform(x, lambda v: F.exp(v - top))))
+    )
 
 
 def softmax(x: Column) -> Column:
@@ -107,7 +115,9 @@ def top_k(logits: Column, k: int) -> Column:
 
 def masked_mean(x: Column, mask: Column) -> Column:
     """Null where the mask is empty."""
-    return F.try_divide(total(F.zip_with(x, mask, lambda a, m: a * m)), total(F.transform(mask, lambda m: m.cast("double"))))
+    return F.try_divide(
+        total(F.zip_with(x, mask, lambda a, m: a * m)), total(F.transform(mask, lambda m: m.cast("double")))
+    )
 
 
 def where(mask: Column, x: Column) -> Column:
@@ -118,14 +128,20 @@ def discounted(rewards: Column, gamma: float, mask: Column | None = None) -> Col
     """Return to go at each position of an array; masked rewards count as 0."""
     own = rewards if mask is None else where(mask, rewards)
     start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
-    add = lambda s, r: F.struct((r + gamma * s["sum"]).alias("sum"), F.array_append(s["out"], r + gamma * s["sum"]).alias("out"))
+    add = lambda s, r: F.struct(
+        (r + gamma * s["sum"]).alias("sum"), F.array_append(s["out"], r + gamma * s["sum"]).alias("out")
+    )
     return F.reverse(F.aggregate(F.reverse(own), start, add, lambda s: s["out"]))
 
 
 def gae(values: Column, rewards: Column, gamma: float, lam: float, mask: Column | None = None) -> Column:
     """Generalised advantages at each position; the value behind the last one is 0; masked values and rewards count as 0."""
     v, r = (values, rewards) if mask is None else (where(mask, values), where(mask, rewards))
-    steps = F.zip_with(F.arrays_zip(r.alias("r"), v.alias("v")), F.slice(F.array_append(v, F.lit(0.0)), 2, F.size(v)), lambda s, n: s["r"] + gamma * n - s["v"])
+    steps = F.zip_with(
+        F.arrays_zip(r.alias("r"), v.alias("v")),
+        F.slice(F.array_append(v, F.lit(0.0)), 2, F.size(v)),
+        lambda s, n: s["r"] + gamma * n - s["v"],
+    )
     return discounted(steps, gamma * lam)
 
 
@@ -177,7 +193,9 @@ def beyond(logps: Column, start: Column) -> Column:
     return F.slice(logps, start + 1, F.greatest(F.size(logps) - start, F.lit(0)))
 
 
-def step_loss(policy_loss: Column, kl_: Column, entropy_: Column, beta: float, c: float, rows: Column, step_rows: Column) -> Column:
+def step_loss(
+    policy_loss: Column, kl_: Column, entropy_: Column, beta: float, c: float, rows: Column, step_rows: Column
+) -> Column:
     """(policy + beta KL - c entropy), scaled by a micro-batch's share of its step's rows."""
     return (policy_loss + beta * kl_ - c * entropy_) * rows / step_rows
 

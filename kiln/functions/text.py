@@ -8,13 +8,66 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Word lists and patterns that decide results.
-SOLUTION_MARKERS = ["therefore, the answer is", "the final answer is", "\\boxed{", "hence, the answer", "so the answer is", "the solution is", "we get the answer", "step 1:", "step 2:"]
-PROBLEM_MARKERS = ["find", "compute", "calculate", "determine", "prove", "how many", "what is", "evaluate", "solve", "show that", "if ", "given ", "let ", "suppose", "?"]
+SOLUTION_MARKERS = [
+    "therefore, the answer is",
+    "the final answer is",
+    "\\boxed{",
+    "hence, the answer",
+    "so the answer is",
+    "the solution is",
+    "we get the answer",
+    "step 1:",
+    "step 2:",
+]
+PROBLEM_MARKERS = [
+    "find",
+    "compute",
+    "calculate",
+    "determine",
+    "prove",
+    "how many",
+    "what is",
+    "evaluate",
+    "solve",
+    "show that",
+    "if ",
+    "given ",
+    "let ",
+    "suppose",
+    "?",
+]
 CHOICE_MARKERS = ["(A)", "(B)", "(C)", "(a)", "(b)", "(c)"]
-PREAMBLES = ["Here is the new problem:", "Here is the rewritten problem:", "Here is the evolved problem:", "Here is the transformed problem:", "Here's the new problem:", "Here's the transformed problem:", "New problem:", "**Problem:**", "**New Problem:**", "**Problem Statement:**"]
+PREAMBLES = [
+    "Here is the new problem:",
+    "Here is the rewritten problem:",
+    "Here is the evolved problem:",
+    "Here is the transformed problem:",
+    "Here's the new problem:",
+    "Here's the transformed problem:",
+    "New problem:",
+    "**Problem:**",
+    "**New Problem:**",
+    "**Problem Statement:**",
+]
 SOLUTION_STARTS = ["\n**Solution", "\nSolution:", "\n**Answer", "\nAnswer:", "\n**Hint", "\nHint:", "\n---\n"]
 LATEX_COMMANDS = r"\\(frac|sqrt|left|right|text|cdot|pi|infty|cup|cap|complement|mathbb|leqslant|geqslant|neq|le|ge|lt|gt|pm|mp|times|div|circ|boxed|overline|underline|hat|bar|vec|sum|prod|int|lim|log|ln|sin|cos|tan|cot|sec|csc|arcsin|arccos|arctan)"
-UNICODE_MATH = {"√": "\\sqrt", "×": "\\times", "÷": "\\div", "±": "\\pm", "∓": "\\mp", "π": "\\pi", "∞": "\\infty", "≤": "\\le", "≥": "\\ge", "≠": "\\ne", "∪": "\\cup", "∩": "\\cap", "∈": "\\in", "⊂": "\\subset", "⊆": "\\subseteq"}
+UNICODE_MATH = {
+    "√": "\\sqrt",
+    "×": "\\times",
+    "÷": "\\div",
+    "±": "\\pm",
+    "∓": "\\mp",
+    "π": "\\pi",
+    "∞": "\\infty",
+    "≤": "\\le",
+    "≥": "\\ge",
+    "≠": "\\ne",
+    "∪": "\\cup",
+    "∩": "\\cap",
+    "∈": "\\in",
+    "⊂": "\\subset",
+    "⊆": "\\subseteq",
+}
 
 
 def strip(c: Column) -> Column:
@@ -107,19 +160,25 @@ def parse_keep(c: Column) -> Column:
     """Whether a judge says keep: its verdict line, else the words in it, else yes."""
     stated = F.upper(F.regexp_extract(c, r"(?i)VERDICT:\s*(KEEP|REMOVE)", 1))
     upper = F.upper(c)
-    return F.when(stated != "", stated == "KEEP").when(F.contains(upper, F.lit("REMOVE")), F.lit(False)).otherwise(F.lit(True))
+    return F.when(stated != "", stated == "KEEP").when(
+        F.contains(upper, F.lit("REMOVE")), F.lit(False)
+    ).otherwise(F.lit(True))
 
 
 def parse_accept(c: Column) -> Column:
     """struct(accept, reason) of a strict judge: the first line that begins with a verdict, else any mention, else no."""
     text = strip_think(c)
     lines = F.transform(F.split(text, "\n"), strip)
-    verdict = F.get(F.filter(lines, lambda x: F.upper(x).startswith("ACCEPT") | F.upper(x).startswith("REJECT")), F.lit(0))
+    verdict = F.get(
+        F.filter(lines, lambda x: F.upper(x).startswith("ACCEPT") | F.upper(x).startswith("REJECT")), F.lit(0)
+    )
     yes = F.upper(verdict).startswith("ACCEPT")
     upper = F.upper(text)
     said = F.contains(upper, F.lit("ACCEPT"))
     accept = F.when(verdict.isNotNull(), yes).otherwise(said)
-    reason = F.when(accept, F.lit("ACCEPT")).when(verdict.isNotNull(), verdict).when(F.contains(upper, F.lit("REJECT")), F.regexp_extract(text, r"(?i)REJECT[:\s]*(.*)", 0)).otherwise(F.lit("REJECT: no clear judgment"))
+    reason = F.when(accept, F.lit("ACCEPT")).when(verdict.isNotNull(), verdict).when(
+        F.contains(upper, F.lit("REJECT")), F.regexp_extract(text, r"(?i)REJECT[:\s]*(.*)", 0)
+    ).otherwise(F.lit("REJECT: no clear judgment"))
     return F.struct(accept.alias("accept"), reason.alias("reason"))
 
 
@@ -148,7 +207,10 @@ def extract_problem(c: Column) -> Column:
 def wrap_latex(c: Column) -> Column:
     c = strip(c)
     done = (c == "") | (c.startswith("$") & c.endswith("$"))
-    return F.when(~done & (c.rlike(LATEX_COMMANDS) | F.contains(c, F.lit("\\{")) | F.contains(c, F.lit("\\}"))), F.concat(F.lit("$"), c, F.lit("$"))).otherwise(c)
+    return F.when(
+        ~done & (c.rlike(LATEX_COMMANDS) | F.contains(c, F.lit("\\{")) | F.contains(c, F.lit("\\}"))),
+        F.concat(F.lit("$"), c, F.lit("$")),
+    ).otherwise(c)
 
 
 def unicode_to_latex(c: Column) -> Column:
@@ -161,21 +223,28 @@ def shingles(c: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the text in lower case with white space collapsed; none if it is shorter than n."""
     text = F.regexp_replace(strip(F.lower(c)), r"(?U)\s+", " ")
     # an array of characters: substr() would walk a long text from its start for every n-gram
-    own = lambda v: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(v) - n), lambda i: F.concat(*[F.get(v, i + k) for k in range(n)])))
+    own = lambda v: F.array_distinct(
+        F.transform(F.sequence(F.lit(0), F.size(v) - n), lambda i: F.concat(*[F.get(v, i + k) for k in range(n)]))
+    )
     return let(F.split(text, ""), lambda v: F.when(F.size(v) < n, F.array().cast("array<string>")).otherwise(own(v)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; 0 if either is empty."""
     sizes = F.struct(F.size(a).alias("a"), F.size(b).alias("b"), F.size(F.array_intersect(a, b)).alias("both"))
-    return let(sizes, lambda n: F.when((n["a"] == 0) | (n["b"] == 0), F.lit(0.0)).otherwise(n["both"] / (n["a"] + n["b"] - n["both"])))
+    return let(
+        sizes,
+        lambda n: F.when((n["a"] == 0) | (n["b"] == 0), F.lit(0.0)).otherwise(n["both"] / (n["a"] + n["b"] - n["both"])),
+    )
 
 
 def json_object(c: Column, schema: str, required: list[str]) -> Column:
     """The outermost JSON object in free text, trailing commas mended; null without it or a required key."""
     raw = F.regexp_extract(c, r"(?s)\{.*\}", 0)
     whole = lambda v: F.when(reduce(lambda a, b: a & b, [v[k].isNotNull() for k in required]), v)
-    return F.coalesce(whole(F.from_json(raw, schema)), whole(F.from_json(F.regexp_replace(raw, r",\s*([}\]])", "$1"), schema)))
+    return F.coalesce(
+        whole(F.from_json(raw, schema)), whole(F.from_json(F.regexp_replace(raw, r",\s*([}\]])", "$1"), schema))
+    )
 
 
 def template(pattern: str, c: Column) -> Column:
@@ -202,19 +271,25 @@ def question_blocks(c: Column) -> Column:
     head = r"(?:^|\n)\s*-?\s*\d{1,4}\s*[.．。·]\s*【"
     marked = F.regexp_replace(c, rf"({head})", "\u0001$1")
     blocks = F.transform(F.slice(F.split(marked, "\u0001"), 2, 1 << 20), strip)
-    return F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, r"^-?\s*(\d{1,4})", 1).cast("int").alias("num"), b.alias("raw")))
+    return F.transform(
+        blocks, lambda b: F.struct(F.regexp_extract(b, r"^-?\s*(\d{1,4})", 1).cast("int").alias("num"), b.alias("raw"))
+    )
 
 
 def response_part(query: Column, prompt: Column) -> Column:
     """The query behind the prompt's length, if the prompt occurs in it."""
-    return F.when(F.coalesce(F.contains(query, prompt), F.lit(False)), F.substr(query, F.length(prompt) + 1)).otherwise(query)
+    return F.when(
+        F.coalesce(F.contains(query, prompt), F.lit(False)), F.substr(query, F.length(prompt) + 1)
+    ).otherwise(query)
 
 
 def json_array(c: Column, schema: str) -> Column:
     """The objects of the outermost JSON array in free text; where it cannot be read, each flat object that has a
     question and an answer."""
     whole = F.from_json(F.regexp_extract(c, r"(?s)\[.*\]", 0), f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})
-    parts = F.transform(F.regexp_extract_all(c, F.lit(r"\{[^{}]+\}"), F.lit(0)), lambda x: F.from_json(x, f"struct<{schema}>"))
+    parts = F.transform(
+        F.regexp_extract_all(c, F.lit(r"\{[^{}]+\}"), F.lit(0)), lambda x: F.from_json(x, f"struct<{schema}>")
+    )
     single = F.filter(parts, lambda x: x["question"].isNotNull() & x["answer"].isNotNull())
     return F.when(F.size(whole) > 0, whole).otherwise(single)
 
@@ -223,7 +298,9 @@ def log_line(ts: Column, prefix: Column, step: Column, values: Column) -> Column
     """"[time] prefix step=N | k=v | ...": the map's keys in order, values with six decimals."""
     entries = F.array_sort(F.map_entries(values))
     shown = F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.6f", e["value"])))
-    head = F.concat(F.lit("["), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("] "), prefix, F.lit(" step="), step.cast("string"))
+    head = F.concat(
+        F.lit("["), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("] "), prefix, F.lit(" step="), step.cast("string")
+    )
     return F.concat_ws(" | ", F.array(head), shown)
 
 

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 def messages(system: Column, user: Column, shots: Column | None = None) -> Column:
     """[system, shots..., user] as array<struct<role, content>>; a null system prompt is left out."""
     said = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    parts = [F.when(system.isNotNull(), F.array(said("system", system))).otherwise(F.array().cast("array<struct<role:string,content:string>>")), *([shots] if shots is not None else []), F.array(said("user", user))]
+    parts = [
+        F.when(system.isNotNull(), F.array(said("system", system))).otherwise(
+            F.array().cast("array<struct<role:string,content:string>>")
+        ),
+        *([shots] if shots is not None else []),
+        F.array(said("user", user)),
+    ]
     return F.concat(*parts)
 
 
@@ -21,7 +27,9 @@ def prefixes(turns: DataFrame, conv: str, turn: str, tokens: str) -> DataFrame:
     """For each assistant turn the tokens before it and its closed token range in the conversation."""
     w = Window.partitionBy(conv).orderBy(turn)
     before = F.coalesce(F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return turns.withColumn("start", before).withColumn("stop", before + F.col(tokens) - 1).withColumn("turns_before", F.row_number().over(w) - 1).filter("role = 'assistant'")
+    return turns.withColumn("start", before).withColumn("stop", before + F.col(tokens) - 1).withColumn(
+        "turns_before", F.row_number().over(w) - 1
+    ).filter("role = 'assistant'")
 
 
 def long_enough(prompt_len: Column, response_len: Column, most: int) -> Column:
@@ -30,7 +38,10 @@ def long_enough(prompt_len: Column, response_len: Column, most: int) -> Column:
 
 def range_mask(n: Column, ranges: Column) -> Column:
     """Booleans of length n, true inside any closed range."""
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.exists(ranges, lambda r: i.between(r["start"], r["stop"])))).otherwise(F.array().cast("array<boolean>"))
+    return F.when(
+        n > 0,
+        F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.exists(ranges, lambda r: i.between(r["start"], r["stop"]))),
+    ).otherwise(F.array().cast("array<boolean>"))
 
 
 def padded(arr: Column, n: Column, value, left: bool = False) -> Column:
@@ -45,7 +56,9 @@ def unpadded(arr: Column, mask: Column) -> Column:
 def placeholders(ids: Column, labels: Column, mark: int, ignore: int = -100) -> Column:
     """labels at the places of the mark, in turn; ignore elsewhere and where labels run out."""
     at = lambda i: F.size(F.filter(F.slice(ids, 1, i), lambda x: x == mark))
-    return F.transform(ids, lambda x, i: F.when(x == mark, F.coalesce(F.get(labels, at(i)), F.lit(ignore))).otherwise(ignore))
+    return F.transform(
+        ids, lambda x, i: F.when(x == mark, F.coalesce(F.get(labels, at(i)), F.lit(ignore))).otherwise(ignore)
+    )
 
 
 def with_eos(ids: Column, eos: int) -> Column:

@@ -22,7 +22,9 @@ def capped(df: DataFrame, source: str, order: str, most: int) -> DataFrame:
     """The first rows of each source; -1 takes all."""
     if most < 0:
         return df
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(source).orderBy(order))).filter(F.col("_r") <= most).drop("_r")
+    return df.withColumn(
+        "_r", F.row_number().over(Window.partitionBy(source).orderBy(order))
+    ).filter(F.col("_r") <= most).drop("_r")
 
 
 def remaining(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -37,10 +39,19 @@ def write_routed(df: DataFrame, verdict: str, path: str) -> None:
 
 def translated(df: DataFrame, key: str, fields: list[str], needs, provider) -> DataFrame:
     """Cells that need it go through provider (Column -> Column) and back to their row and field; an empty result keeps the cell."""
-    return df.withColumns({f: F.when(needs(F.col(f)), F.coalesce(F.nullif(provider(F.col(f)), F.lit("")), F.col(f))).otherwise(F.col(f)) for f in fields})
-
-
-def interleave(parts: list[tuple[DataFrame, float]], key: str, total: int, seed: int = 0, oversample: bool = True) -> DataFrame:
+    return df.withColumns(
+        {
+            f: F.when(
+                needs(F.col(f)), F.coalesce(F.nullif(provider(F.col(f)), F.lit("")), F.col(f))
+            ).otherwise(F.col(f))
+            for f in fields
+        }
+    )
+
+
+def interleave(
+    parts: list[tuple[DataFrame, float]], key: str, total: int, seed: int = 0, oversample: bool = True
+) -> DataFrame:
     """`total` rows drawn source by source with given probabilities; a source starts again when it is used up (oversample)
     or the draw ends with it. Draws are hashes of the row number, so reruns agree.
     """
@@ -59,17 +70,23 @@ def interleave(parts: list[tuple[DataFrame, float]], key: str, total: int, seed:
     draws = draws.withColumn("k", F.get(F.array(*picks), F.col("source_idx")) - 1).drop("i", *picks)
     rows = None
     for i, (df, _) in enumerate(parts):
-        own = running(df, [key]).withColumnRenamed("i", "place").join(F.broadcast(df.agg(F.count("*").alias("size")))).withColumn("source_idx", F.lit(i))
+        own = running(df, [key]).withColumnRenamed("i", "place").join(
+            F.broadcast(df.agg(F.count("*").alias("size")))
+        ).withColumn("source_idx", F.lit(i))
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
     sizes = rows.groupBy("source_idx").agg(F.max("size").alias("of"))
     draws = draws.join(F.broadcast(sizes), "source_idx")  # a row for each source
     if not oversample:
         end = draws.filter("k >= of").agg(F.min("n").alias("stop"))
         draws = draws.crossJoin(F.broadcast(end)).filter("stop is null or n < stop").drop("stop")
-    return draws.withColumn("place", F.col("k") % F.col("of")).join(rows, ["source_idx", "place"]).drop("place", "size", "of", "k")
+    return draws.withColumn(
+        "place", F.col("k") % F.col("of")
+    ).join(rows, ["source_idx", "place"]).drop("place", "size", "of", "k")
 
 
-def weighted_choice(df: DataFrame, key: str, options: dict[str, float], exclude: str | None = None, seed: int = 0) -> DataFrame:
+def weighted_choice(
+    df: DataFrame, key: str, options: dict[str, float], exclude: str | None = None, seed: int = 0
+) -> DataFrame:
     """Adds `choice`: an option drawn by a hash of the key, weights renormalised without the excluded one."""
     u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     gone = F.col(exclude) if exclude else F.lit(None).cast("string")

@@ -24,8 +24,12 @@ def rank_shard(df: DataFrame, i: str, total: int, replicas: int, drop_last: bool
         out = df.filter(F.col(i) < whole).withColumn("slot", F.col(i))
     else:
         times = -(-whole // total)
-        out = df.withColumn("slot", F.explode(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda t: F.col(i) + t * total))).filter(F.col("slot") < whole)
-    return out.withColumn("rank", (F.col("slot") % replicas).cast("int")).withColumn("place", F.floor(F.col("slot") / replicas))
+        out = df.withColumn(
+            "slot", F.explode(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda t: F.col(i) + t * total))
+        ).filter(F.col("slot") < whole)
+    return out.withColumn(
+        "rank", (F.col("slot") % replicas).cast("int")
+    ).withColumn("place", F.floor(F.col("slot") / replicas))
 
 
 def chunk_shard(i: Column, total: int, actors: int) -> Column:
@@ -48,8 +52,12 @@ def snake(df: DataFrame, length: str, pos: str, ranks: int) -> DataFrame:
     # zip() of the groups stops at the shortest one
     width = F.col("_n") - (groups - 1) * ranks
     place = F.when(g < half, at).otherwise(size - 1 - at)
-    turn = F.when(g < half, 2 * g).otherwise(F.when(groups - 1 - g < half, 2 * (groups - 1 - g) + 1).otherwise(2 * half))
-    return own.withColumn("rank", place.cast("int")).withColumn("turn", turn.cast("int")).filter(F.col("rank") < width).drop("_i", "_n")
+    turn = F.when(g < half, 2 * g).otherwise(
+        F.when(groups - 1 - g < half, 2 * (groups - 1 - g) + 1).otherwise(2 * half)
+    )
+    return own.withColumn(
+        "rank", place.cast("int")
+    ).withColumn("turn", turn.cast("int")).filter(F.col("rank") < width).drop("_i", "_n")
 
 
 def first_fit(lengths: list[int], most: int) -> list[int]:
@@ -106,9 +114,13 @@ def balanced(df: DataFrame, batch: str, key: str, length: str, k: int, method=di
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         part = {i: p for p, own in enumerate(method(pdf[length].tolist(), min(k, len(pdf)))) for i in own}
-        return pd.DataFrame({batch: pdf[batch].values, key: pdf[key].values, "part": [part[i] for i in range(len(pdf))]})
+        return pd.DataFrame(
+            {batch: pdf[batch].values, key: pdf[key].values, "part": [part[i] for i in range(len(pdf))]}
+        )
 
-    return df.select(batch, key, length).groupBy(batch).applyInPandas(run, f"{batch} {dict(df.dtypes)[batch]}, {key} {dict(df.dtypes)[key]}, part int")
+    return df.select(batch, key, length).groupBy(batch).applyInPandas(
+        run, f"{batch} {dict(df.dtypes)[batch]}, {key} {dict(df.dtypes)[key]}, part int"
+    )
 
 
 def first_fit_bins(df: DataFrame, batch: str, key: str, length: str, most: int) -> DataFrame:
@@ -116,9 +128,13 @@ def first_fit_bins(df: DataFrame, batch: str, key: str, length: str, most: int)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        return pd.DataFrame({batch: pdf[batch].values, key: pdf[key].values, "bin": first_fit(pdf[length].tolist(), most)})
+        return pd.DataFrame(
+            {batch: pdf[batch].values, key: pdf[key].values, "bin": first_fit(pdf[length].tolist(), most)}
+        )
 
-    return df.select(batch, key, length).groupBy(batch).applyInPandas(run, f"{batch} {dict(df.dtypes)[batch]}, {key} {dict(df.dtypes)[key]}, bin int")
+    return df.select(batch, key, length).groupBy(batch).applyInPandas(
+        run, f"{batch} {dict(df.dtypes)[batch]}, {key} {dict(df.dtypes)[key]}, bin int"
+    )
 
 
 def budget_groups(df: DataFrame, doc: str, pos: str, length: str, budget: int) -> DataFrame:
@@ -138,7 +154,9 @@ def budget_groups(df: DataFrame, doc: str, pos: str, length: str, budget: int) -
         return pd.DataFrame({doc: pdf[doc].values, pos: pdf[pos].values, "grp": out})
 
     kinds = dict(df.dtypes)
-    return df.select(doc, pos, length).groupBy(doc).applyInPandas(run, f"{doc} {kinds[doc]}, {pos} {kinds[pos]}, grp int")
+    return df.select(doc, pos, length).groupBy(doc).applyInPandas(
+        run, f"{doc} {kinds[doc]}, {pos} {kinds[pos]}, grp int"
+    )
 
 
 def fewest_bins(lengths: list[int], most: int) -> int:
@@ -155,7 +173,13 @@ def micro_batches(df: DataFrame, step: str, rank: str, pos: str, length: str, mo
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)
-        return pd.DataFrame({step: pdf[step].iloc[:1].values, rank: pdf[rank].iloc[:1].values, "_most": [fewest_bins(pdf[length].tolist(), most)]})
+        return pd.DataFrame(
+            {
+                step: pdf[step].iloc[:1].values,
+                rank: pdf[rank].iloc[:1].values,
+                "_most": [fewest_bins(pdf[length].tolist(), most)],
+            }
+        )
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos).reset_index(drop=True)
@@ -163,10 +187,14 @@ def micro_batches(df: DataFrame, step: str, rank: str, pos: str, length: str, mo
         micro = {i: j for j, own in enumerate(parts) for i in own}
         at = [micro[i] for i in range(len(pdf))]
         scale = [len(parts[j]) / len(pdf) for j in at]
-        return pdf[[step, rank, pos]].assign(micro=at, loss_scale=scale, optimizer_step=[int(j == len(parts) - 1) for j in at])
+        return pdf[[step, rank, pos]].assign(
+            micro=at, loss_scale=scale, optimizer_step=[int(j == len(parts) - 1) for j in at]
+        )
 
     rows = df.select(step, rank, pos, length)
-    need = rows.groupBy(step, rank).applyInPandas(count, f"{keys}, _most int").groupBy(step).agg(F.max("_most").alias("_most"))
+    need = rows.groupBy(step, rank).applyInPandas(count, f"{keys}, _most int").groupBy(step).agg(
+        F.max("_most").alias("_most")
+    )
     kind = f"{keys}, {pos} {kinds[pos]}, micro int, loss_scale double, optimizer_step int"
     return rows.join(need, step).groupBy(step, rank).applyInPandas(deal, kind)
 
@@ -183,7 +211,9 @@ def rollout_batches(df: DataFrame, batch: str, pos: str, length: str, most: int,
         micro = {i: j for j, own in enumerate(differencing(lengths, n)) for i in own}
         return pdf[[batch, pos]].assign(micro=[micro[i] for i in range(len(pdf))])
 
-    return df.select(batch, pos, length).groupBy(batch).applyInPandas(run, f"{batch} {kinds[batch]}, {pos} {kinds[pos]}, micro int")
+    return df.select(batch, pos, length).groupBy(batch).applyInPandas(
+        run, f"{batch} {kinds[batch]}, {pos} {kinds[pos]}, micro int"
+    )
 
 
 def round_robin(i: Column, engines: int) -> Column:
@@ -204,7 +234,9 @@ def least_loaded(i: Column, pending: list[int], each: int) -> Column:
         heapq.heappush(heap, (n + each, e))
     ring = [e for _, e in sorted(heap)]
     begin = F.get(F.array(*[F.lit(e) for e in first]), i) if first else F.lit(None).cast("int")
-    return F.when(i < len(first), begin).otherwise(F.get(F.array(*[F.lit(e) for e in ring]), (i - len(first)) % len(ring))).cast("int")
+    return F.when(i < len(first), begin).otherwise(
+        F.get(F.array(*[F.lit(e) for e in ring]), (i - len(first)) % len(ring))
+    ).cast("int")
 
 
 def ceildiv(a: Column, b: int) -> Column:

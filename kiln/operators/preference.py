@@ -17,7 +17,13 @@ def chosen_rejected(df: DataFrame, key: str, output: str, reward: str, pos: str)
     best = F.max_by(F.struct(output, reward), F.struct(reward, (-F.col(pos)).alias("e")))
     worst = F.min_by(F.struct(output, reward), F.struct(reward, F.col(pos).alias("e")))
     out = df.groupBy(key).agg(best.alias("b"), worst.alias("w"))
-    return out.select(F.col(key).alias("prompt"), F.col(f"b.{output}").alias("chosen"), F.col(f"b.{reward}").alias("chosen_reward"), F.col(f"w.{output}").alias("rejected"), F.col(f"w.{reward}").alias("rejected_reward"))
+    return out.select(
+        F.col(key).alias("prompt"),
+        F.col(f"b.{output}").alias("chosen"),
+        F.col(f"b.{reward}").alias("chosen_reward"),
+        F.col(f"w.{output}").alias("rejected"),
+        F.col(f"w.{reward}").alias("rejected_reward"),
+    )
 
 
 def reward_stats(df: DataFrame, reward: str) -> DataFrame:
@@ -26,13 +32,17 @@ def reward_stats(df: DataFrame, reward: str) -> DataFrame:
 
 def normalised(df: DataFrame, reward: str) -> DataFrame:
     """reward as a z-score over the whole table, by the sample's standard deviation. The statistics are one row."""
-    return df.crossJoin(F.broadcast(reward_stats(df, reward))).withColumn(reward, F.try_divide(F.col(reward) - F.col("mean"), F.col("std"))).drop("mean", "std")
+    return df.crossJoin(F.broadcast(reward_stats(df, reward))).withColumn(
+        reward, F.try_divide(F.col(reward) - F.col("mean"), F.col("std"))
+    ).drop("mean", "std")
 
 
 def conditioned(df: DataFrame, text: str, reward: str, pattern: str) -> DataFrame:
     """pattern with {reward} (two decimals) and {input} filled in."""
     r = F.format_string("%.2f", F.round(F.col(reward).cast("decimal(20,6)"), 2).cast("double"))
-    return df.withColumn(text, F.replace(F.replace(F.lit(pattern), F.lit("{reward}"), r), F.lit("{input}"), F.col(text)))
+    return df.withColumn(
+        text, F.replace(F.replace(F.lit(pattern), F.lit("{reward}"), r), F.lit("{input}"), F.col(text))
+    )
 
 
 def rotated(df: DataFrame, batch: str, pos: str, output: str) -> DataFrame:

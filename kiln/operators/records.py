@@ -34,7 +34,9 @@ def with_fallback(parsed: Column, field: str, original: Column) -> Column:
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Nulls and columns that are absent become their defaults."""
     have = set(df.columns)
-    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(v)) if c in have else F.lit(v) for c, v in defaults.items()})
+    return df.withColumns(
+        {c: F.coalesce(F.col(f"`{c}`"), F.lit(v)) if c in have else F.lit(v) for c, v in defaults.items()}
+    )
 
 
 def teacher_prompt(template: str, label: Column, reference: Column) -> Column:
@@ -73,7 +75,9 @@ def by_label(df: DataFrame, label: str, value: str, *by: str) -> DataFrame:
 
 def with_verdicts(pairs: DataFrame, verdicts: DataFrame, *key: str) -> DataFrame:
     """pairs with `equal` of verdicts (one row a key); a pair without a verdict is not equal."""
-    return pairs.join(verdicts.select(*key, "equal"), list(key), "left").withColumn("equal", F.coalesce("equal", F.lit(False)))
+    return pairs.join(
+        verdicts.select(*key, "equal"), list(key), "left"
+    ).withColumn("equal", F.coalesce("equal", F.lit(False)))
 
 
 def last_written(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -110,7 +114,11 @@ def success_counts(df: DataFrame, parsed: Column, fallback: Column) -> DataFrame
 
 
 def verified_share(df: DataFrame, verified: str, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col(verified).cast("long")), F.lit(0)).alias("verified"), F.avg(F.coalesce(F.col(verified), F.lit(False)).cast("double")).alias("share"))
+    return df.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.sum(F.col(verified).cast("long")), F.lit(0)).alias("verified"),
+        F.avg(F.coalesce(F.col(verified), F.lit(False)).cast("double")).alias("share"),
+    )
 
 
 def in_blocks(df: DataFrame, doc: str, start: str, length: str) -> DataFrame:
@@ -135,13 +143,18 @@ def reward_function(path: str) -> Callable:
     return module.reward_func
 
 
-def rewarded(df: DataFrame, func: Callable, query: str = "query", prompt: str = "prompt", label: str = "label") -> DataFrame:
+def rewarded(
+    df: DataFrame, func: Callable, query: str = "query", prompt: str = "prompt", label: str = "label"
+) -> DataFrame:
     """Adds reward and score: what func(queries, prompts, labels) -> {"rewards", "scores"} gives for each batch of rows."""
 
     def run(batches):
         for pdf in batches:
             out = func(pdf[query].tolist(), pdf[prompt].tolist(), pdf[label].tolist())
-            yield pdf.assign(reward=pd.Series([float(x) for x in out["rewards"]], dtype=float), score=pd.Series([float(x) for x in out["scores"]], dtype=float))
+            yield pdf.assign(
+                reward=pd.Series([float(x) for x in out["rewards"]], dtype=float),
+                score=pd.Series([float(x) for x in out["scores"]], dtype=float),
+            )
 
     return df.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", reward double, score double")
 
@@ -149,16 +162,22 @@ def rewarded(df: DataFrame, func: Callable, query: str = "query", prompt: str =
 # Weights of the evolution strategies by difficulty, and the strategies that later rounds draw from.
 TIERS = {
     "easy": {"harder": 0.30, "rewrite": 0.20, "algebraize": 0.15, "apply": 0.15, "compose": 0.10, "competition": 0.10},
-    "medium": {"harder": 0.25, "rewrite": 0.15, "algebraize": 0.15, "apply": 0.15, "compose": 0.15, "competition": 0.15},
+    "medium": {
+        "harder": 0.25, "rewrite": 0.15, "algebraize": 0.15, "apply": 0.15, "compose": 0.15, "competition": 0.15
+    },
     "hard": {"harder": 0.20, "rewrite": 0.15, "algebraize": 0.15, "apply": 0.10, "compose": 0.20, "competition": 0.20},
-    "competition": {"harder": 0.15, "rewrite": 0.20, "algebraize": 0.15, "apply": 0.10, "compose": 0.20, "competition": 0.20},
+    "competition": {
+        "harder": 0.15, "rewrite": 0.20, "algebraize": 0.15, "apply": 0.10, "compose": 0.20, "competition": 0.20
+    },
 }
 FOLLOWUPS = ["harder", "competition", "compose"]
 
 
 def strategies(spark) -> DataFrame:
     """(tier, strategy, weight)."""
-    return spark.createDataFrame([(t, s, w) for t, own in TIERS.items() for s, w in own.items()], "tier string, strategy string, weight double")
+    return spark.createDataFrame(
+        [(t, s, w) for t, own in TIERS.items() for s, w in own.items()], "tier string, strategy string, weight double"
+    )
 
 
 def tier_weights(difficulty: str) -> dict[str, float]:

@@ -11,14 +11,18 @@ def group_baselines(df: DataFrame, group: str, r: str) -> DataFrame:
     w = Window.partitionBy(group)
     x, n, s = F.col(r), F.count(r).over(w), F.sum(r).over(w)
     sd = F.stddev_samp(r).over(w)
-    return df.withColumn("rloo", x - F.try_divide(s - x, n - 1)).withColumn("centred", x - F.avg(r).over(w)).withColumn("normed", (x - F.avg(r).over(w)) / (sd + 1e-9)).withColumn("group_std", sd)
+    return df.withColumn("rloo", x - F.try_divide(s - x, n - 1)).withColumn("centred", x - F.avg(r).over(w)).withColumn(
+        "normed", (x - F.avg(r).over(w)) / (sd + 1e-9)
+    ).withColumn("group_std", sd)
 
 
 def dynamic_filter(df: DataFrame, group: str, score: str, low: float, high: float) -> DataFrame:
     """Rows of groups whose mean score lies strictly between low and high; a group with a null score stays out of the test and is kept."""
     w = Window.partitionBy(group)
     mean, nulls = F.avg(score).over(w), F.sum(F.col(score).isNull().cast("int")).over(w)
-    return df.withColumn("_m", mean).withColumn("_n", nulls).filter((F.col("_n") > 0) | ((F.col("_m") > low) & (F.col("_m") < high))).drop("_m", "_n")
+    return df.withColumn("_m", mean).withColumn("_n", nulls).filter(
+        (F.col("_n") > 0) | ((F.col("_m") > low) & (F.col("_m") < high))
+    ).drop("_m", "_n")
 
 
 def first_accepted(df: DataFrame, group: str, n: int) -> DataFrame:
@@ -32,8 +36,12 @@ def first_accepted(df: DataFrame, group: str, n: int) -> DataFrame:
 def whitened(df: DataFrame, a: str, mask: str) -> DataFrame:
     """a less its masked mean, over its masked deviation (biased, at least 1e-8 squared)."""
     m = F.col(mask).cast("double")
-    stats = df.agg((F.sum(F.col(a) * m) / F.sum(m)).alias("_m"), (F.sum(F.col(a) * F.col(a) * m) / F.sum(m)).alias("_q"))
-    return df.crossJoin(F.broadcast(stats)).withColumn(a, (F.col(a) - F.col("_m")) / F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(1e-8)))).drop("_m", "_q")
+    stats = df.agg(
+        (F.sum(F.col(a) * m) / F.sum(m)).alias("_m"), (F.sum(F.col(a) * F.col(a) * m) / F.sum(m)).alias("_q")
+    )
+    return df.crossJoin(F.broadcast(stats)).withColumn(
+        a, (F.col(a) - F.col("_m")) / F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(1e-8)))
+    ).drop("_m", "_q")
 
 
 def overlong(reward: Column, length: Column, most: int, buffer: int, factor: float = 1.0) -> Column:
@@ -51,11 +59,17 @@ def terminal_reward(mask: Column, reward: Column, kl: Column, beta: float) -> Co
     return F.transform(kl, lambda k, i: -max(beta, 0.0) * k + F.when(i == last, reward).otherwise(0.0))
 
 
-def kl_coefficient(steps: DataFrame, run: str, order: str, kl: str, n: str, start: float, target: float, horizon: float) -> DataFrame:
+def kl_coefficient(
+    steps: DataFrame, run: str, order: str, kl: str, n: str, start: float, target: float, horizon: float
+) -> DataFrame:
     """The adaptive coefficient after each step of a training run: a running product of 1 + clip(kl/target - 1, +-0.2) n / horizon."""
     error = F.least(F.greatest(F.col(kl) / target - 1, F.lit(-0.2)), F.lit(0.2))
     factor = F.ln(1 + error * F.col(n) / horizon)
-    return steps.withColumn("coefficient", start * F.exp(F.sum(factor).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))))
+    return steps.withColumn(
+        "coefficient",
+        start
+        * F.exp(F.sum(factor).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))),
+    )
 
 
 def batch_means(df: DataFrame, batch: str, metrics: list[str]) -> DataFrame:

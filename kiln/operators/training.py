@@ -12,7 +12,9 @@ def sft_loss(df: DataFrame, logps: str, mask: str, token_level: bool = True) ->
     """(loss): mean of -logp over all masked tokens, or the mean of the rows' masked means. Rows without a masked token
     count in neither."""
     if token_level:
-        own = losses.total(F.zip_with(logps, mask, lambda a, m: -a * m)), losses.total(F.transform(mask, lambda m: m.cast("double")))
+        own = losses.total(F.zip_with(logps, mask, lambda a, m: -a * m)), losses.total(
+            F.transform(mask, lambda m: m.cast("double"))
+        )
         return df.agg(F.try_divide(F.sum(own[0]), F.sum(own[1])).alias("loss"))
     return df.agg(F.avg(-losses.masked_mean(F.col(logps), F.col(mask))).alias("loss"))
 
@@ -22,7 +24,17 @@ def lm_loss(df: DataFrame, logp: str, label: str, ignore: int = -100) -> DataFra
     return df.agg(F.avg(F.when(F.col(label) != ignore, -F.col(logp))).alias("loss"))
 
 
-def policy_sequences(df: DataFrame, logps: str, old: str, rollout: str, advantages: str, mask: str, low: float = 0.2, high: float = 0.2, bounds=(0.5, 2.0)) -> DataFrame:
+def policy_sequences(
+    df: DataFrame,
+    logps: str,
+    old: str,
+    rollout: str,
+    advantages: str,
+    mask: str,
+    low: float = 0.2,
+    high: float = 0.2,
+    bounds=(0.5, 2.0),
+) -> DataFrame:
     """Adds gspo (a sequence's loss with one ratio for all its tokens) and gated (its clipped loss where the rollout's
     geometric mean ratio lies within bounds, else 0): masked means of a row."""
     m = F.col(mask)
@@ -31,17 +43,34 @@ def policy_sequences(df: DataFrame, logps: str, old: str, rollout: str, advantag
     loss = lambda r: F.zip_with(r, advantages, lambda x, a: losses.policy(x, a, low, high))
     token = loss(F.transform(minus(logps, old), lambda x: F.exp(x)))
     gate = losses.sequence_gate(minus(old, rollout), m, *bounds)
-    return df.withColumn("gspo", losses.masked_mean(loss(ratio), m)).withColumn("gated", losses.masked_mean(F.zip_with(gate, token, lambda g, x: g * x), m))
-
-
-def kto_batches(df: DataFrame, batch: str, policy: str, reference: str, chosen: str, kl: tuple[str, str], beta: float, good: float = 1.0, bad: float = 1.0) -> DataFrame:
+    return df.withColumn("gspo", losses.masked_mean(loss(ratio), m)).withColumn(
+        "gated", losses.masked_mean(F.zip_with(gate, token, lambda g, x: g * x), m)
+    )
+
+
+def kto_batches(
+    df: DataFrame,
+    batch: str,
+    policy: str,
+    reference: str,
+    chosen: str,
+    kl: tuple[str, str],
+    beta: float,
+    good: float = 1.0,
+    bad: float = 1.0,
+) -> DataFrame:
     """(batch, loss, chosen_reward, rejected_reward, kl): each batch's KL is the mean of its mismatched pairs' log-ratios,
     held at 0 from below."""
     each = F.greatest(F.avg(F.col(kl[0]) - F.col(kl[1])).over(Window.partitionBy(batch)), F.lit(0.0))
     own = df.withColumn("_kl", each).withColumn("_r", beta * (F.col(policy) - F.col(reference)))
     loss = losses.kto(F.col("_r"), beta * F.col("_kl"), F.col(chosen), good, bad)
     reward = lambda keep: F.avg(F.when(keep, F.col("_r")))
-    return own.groupBy(batch).agg(F.avg(loss).alias("loss"), reward(F.col(chosen)).alias("chosen_reward"), reward(~F.col(chosen)).alias("rejected_reward"), F.first("_kl").alias("kl"))
+    return own.groupBy(batch).agg(
+        F.avg(loss).alias("loss"),
+        reward(F.col(chosen)).alias("chosen_reward"),
+        reward(~F.col(chosen)).alias("rejected_reward"),
+        F.first("_kl").alias("kl"),
+    )
 
 
 def kto_even(df: DataFrame, batch: str, pc: str, pr: str, rc: str, rr: str, beta: float) -> DataFrame:
@@ -55,18 +84,32 @@ def kto_even(df: DataFrame, batch: str, pc: str, pr: str, rc: str, rr: str, beta
     return own.groupBy(batch).agg((F.avg(first + second) / 2).alias("loss"))
 
 
-def distill(tokens: DataFrame, sequence: str, student: str, values: str, ids: str, mask: str, weight: str | None = None, alpha: float = 5.0, tau: float = 1.0) -> DataFrame:
+def distill(
+    tokens: DataFrame,
+    sequence: str,
+    student: str,
+    values: str,
+    ids: str,
+    mask: str,
+    weight: str | None = None,
+    alpha: float = 5.0,
+    tau: float = 1.0,
+) -> DataFrame:
     """(loss) of rows, one a token: the cross-entropy at the teacher's top logits, weighed by how much surer the teacher
     is, by the token's share of its sequence's divergence (softmax(kl / tau) times the masked tokens) and by the
     sequence's own weight. No masked token: null.
     """
     by, m = Window.partitionBy(sequence), F.col(mask).cast("double")
-    own = tokens.withColumn("_kl", losses.top_cross_entropy(F.col(student), F.col(values), F.col(ids))).withColumn("_m", m)
+    own = tokens.withColumn(
+        "_kl", losses.top_cross_entropy(F.col(student), F.col(values), F.col(ids))
+    ).withColumn("_m", m)
     own = own.withColumn("_x", F.when(F.col("_m") > 0, F.col("_kl") / tau)).withColumn("_top", F.max("_x").over(by))
     own = own.withColumn("_e", F.coalesce(F.exp(F.col("_x") - F.col("_top")), F.lit(0.0)))
     share = F.try_divide(F.col("_e"), F.sum("_e").over(by)) * F.greatest(F.sum("_m").over(by), F.lit(1.0))
     w = losses.surer(F.col(student), F.col(values), alpha) * F.col("_share") * (F.col(weight) if weight else F.lit(1.0))
-    return own.withColumn("_share", share).agg(F.try_divide(F.sum(F.col("_kl") * w * F.col("_m")), F.sum("_m")).alias("loss"))
+    return own.withColumn("_share", share).agg(
+        F.try_divide(F.sum(F.col("_kl") * w * F.col("_m")), F.sum("_m")).alias("loss")
+    )
 
 
 def simple_distill(tokens: DataFrame, ce: Column, mask: str, weight: str | None = None) -> DataFrame:
@@ -86,19 +129,31 @@ def dpo_eval(df: DataFrame, batch: str, pc: str, pr: str, rc: str, rr: str, beta
 def prm_eval(df: DataFrame, batch: str, logits: str, index: str) -> DataFrame:
     """(eval_loss, acc): cross-entropy and accuracy of step labels, means of the batches' means."""
     right = (losses.argmax(F.col(logits)) == F.col(index)).cast("double")
-    each = df.groupBy(batch).agg(F.avg(losses.hard_label(F.col(logits), F.col(index))).alias("l"), F.avg(right).alias("a"))
+    each = df.groupBy(batch).agg(
+        F.avg(losses.hard_label(F.col(logits), F.col(index))).alias("l"), F.avg(right).alias("a")
+    )
     return each.agg(F.avg("l").alias("eval_loss"), F.avg("a").alias("acc"))
 
 
 def stack_pairs(df: DataFrame, chosen: str, rejected: str, prompt_length: str) -> DataFrame:
     """Two rows a pair, in one column `ids`, with `is_chosen`; the prompt's length is in both. No padding is needed."""
-    both = F.explode(F.array(F.struct(F.col(chosen).alias("ids"), F.lit(True).alias("is_chosen")), F.struct(F.col(rejected).alias("ids"), F.lit(False).alias("is_chosen"))))
-    return df.withColumn("_p", both).withColumn("ids", F.col("_p.ids")).withColumn("is_chosen", F.col("_p.is_chosen")).withColumn("prompt_length", F.col(prompt_length)).drop("_p", chosen, rejected)
+    both = F.explode(
+        F.array(
+            F.struct(F.col(chosen).alias("ids"), F.lit(True).alias("is_chosen")),
+            F.struct(F.col(rejected).alias("ids"), F.lit(False).alias("is_chosen")),
+        )
+    )
+    return df.withColumn("_p", both).withColumn("ids", F.col("_p.ids")).withColumn(
+        "is_chosen", F.col("_p.is_chosen")
+    ).withColumn("prompt_length", F.col(prompt_length)).drop("_p", chosen, rejected)
 
 
 def unstack_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, chosen, rejected): the two halves of a stack side by side again."""
-    return df.groupBy(key).agg(F.max(F.when(F.col("is_chosen"), F.col(value))).alias("chosen"), F.max(F.when(~F.col("is_chosen"), F.col(value))).alias("rejected"))
+    return df.groupBy(key).agg(
+        F.max(F.when(F.col("is_chosen"), F.col(value))).alias("chosen"),
+        F.max(F.when(~F.col("is_chosen"), F.col(value))).alias("rejected"),
+    )
 
 
 def right_trimmed(arr: Column, mask: Column) -> Column:
@@ -109,7 +164,9 @@ def right_trimmed(arr: Column, mask: Column) -> Column:
 
 def single_turn_mask(n: Column, prompt: Column) -> Column:
     """Of length n: 1 from the place before the answer's first token to the one before the last, else 0."""
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((i >= prompt - 1) & (i < n - 1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(
+        n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((i >= prompt - 1) & (i < n - 1)).cast("int"))
+    ).otherwise(F.array().cast("array<int>"))
 
 
 def action_mask(n: Column, ranges: Column, most: int) -> Column:
@@ -117,7 +174,9 @@ def action_mask(n: Column, ranges: Column, most: int) -> Column:
     the first place."""
     length = F.least(n, F.lit(most))
     inside = lambda i: F.exists(ranges, lambda r: (i >= r["start"]) & (i < r["stop"])).cast("int")
-    mask = F.when(length > 1, F.transform(F.sequence(F.lit(1), length - 1), inside)).otherwise(F.array().cast("array<int>"))
+    mask = F.when(
+        length > 1, F.transform(F.sequence(F.lit(1), length - 1), inside)
+    ).otherwise(F.array().cast("array<int>"))
     set_ = F.filter(F.transform(mask, lambda m, i: F.when(m == 1, i)), lambda i: i.isNotNull())
     span = F.when(F.size(set_) > 0, F.array_max(set_) - F.array_min(set_) + 1).otherwise(0)
     return F.struct(mask.alias("mask"), span.cast("int").alias("response_length"), (length >= most).alias("clipped"))
@@ -125,7 +184,15 @@ def action_mask(n: Column, ranges: Column, most: int) -> Column:
 
 def aligned(teacher: Column, teacher_prompt: Column, n: Column, student_prompt: Column, filler) -> Column:
     """The teacher's values behind its prompt, laid behind the student's prompt in n places; filler elsewhere."""
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i >= student_prompt, F.coalesce(F.get(teacher, i - student_prompt + teacher_prompt), F.lit(filler))).otherwise(F.lit(filler)))).otherwise(F.array().cast("array<double>"))
+    return F.when(
+        n > 0,
+        F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.when(
+                i >= student_prompt, F.coalesce(F.get(teacher, i - student_prompt + teacher_prompt), F.lit(filler))
+            ).otherwise(F.lit(filler)),
+        ),
+    ).otherwise(F.array().cast("array<double>"))
 
 
 def ended(ids: Column, eos: int, most: int) -> Column:
@@ -147,7 +214,9 @@ def batch_rows(df: DataFrame, batch: str, order: str, columns: list[str]) -> Dat
 
 def row_batches(df: DataFrame, batch: str, columns: list[str]) -> DataFrame:
     """The rows of batch_rows() again."""
-    return df.select(batch, F.explode(F.arrays_zip(*columns)).alias("_z")).select(batch, *[F.col(f"_z.{c}").alias(c) for c in columns])
+    return df.select(
+        batch, F.explode(F.arrays_zip(*columns)).alias("_z")
+    ).select(batch, *[F.col(f"_z.{c}").alias(c) for c in columns])
 
 
 def distill_rows(df: DataFrame, prompt: str, label: str, se_weight: str | None = None) -> DataFrame:

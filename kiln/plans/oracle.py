@@ -25,7 +25,9 @@ def _has(column: str, markers: list[str]) -> str:
     return "(" + " + ".join(f"contains({column}, '{m}')::INT" for m in markers) + ")"
 
 
-SOLUTION, PROBLEM, CHOICE = _has("lower(q)", SOLUTION_MARKERS) + " >= 2", _has("lower(q)", PROBLEM_MARKERS) + " >= 1", _has("q", CHOICE_MARKERS) + " >= 1"
+SOLUTION, PROBLEM, CHOICE = _has(
+    "lower(q)", SOLUTION_MARKERS
+) + " >= 2", _has("lower(q)", PROBLEM_MARKERS) + " >= 1", _has("q", CHOICE_MARKERS) + " >= 1"
 OUT = "(SELECT user_id AS input, event_id AS pos, value AS reward, event_type AS output FROM events)"
 GRADED = "(SELECT l_orderkey, o_orderpriority, o_orderstatus, l_returnflag = 'R' AS correct FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 KEPT = f"(SELECT * FROM {GRADED} QUALIFY avg(correct::INT::DOUBLE) OVER (PARTITION BY l_orderkey) > 0 AND avg(correct::INT::DOUBLE) OVER (PARTITION BY l_orderkey) < 1)"
@@ -170,7 +172,10 @@ SELECT round(avg(d), 6) AS discount, round(avg(t), 6) AS tax, round(any_value(w)
     "inequality_chains": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '1|x|' || p_size WHEN 1 THEN '0|y|' || p_size END AS terms, CASE p_partkey % 3 WHEN 0 THEN '<|≤' WHEN 1 THEN '≤|<' END AS ops FROM part",
     "eval_guard": "SELECT p_partkey, p_partkey % 4 IN (0, 3) AS ok FROM part",
     "translation_residue": "SELECT count(*) AS n, sum((doc_id % 4 = 0)::INT)::BIGINT AS left FROM documents",
-    "latex_rows": "SELECT o_orderpriority || " + " || ".join(f"' & ' || coalesce(printf('%.1f', round(avg(correct::INT::DOUBLE) FILTER (o_orderstatus = '{v}') * 100, 1)), '--')" for v in "FOP") + f" AS line FROM {GRADED} GROUP BY o_orderpriority",
+    "latex_rows": "SELECT o_orderpriority || " + " || ".join(
+        f"' & ' || coalesce(printf('%.1f', round(avg(correct::INT::DOUBLE) FILTER (o_orderstatus = '{v}') * 100, 1)), '--')"
+        for v in "FOP"
+    ) + f" AS line FROM {GRADED} GROUP BY o_orderpriority",
 }
 
 # rounding may leave a negative zero, which is a zero

@@ -12,7 +12,12 @@ from kiln.plans import records, training  # noqa: F401  their queries register t
 from kiln.plans.registry import QUERIES, preference_rows, query, r6, t, with_pos  # noqa: F401
 
 def responses(s, d) -> DataFrame:
-    return t(s, d, "lineitem").select(F.col("l_orderkey").alias("prompt"), F.concat(F.expr("nullif(l_returnflag, 'N')"), F.col("l_linestatus")).alias("boxed"), (-F.col("l_extendedprice") / 1000).alias("slp"), F.col("l_quantity").alias("len"))
+    return t(s, d, "lineitem").select(
+        F.col("l_orderkey").alias("prompt"),
+        F.concat(F.expr("nullif(l_returnflag, 'N')"), F.col("l_linestatus")).alias("boxed"),
+        (-F.col("l_extendedprice") / 1000).alias("slp"),
+        F.col("l_quantity").alias("len"),
+    )
 
 
 @query
@@ -37,32 +42,57 @@ def se_thresholds(s, d):
 
 @query
 def judge_pairs(s, d):
-    return uncertainty.pair_counts(t(s, d, "lineitem"), "l_orderkey", "l_returnflag").withColumnRenamed("l_orderkey", "prompt")
+    return uncertainty.pair_counts(
+        t(s, d, "lineitem"), "l_orderkey", "l_returnflag"
+    ).withColumnRenamed("l_orderkey", "prompt")
 
 
 @query
 def judged_clusters(s, d):
-    rows = with_pos(s, d).select(F.col("l_orderkey").alias("prompt"), F.col("pos").cast("int").alias("i"), F.col("l_quantity").alias("q"))
+    rows = with_pos(s, d).select(
+        F.col("l_orderkey").alias("prompt"), F.col("pos").cast("int").alias("i"), F.col("l_quantity").alias("q")
+    )
     x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.prompt") == F.col("y.prompt")) & (F.col("x.i") < F.col("y.i"))).select(F.col("x.prompt").alias("prompt"), F.col("x.i").alias("i"), F.col("y.i").alias("j"), (F.abs(F.col("x.q") - F.col("y.q")) <= 5).alias("equal"))
+    pairs = x.join(y, (F.col("x.prompt") == F.col("y.prompt")) & (F.col("x.i") < F.col("y.i"))).select(
+        F.col("x.prompt").alias("prompt"),
+        F.col("x.i").alias("i"),
+        F.col("y.i").alias("j"),
+        (F.abs(F.col("x.q") - F.col("y.q")) <= 5).alias("equal"),
+    )
     return uncertainty.clusters_by_verdict(pairs, rows)
 
 
 def marked(s, d) -> DataFrame:
-    extra = F.expr("CASE doc_id % 5 WHEN 0 THEN ' Step 1: Therefore, the answer is 4' WHEN 1 THEN ' Find x' WHEN 2 THEN ' (A) one (B) two' WHEN 3 THEN ' step 2: so' ELSE '' END")
+    extra = F.expr(
+        "CASE doc_id % 5 WHEN 0 THEN ' Step 1: Therefore, the answer is 4' WHEN 1 THEN ' Find x' WHEN 2 THEN ' (A) one (B) two' WHEN 3 THEN ' step 2: so' ELSE '' END"
+    )
     return t(s, d, "documents").select("doc_id", "source", "lang", F.concat("text", extra).alias("q"))
 
 
 @query
 def filter_funnel(s, d):
     q = F.col("q")
-    return curation.funnel(marked(s, d), {"length": F.length(q).between(30, 2000), "not_solution": ~text.is_likely_solution(q), "problem": text.is_likely_problem(q), "not_choice": ~text.is_multiple_choice(q)}).select(F.col("ord").cast("int").alias("ord"), "stage", "kept", "removed")
+    return curation.funnel(
+        marked(s, d),
+        {
+            "length": F.length(q).between(30, 2000),
+            "not_solution": ~text.is_likely_solution(q),
+            "problem": text.is_likely_problem(q),
+            "not_choice": ~text.is_multiple_choice(q),
+        },
+    ).select(F.col("ord").cast("int").alias("ord"), "stage", "kept", "removed")
 
 
 @query
 def solution_filter(s, d):
     q = F.col("q")
-    return marked(s, d).select("doc_id", text.is_likely_solution(q).alias("solution"), text.is_likely_problem(q).alias("problem"), text.is_multiple_choice(q).alias("choice"), text.answer_too_complex(q).alias("complex"))
+    return marked(s, d).select(
+        "doc_id",
+        text.is_likely_solution(q).alias("solution"),
+        text.is_likely_problem(q).alias("problem"),
+        text.is_multiple_choice(q).alias("choice"),
+        text.answer_too_complex(q).alias("complex"),
+    )
 
 
 @query
@@ -77,30 +107,45 @@ def counts_by_lang(s, d):
 
 @query
 def seeds_capped(s, d):
-    return curation.capped(t(s, d, "documents").filter(F.length(text.strip(F.col("text"))) >= 10), "source", "doc_id", 10).select("source", "doc_id")
+    return curation.capped(
+        t(s, d, "documents").filter(F.length(text.strip(F.col("text"))) >= 10), "source", "doc_id", 10
+    ).select("source", "doc_id")
 
 
 @query
 def routed_keep_remove(s, d):
-    said = F.expr("CASE WHEN quality = 1 THEN 'fine. VERDICT: keep' WHEN doc_id % 2 = 0 THEN 'REMOVE it' ELSE 'unclear' END")
+    said = F.expr(
+        "CASE WHEN quality = 1 THEN 'fine. VERDICT: keep' WHEN doc_id % 2 = 0 THEN 'REMOVE it' ELSE 'unclear' END"
+    )
     rows = t(s, d, "labels").join(t(s, d, "documents"), "doc_id").withColumn("keep", text.parse_keep(said))
     return rows.groupBy("keep").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query
 def strict_judgment(s, d):
-    said = F.expr("CASE o_orderkey % 6 WHEN 0 THEN concat('<think>no</think>ok', chr(10), 'Accept: fine') WHEN 1 THEN 'REJECT: wrong' WHEN 2 THEN 'we accept this' WHEN 3 THEN '<think>ACCEPT' WHEN 4 THEN 'Please reject: bad form' ELSE 'hm' END")
-    return t(s, d, "orders").select("o_orderkey", text.parse_accept(said).alias("j")).select("o_orderkey", "j.accept", "j.reason")
+    said = F.expr(
+        "CASE o_orderkey % 6 WHEN 0 THEN concat('<think>no</think>ok', chr(10), 'Accept: fine') WHEN 1 THEN 'REJECT: wrong' WHEN 2 THEN 'we accept this' WHEN 3 THEN '<think>ACCEPT' WHEN 4 THEN 'Please reject: bad form' ELSE 'hm' END"
+    )
+    return t(s, d, "orders").select(
+        "o_orderkey", text.parse_accept(said).alias("j")
+    ).select("o_orderkey", "j.accept", "j.reason")
 
 
 @query
 def resume_remaining(s, d):
     orders = t(s, d, "orders")
-    return curation.remaining(orders, orders.filter("o_orderkey % 3 = 0"), "o_orderkey").select("o_orderkey", "o_orderstatus")
+    return curation.remaining(
+        orders, orders.filter("o_orderkey % 3 = 0"), "o_orderkey"
+    ).select("o_orderkey", "o_orderstatus")
 
 
 def scored_outputs(s, d) -> DataFrame:
-    return t(s, d, "events").select(F.col("user_id").alias("input"), F.col("event_id").alias("pos"), F.col("value").alias("reward"), F.col("event_type").alias("output"))
+    return t(s, d, "events").select(
+        F.col("user_id").alias("input"),
+        F.col("event_id").alias("pos"),
+        F.col("value").alias("reward"),
+        F.col("event_type").alias("output"),
+    )
 
 
 @query
@@ -120,12 +165,16 @@ def reward_zscore(s, d):
 
 @query
 def reward_stats(s, d):
-    return preference.reward_stats(scored_outputs(s, d), "reward").select(r6("mean").alias("mean"), r6("std").alias("std"))
+    return preference.reward_stats(scored_outputs(s, d), "reward").select(
+        r6("mean").alias("mean"), r6("std").alias("std")
+    )
 
 
 @query
 def csft_prompt(s, d):
-    rows = scored_outputs(s, d).withColumn("reward", F.floor("reward") + F.lit(0.25)).withColumn("input", F.col("input").cast("string"))
+    rows = scored_outputs(s, d).withColumn(
+        "reward", F.floor("reward") + F.lit(0.25)
+    ).withColumn("input", F.col("input").cast("string"))
     return preference.conditioned(rows, "input", "reward", "{input} <rm_score>: {reward} ").select("pos", "input")
 
 
@@ -135,12 +184,16 @@ def majority_vote(s, d):
 
 
 def graded(s, d) -> DataFrame:
-    return t(s, d, "lineitem").join(t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "o_orderpriority", "o_orderstatus", (F.col("l_returnflag") == "R").alias("correct"))
+    return t(s, d, "lineitem").join(t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_orderkey", "o_orderpriority", "o_orderstatus", (F.col("l_returnflag") == "R").alias("correct")
+    )
 
 
 @query
 def pass_at_k(s, d):
-    return evaluation.pass_at_k(graded(s, d).withColumn("reward", F.col("correct").cast("double")), "l_orderkey", "o_orderpriority", "reward")
+    return evaluation.pass_at_k(
+        graded(s, d).withColumn("reward", F.col("correct").cast("double")), "l_orderkey", "o_orderpriority", "reward"
+    )
 
 
 @query
@@ -155,30 +208,52 @@ def greedy_accuracy(s, d):
 
 @query
 def accuracy_pivot(s, d):
-    return evaluation.accuracy_pivot(graded(s, d).withColumn("c", F.col("correct").cast("double")), "o_orderpriority", "o_orderstatus", ["F", "O", "P", "X"], "c")
+    return evaluation.accuracy_pivot(
+        graded(s, d).withColumn("c", F.col("correct").cast("double")),
+        "o_orderpriority",
+        "o_orderstatus",
+        ["F", "O", "P", "X"],
+        "c",
+    )
 
 
 @query
 def report_lines(s, d):
-    return t(s, d, "orders").select("o_orderkey", evaluation.result_line(F.col("o_orderstatus") == "F", F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("line"))
+    return t(s, d, "orders").select(
+        "o_orderkey",
+        evaluation.result_line(
+            F.col("o_orderstatus") == "F", F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+        ).alias("line"),
+    )
 
 
 @query
 def dynamic_filtering(s, d):
-    out = rollout.dynamic_filter(graded(s, d).withColumn("score", F.col("correct").cast("double")), "l_orderkey", "score", 0.0, 1.0)
+    out = rollout.dynamic_filter(
+        graded(s, d).withColumn("score", F.col("correct").cast("double")), "l_orderkey", "score", 0.0, 1.0
+    )
     return out.groupBy("l_orderkey").agg(F.count("*").alias("n"), r6(F.avg("score")).alias("mean"))
 
 
 @query
 def refill_accepted(s, d):
-    out = rollout.dynamic_filter(graded(s, d).withColumn("score", F.col("correct").cast("double")), "l_orderkey", "score", 0.0, 1.0)
+    out = rollout.dynamic_filter(
+        graded(s, d).withColumn("score", F.col("correct").cast("double")), "l_orderkey", "score", 0.0, 1.0
+    )
     return rollout.first_accepted(out, "l_orderkey", 20).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
 @query
 def group_baselines(s, d):
     out = rollout.group_baselines(with_pos(s, d), "l_orderkey", "l_discount")
-    return out.select("l_orderkey", "pos", r6("rloo").alias("rloo"), r6("centred").alias("centred"), F.when(F.col("group_std") > 1e-6, F.round("normed", 4) + F.lit(0.0)).alias("normed"), r6("group_std").alias("group_std"))
+    return out.select(
+        "l_orderkey",
+        "pos",
+        r6("rloo").alias("rloo"),
+        r6("centred").alias("centred"),
+        F.when(F.col("group_std") > 1e-6, F.round("normed", 4) + F.lit(0.0)).alias("normed"),
+        r6("group_std").alias("group_std"),
+    )
 
 
 def by_user(s, d) -> DataFrame:
@@ -195,8 +270,12 @@ def return_to_go(s, d):
 
 @query
 def gae(s, d):
-    rows = by_user(s, d).select("user_id", losses.gae(F.transform("e.value", lambda v: v / 2), F.col("e.value"), 0.9, 0.8).alias("adv"))
-    return rows.select("user_id", F.posexplode("adv").alias("p", "a")).select("user_id", "p", (F.round("a", 5) + F.lit(0.0)).alias("advantage"))
+    rows = by_user(s, d).select(
+        "user_id", losses.gae(F.transform("e.value", lambda v: v / 2), F.col("e.value"), 0.9, 0.8).alias("adv")
+    )
+    return rows.select("user_id", F.posexplode("adv").alias("p", "a")).select(
+        "user_id", "p", (F.round("a", 5) + F.lit(0.0)).alias("advantage")
+    )
 
 
 @query
@@ -215,19 +294,33 @@ def kl_estimators(s, d):
 def length_penalties(s, d):
     r, n = F.col("l_discount"), F.col("l_quantity")
     long = rollout.overlong(r, n, 50, 20, 0.5)
-    return with_pos(s, d).select("l_orderkey", "pos", r6(long).alias("overlong"), r6(rollout.stop_properly(long, F.col("l_returnflag") == "R", 0.5)).alias("both"))
+    return with_pos(s, d).select(
+        "l_orderkey",
+        "pos",
+        r6(long).alias("overlong"),
+        r6(rollout.stop_properly(long, F.col("l_returnflag") == "R", 0.5)).alias("both"),
+    )
 
 
 @query
 def terminal_reward(s, d):
-    rows = with_pos(s, d).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("l_returnflag") != "N").alias("m"), "l_tax"))).alias("e"), F.max("l_discount").alias("r"))
+    rows = with_pos(s, d).groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct("pos", (F.col("l_returnflag") != "N").alias("m"), "l_tax"))).alias("e"),
+        F.max("l_discount").alias("r"),
+    )
     out = rows.select("l_orderkey", rollout.terminal_reward(F.col("e.m"), F.col("r"), F.col("e.l_tax"), 0.1).alias("x"))
-    return out.select("l_orderkey", F.posexplode("x").alias("p", "v")).select("l_orderkey", (F.col("p") + 1).alias("pos"), r6("v").alias("reward"))
+    return out.select("l_orderkey", F.posexplode("x").alias("p", "v")).select(
+        "l_orderkey", (F.col("p") + 1).alias("pos"), r6("v").alias("reward")
+    )
 
 
 def scored(s, d) -> DataFrame:
     rows = t(s, d, "labels").join(t(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return rows.select(F.col("doc_id").alias("pos"), (1 - F.col("quality")).alias("label"), (F.col("n_chars") / (F.col("n_chars") + 5000.0)).alias("score"))
+    return rows.select(
+        F.col("doc_id").alias("pos"),
+        (1 - F.col("quality")).alias("label"),
+        (F.col("n_chars") / (F.col("n_chars") + 5000.0)).alias("score"),
+    )
 
 
 @query
@@ -253,12 +346,16 @@ def class_summary(s, d):
 
 @query
 def reward_histogram(s, d):
-    values = t(s, d, "embeddings").select(F.explode("embedding").alias("v")).select((F.col("v").cast("double") * 20).alias("v"))
+    values = t(s, d, "embeddings").select(F.explode("embedding").alias("v")).select(
+        (F.col("v").cast("double") * 20).alias("v")
+    )
     return evaluation.histogram(values, "v", -10.0, 10.0, 10)
 
 
 def latex(s, d) -> DataFrame:
-    answer = F.expr("concat('so ', '\\\\boxed{1} or \\\\boxed{\\\\frac{', p_size, '}{', p_partkey % 7 + 1, CASE WHEN p_partkey % 11 = 0 THEN '}' ELSE '}}' END, ' end')")
+    answer = F.expr(
+        "concat('so ', '\\\\boxed{1} or \\\\boxed{\\\\frac{', p_size, '}{', p_partkey % 7 + 1, CASE WHEN p_partkey % 11 = 0 THEN '}' ELSE '}}' END, ' end')"
+    )
     return t(s, d, "part").select("p_partkey", "p_size", answer.alias("a"))
 
 
@@ -269,19 +366,25 @@ def boxed_extract(s, d):
 
 @query
 def gsm8k(s, d):
-    a = F.expr("concat('<<', p_size, '*2=', p_size * 2, '>>', 'total ', p_size * 2, chr(10), '#### ', p_size * 2, chr(10), 'tail')")
+    a = F.expr(
+        "concat('<<', p_size, '*2=', p_size * 2, '>>', 'total ', p_size * 2, chr(10), '#### ', p_size * 2, chr(10), 'tail')"
+    )
     return t(s, d, "part").select("p_partkey", text.gsm8k_label(a).alias("label"), text.gsm8k_clean(a).alias("cot"))
 
 
 @query
 def think_strip(s, d):
-    a = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('<think>', p_name, '</think> ', p_brand) WHEN 1 THEN concat(p_brand, ' <think>', p_name) ELSE p_type END")
+    a = F.expr(
+        "CASE p_partkey % 3 WHEN 0 THEN concat('<think>', p_name, '</think> ', p_brand) WHEN 1 THEN concat(p_brand, ' <think>', p_name) ELSE p_type END"
+    )
     return t(s, d, "part").select("p_partkey", text.strip_think(a).alias("answer"))
 
 
 @query
 def numeric_grade(s, d):
-    p = F.expr("CASE p_partkey % 4 WHEN 0 THEN cast(p_size AS string) WHEN 1 THEN concat(p_size, '%') WHEN 2 THEN '1,000' ELSE 'x' END")
+    p = F.expr(
+        "CASE p_partkey % 4 WHEN 0 THEN cast(p_size AS string) WHEN 1 THEN concat(p_size, '%') WHEN 2 THEN '1,000' ELSE 'x' END"
+    )
     r = F.expr("CASE p_partkey % 3 WHEN 0 THEN cast(p_size AS string) WHEN 1 THEN '1000' ELSE 'X' END")
     return t(s, d, "part").select("p_partkey", grading.math_equal(p, r).alias("equal"))
 
@@ -289,31 +392,47 @@ def numeric_grade(s, d):
 @query
 def tuple_grade(s, d):
     p = F.expr("concat('(', p_size, ', ', p_partkey % 3, ')')")
-    r = F.expr("concat(CASE WHEN p_partkey % 2 = 0 THEN '[' ELSE '(' END, p_size, ', ', p_partkey % 2, CASE WHEN p_partkey % 2 = 0 THEN ']' ELSE ')' END)")
+    r = F.expr(
+        "concat(CASE WHEN p_partkey % 2 = 0 THEN '[' ELSE '(' END, p_size, ', ', p_partkey % 2, CASE WHEN p_partkey % 2 = 0 THEN ']' ELSE ')' END)"
+    )
     return t(s, d, "part").select("p_partkey", grading.math_equal(p, r).alias("equal"))
 
 
 @query
 def extracted_answers(s, d):
-    return latex(s, d).select("p_partkey", grading.extract_answer(F.regexp_replace("a", r"\}( end)$", "}$1")).alias("answer"))
+    return latex(s, d).select(
+        "p_partkey", grading.extract_answer(F.regexp_replace("a", r"\}( end)$", "}$1")).alias("answer")
+    )
 
 
 @query
 def intervals(s, d):
-    a = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat('(', '-\\\\infty', ', ', p_size, ']') WHEN 1 THEN concat('x\\\\le ', p_size) WHEN 2 THEN concat('1 < y ≤ ', p_size) ELSE 'none' END")
-    return t(s, d, "part").select("p_partkey", grading.to_interval(a).alias("v")).select("p_partkey", "v.lo", "v.lo_closed", "v.hi", "v.hi_closed")
+    a = F.expr(
+        "CASE p_partkey % 4 WHEN 0 THEN concat('(', '-\\\\infty', ', ', p_size, ']') WHEN 1 THEN concat('x\\\\le ', p_size) WHEN 2 THEN concat('1 < y ≤ ', p_size) ELSE 'none' END"
+    )
+    return t(s, d, "part").select("p_partkey", grading.to_interval(a).alias("v")).select(
+        "p_partkey", "v.lo", "v.lo_closed", "v.hi", "v.hi_closed"
+    )
 
 
 @query
 def translate_roundtrip(s, d):
-    rows = t(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("中"), "text")).otherwise(F.col("text")).alias("question"), F.col("lang").alias("answer"))
+    rows = t(s, d, "documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("中"), "text")).otherwise(F.col("text")).alias("question"),
+        F.col("lang").alias("answer"),
+    )
     return curation.translated(rows, "doc_id", ["question", "answer"], text.has_chinese, F.reverse)
 
 
 @query
 def json_object_parse(s, d):
     raw = F.concat(F.lit("Sure: "), F.regexp_replace("props", r"\}$", ", }"), F.lit(" done"))
-    return t(s, d, "events").select("event_id", text.json_object(raw, "k STRING", ["k"]).isNotNull().alias("has_k"), F.length(F.regexp_extract(raw, r"(?s)\{.*\}", 0)).alias("n"))
+    return t(s, d, "events").select(
+        "event_id",
+        text.json_object(raw, "k STRING", ["k"]).isNotNull().alias("has_k"),
+        F.length(F.regexp_extract(raw, r"(?s)\{.*\}", 0)).alias("n"),
+    )
 
 
 @query
@@ -325,10 +444,14 @@ def sft_prefixes(s, d):
 @query
 def multi_turn_mask(s, d):
     turns = t(s, d, "conversations").withColumn("n", F.length("text") % 7 + 1)
-    w = chat.prefixes(turns, "conv_id", "turn", "n").groupBy("conv_id").agg(F.collect_list(F.struct("start", "stop")).alias("r"))
+    w = chat.prefixes(turns, "conv_id", "turn", "n").groupBy("conv_id").agg(
+        F.collect_list(F.struct("start", "stop")).alias("r")
+    )
     total = turns.groupBy("conv_id").agg(F.sum("n").alias("total"))
     out = total.join(w, "conv_id").select("conv_id", chat.range_mask(F.col("total"), F.col("r")).alias("m"))
-    return out.select("conv_id", F.size("m").cast("long").alias("total"), F.size(F.filter("m", lambda x: x)).cast("long").alias("set"))
+    return out.select(
+        "conv_id", F.size("m").cast("long").alias("total"), F.size(F.filter("m", lambda x: x)).cast("long").alias("set")
+    )
 
 
 @query
@@ -339,61 +462,95 @@ def token_length_filter(s, d):
 
 @query
 def kto_rotation(s, d):
-    rows = packing.number_rows(t(s, d, "labels").join(t(s, d, "documents"), "doc_id").select("doc_id", "source"), "doc_id")
-    return preference.rotated(rows.withColumn("batch", F.floor(F.col("i") / 8)), "batch", "doc_id", "source").select("doc_id", "batch", "mismatched")
+    rows = packing.number_rows(
+        t(s, d, "labels").join(t(s, d, "documents"), "doc_id").select("doc_id", "source"), "doc_id"
+    )
+    return preference.rotated(
+        rows.withColumn("batch", F.floor(F.col("i") / 8)), "batch", "doc_id", "source"
+    ).select("doc_id", "batch", "mismatched")
 
 
 @query
 def softmax_entropy(s, d):
     v = F.transform("embedding", lambda x: x.cast("double") * 4)
-    return t(s, d, "embeddings").select("vec_id", r6(losses.entropy(v)).alias("entropy"), r6(losses.log_prob(v, F.col("label"))).alias("log_prob"))
+    return t(s, d, "embeddings").select(
+        "vec_id", r6(losses.entropy(v)).alias("entropy"), r6(losses.log_prob(v, F.col("label"))).alias("log_prob")
+    )
 
 
 @query
 def kd_loss(s, d):
     e = t(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     pair = e.alias("a").join(e.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1)
-    return pair.select(F.col("a.vec_id").alias("vec_id"), r6(losses.cross_entropy(F.col("a.v"), F.col("b.v"))).alias("loss"))
+    return pair.select(
+        F.col("a.vec_id").alias("vec_id"), r6(losses.cross_entropy(F.col("a.v"), F.col("b.v"))).alias("loss")
+    )
 
 
 @query
 def topk_logits(s, d):
     top = losses.top_k(F.transform("embedding", lambda x: x.cast("double")), 5)
-    return t(s, d, "embeddings").select("vec_id", F.posexplode(top).alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("rank"), F.col("x.id").cast("int").alias("id"), r6("x.value").alias("value"))
+    return t(s, d, "embeddings").select("vec_id", F.posexplode(top).alias("p", "x")).select(
+        "vec_id", (F.col("p") + 1).alias("rank"), F.col("x.id").cast("int").alias("id"), r6("x.value").alias("value")
+    )
 
 
 @query
 def preference_losses(s, d):
     c = [F.col(x) for x in ("pc", "pr", "rc", "rr")]
-    return preference_rows(s, d).select("l_orderkey", "pos", r6(losses.dpo(*c, 0.5)).alias("dpo"), r6(losses.dpo(*c, 0.5, 0.1)).alias("cdpo"), r6(losses.dpo(*c, 0.5, ipo=True)).alias("ipo"), r6(losses.pairwise(c[0], c[1], 0.2)).alias("pairwise"), r6(losses.kto(0.5 * (c[0] - c[2]), F.lit(0.1), F.col("y"))).alias("kto"))
+    return preference_rows(s, d).select(
+        "l_orderkey",
+        "pos",
+        r6(losses.dpo(*c, 0.5)).alias("dpo"),
+        r6(losses.dpo(*c, 0.5, 0.1)).alias("cdpo"),
+        r6(losses.dpo(*c, 0.5, ipo=True)).alias("ipo"),
+        r6(losses.pairwise(c[0], c[1], 0.2)).alias("pairwise"),
+        r6(losses.kto(0.5 * (c[0] - c[2]), F.lit(0.1), F.col("y"))).alias("kto"),
+    )
 
 
 @query
 def policy_loss(s, d):
     ratio, adv = F.exp(F.col("pc") - F.col("rc")), F.col("pr") + 1.0
-    return preference_rows(s, d).select("l_orderkey", "pos", r6(losses.policy(ratio, adv)).alias("loss"), r6(losses.policy(ratio, adv, dual=3.0)).alias("dual"), losses.clipped(ratio, adv).alias("clipped"), r6(losses.value(F.col("pc"), F.col("rc"), F.col("rr"), 0.2)).alias("value"), r6(losses.importance(F.col("pc") - F.col("rc"), 0.5, 2.0, "icepop")).alias("icepop"))
+    return preference_rows(s, d).select(
+        "l_orderkey",
+        "pos",
+        r6(losses.policy(ratio, adv)).alias("loss"),
+        r6(losses.policy(ratio, adv, dual=3.0)).alias("dual"),
+        losses.clipped(ratio, adv).alias("clipped"),
+        r6(losses.value(F.col("pc"), F.col("rc"), F.col("rr"), 0.2)).alias("value"),
+        r6(losses.importance(F.col("pc") - F.col("rc"), 0.5, 2.0, "icepop")).alias("icepop"),
+    )
 
 
 @query
 def rank_shard(s, d):
     rows = packing.number_rows(t(s, d, "orders").select("o_orderkey"), "o_orderkey")
-    return packing.rank_shard(rows, "i", rows.count(), 7).groupBy("rank").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+    return packing.rank_shard(rows, "i", rows.count(), 7).groupBy("rank").agg(
+        F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")
+    )
 
 
 @query
 def chunk_shard(s, d):
     rows = packing.number_rows(t(s, d, "orders").select("o_orderkey"), "o_orderkey")
-    return rows.withColumn("actor", packing.chunk_shard(F.col("i"), rows.count(), 6)).groupBy("actor").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+    return rows.withColumn("actor", packing.chunk_shard(F.col("i"), rows.count(), 6)).groupBy("actor").agg(
+        F.count("*").alias("n"), F.min("o_orderkey").alias("first")
+    )
 
 
 @query
 def snake_balance(s, d):
-    return packing.snake(t(s, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 4).groupBy("rank").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return packing.snake(
+        t(s, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 4
+    ).groupBy("rank").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query
 def first_fit(s, d):
-    rows = t(s, d, "documents").select("doc_id", F.col("n_chars").alias("n"), F.floor(F.col("doc_id") / 50).alias("batch"))
+    rows = t(s, d, "documents").select(
+        "doc_id", F.col("n_chars").alias("n"), F.floor(F.col("doc_id") / 50).alias("batch")
+    )
     return packing.first_fit_bins(rows, "batch", "doc_id", "n", 8000)
 
 
@@ -405,14 +562,18 @@ def karmarkar_karp(s, d):
 
 @query
 def char_budget_groups(s, d):
-    return packing.budget_groups(t(s, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 6000)
+    return packing.budget_groups(
+        t(s, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 6000
+    )
 
 
 @query
 def concat_blend(s, d):
     docs = t(s, d, "documents").select("doc_id", "source")
     clean = F.coalesce(F.col("source") == "src1", F.lit(False))
-    a, b = docs.filter(clean).withColumn("from", F.lit("clean")), docs.filter(~clean).withColumn("from", F.lit("augment"))
+    a, b = docs.filter(clean).withColumn("from", F.lit("clean")), docs.filter(~clean).withColumn(
+        "from", F.lit("augment")
+    )
     return a.unionByName(b)
 
 
@@ -425,7 +586,9 @@ def interleave(s, d):
 
 @query
 def image_filter(s, d):
-    raw = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("see ![x]("), F.col("url"), F.lit(")"))).otherwise(F.col("url"))
+    raw = F.when(
+        F.col("page_id") % 3 == 0, F.concat(F.lit("see ![x]("), F.col("url"), F.lit(")"))
+    ).otherwise(F.col("url"))
     return t(s, d, "pages").select("page_id", text.has_image(raw).alias("image"))
 
 
@@ -439,7 +602,16 @@ def shingle_jaccard_pairs(s, d):
     # every document with its successor: pairs grow with the rows; texts are shuffled, their larger n-gram sets are not
     own = t(s, d, "documents").select("doc_id", "text")
     pairs = own.alias("x").join(own.alias("y"), F.col("y.doc_id") == F.col("x.doc_id") + 1)
-    return pairs.select(F.col("x.doc_id").alias("i"), F.col("y.doc_id").alias("j"), r6(text.let(F.struct(text.shingles(F.col("x.text")).alias("x"), text.shingles(F.col("y.text")).alias("y")), lambda sets: text.jaccard(sets["x"], sets["y"]))).alias("jaccard"))
+    return pairs.select(
+        F.col("x.doc_id").alias("i"),
+        F.col("y.doc_id").alias("j"),
+        r6(
+            text.let(
+                F.struct(text.shingles(F.col("x.text")).alias("x"), text.shingles(F.col("y.text")).alias("y")),
+                lambda sets: text.jaccard(sets["x"], sets["y"]),
+            )
+        ).alias("jaccard"),
+    )
 
 
 @query
@@ -455,7 +627,14 @@ def near_dup_removed(s, d):
 @query
 def metric_lines(s, d):
     rows = t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("m"))
-    return rows.select("event_type", F.concat_ws(" | ", F.concat(F.lit("step="), F.col("n").cast("string")), F.concat(F.lit("mean="), F.format_string("%.3f", F.round("m", 3)))).alias("line"))
+    return rows.select(
+        "event_type",
+        F.concat_ws(
+            " | ",
+            F.concat(F.lit("step="), F.col("n").cast("string")),
+            F.concat(F.lit("mean="), F.format_string("%.3f", F.round("m", 3))),
+        ).alias("line"),
+    )
 
 
 @query
@@ -466,8 +645,12 @@ def shuffled_cap(s, d):
 @query
 def step_status(s, d):
     rows = with_pos(s, d).withColumn("batch", F.col("l_orderkey") % 16)
-    a = rollout.batch_means(rows, "batch", ["l_discount", "l_tax"]).select(r6("l_discount").alias("discount"), r6("l_tax").alias("tax"))
-    return a.crossJoin(rollout.length_weighted(rows, "l_discount", "l_quantity").select(r6("l_discount").alias("weighted")))  # one row each
+    a = rollout.batch_means(rows, "batch", ["l_discount", "l_tax"]).select(
+        r6("l_discount").alias("discount"), r6("l_tax").alias("tax")
+    )
+    return a.crossJoin(  # one row each
+        rollout.length_weighted(rows, "l_discount", "l_quantity").select(r6("l_discount").alias("weighted"))
+    )
 
 
 @query
@@ -478,7 +661,9 @@ def replay_cap(s, d):
 @query
 def padded_batch(s, d):
     rows = packing.number_rows(t(s, d, "documents").select("doc_id"), "doc_id")
-    return rollout.with_padding(rows, "i", rows.count(), 48).groupBy("padding").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    return rollout.with_padding(rows, "i", rows.count(), 48).groupBy("padding").agg(
+        F.count("*").alias("n"), F.min("i").alias("first")
+    )
 
 
 @query
@@ -495,37 +680,56 @@ def first_hundredth(s, d):
 
 @query
 def length_imbalance(s, d):
-    sums = packing.number_rows(t(s, d, "documents").select("doc_id", "n_chars"), "doc_id").groupBy((F.col("i") % 8).alias("part")).agg(F.sum("n_chars").alias("n"))
+    sums = packing.number_rows(
+        t(s, d, "documents").select("doc_id", "n_chars"), "doc_id"
+    ).groupBy((F.col("i") % 8).alias("part")).agg(F.sum("n_chars").alias("n"))
     return sums.agg(F.min("n").alias("least"), F.max("n").alias("most"), r6(F.avg("n")).alias("mean"))
 
 
 @query
 def reward_model_eval(s, d):
     rows = preference_rows(s, d).withColumn("batch", F.col("l_orderkey") % 32)
-    each = rows.groupBy("batch").agg(F.avg((F.col("pc") > F.col("pr")).cast("double")).alias("acc"), F.avg(losses.pairwise(F.col("pc"), F.col("pr"))).alias("loss"))
+    each = rows.groupBy("batch").agg(
+        F.avg((F.col("pc") > F.col("pr")).cast("double")).alias("acc"),
+        F.avg(losses.pairwise(F.col("pc"), F.col("pr"))).alias("loss"),
+    )
     return each.agg(r6(F.avg("acc")).alias("acc"), r6(F.avg("loss")).alias("loss"))
 
 
 @query
 def adaptive_kl(s, d):
-    steps = t(s, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 100000).alias("kl"), F.lit(64).alias("n"))
-    return rollout.kl_coefficient(steps, "o_custkey", "o_orderkey", "kl", "n", 0.1, 1.0, 10000.0).select("o_orderkey", r6("coefficient").alias("coefficient"))
+    steps = t(s, d, "orders").select(
+        "o_custkey", "o_orderkey", (F.col("o_totalprice") / 100000).alias("kl"), F.lit(64).alias("n")
+    )
+    return rollout.kl_coefficient(
+        steps, "o_custkey", "o_orderkey", "kl", "n", 0.1, 1.0, 10000.0
+    ).select("o_orderkey", r6("coefficient").alias("coefficient"))
 
 
 @query
 def strategy_draw(s, d):
-    return curation.weighted_choice(t(s, d, "orders").select("o_orderkey", F.lit("apply").alias("last")), "o_orderkey", tier_weights("easy"), "last").groupBy("choice").agg(F.count("*").alias("n"))
+    return curation.weighted_choice(
+        t(s, d, "orders").select("o_orderkey", F.lit("apply").alias("last")), "o_orderkey", tier_weights("easy"), "last"
+    ).groupBy("choice").agg(F.count("*").alias("n"))
 
 
 @query
 def soft_labels(s, d):
-    return preference_rows(s, d).select("l_orderkey", "pos", r6(losses.soft_label(F.col("pc"), F.col("pr"), F.when(F.col("y"), 0.9).otherwise(0.2))).alias("loss"))
+    return preference_rows(s, d).select(
+        "l_orderkey",
+        "pos",
+        r6(losses.soft_label(F.col("pc"), F.col("pr"), F.when(F.col("y"), 0.9).otherwise(0.2))).alias("loss"),
+    )
 
 
 @query
 def inequality_chains(s, d):
-    a = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('1 < x \\\\le ', p_size) WHEN 1 THEN concat(p_size, ' > y ≥ 0') ELSE 'none' END")
-    return t(s, d, "part").select("p_partkey", grading.inequality_chain(a).alias("c")).select("p_partkey", F.array_join("c.terms", "|").alias("terms"), F.array_join("c.ops", "|").alias("ops"))
+    a = F.expr(
+        "CASE p_partkey % 3 WHEN 0 THEN concat('1 < x \\\\le ', p_size) WHEN 1 THEN concat(p_size, ' > y ≥ 0') ELSE 'none' END"
+    )
+    return t(s, d, "part").select("p_partkey", grading.inequality_chain(a).alias("c")).select(
+        "p_partkey", F.array_join("c.terms", "|").alias("terms"), F.array_join("c.ops", "|").alias("ops")
+    )
 
 
 @query
@@ -542,5 +746,11 @@ def translation_residue(s, d):
 
 @query
 def latex_rows(s, d):
-    wide = evaluation.accuracy_pivot(graded(s, d).withColumn("c", F.col("correct").cast("double")), "o_orderpriority", "o_orderstatus", ["F", "O", "P"], "c")
+    wide = evaluation.accuracy_pivot(
+        graded(s, d).withColumn("c", F.col("correct").cast("double")),
+        "o_orderpriority",
+        "o_orderstatus",
+        ["F", "O", "P"],
+        "c",
+    )
     return wide.select(F.concat_ws(" & ", "o_orderpriority", "c0", "c1", "c2").alias("line"))

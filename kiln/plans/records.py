@@ -19,43 +19,66 @@ def equals(sql: str):
     return add
 
 
-@equals("SELECT doc_id, CASE WHEN quality = 1 THEN lang ELSE 'fixed ' || source END AS answer, left(text, 200) AS head, coalesce(nullif(lang, 'en'), 'none') AS lang, 'later' AS note FROM documents LEFT JOIN labels USING (doc_id)")
+@equals(
+    "SELECT doc_id, CASE WHEN quality = 1 THEN lang ELSE 'fixed ' || source END AS answer, left(text, 200) AS head, coalesce(nullif(lang, 'en'), 'none') AS lang, 'later' AS note FROM documents LEFT JOIN labels USING (doc_id)"
+)
 def chosen_fields(s, d):
     rows = t(s, d, "documents").join(t(s, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     answer = records.chosen_answer(F.col("quality") == 1, F.concat(F.lit("fixed "), "source"), F.col("lang"))
-    rows = rows.withColumn("answer", answer).withColumn("head", F.substring("text", 1, 200)).withColumn("lang", F.nullif("lang", F.lit("en")))
+    rows = rows.withColumn("answer", answer).withColumn("head", F.substring("text", 1, 200)).withColumn(
+        "lang", F.nullif("lang", F.lit("en"))
+    )
     rows = records.with_defaults(records.without(rows, "text", "n_chars"), {"lang": "none", "note": "later"})
     return records.selected(rows, "doc_id", "answer", "head", "lang", "note")
 
 
-@equals("SELECT event_id, coalesce(json_extract_string(CASE WHEN event_id % 3 > 0 THEN props END, '$.k'), event_type) AS kept FROM events")
+@equals(
+    "SELECT event_id, coalesce(json_extract_string(CASE WHEN event_id % 3 > 0 THEN props END, '$.k'), event_type) AS kept FROM events"
+)
 def parse_fallback(s, d):
     parsed = F.from_json(F.when(F.col("event_id") % 3 > 0, F.col("props")), "k string")
     return t(s, d, "events").select("event_id", records.with_fallback(parsed, "k", F.col("event_type")).alias("kept"))
 
 
-@equals("SELECT doc_id, 'You teach. ' || CASE WHEN doc_id % 3 > 0 THEN 'Reference solution:' || chr(10) || source || chr(10) || chr(10) ELSE '' END || 'Answer: ' || lang AS prompt FROM documents")
+@equals(
+    "SELECT doc_id, 'You teach. ' || CASE WHEN doc_id % 3 > 0 THEN 'Reference solution:' || chr(10) || source || chr(10) || chr(10) ELSE '' END || 'Answer: ' || lang AS prompt FROM documents"
+)
 def teacher_prompts(s, d):
     reference = F.when(F.col("doc_id") % 3 > 0, F.col("source")).otherwise("")
-    return t(s, d, "documents").select("doc_id", records.teacher_prompt("You teach. {reference_section}Answer: {label}", F.col("lang"), reference).alias("prompt"))
+    return t(s, d, "documents").select(
+        "doc_id",
+        records.teacher_prompt(
+            "You teach. {reference_section}Answer: {label}", F.col("lang"), reference
+        ).alias("prompt"),
+    )
 
 
 @equals("SELECT doc_id, length(text) >= 20 AS long, doc_id % 10 <= 3 AND doc_id % 7 > 0 AS certain FROM documents")
 def row_filters(s, d):
     se = F.when(F.col("doc_id") % 7 > 0, F.col("doc_id") % 10 / 10)
-    return t(s, d, "documents").select("doc_id", records.long_problem(F.col("text")).alias("long"), records.certain(se, 0.3).alias("certain"))
+    return t(s, d, "documents").select(
+        "doc_id", records.long_problem(F.col("text")).alias("long"), records.certain(se, 0.3).alias("certain")
+    )
 
 
-@equals("WITH x AS (SELECT doc_id % 4 AS e FROM documents) SELECT r::INT AS round, count(*) AS n FROM x, range(1, 4) g(r) WHERE e >= r GROUP BY 1")
+@equals(
+    "WITH x AS (SELECT doc_id % 4 AS e FROM documents) SELECT r::INT AS round, count(*) AS n FROM x, range(1, 4) g(r) WHERE e >= r GROUP BY 1"
+)
 def evolution_rounds(s, d):
     seeds = t(s, d, "documents").select("doc_id", (F.col("doc_id") % 4).alias("evol_rounds"), F.lit(0).alias("round"))
-    return records.rounds(seeds, 5, lambda now, r: now.withColumn("round", F.lit(r))).groupBy("round").agg(F.count("*").alias("n"))
+    return records.rounds(
+        seeds, 5, lambda now, r: now.withColumn("round", F.lit(r))
+    ).groupBy("round").agg(F.count("*").alias("n"))
 
 
-@equals("SELECT source, round(avg(n_chars) FILTER (quality = 1), 6) AS good, round(avg(n_chars) FILTER (quality = 0), 6) AS bad FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+@equals(
+    "SELECT source, round(avg(n_chars) FILTER (quality = 1), 6) AS good, round(avg(n_chars) FILTER (quality = 0), 6) AS bad FROM documents JOIN labels USING (doc_id) GROUP BY 1"
+)
 def means_by_label(s, d):
     rows = t(s, d, "documents").join(t(s, d, "labels"), "doc_id")
-    return records.by_label(rows, "quality", "n_chars", "source").select("source", r6("good").alias("good"), r6("bad").alias("bad"))
+    return records.by_label(rows, "quality", "n_chars", "source").select(
+        "source", r6("good").alias("good"), r6("bad").alias("bad")
+    )
 
 
 @equals("SELECT o_orderkey, o_custkey, coalesce(o_orderkey % 2 = 0 AND o_orderkey % 3 = 0, false) AS equal FROM orders")
@@ -65,24 +88,42 @@ def verdict_lookup(s, d):
     return records.with_verdicts(orders, known, "o_orderkey", "o_custkey")
 
 
-@equals("SELECT l_orderkey, max_by(l_linestatus, pos) AS l_linestatus FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT AS pos FROM lineitem) GROUP BY 1")
+@equals(
+    "SELECT l_orderkey, max_by(l_linestatus, pos) AS l_linestatus FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT AS pos FROM lineitem) GROUP BY 1"
+)
 def last_writer(s, d):
     return records.last_written(with_pos(s, d), "l_orderkey", "l_linestatus", "pos")
 
 
-@equals("SELECT 'known' AS kind, c_nationkey::VARCHAR AS name, count(*) AS n FROM customer WHERE c_nationkey < 12 GROUP BY 1, 2 UNION ALL SELECT 'unknown', c_nationkey::VARCHAR, 1 FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey >= 12)")
+@equals(
+    "SELECT 'known' AS kind, c_nationkey::VARCHAR AS name, count(*) AS n FROM customer WHERE c_nationkey < 12 GROUP BY 1, 2 UNION ALL SELECT 'unknown', c_nationkey::VARCHAR, 1 FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey >= 12)"
+)
 def registry_lookup(s, d):
     names = t(s, d, "customer").select(F.col("c_nationkey").alias("name"))
-    known, unknown = records.registered(names, t(s, d, "nation").filter("n_nationkey < 12").select(F.col("n_nationkey").alias("name"), "n_name"), "name")
-    known = known.groupBy("name").agg(F.count("*").alias("n")).select(F.lit("known").alias("kind"), F.col("name").cast("string").alias("name"), "n")
-    return known.unionByName(unknown.select(F.lit("unknown").alias("kind"), F.col("name").cast("string").alias("name"), F.lit(1).cast("long").alias("n")))
+    known, unknown = records.registered(
+        names, t(s, d, "nation").filter("n_nationkey < 12").select(F.col("n_nationkey").alias("name"), "n_name"), "name"
+    )
+    known = known.groupBy("name").agg(F.count("*").alias("n")).select(
+        F.lit("known").alias("kind"), F.col("name").cast("string").alias("name"), "n"
+    )
+    return known.unionByName(
+        unknown.select(
+            F.lit("unknown").alias("kind"), F.col("name").cast("string").alias("name"), F.lit(1).cast("long").alias("n")
+        )
+    )
 
 
 @equals("SELECT o_orderkey, o_orderstatus, o_orderkey * 7 % 1000003 AS place FROM orders")
 def scattered_results(s, d):
     orders = t(s, d, "orders").select("o_orderkey", "o_orderstatus")
-    places = packing.reverse_index(orders.select((F.col("o_orderkey") * 7 % 1000003).alias("i"), F.col("o_orderkey").alias("to")), "i", "to")
-    both = records.zipped(orders.withColumn("i", F.col("o_orderkey")), orders.select(F.col("o_orderkey").alias("i"), F.lit(1).alias("one")), "i")
+    places = packing.reverse_index(
+        orders.select((F.col("o_orderkey") * 7 % 1000003).alias("i"), F.col("o_orderkey").alias("to")), "i", "to"
+    )
+    both = records.zipped(
+        orders.withColumn("i", F.col("o_orderkey")),
+        orders.select(F.col("o_orderkey").alias("i"), F.lit(1).alias("one")),
+        "i",
+    )
     return records.scattered(both.drop("one"), places, "i", "to")
 
 
@@ -93,19 +134,25 @@ def samples_of_prompts(s, d):
     return out.select("conv_id", "response.turn", "response.text")
 
 
-@equals("SELECT count(*) FILTER (event_id % 5 > 0) AS success, count(*) FILTER (event_id % 5 = 0 AND event_id % 2 = 0) AS fallback, count(*) FILTER (event_id % 10 = 5) AS failed FROM events")
+@equals(
+    "SELECT count(*) FILTER (event_id % 5 > 0) AS success, count(*) FILTER (event_id % 5 = 0 AND event_id % 2 = 0) AS fallback, count(*) FILTER (event_id % 10 = 5) AS failed FROM events"
+)
 def parse_counts(s, d):
     i = F.col("event_id")
     return records.success_counts(t(s, d, "events"), F.when(i % 5 > 0, i), F.when(i % 2 == 0, i))
 
 
-@equals("SELECT event_type, count(*) AS n, sum((value > 10)::INT)::BIGINT AS verified, round(avg((value > 10)::INT::DOUBLE), 6) AS share FROM events GROUP BY 1")
+@equals(
+    "SELECT event_type, count(*) AS n, sum((value > 10)::INT)::BIGINT AS verified, round(avg((value > 10)::INT::DOUBLE), 6) AS share FROM events GROUP BY 1"
+)
 def verified_counts(s, d):
     out = records.verified_share(t(s, d, "events").withColumn("ok", F.col("value") > 10), "ok", "event_type")
     return out.withColumn("share", r6("share"))
 
 
-@equals("SELECT conv_id, turn, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), 100)::INT AS stop FROM conversations")
+@equals(
+    "SELECT conv_id, turn, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), 100)::INT AS stop FROM conversations"
+)
 def next_boundaries(s, d):
     out = records.in_blocks(t(s, d, "conversations").withColumn("length", F.lit(100)), "conv_id", "turn", "length")
     return out.select("conv_id", "turn", F.col("stop").cast("int").alias("stop"))
@@ -114,66 +161,117 @@ def next_boundaries(s, d):
 @equals("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey % 3, o_orderkey) - 1)::BIGINT AS i FROM orders")
 def joined_shards(s, d):
     orders = t(s, d, "orders").select("o_orderkey")
-    return records.shards_joined([orders.filter(F.col("o_orderkey") % 3 == r) for r in range(3)]).select("o_orderkey", "i")
+    return records.shards_joined(
+        [orders.filter(F.col("o_orderkey") % 3 == r) for r in range(3)]
+    ).select("o_orderkey", "i")
 
 
-@equals("SELECT event_type, strftime(max(ts), '[%Y-%m-%d %H:%M:%S] ') || 'eval step=' || count(*) || ' | max=' || printf('%.6f', max(value)) || ' | mean=' || printf('%.6f', round(avg(value), 3)) AS line FROM events GROUP BY 1")
+@equals(
+    "SELECT event_type, strftime(max(ts), '[%Y-%m-%d %H:%M:%S] ') || 'eval step=' || count(*) || ' | max=' || printf('%.6f', max(value)) || ' | mean=' || printf('%.6f', round(avg(value), 3)) AS line FROM events GROUP BY 1"
+)
 def log_lines(s, d):
     values = F.create_map(F.lit("mean"), F.round(F.avg("value"), 3), F.lit("max"), F.max("value"))
-    return t(s, d, "events").groupBy("event_type").agg(text.log_line(F.max("ts"), F.lit("eval"), F.count("*"), values).alias("line"))
+    return t(s, d, "events").groupBy("event_type").agg(
+        text.log_line(F.max("ts"), F.lit("eval"), F.count("*"), values).alias("line")
+    )
 
 
-@equals("SELECT p_partkey, p_size AS num, p_size || '.【' || p_brand || '】' || p_type AS raw FROM part UNION ALL SELECT p_partkey, 7, '- 7 ．【' || p_name FROM part")
+@equals(
+    "SELECT p_partkey, p_size AS num, p_size || '.【' || p_brand || '】' || p_type AS raw FROM part UNION ALL SELECT p_partkey, 7, '- 7 ．【' || p_name FROM part"
+)
 def question_blocks(s, d):
     raw = F.expr("concat('head\n ', p_size, '.【', p_brand, '】', p_type, '\n - 7 ．【', p_name, ' ')")
-    return t(s, d, "part").select("p_partkey", F.explode(text.question_blocks(raw)).alias("b")).select("p_partkey", "b.num", "b.raw")
+    return t(s, d, "part").select(
+        "p_partkey", F.explode(text.question_blocks(raw)).alias("b")
+    ).select("p_partkey", "b.num", "b.raw")
 
 
 @equals("""SELECT p_partkey, p_brand AS question, p_size::VARCHAR AS answer FROM part""")
 def json_arrays(s, d):
     one = "concat('{\"question\": \"', p_brand, '\", \"answer\": \"', p_size, '\"}')"
-    raw = F.expr(f"CASE p_partkey % 2 WHEN 0 THEN concat('so [', {one}, '] ok') ELSE concat('broken [', {one}, ', {{\"question\": 1}} end') END")
-    rows = t(s, d, "part").select("p_partkey", F.explode(text.json_array(raw, "question string, answer string")).alias("x"))
+    raw = F.expr(
+        f"CASE p_partkey % 2 WHEN 0 THEN concat('so [', {one}, '] ok') ELSE concat('broken [', {one}, ', {{\"question\": 1}} end') END"
+    )
+    rows = t(s, d, "part").select(
+        "p_partkey", F.explode(text.json_array(raw, "question string, answer string")).alias("x")
+    )
     return rows.select("p_partkey", "x.question", "x.answer")
 
 
-@equals("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand || p_type END AS response, CASE WHEN p_partkey % 4 = 1 THEN p_partkey ELSE 999 END::INT AS number, p_name AS line FROM part")
+@equals(
+    "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand || p_type END AS response, CASE WHEN p_partkey % 4 = 1 THEN p_partkey ELSE 999 END::INT AS number, p_name AS line FROM part"
+)
 def small_parsers(s, d):
     i = F.col("p_partkey")
     prompt = F.when(i % 3 == 0, F.col("p_brand")).otherwise("absent")
     name = F.when(i % 4 == 1, F.concat(F.lit("第"), i.cast("string"), F.lit("讲 x.pdf"))).otherwise("x.pdf")
     line = F.concat(F.lit("<think>a\nb</think>\n "), "p_name", F.lit(" \nmore"))
-    return t(s, d, "part").select("p_partkey", text.response_part(F.concat("p_brand", "p_type"), prompt).alias("response"), text.file_number(name).alias("number"), text.first_line(line).alias("line"))
-
-
-PAIRS = [("\\frac12", "0.5", True), ("x=5", "5", True), ("(1, 2]", "1 < x \\le 2", True), ("c > a > b", "b < a < c", True), ("3,000", "3000", True), ("a+b=c", "c = a+b", True), ("B. 7", "7", True), ("x", "y", False)]
-
-
-@equals("SELECT p_partkey, p_partkey % 8 < 7 AS equal, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM part")
+    return t(s, d, "part").select(
+        "p_partkey",
+        text.response_part(F.concat("p_brand", "p_type"), prompt).alias("response"),
+        text.file_number(name).alias("number"),
+        text.first_line(line).alias("line"),
+    )
+
+
+PAIRS = [
+    ("\\frac12", "0.5", True),
+    ("x=5", "5", True),
+    ("(1, 2]", "1 < x \\le 2", True),
+    ("c > a > b", "b < a < c", True),
+    ("3,000", "3000", True),
+    ("a+b=c", "c = a+b", True),
+    ("B. 7", "7", True),
+    ("x", "y", False),
+]
+
+
+@equals(
+    "SELECT p_partkey, p_partkey % 8 < 7 AS equal, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM part"
+)
 def graded_answers(s, d):
     i = F.col("p_partkey") % len(PAIRS)
     pick = lambda at: F.get(F.array(*[F.lit(p[at]) for p in PAIRS]), i.cast("int"))
     query_ = F.concat(F.lit("How many? It is \\boxed{"), F.col("p_size").cast("string"), F.lit(".0}"))
     label = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise("-1")
-    return t(s, d, "part").select("p_partkey", grading.enhanced_equal(pick(0), pick(1)).alias("equal"), grading.math_reward(query_, F.lit("How many?"), label).alias("reward"))
+    return t(s, d, "part").select(
+        "p_partkey",
+        grading.enhanced_equal(pick(0), pick(1)).alias("equal"),
+        grading.math_reward(query_, F.lit("How many?"), label).alias("reward"),
+    )
 
 
-@equals("SELECT o_orderkey, (i % 5)::INT AS robin, CASE WHEN i = 0 THEN 1 WHEN i = 1 THEN 1 WHEN i = 2 THEN 2 ELSE ([0, 1, 2])[(i - 3) % 3 + 1] END::INT AS engine FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)")
+@equals(
+    "SELECT o_orderkey, (i % 5)::INT AS robin, CASE WHEN i = 0 THEN 1 WHEN i = 1 THEN 1 WHEN i = 2 THEN 2 ELSE ([0, 1, 2])[(i - 3) % 3 + 1] END::INT AS engine FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)"
+)
 def engine_assignment(s, d):
     rows = packing.number_rows(t(s, d, "orders").select("o_orderkey"), "o_orderkey")
-    return rows.select("o_orderkey", packing.round_robin(F.col("i"), 5).alias("robin"), packing.least_loaded(F.col("i"), [8, 0, 4], 4).alias("engine"))
+    return rows.select(
+        "o_orderkey",
+        packing.round_robin(F.col("i"), 5).alias("robin"),
+        packing.least_loaded(F.col("i"), [8, 0, 4], 4).alias("engine"),
+    )
 
 
 @query
 def dynamic_micro_batches(s, d):
     i = F.col("doc_id")
-    rows = t(s, d, "documents").select(F.floor(i / 64).alias("step"), (F.floor(i / 32) % 2).alias("rank"), "doc_id", "n_chars")
+    rows = t(s, d, "documents").select(
+        F.floor(i / 64).alias("step"), (F.floor(i / 32) % 2).alias("rank"), "doc_id", "n_chars"
+    )
     return packing.micro_batches(rows, "step", "rank", "doc_id", "n_chars", 60_000)
 
 
 @query
 def rollout_batches(s, d):
-    return packing.rollout_batches(t(s, d, "documents").select(F.floor(F.col("doc_id") / 96).alias("batch"), "doc_id", "n_chars"), "batch", "doc_id", "n_chars", 60_000, 4)
+    return packing.rollout_batches(
+        t(s, d, "documents").select(F.floor(F.col("doc_id") / 96).alias("batch"), "doc_id", "n_chars"),
+        "batch",
+        "doc_id",
+        "n_chars",
+        60_000,
+        4,
+    )
 
 
 @equals("""WITH c AS (SELECT conv_id, role, count(*) AS c FROM conversations GROUP BY 1, 2), n AS (SELECT *, sum(c) OVER (PARTITION BY conv_id) AS n FROM c)
@@ -186,7 +284,9 @@ def online_entropy(s, d):
 @equals("""WITH v AS (SELECT n_chars::DOUBLE AS v, quality AS label FROM documents JOIN labels USING (doc_id)), b AS (SELECT label, least(floor(v / 100), 49)::BIGINT AS bin, count(*) AS n FROM v WHERE v BETWEEN 0 AND 5000 GROUP BY 1, 2)
 SELECT label, bin, n, round(n / (sum(n) OVER (PARTITION BY label) * 100.0), 6) AS density FROM b""")
 def histogram_by_class(s, d):
-    rows = t(s, d, "documents").join(t(s, d, "labels"), "doc_id").select(F.col("n_chars").cast("double").alias("v"), F.col("quality").alias("label"))
+    rows = t(s, d, "documents").join(t(s, d, "labels"), "doc_id").select(
+        F.col("n_chars").cast("double").alias("v"), F.col("quality").alias("label")
+    )
     return evaluation.histogram(rows, "v", 0.0, 5000.0, 50, "label")
 
 

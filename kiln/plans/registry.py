@@ -28,5 +28,15 @@ def with_pos(s, d) -> DataFrame:
 
 
 def preference_rows(s, d) -> DataFrame:
-    prices = [(-F.col("l_quantity") / 10).alias("pc"), (-F.col("l_discount") * 30).alias("pr"), (-F.col("l_tax") * 40).alias("rc")]
-    return with_pos(s, d).select("l_orderkey", "pos", *prices, (-F.col("l_linenumber") / 2.0).alias("rr"), (F.col("l_returnflag") == "R").alias("y"))
+    prices = [
+        (-F.col("l_quantity") / 10).alias("pc"),
+        (-F.col("l_discount") * 30).alias("pr"),
+        (-F.col("l_tax") * 40).alias("rc"),
+    ]
+    return with_pos(s, d).select(
+        "l_orderkey",
+        "pos",
+        *prices,
+        (-F.col("l_linenumber") / 2.0).alias("rr"),
+        (F.col("l_returnflag") == "R").alias("y"),
+    )

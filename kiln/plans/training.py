@@ -34,21 +34,34 @@ def equals(sql: str):
 def sequences(s, d):
     """A row for each order: arrays of log-probabilities, advantages and a mask, in order."""
     rows = with_pos(s, d).select(
-        F.col("l_orderkey").alias("k"), "pos", (-F.col("l_quantity") / 10).alias("lp"), (-F.col("l_discount") * 30).alias("old"),
-        (-F.col("l_tax") * 40).alias("roll"), (1 - F.col("l_linenumber") / 2.0).alias("adv"), (F.col("l_returnflag") != "N").cast("int").alias("m"),
+        F.col("l_orderkey").alias("k"), "pos", (
+            -F.col("l_quantity") / 10
+        ).alias("lp"), (-F.col("l_discount") * 30).alias("old"),
+        (-F.col("l_tax") * 40).alias("roll"), (
+            1 - F.col("l_linenumber") / 2.0
+        ).alias("adv"), (F.col("l_returnflag") != "N").cast("int").alias("m"),
     )
     return training.batch_rows(rows, "k", "pos", ["pos", "lp", "old", "roll", "adv", "m"])
 
 
 def logits(s, d):
     v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = t(s, d, "embeddings").select("vec_id", "label", F.transform(v, lambda x: x * 4).alias("student"), F.transform(F.reverse(v), lambda x: x * 3).alias("teacher"))
+    rows = t(s, d, "embeddings").select(
+        "vec_id",
+        "label",
+        F.transform(v, lambda x: x * 4).alias("student"),
+        F.transform(F.reverse(v), lambda x: x * 3).alias("teacher"),
+    )
     rows = rows.withColumn("top", losses.top_k(F.col("teacher"), 5))
     own = rows.withColumn("seq", F.floor(F.col("vec_id") / 8)).withColumn("m", F.col("vec_id") % 8 >= 2)
-    return own.withColumn("values", F.col("top.value")).withColumn("ids", F.col("top.id")).withColumn("w", F.col("seq") % 3 / 2)
+    return own.withColumn(
+        "values", F.col("top.value")
+    ).withColumn("ids", F.col("top.id")).withColumn("w", F.col("seq") % 3 / 2)
 
 
-@equals(f"""SELECT round(sum(-lp * m) / sum(m), 6) AS token, round((SELECT avg(x) FROM (SELECT sum(-lp * m) / sum(m) AS x FROM {TOKENS} GROUP BY k HAVING sum(m) > 0)), 6) AS sequence FROM {TOKENS}""")
+@equals(
+    f"""SELECT round(sum(-lp * m) / sum(m), 6) AS token, round((SELECT avg(x) FROM (SELECT sum(-lp * m) / sum(m) AS x FROM {TOKENS} GROUP BY k HAVING sum(m) > 0)), 6) AS sequence FROM {TOKENS}"""
+)
 def sft_losses(s, d):
     rows = sequences(s, d)
     token, sequence = training.sft_loss(rows, "lp", "m"), training.sft_loss(rows, "lp", "m", token_level=False)
@@ -82,7 +95,9 @@ def kto_even(s, d):
 @equals(f"""WITH x AS (SELECT l_orderkey % 32 AS b, 0.5 * ((pc - pr) - (rc - rr)) AS z, pc - rc > pr - rr AS r FROM {PREF}), e AS (SELECT b, avg(-(least(z, 0) - ln(1 + exp(-abs(z))))) AS l, avg(r::INT::DOUBLE) AS a FROM x GROUP BY 1)
 SELECT round(avg(l), 6) AS eval_loss, round(avg(a), 6) AS acc_mean FROM e""")
 def dpo_eval(s, d):
-    out = training.dpo_eval(preference_rows(s, d).withColumn("batch", F.col("l_orderkey") % 32), "batch", "pc", "pr", "rc", "rr", 0.5)
+    out = training.dpo_eval(
+        preference_rows(s, d).withColumn("batch", F.col("l_orderkey") % 32), "batch", "pc", "pr", "rc", "rr", 0.5
+    )
     return out.select(r6("eval_loss").alias("eval_loss"), r6("acc_mean").alias("acc_mean"))
 
 
@@ -90,7 +105,9 @@ def dpo_eval(s, d):
 e AS (SELECT b, avg(greatest(p, q) + ln(exp(p - greatest(p, q)) + exp(q - greatest(p, q))) - CASE WHEN y = 0 THEN p ELSE q END) AS l, avg(((CASE WHEN p >= q THEN 0 ELSE 1 END) = y)::INT::DOUBLE) AS a FROM x GROUP BY 1)
 SELECT round(avg(l), 6) AS eval_loss, round(avg(a), 6) AS acc FROM e""")
 def prm_eval(s, d):
-    rows = logits(s, d).select((F.col("vec_id") % 16).alias("batch"), F.slice("student", 1, 2).alias("x"), (F.col("label") % 2).alias("y"))
+    rows = logits(s, d).select(
+        (F.col("vec_id") % 16).alias("batch"), F.slice("student", 1, 2).alias("x"), (F.col("label") % 2).alias("y")
+    )
     out = training.prm_eval(rows, "batch", "x", "y")
     return out.select(r6("eval_loss").alias("eval_loss"), r6("acc").alias("acc"))
 
@@ -99,13 +116,19 @@ def prm_eval(s, d):
 f AS (SELECT *, e / sum(e) OVER w * greatest(sum(m::INT) OVER w, 1) AS share FROM e WINDOW w AS (PARTITION BY seq))
 SELECT round(sum(kl * share * w / (1 + exp(-5 * (hs - ht))) * m::INT) / sum(m::INT), 6) AS loss FROM f""")
 def distill_loss(s, d):
-    return training.distill(logits(s, d), "seq", "student", "values", "ids", "m", "w", tau=0.7).select(r6("loss").alias("loss"))
+    return training.distill(
+        logits(s, d), "seq", "student", "values", "ids", "m", "w", tau=0.7
+    ).select(r6("loss").alias("loss"))
 
 
-@equals(f"""SELECT round(sum(kl * w * m::INT) / sum(m::INT), 6) AS topk, round((SELECT sum(c * m::INT) / sum(m::INT) FROM (SELECT vec_id % 8 >= 2 AS m, -sum(exp(q - zq) * (s - zs)) AS c FROM {LOGITS} JOIN {Z} USING (vec_id) GROUP BY vec_id)), 6) AS full FROM {TOP}""")
+@equals(
+    f"""SELECT round(sum(kl * w * m::INT) / sum(m::INT), 6) AS topk, round((SELECT sum(c * m::INT) / sum(m::INT) FROM (SELECT vec_id % 8 >= 2 AS m, -sum(exp(q - zq) * (s - zs)) AS c FROM {LOGITS} JOIN {Z} USING (vec_id) GROUP BY vec_id)), 6) AS full FROM {TOP}"""
+)
 def simple_distill(s, d):
     rows = logits(s, d)
-    top = training.simple_distill(rows, losses.top_cross_entropy(F.col("student"), F.col("values"), F.col("ids")), "m", "w")
+    top = training.simple_distill(
+        rows, losses.top_cross_entropy(F.col("student"), F.col("values"), F.col("ids")), "m", "w"
+    )
     full = training.simple_distill(rows, losses.cross_entropy(F.col("student"), F.col("teacher")), "m")
     return top.select(r6("loss").alias("topk")).crossJoin(full.select(r6("loss").alias("full")))  # one row each
 
@@ -120,20 +143,33 @@ def kd_ignored(s, d):
 
 @equals(f"SELECT round(avg(-lp) FILTER (m = 1), 6) AS loss FROM {TOKENS}")
 def lm_loss(s, d):
-    rows = with_pos(s, d).select((-F.col("l_quantity") / 10).alias("lp"), F.when(F.col("l_returnflag") == "N", -100).otherwise(F.col("l_linenumber")).alias("label"))
+    rows = with_pos(s, d).select(
+        (-F.col("l_quantity") / 10).alias("lp"),
+        F.when(F.col("l_returnflag") == "N", -100).otherwise(F.col("l_linenumber")).alias("label"),
+    )
     return training.lm_loss(rows, "lp", "label").select(r6("loss").alias("loss"))
 
 
 @equals(f"""WITH g AS (SELECT k % 16 AS micro, any_value(k % 4) AS step, avg(lp) AS p, avg(old) AS q, avg(roll) AS e, count(*) AS n FROM {TOKENS} GROUP BY 1)
 SELECT micro, round((p + 0.1 * q - 0.01 * e) * n / sum(n) OVER (PARTITION BY step), 6) AS loss FROM g""")
 def scaled_loss(s, d):
-    rows = with_pos(s, d).groupBy((F.col("l_orderkey") % 16).alias("micro")).agg(F.avg(-F.col("l_quantity") / 10).alias("p"), F.avg(-F.col("l_discount") * 30).alias("q"), F.avg(-F.col("l_tax") * 40).alias("e"), F.count("*").alias("n"))
+    rows = with_pos(s, d).groupBy((F.col("l_orderkey") % 16).alias("micro")).agg(
+        F.avg(-F.col("l_quantity") / 10).alias("p"),
+        F.avg(-F.col("l_discount") * 30).alias("q"),
+        F.avg(-F.col("l_tax") * 40).alias("e"),
+        F.count("*").alias("n"),
+    )
     steps = rows.groupBy((F.col("micro") % 4).alias("step")).agg(F.sum("n").alias("of"))
     both = rows.join(steps, F.col("micro") % 4 == F.col("step"))
-    return both.select("micro", r6(losses.step_loss(F.col("p"), F.col("q"), F.col("e"), 0.1, 0.01, F.col("n"), F.col("of"))).alias("loss"))
+    return both.select(
+        "micro",
+        r6(losses.step_loss(F.col("p"), F.col("q"), F.col("e"), 0.1, 0.01, F.col("n"), F.col("of"))).alias("loss"),
+    )
 
 
-@equals(f"""SELECT k, round(sum(lp) FILTER (pos > 1), 6) + 0.0::DOUBLE AS total, round(avg(lp) FILTER (pos > 1), 6) + 0.0::DOUBLE AS mean FROM {TOKENS} GROUP BY 1""")
+@equals(
+    f"""SELECT k, round(sum(lp) FILTER (pos > 1), 6) + 0.0::DOUBLE AS total, round(avg(lp) FILTER (pos > 1), 6) + 0.0::DOUBLE AS mean FROM {TOKENS} GROUP BY 1"""
+)
 def batch_log_probs(s, d):
     own = losses.beyond(F.col("lp"), F.lit(1))
     rows = sequences(s, d).select("k", F.when(F.size("lp") > 1, losses.total(own)).alias("x"), F.size(own).alias("n"))
@@ -147,12 +183,24 @@ round(sum(power(0.9, b.p - a.p) * b.r), 4) + 0.0::DOUBLE AS togo FROM d a JOIN d
 def masked_gae(s, d):
     lists = F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")))
     rows = t(s, d, "events").groupBy("user_id").agg(lists.alias("e"))
-    rows = rows.select("user_id", F.col("e.value").alias("r"), F.transform("e.value", lambda x: x / 2).alias("v"), F.transform("e.event_id", lambda i: i % 3 > 0).alias("m"))
+    rows = rows.select(
+        "user_id",
+        F.col("e.value").alias("r"),
+        F.transform("e.value", lambda x: x / 2).alias("v"),
+        F.transform("e.event_id", lambda i: i % 3 > 0).alias("m"),
+    )
     m = F.col("m")
-    rows = rows.withColumn("a", losses.gae(F.col("v"), F.col("r"), 0.9, 0.8, m)).withColumn("g", losses.discounted(F.col("r"), 0.9, m))
-    rows = rows.select("user_id", F.posexplode(F.arrays_zip("a", losses.gae_returns(F.col("a"), F.col("v"), m).alias("b"), "g")).alias("p", "z"))
+    rows = rows.withColumn(
+        "a", losses.gae(F.col("v"), F.col("r"), 0.9, 0.8, m)
+    ).withColumn("g", losses.discounted(F.col("r"), 0.9, m))
+    rows = rows.select(
+        "user_id",
+        F.posexplode(F.arrays_zip("a", losses.gae_returns(F.col("a"), F.col("v"), m).alias("b"), "g")).alias("p", "z"),
+    )
     r4 = lambda c: F.round(c, 4) + F.lit(0.0)
-    return rows.select("user_id", "p", r4("z.a").alias("advantage"), r4("z.b").alias("returns"), r4("z.g").alias("togo"))
+    return rows.select(
+        "user_id", "p", r4("z.a").alias("advantage"), r4("z.b").alias("returns"), r4("z.g").alias("togo")
+    )
 
 
 @equals(f"""SELECT k, string_agg((pos >= 2 AND pos < n)::INT, '' ORDER BY pos) AS mask, string_agg(pos, ',' ORDER BY pos) FILTER (pos <= last) AS trimmed,
@@ -160,7 +208,12 @@ CASE WHEN any_value(n) + 1 > 4 THEN '1,2,3,99' ELSE string_agg(pos, ',' ORDER BY
 def row_masks(s, d):
     pos = F.transform("pos", lambda x: x.cast("int"))
     mask = training.single_turn_mask(F.size("pos"), F.lit(2))
-    return sequences(s, d).select("k", F.array_join(mask, "").alias("mask"), F.array_join(training.right_trimmed(pos, F.col("m")), ",").alias("trimmed"), F.array_join(training.ended(pos, 99, 4), ",").alias("ended"))
+    return sequences(s, d).select(
+        "k",
+        F.array_join(mask, "").alias("mask"),
+        F.array_join(training.right_trimmed(pos, F.col("m")), ",").alias("trimmed"),
+        F.array_join(training.ended(pos, 99, 4), ",").alias("ended"),
+    )
 
 
 @equals(f"""SELECT k, coalesce(string_agg((pos - 1 IN (1, 2) OR pos - 1 IN (4, 5))::INT, '' ORDER BY pos) FILTER (pos > 1 AND pos <= 5), '') AS mask,
@@ -179,13 +232,20 @@ def aligned_spans(s, d):
     return rows.select("k", F.posexplode("a").alias("i", "v")).select("k", "i", (F.col("v") + F.lit(0.0)).alias("v"))
 
 
-@equals(f"""SELECT vec_id, round(coalesce(max(q) FILTER (rank <= 5 AND i = vec_id % 7), max(q)), 6) + 0.0::DOUBLE AS logp FROM {LOGITS} GROUP BY 1""")
+@equals(
+    f"""SELECT vec_id, round(coalesce(max(q) FILTER (rank <= 5 AND i = vec_id % 7), max(q)), 6) + 0.0::DOUBLE AS logp FROM {LOGITS} GROUP BY 1"""
+)
 def picked_log_probs(s, d):
     best = F.map_from_arrays("ids", "values")
-    return logits(s, d).select("vec_id", r6(training.picked((F.col("vec_id") % 7).cast(dict(logits(s, d).dtypes)["ids"][6:-1]), best)).alias("logp"))
+    return logits(s, d).select(
+        "vec_id",
+        r6(training.picked((F.col("vec_id") % 7).cast(dict(logits(s, d).dtypes)["ids"][6:-1]), best)).alias("logp"),
+    )
 
 
-@equals(f"""SELECT k, round(coalesce(sum(lp) FILTER (pos > 1), 0), 6) + 0.0::DOUBLE AS chosen, round(coalesce(sum(lp) FILTER (pos < n), 0), 6) + 0.0::DOUBLE AS rejected FROM {TOKENS} GROUP BY 1""")
+@equals(
+    f"""SELECT k, round(coalesce(sum(lp) FILTER (pos > 1), 0), 6) + 0.0::DOUBLE AS chosen, round(coalesce(sum(lp) FILTER (pos < n), 0), 6) + 0.0::DOUBLE AS rejected FROM {TOKENS} GROUP BY 1"""
+)
 def stacked_pairs(s, d):
     rows = sequences(s, d).select("k", "lp", F.reverse("lp").alias("turned"), F.lit(1).alias("p"))
     stacked = training.stack_pairs(rows, "lp", "turned", "p")
@@ -196,13 +256,24 @@ def stacked_pairs(s, d):
 @equals("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders")
 def batches_and_rows(s, d):
     rows = t(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    return training.row_batches(training.batch_rows(rows, "o_custkey", "o_orderkey", ["o_orderkey", "o_orderstatus"]), "o_custkey", ["o_orderkey", "o_orderstatus"])
+    return training.row_batches(
+        training.batch_rows(rows, "o_custkey", "o_orderkey", ["o_orderkey", "o_orderstatus"]),
+        "o_custkey",
+        ["o_orderkey", "o_orderstatus"],
+    )
 
 
 @equals("""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE lang END AS p, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS l, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 10) / 10.0::DOUBLE END AS w FROM documents)
 SELECT doc_id, 'weighed' AS kind, w AS weight FROM x WHERE w IS NOT NULL AND coalesce(p, '') <> '' UNION ALL SELECT doc_id, 'plain', 1.0 FROM x WHERE coalesce(p, '') <> '' AND coalesce(l, '') <> ''""")
 def distill_rows(s, d):
     i = F.col("doc_id")
-    rows = t(s, d, "documents").select("doc_id", F.when(i % 11 == 0, "").otherwise(F.col("lang")).alias("p"), F.when(i % 5 == 0, "").otherwise(F.col("source")).alias("l"), F.when(i % 3 > 0, i % 10 / 10).alias("w"))
-    out = lambda kind, *by: training.distill_rows(rows, "p", "l", *by).select("doc_id", F.lit(kind).alias("kind"), "weight")
+    rows = t(s, d, "documents").select(
+        "doc_id",
+        F.when(i % 11 == 0, "").otherwise(F.col("lang")).alias("p"),
+        F.when(i % 5 == 0, "").otherwise(F.col("source")).alias("l"),
+        F.when(i % 3 > 0, i % 10 / 10).alias("w"),
+    )
+    out = lambda kind, *by: training.distill_rows(rows, "p", "l", *by).select(
+        "doc_id", F.lit(kind).alias("kind"), "weight"
+    )
     return out("weighed", "w").unionByName(out("plain"))

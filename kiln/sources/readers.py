@@ -57,7 +57,9 @@ def cells(raw: bytes) -> list[list[str]]:
     with zipfile.ZipFile(io.BytesIO(raw)) as book:
         names = book.namelist()
         words = lambda e: "".join(t.text or "" for t in e.iter(f"{space}t"))
-        shared = [words(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{space}si")] if "xl/sharedStrings.xml" in names else []
+        shared = [
+            words(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{space}si")
+        ] if "xl/sharedStrings.xml" in names else []
         first = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
         rows = []
         for row in ElementTree.fromstring(book.read(first)).iter(f"{space}row"):
@@ -81,7 +83,9 @@ def sheet(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for raw in batch.column("content").to_pylist():
                 rows = [r + [""] * (len(head) - len(r)) for r in cells(raw)[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(head))], names=head)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in rows], pa.string()) for i in range(len(head))], names=head
+                )
 
     return files.mapInArrow(run, ", ".join(f"`{h}` string" for h in head))
 
@@ -110,7 +114,14 @@ def lectures(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFrame
     return files.select("path", file_number(F.url_decode("path")).alias("number"), "content").orderBy("number", "path")
 
 
-def blended(spark: SparkSession, paths: list[str], probabilities: list[float] | None = None, key: str | None = None, total: int | None = None, seed: int = 0) -> DataFrame:
+def blended(
+    spark: SparkSession,
+    paths: list[str],
+    probabilities: list[float] | None = None,
+    key: str | None = None,
+    total: int | None = None,
+    seed: int = 0,
+) -> DataFrame:
     """Sets one after another; with probabilities drawn from in turn until `total` rows, in order of key."""
     sets = [read(spark, p) for p in paths]
     if probabilities is None:
@@ -129,7 +140,12 @@ def any_split(spark: SparkSession, path: str, splits: list[str]) -> tuple[DataFr
     return None
 
 
-def seeds(spark: SparkSession, registry: list[dict], fallback=("test", "train", "validation"), skipped: list[str] | None = None) -> DataFrame:
+def seeds(
+    spark: SparkSession,
+    registry: list[dict],
+    fallback=("test", "train", "validation"),
+    skipped: list[str] | None = None,
+) -> DataFrame:
     """(text, source, difficulty, evol_rounds) of registered sets: name, path with {split}, key, split, difficulty, max_seeds, evol_rounds.
 
     A split that is absent falls back to the others in turn. Sets without any, or without a text column, are skipped and
@@ -146,7 +162,14 @@ def seeds(spark: SparkSession, registry: list[dict], fallback=("test", "train",
         own = at[0].withColumn("_row", F.monotonically_increasing_id())
         own = own.select(F.col(key).cast("string").alias("text"), "_row").filter(F.length(F.trim("text")) >= 10)
         own = own if entry["max_seeds"] < 0 else own.orderBy("_row").limit(entry["max_seeds"])
-        found.append(own.select("text", F.lit(entry["name"]).alias("source"), F.lit(entry["difficulty"]).alias("difficulty"), F.lit(entry["evol_rounds"]).alias("evol_rounds")))
+        found.append(
+            own.select(
+                "text",
+                F.lit(entry["name"]).alias("source"),
+                F.lit(entry["difficulty"]).alias("difficulty"),
+                F.lit(entry["evol_rounds"]).alias("evol_rounds"),
+            )
+        )
     empty = spark.createDataFrame([], "text string, source string, difficulty string, evol_rounds int")
     return reduce(lambda a, b: a.unionByName(b), found, empty)
 
@@ -159,7 +182,19 @@ def metric_log(spark: SparkSession, path: str) -> DataFrame:
     """(ts, prefix, step, values map) of lines "[ts] prefix step=N | k=v | ..."."""
     line = F.col("value")
     parts = F.slice(F.split(line, r" \| "), 2, 1 << 20)
-    return spark.read.text(path).filter("value <> ''").select(F.regexp_extract(line, r"^\[([^\]]*)\]", 1).alias("ts"), F.regexp_extract(line, r"^\[[^\]]*\] (\S+) step=", 1).alias("prefix"), F.regexp_extract(line, r"step=(\d+)", 1).try_cast("long").alias("step"), F.map_from_entries(F.transform(parts, lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)), F.split_part(p, F.lit("="), F.lit(2)).try_cast("double")))).alias("values"))
+    return spark.read.text(path).filter("value <> ''").select(
+        F.regexp_extract(line, r"^\[([^\]]*)\]", 1).alias("ts"),
+        F.regexp_extract(line, r"^\[[^\]]*\] (\S+) step=", 1).alias("prefix"),
+        F.regexp_extract(line, r"step=(\d+)", 1).try_cast("long").alias("step"),
+        F.map_from_entries(
+            F.transform(
+                parts,
+                lambda p: F.struct(
+                    F.split_part(p, F.lit("="), F.lit(1)), F.split_part(p, F.lit("="), F.lit(2)).try_cast("double")
+                ),
+            )
+        ).alias("values"),
+    )
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -179,13 +214,25 @@ def write_report(results: DataFrame, summary: dict, path: str) -> None:
     results: idx, ground_truth, predicted, correct. A report is of one test set, so it is one file each.
     """
     rows = results.select("idx", "ground_truth", "predicted", "correct")
-    counts = rows.agg(F.count("*").alias("total"), F.coalesce(F.sum(F.col("correct").cast("long")), F.lit(0)).alias("right")).first()
+    counts = rows.agg(
+        F.count("*").alias("total"), F.coalesce(F.sum(F.col("correct").cast("long")), F.lit(0)).alias("right")
+    ).first()
     share = counts["right"] / counts["total"] if counts["total"] else 0.0
     head = summary | {"accuracy": share, "correct": counts["right"], "total": counts["total"]}
     listed = rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("results"))
-    listed.select(*[F.lit(v).alias(k) for k, v in head.items()], "results").coalesce(1).write.mode("overwrite").json(f"{path}/json", ignoreNullFields=False)
-    line = F.format_string("[%s] #%2d  gt=%s  pred=%s", F.when(F.col("correct"), "O").otherwise("X"), F.col("idx"), F.col("ground_truth"), F.col("predicted"))
-    lines = [f"{k.replace('_', ' ').capitalize()}: {v}" for k, v in summary.items()] + [f"Accuracy: {counts['right']}/{counts['total']} = {share:.1%}", "=" * 60]
+    listed.select(
+        *[F.lit(v).alias(k) for k, v in head.items()], "results"
+    ).coalesce(1).write.mode("overwrite").json(f"{path}/json", ignoreNullFields=False)
+    line = F.format_string(
+        "[%s] #%2d  gt=%s  pred=%s",
+        F.when(F.col("correct"), "O").otherwise("X"),
+        F.col("idx"),
+        F.col("ground_truth"),
+        F.col("predicted"),
+    )
+    lines = [f"{k.replace('_', ' ').capitalize()}: {v}" for k, v in summary.items()] + [
+        f"Accuracy: {counts['right']}/{counts['total']} = {share:.1%}", "=" * 60
+    ]
     first = results.sparkSession.createDataFrame([(-1, "\n".join(lines))], "idx long, value string")
     both = first.unionByName(rows.select(F.col("idx").cast("long").alias("idx"), line.alias("value")))
     both.coalesce(1).sortWithinPartitions("idx").select("value").write.mode("overwrite").text(f"{path}/txt")

@@ -12,7 +12,11 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
 
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
+    s = SparkSession.builder.master("local[4]").config(
+        "spark.sql.shuffle.partitions", "4"
+    ).config("spark.ui.enabled", "false").config(
+        "spark.ui.showConsoleProgress", "false"
+    ).config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -9,25 +9,71 @@ from kiln.streaming import resume
 
 
 def each(spark, f, *args):
-    df = spark.createDataFrame([(i, *(a if isinstance(a, tuple) else (a,))) for i, a in enumerate(args)], "i int, " + ", ".join(f"c{k} string" for k in range(len(args[0]) if isinstance(args[0], tuple) else 1)))
+    df = spark.createDataFrame(
+        [(i, *(a if isinstance(a, tuple) else (a,))) for i, a in enumerate(args)],
+        "i int, " + ", ".join(f"c{k} string" for k in range(len(args[0]) if isinstance(args[0], tuple) else 1)),
+    )
     return [r.v for r in df.select("i", f(*[F.col(c) for c in df.columns[1:]]).alias("v")).orderBy("i").collect()]
 
 
 def test_boxed(spark):
-    assert each(spark, text.last_boxed, "no", "\\boxed{}", "\\boxed{1} \\boxed{ \\frac{a}{b} }", "\\boxed{1} \\boxed{2", None) == [None, "", "\\frac{a}{b}", None, None]
+    assert each(
+        spark, text.last_boxed, "no", "\\boxed{}", "\\boxed{1} \\boxed{ \\frac{a}{b} }", "\\boxed{1} \\boxed{2", None
+    ) == [None, "", "\\frac{a}{b}", None, None]
 
 
 def test_extract_answer(spark):
-    got = each(spark, grading.extract_answer, "<think>9</think> so \\boxed{\\dfrac12}", "the answer is: $1,234.50 dollars", "the answer is (3, 5). However it", "it is 3 or 4.", "no number", "\\boxed{x=5", "<think>never", "The final answer is $7$. I hope", None)
+    got = each(
+        spark,
+        grading.extract_answer,
+        "<think>9</think> so \\boxed{\\dfrac12}",
+        "the answer is: $1,234.50 dollars",
+        "the answer is (3, 5). However it",
+        "it is 3 or 4.",
+        "no number",
+        "\\boxed{x=5",
+        "<think>never",
+        "The final answer is $7$. I hope",
+        None,
+    )
     assert got == ["\\frac{1}{2}", "1234.50", "(3,5)", "4", "", "5", "", "7", None]
 
 
 def test_strip_string(spark):
-    got = each(spark, grading.strip_string, "1/2", "\\sqrt2", "3.000", "50\\%", "k=7", "5\\text{ miles}", "\\frac1{x}", "2j", "01/2", ".5")
+    got = each(
+        spark,
+        grading.strip_string,
+        "1/2",
+        "\\sqrt2",
+        "3.000",
+        "50\\%",
+        "k=7",
+        "5\\text{ miles}",
+        "\\frac1{x}",
+        "2j",
+        "01/2",
+        ".5",
+    )
     assert got == ["\\frac{1}{2}", "\\sqrt{2}", "3", "50", "7", "5", "\\frac{1}{x}", "2i", "01/2", "0.5"]
 
 
-@pytest.mark.parametrize("p,r,same", [("1,000", "1000", True), ("50%", "0.5", True), ("0.33333", "1/3", False), ("(1,2)", "[1,2]", True), ("1d", "1", False), ("1_000", "1000", False), ("X", "x", True), ("3", "4", False), ("", "", True), ("{a}", "a", True), ("(1, 2)", "(1,2)", True), ("(1,2)", "(1,3)", False)])
+@pytest.mark.parametrize(
+    "p,r,same",
+    [
+        ("1,000", "1000", True),
+        ("50%", "0.5", True),
+        ("0.33333", "1/3", False),
+        ("(1,2)", "[1,2]", True),
+        ("1d", "1", False),
+        ("1_000", "1000", False),
+        ("X", "x", True),
+        ("3", "4", False),
+        ("", "", True),
+        ("{a}", "a", True),
+        ("(1, 2)", "(1,2)", True),
+        ("(1,2)", "(1,3)", False),
+    ],
+)
 def test_math_equal(spark, p, r, same):
     assert each(spark, grading.math_equal, (p, r)) == [same]
 
@@ -38,13 +84,19 @@ def test_null_grades_are_false(spark):
 
 def test_judges(spark):
     assert each(spark, text.parse_keep, "VERDICT: remove", "keep", "no REMOVE", "?") == [False, True, False, True]
-    assert [r.accept for r in each(spark, text.parse_accept, "Accept\nx", "x\nREJECT: y", "so accept", "<think>ACCEPT", "")] == [True, False, True, False, False]
-    assert each(spark, text.extract_problem, "<think>a</think>New problem: " + "x" * 60 + "\nSolution: y", "**Problem:** q") == ["x" * 60, "q"]
+    assert [
+        r.accept for r in each(spark, text.parse_accept, "Accept\nx", "x\nREJECT: y", "so accept", "<think>ACCEPT", "")
+    ] == [True, False, True, False, False]
+    assert each(
+        spark, text.extract_problem, "<think>a</think>New problem: " + "x" * 60 + "\nSolution: y", "**Problem:** q"
+    ) == ["x" * 60, "q"]
     assert each(spark, text.wrap_latex, "\\pi", "$1$", "5", "") == ["$\\pi$", "$1$", "5", ""]
 
 
 def test_json(spark):
-    got = each(spark, lambda c: text.json_object(c, "a STRING, b STRING", ["a"]), 'x {"a": "1",} y', '{"b": "2"}', "none", None)
+    got = each(
+        spark, lambda c: text.json_object(c, "a STRING, b STRING", ["a"]), 'x {"a": "1",} y', '{"b": "2"}', "none", None
+    )
     assert [r and r.a for r in got] == ["1", None, None, None]
 
 
@@ -54,7 +106,12 @@ def test_shingles(spark):
 
 def test_arrays(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0], [1.0, 0.5, 0.0])], "a array<double>, v array<double>")
-    got = df.select(losses.discounted(F.col("a"), 0.5).alias("d"), losses.gae(F.col("v"), F.col("a"), 1.0, 1.0).alias("g"), chat.padded(F.col("a"), F.lit(5), F.lit(0.0), left=True).alias("p"), losses.masked_mean(F.col("a"), F.array(F.lit(1), F.lit(0), F.lit(1))).alias("m")).first()
+    got = df.select(
+        losses.discounted(F.col("a"), 0.5).alias("d"),
+        losses.gae(F.col("v"), F.col("a"), 1.0, 1.0).alias("g"),
+        chat.padded(F.col("a"), F.lit(5), F.lit(0.0), left=True).alias("p"),
+        losses.masked_mean(F.col("a"), F.array(F.lit(1), F.lit(0), F.lit(1))).alias("m"),
+    ).first()
     assert got.d == [2.75, 3.5, 3.0] and got.g == [5.0, 4.5, 3.0] and got.p == [0, 0, 1, 2, 3] and got.m == 2.0
     ids = spark.createDataFrame([([5, 9, 5, 9, 5], [1, 0])], "i array<int>, l array<int>")
     assert ids.select(chat.placeholders(F.col("i"), F.col("l"), 5).alias("x")).first().x == [1, -100, 0, -100, -100]
@@ -94,8 +151,15 @@ def test_empty_and_single_groups(spark):
 
 
 def test_entropy_edges(spark):
-    rows = [("a", "x", -1.0, 1)] * 4 + [("b", str(i), -1.0, 1) for i in range(4)] + [("c", None, -1.0, 1)] * 3 + [("c", "x", -1.0, 1)] * 2 + [("d", "x", -1.0, 0), ("d", "y" * 201, -1.0, 1)]
-    got = {r.prompt: (r.se, r.n_valid) for r in uncertainty.weighted_entropy(spark.createDataFrame(rows, "prompt string, boxed string, slp double, len int")).collect()}
+    rows = [("a", "x", -1.0, 1)] * 4 + [
+        ("b", str(i), -1.0, 1) for i in range(4)
+    ] + [("c", None, -1.0, 1)] * 3 + [("c", "x", -1.0, 1)] * 2 + [("d", "x", -1.0, 0), ("d", "y" * 201, -1.0, 1)]
+    got = {
+        r.prompt: (r.se, r.n_valid)
+        for r in uncertainty.weighted_entropy(
+            spark.createDataFrame(rows, "prompt string, boxed string, slp double, len int")
+        ).collect()
+    }
     assert got == {"a": (0.0, 4), "b": (1.0, 4), "c": (None, 0), "d": (None, 0)}
 
 
@@ -106,7 +170,9 @@ def test_provider_halves_failed_batches(spark):
         return [[p + "!"] for p in prompts]
 
     df = spark.createDataFrame([("a",), ("bad",), ("c",)], "p string").coalesce(1)
-    assert {r.p: list(r.texts) for r in providers.generate(df, "p", picky).collect()} == {"a": ["a!"], "bad": [], "c": ["c!"]}
+    assert {
+        r.p: list(r.texts) for r in providers.generate(df, "p", picky).collect()
+    } == {"a": ["a!"], "bad": [], "c": ["c!"]}
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -119,7 +185,17 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.read(spark, "x.bin")
     df.write.parquet(str(tmp_path / "train.parquet"))
-    reg = [{"name": "n", "path": str(tmp_path) + "/{split}.parquet", "key": "problem", "split": "test", "difficulty": "easy", "max_seeds": -1, "evol_rounds": 2}]
+    reg = [
+        {
+            "name": "n",
+            "path": str(tmp_path) + "/{split}.parquet",
+            "key": "problem",
+            "split": "test",
+            "difficulty": "easy",
+            "max_seeds": -1,
+            "evol_rounds": 2,
+        }
+    ]
     assert readers.seeds(spark, reg).count() == 2
     (tmp_path / "m.log").write_text("[2025-01-01 00:00:00] train step=3 | loss=0.5 | acc=1.0\n")
     row = readers.metric_log(spark, str(tmp_path / "m.log")).first()
@@ -131,7 +207,9 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_stream_resumes(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    go = lambda: resume.process_new(spark, str(src), "a long", lambda x: x.filter("a > 1"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    go = lambda: resume.process_new(
+        spark, str(src), "a long", lambda x: x.filter("a > 1"), str(tmp_path / "out"), str(tmp_path / "cp")
+    )
     (src / "1.json").write_text('{"a":1}\n{"a":2}\n')
     go()
     (src / "2.json").write_text('{"a":3}\n')

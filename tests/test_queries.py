@@ -21,7 +21,9 @@ def duck(sf):
 
 def rows(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    tidy = lambda v: "~" if v is None or v is pd.NA or (isinstance(v, float) and np.isnan(v)) else round(float(v), 6) if isinstance(v, (float, np.floating)) else str(v)
+    tidy = lambda v: "~" if v is None or v is pd.NA or (
+        isinstance(v, float) and np.isnan(v)
+    ) else round(float(v), 6) if isinstance(v, (float, np.floating)) else str(v)
     return sorted((tuple(tidy(v) for v in r) for r in df.itertuples(index=False)), key=str)
 
 
@@ -33,7 +35,16 @@ def test_equals_sql(spark, sf, duck, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(QUERIES) - set(SQL) == {"first_fit", "karmarkar_karp", "interleave", "near_dup_removed", "shuffled_cap", "strategy_draw", "dynamic_micro_batches", "rollout_batches"}
+    assert set(QUERIES) - set(SQL) == {
+        "first_fit",
+        "karmarkar_karp",
+        "interleave",
+        "near_dup_removed",
+        "shuffled_cap",
+        "strategy_draw",
+        "dynamic_micro_batches",
+        "rollout_batches",
+    }
 
 
 def test_packing_queries(spark, sf):
@@ -52,11 +63,15 @@ def test_packing_queries(spark, sf):
 
 def test_interleave_and_shuffle(spark, sf):
     got = QUERIES["interleave"](spark, sf).toPandas()
-    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and 0.6 < (got.source == "src1").mean() < 0.8
+    assert len(got) == spark.read.parquet(
+        f"{sf}/documents.parquet"
+    ).count() and 0.6 < (got.source == "src1").mean() < 0.8
     drawn = {r.choice: r.n for r in QUERIES["strategy_draw"](spark, sf).collect()}
     assert "apply" not in drawn and abs(drawn["harder"] / sum(drawn.values()) - 0.30 / 0.85) < 0.05
     first = QUERIES["shuffled_cap"](spark, sf).toPandas()
-    assert len(set(first.doc_id)) == 100 and list(first.doc_id) == list(QUERIES["shuffled_cap"](spark, sf).toPandas().doc_id)
+    assert len(set(first.doc_id)) == 100 and list(first.doc_id) == list(
+        QUERIES["shuffled_cap"](spark, sf).toPandas().doc_id
+    )
 
 
 def test_near_dup_against_sequential_scan(spark, sf):

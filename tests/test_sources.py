@@ -14,7 +14,10 @@ from kiln.sources import readers
 def test_workbooks(spark, tmp_path):
     space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
-        z.writestr("xl/sharedStrings.xml", f"<sst {space}><si><t>question</t></si><si><t>answer</t></si><si><r><t> what</t></r><r><t> is </t></r></si></sst>")
+        z.writestr(
+            "xl/sharedStrings.xml",
+            f"<sst {space}><si><t>question</t></si><si><t>answer</t></si><si><r><t> what</t></r><r><t> is </t></r></si></sst>",
+        )
         rows = '<row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2" t="s"><v>2</v></c><c r="B2"><v>7</v></c></row><row><c r="B3" t="inlineStr"><is><t>x</t></is></c></row>'
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{rows}</sheetData></worksheet>")
     got = readers.read(spark, str(tmp_path / "a.xlsx"))
@@ -26,13 +29,17 @@ def test_formats_and_blends(spark, tmp_path):
     tbl = pa.table({"id": [1, 2, 3], "text": ["a", "b", None]})
     with pa.OSFile(str(tmp_path / "a.arrow"), "wb") as f, pa.ipc.new_file(f, tbl.schema) as w:
         w.write_table(tbl)
-    assert [tuple(r) for r in readers.read(spark, str(tmp_path / "a.arrow")).collect()] == [(1, "a"), (2, "b"), (3, None)]
+    assert [
+        tuple(r) for r in readers.read(spark, str(tmp_path / "a.arrow")).collect()
+    ] == [(1, "a"), (2, "b"), (3, None)]
     (tmp_path / "b.jsonl").write_text('{"id": 4, "more": "x"}\n{"id": 5}\n')
     (tmp_path / "c.csv").write_text('id,text\n6,"a ""b"", c\nd"\n')
     spark.range(3).write.parquet(str(tmp_path / "saved"))
     both = readers.blended(spark, [str(tmp_path / "a.arrow"), str(tmp_path / "b.jsonl")])
     assert sorted(r.id for r in both.collect()) == [1, 2, 3, 4, 5] and set(both.columns) == {"id", "text", "more"}
-    assert readers.read(spark, str(tmp_path / "c.csv")).first().text == 'a "b", c\nd' and readers.read(spark, str(tmp_path / "saved")).count() == 3
+    assert readers.read(
+        spark, str(tmp_path / "c.csv")
+    ).first().text == 'a "b", c\nd' and readers.read(spark, str(tmp_path / "saved")).count() == 3
     drawn = readers.blended(spark, [str(tmp_path / "a.arrow"), str(tmp_path / "b.jsonl")], [0.5, 0.5], "id", 40)
     assert drawn.count() == 40 and {r.id for r in drawn.collect()} == {1, 2, 3, 4, 5}
     with pytest.raises(ValueError):
@@ -40,15 +47,31 @@ def test_formats_and_blends(spark, tmp_path):
 
 
 def test_seeds(spark, tmp_path):
-    (tmp_path / "a_train.jsonl").write_text("".join(json.dumps({"problem": f"a long problem {i}"}) + "\n" for i in range(9)) + '{"problem": "short"}\n')
-    entry = {"name": "a", "path": str(tmp_path / "a_{split}.jsonl"), "key": "text", "split": "test", "difficulty": "easy", "max_seeds": 4, "evol_rounds": 2}
+    (tmp_path / "a_train.jsonl").write_text(
+        "".join(json.dumps({"problem": f"a long problem {i}"}) + "\n" for i in range(9)) + '{"problem": "short"}\n'
+    )
+    entry = {
+        "name": "a",
+        "path": str(tmp_path / "a_{split}.jsonl"),
+        "key": "text",
+        "split": "test",
+        "difficulty": "easy",
+        "max_seeds": 4,
+        "evol_rounds": 2,
+    }
     skipped = []
-    got = readers.seeds(spark, [entry, entry | {"name": "b", "path": str(tmp_path / "b_{split}.jsonl")}], skipped=skipped).collect()
-    assert [r.text for r in got] == [f"a long problem {i}" for i in range(4)] and skipped == ["b"] and got[0].evol_rounds == 2
+    got = readers.seeds(
+        spark, [entry, entry | {"name": "b", "path": str(tmp_path / "b_{split}.jsonl")}], skipped=skipped
+    ).collect()
+    assert [r.text for r in got] == [
+        f"a long problem {i}" for i in range(4)
+    ] and skipped == ["b"] and got[0].evol_rounds == 2
 
 
 def test_sinks(spark, tmp_path):
-    df = spark.createDataFrame([(1, "7", "7", True), (2, "8", None, False)], "idx int, ground_truth string, predicted string, correct boolean")
+    df = spark.createDataFrame(
+        [(1, "7", "7", True), (2, "8", None, False)], "idx int, ground_truth string, predicted string, correct boolean"
+    )
     readers.write_report(df, {"model": "m", "dataset": "d"}, str(tmp_path / "r"))
     found = spark.read.json(str(tmp_path / "r/json")).first()
     assert (found.accuracy, found.total, len(found.results)) == (0.5, 2, 2)
