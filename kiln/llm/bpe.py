@@ -58,9 +58,8 @@ class Vocabulary:
         self.sizes = {k: (*sorted(v, reverse=True), 2, 1) for k, v in sizes.items()}
         self.size_of = {i: len(t) for i, t in self.bytes_of.items()}
         self.words = regex.compile(PATTERN)
-        self.splitter = regex.compile(
-            "(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")"
-        ) if self.special else None
+        marks = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
+        self.splitter = regex.compile(f"({marks})") if self.special else None
         self.fits: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
 
@@ -222,7 +221,11 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
-    """Adds `decoded` to (doc_id, ids, n_tokens): the text of the ids, special tokens kept."""
+    """Adds `decoded` to (doc_id, ids, n_tokens): the text of the ids, special tokens kept.
+
+    Null or empty ids: an empty text. Null doc_ids and repeated rows: one row each. Empty table: no rows. Other columns
+    are not read.
+    """
 
     def run(batches):
         v = vocabulary(path)

@@ -21,6 +21,7 @@ from tokenizers import Tokenizer
 from kiln.llm import additive_ann, bpe, common, components, jaccard_join, license_scan, mixing, mpeg_audio, pu_quality, queries, sharding, substring_dedup, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, shard int, words string, b int, node long, label long"
 
 
@@ -111,6 +112,14 @@ def test_bpe_odd_texts():
     assert v.decode(ids) == odd and v.decode([None, bpe.little_endian([v.id_of[b"\xe4"]])]) == ["", "�"]
 
 
+@given(st.lists(st.text(st.sampled_from("ab'stré 5.!\n\r\t\v\x1c\x1f\x85\xa0\u2003\u3000\u200b中😀"), max_size=40), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_bpe_of_any_white_space(texts):
+    got = bpe.vocabulary(PATH).encode(texts)
+    want = LIBRARY.encode_batch(texts, add_special_tokens=False)
+    assert [list(bpe.numbers(i)) for i in got] == [e.ids for e in want]
+
+
 def test_warc_round_trip(spark):
     big = "y" * 1500
     rows = [
