@@ -9,14 +9,19 @@ the suffix tree meet at a node of depth `window` or deeper (an internal node: it
 2. Partition. Prefixes have variable length: runs are dealt by their 6-word anchor; where an anchor has more than HEAVY
    runs, each of its windows is dealt by its own prefix of `window` words instead, of which a bucket sends one. So a
    group holds HEAVY runs at most, or what one passage has in different buckets.
-3. Subtrees. Prefixes of a group's suffixes get names, by doubling (2, 4, 8, `window` words); suffixes whose prefix of
-   SPLIT words no other shares are leaves already. At depth `window` each name with two suffixes or more is a deep
+3. Subtrees. A group's suffixes are sorted by their words, by doubling (2, 4, 8, `window` words); suffixes whose prefix
+   of SPLIT words no other shares are leaves already. Neighbours with one prefix of `window` words lie below one deep
    internal node. Its least doc_id goes back to the buckets whose documents lie below it.
 4. Removal. Each bucket looks up its windows and drops the words that they cover.
 
+Each document's windows below deep internal nodes join where they overlap: these stretches are the passages that
+repeated_passages() reports, as long as they go on. A passage longer than a window has a node for each of its windows;
+the tree is not grown below depth `window`.
+
 A bucket sends each distinct run once, with its least and largest doc_id: a group of copies, however large, costs a
-bucket one entry. Documents are shuffled once; the three passes over them read the same exchange. Names are 64-bit
-hashes and are compared within one group or bucket only, never across the corpus.
+bucket one entry. Documents are shuffled once; the three passes over them read the same exchange. Words are known
+by 64-bit hashes, and so are the windows that go back; they are compared within one group or bucket, never across the
+corpus.
 """
 
 from __future__ import annotations
@@ -207,37 +212,39 @@ def candidates(window: int, parts: int):
     return run
 
 
-def wider(names: np.ndarray, step: int) -> np.ndarray:
-    """Names of prefixes that are `step` words longer, from those that start `step` words apart."""
-    return C.finalise(names[: len(names) - step] * C.MULTIPLIER + names[step:])
-
-
-def shared_names(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which names occur twice or more, and each name's number."""
-    _, number, times = np.unique(names, return_inverse=True, return_counts=True)
-    return times[number] > 1, number
+def longer(ranks: np.ndarray, step: int) -> np.ndarray:
+    """Ranks of the suffixes by `step` more words, from ranks by as many as they start apart: pairs sort as suffixes do."""
+    pairs = ranks[: len(ranks) - step] * (int(ranks.max(initial=0)) + 1) + ranks[step:]
+    return np.unique(pairs, return_inverse=True)[1]
 
 
 def deep_nodes(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes (indices into starts) that lie below an internal node of depth `window`, and the node of each.
+    """Suffixes (indices into starts) that lie below an internal node of depth `window`, in suffix order, and each one's
+    node.
 
-    Names of prefixes are doubled in length up to `window`. On the way, at SPLIT words, the suffixes whose prefix no
-    other shares are leaves already and go.
+    Suffixes are sorted by prefixes that double in length, up to the longest power of two within `window`, and last by
+    the two of these that overlap and cover it. On the way, at SPLIT words, the suffixes whose prefix no other shares are
+    leaves already and go. Neighbours in the order with one prefix of `window` words are leaves of one internal node.
     """
-    alive, names, depth = np.arange(len(starts)), words, 1
+    alive, ranks, depth = np.arange(len(starts)), np.unique(words, return_inverse=True)[1], 1
     while 2 * depth <= window:
-        names, depth = wider(names, depth) if len(names) > depth else names[:0], 2 * depth
+        ranks, depth = longer(ranks, depth), 2 * depth
         if depth == SPLIT and len(alive):
-            alive = alive[shared_names(names[starts])[0]]
+            alive = alive[np.bincount(ranks[starts])[ranks[starts]] > 1]
     if not len(alive):
         return alive, alive
     at = starts[alive]
-    last = C.finalise(names[at] * C.MULTIPLIER + names[at + window - depth])  # the two halves overlap and cover `window` words
-    both, node = shared_names(last)
-    return alive[both], node[both]
+    order = np.lexsort((ranks[at + window - depth], ranks[at]))
+    alive, first, second = alive[order], ranks[at][order], ranks[at + window - depth][order]
+    new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
+    node = np.cumsum(new) - 1
+    inner = np.bincount(node)[node] > 1
+    return alive[inner], node[inner]
 
 
-def subtrees(window: int):
+def subtrees(window: int, every: bool):
+    """Nodes go back to the buckets with a document that is not the node's least one; with `every` to all below it."""
+
     def run(key, tbl):
         unpack, texts, sizes, owners, least, most = zstandard.ZstdDecompressor(), [], [], [], [], []
         for b, text, size, docs in zip(*(tbl.column(c).to_pylist() for c in ("b", "runs", "sizes", "docs"))):
@@ -260,10 +267,11 @@ def subtrees(window: int):
         # a run that two documents of one bucket share came once: its suffixes are leaves of two documents all the same
         order = np.argsort(node, kind="stable")
         at = C.split_runs(node[order])
-        low = least.copy()
+        low, high = least.copy(), most.copy()
         if len(at) > 1:
             low[suffix[order]] = np.repeat(np.minimum.reduceat(least[suffix[order]], at[:-1]), np.diff(at))
-        hit = np.flatnonzero(low < most)
+            high[suffix[order]] = np.repeat(np.maximum.reduceat(most[suffix[order]], at[:-1]), np.diff(at))
+        hit = np.flatnonzero(low < (high if every else most))
         order = hit[np.lexsort((digest[hit], owner[hit]))]
         new = np.r_[
             True, (digest[order][1:] != digest[order][:-1]) | (owner[order][1:] != owner[order][:-1])
@@ -281,25 +289,55 @@ def subtrees(window: int):
     return run
 
 
+def looked_up(bucket: Bucket, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket's windows: whether two documents have it, and the least id of those."""
+    digests, least = C.from_blobs(right.column("digests"), np.uint64), C.from_blobs(right.column("least"), np.int64)
+    order = np.argsort(digests, kind="stable")
+    digests, least = digests[order], least[order]
+    found, at = member(bucket.window, digests)
+    out = np.full(len(bucket.window), NO_DOC)
+    out[found] = least[at[found]]
+    return found, out
+
+
+def covered(bucket: Bucket, windows: np.ndarray, window: int) -> np.ndarray:
+    """Which words some of the windows cover."""
+    edge = np.zeros(len(bucket.flat) + window + 1, np.int32)
+    np.add.at(edge, bucket.start[windows], 1)
+    np.add.at(edge, bucket.start[windows] + window, -1)
+    return np.cumsum(edge)[: len(bucket.flat)] > 0
+
+
+def stretches(window: int):
+    def run(key, left, right):
+        bucket = Bucket(left, window)
+        found, least = looked_up(bucket, right)
+        hit = np.flatnonzero(found)
+        start, doc, least = bucket.start[hit], bucket.doc[hit], least[hit]
+        new = np.r_[True, (start[1:] > start[:-1] + window) | (doc[1:] != doc[:-1])][: len(start)]
+        at = np.flatnonzero(new)
+        begin, end = start[at], np.r_[start[at[1:] - 1], start[-1:]] + window
+        of = doc[at]
+        sources = np.minimum.reduceat(least, at) if len(at) else least
+        text = [bucket.words.text(i, j).decode() for i, j in zip(begin.tolist(), end.tolist())]
+        columns = [bucket.id_of[of], begin - bucket.ends[of], end - bucket.ends[of], sources]
+        return pa.table([*(pa.array(c, pa.int64()) for c in columns), pa.array(text, pa.string())], names=["doc_id", "begin", "stop", "least_id", "passage"])
+
+    return run
+
+
 def removal(window: int, keep_text: bool):
     def run(key, left, right):
         bucket = Bucket(left, window)
-        digests, least = C.from_blobs(right.column("digests"), np.uint64), C.from_blobs(right.column("least"), np.int64)
-        order = np.argsort(digests, kind="stable")
-        digests, least = digests[order], least[order]
-        found, at = member(bucket.window, digests)
-        gone = np.zeros(len(bucket.window), bool)
-        gone[found] = least[at[found]] < bucket.id_of[bucket.doc[found]]
-        edge = np.zeros(len(bucket.flat) + window + 1, np.int32)
-        np.add.at(edge, bucket.start[gone], 1)
-        np.add.at(edge, bucket.start[gone] + window, -1)
-        covered = np.cumsum(edge)[: len(bucket.flat)] > 0
-        cut = np.r_[0, np.cumsum(covered)][bucket.ends]
+        found, least = looked_up(bucket, right)
+        gone = found & (least < bucket.id_of[bucket.doc])
+        hidden = covered(bucket, gone, window)
+        cut = np.r_[0, np.cumsum(hidden)][bucket.ends]
         removed, shas, kept_texts, texts = np.diff(cut), [], [], left.column("text").to_pylist()
         for i, (text, n) in enumerate(zip(texts, removed.tolist())):
             own = C.words_of(text)
             if n:
-                own = [w for w, gone in zip(own, covered[bucket.ends[i] : bucket.ends[i + 1]].tolist()) if not gone]
+                own = [w for w, gone in zip(own, hidden[bucket.ends[i] : bucket.ends[i + 1]].tolist()) if not gone]
             kept = b" ".join(own)
             shas.append(hashlib.sha256(kept).hexdigest())
             if keep_text:
@@ -318,6 +356,40 @@ def removal(window: int, keep_text: bool):
     return run
 
 
+def dealt(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    if window < 2 * ANCHOR:
+        raise ValueError(f"window must be {2 * ANCHOR} words or more")
+    return C.bucketed(df, id_col, text_col, C.bucket_count(df))
+
+
+def deep(docs: DataFrame, window: int, heavy: int, every: bool = False) -> DataFrame:
+    """(b, digests, least): to each bucket its windows that lie below deep internal nodes, and the nodes' least ids."""
+    parts = max(8, C.bucket_count(docs) // 4)
+    anchors = docs.groupBy("b").applyInArrow(
+        C.lean_group(census(window, parts)), "p int, b int, anchors binary, runs binary, both binary"
+    )
+    shared = anchors.groupBy("p").applyInArrow(C.lean_group(meet(heavy)), "b int, light binary, heavy binary")
+    runs = docs.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(
+        C.lean_pair(candidates(window, parts)), "p int, b int, runs binary, sizes binary, docs binary"
+    )
+    return runs.groupBy("p").applyInArrow(C.lean_group(subtrees(window, every)), "b int, digests binary, least binary")
+
+
+def repeated_passages(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, heavy: int = HEAVY
+) -> DataFrame:
+    """doc_id, begin, stop, least_id, passage: the stretches of every document of which each window is in another too.
+
+    begin and stop count words, stop is behind the last one; least_id: the least document that has one of the windows;
+    passage: the text from the first word to the last. Null texts and ids, and documents of fewer words, have no rows.
+    Rows that repeat an id do not make each other's passages repeat. Empty table: no rows. Other columns are not read.
+    """
+    docs = dealt(df.select(id_col, text_col), id_col, text_col, window)
+    kind = "doc_id long, begin long, stop long, least_id long, passage string"
+    nodes = deep(docs, window, heavy, every=True)
+    return docs.groupBy("b").cogroup(nodes.groupBy("b")).applyInArrow(C.lean_pair(stretches(window)), kind)
+
+
 def remove_repeats(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -334,19 +406,8 @@ def remove_repeats(
     repeat an id do not remove each other's words. Fewer than `window` words: nothing removed. Empty table: no rows.
     Other columns may have any names: they travel as one struct.
     """
-    if window < 2 * ANCHOR:
-        raise ValueError(f"window must be {2 * ANCHOR} words or more")
-    n = C.bucket_count(df)
-    docs = C.bucketed(df if keep_text else df.select(id_col, text_col), id_col, text_col, n)
-    parts = max(8, n // 4)
-    anchors = docs.groupBy("b").applyInArrow(
-        C.lean_group(census(window, parts)), "p int, b int, anchors binary, runs binary, both binary"
-    )
-    shared = anchors.groupBy("p").applyInArrow(C.lean_group(meet(heavy)), "b int, light binary, heavy binary")
-    runs = docs.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(
-        C.lean_pair(candidates(window, parts)), "p int, b int, runs binary, sizes binary, docs binary"
-    )
-    nodes = runs.groupBy("p").applyInArrow(C.lean_group(subtrees(window)), "b int, digests binary, least binary")
+    docs = dealt(df if keep_text else df.select(id_col, text_col), id_col, text_col, window)
+    nodes = deep(docs, window, heavy)
     fields = [
         T.StructField("doc_id", T.LongType()),
         T.StructField("n_words", T.LongType()),

@@ -367,6 +367,44 @@ def test_substring_dedup(docs, texts, nothing):
         substring_dedup.remove_repeats(docs, window=5)
 
 
+def test_repeated_passages(docs, texts, nothing):
+    where, want = {}, []
+    for i, t in texts:
+        w = (t or "").split()
+        for k in range(len(w) - 12) if i is not None else ():
+            where.setdefault(tuple(w[k : k + 13]), set()).add(i)
+    for i, t in texts:
+        w = (t or "").split()
+        hits = [k for k in range(len(w) - 12) if i is not None and len(where[tuple(w[k : k + 13])]) > 1]
+        while hits:
+            n = 1
+            while n < len(hits) and hits[n] <= hits[n - 1] + 13:
+                n += 1
+            least = min(min(where[tuple(w[k : k + 13])]) for k in hits[:n])
+            want.append((i, hits[0], hits[n - 1] + 13, least, w[hits[0] : hits[n - 1] + 13]))
+            hits = hits[n:]
+    got = substring_dedup.repeated_passages(docs).collect()
+    assert sorted((r.doc_id, r.begin, r.stop, r.least_id, r.passage.split()) for r in got) == sorted(want) and want
+    assert substring_dedup.repeated_passages(nothing).count() == 0
+
+
+def test_deep_nodes_are_equal_prefixes():
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 3, 4000).astype(np.uint64)
+    starts = np.arange(4000 - 13)
+    suffix, node = substring_dedup.deep_nodes(words, starts, 13)
+    by = {}
+    for k in starts.tolist():
+        by.setdefault(tuple(words[k : k + 13].tolist()), []).append(k)
+    want = [tuple(own) for own in by.values() if len(own) > 1]
+    got = {}
+    for k, n in zip(suffix.tolist(), node.tolist()):
+        got.setdefault(n, []).append(k)
+    assert sorted(tuple(sorted(own)) for own in got.values()) == sorted(want) and want
+    order = [tuple(words[k : k + 8].tolist()) for k in suffix]
+    assert order == sorted(order)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 16)).astype(np.float32)
