@@ -188,7 +188,7 @@ def nearest(
                 )
 
     kind = "row long, vec_id long, v binary, name binary, codes binary, norm float, slack float"
-    coded = C.materialise(C.small_batches(good, 2000).mapInArrow(C.lean_batches(code), kind), "codes")
+    coded = C.materialise(C.small_batches(good).mapInArrow(C.lean_batches(code), kind), "codes")
     gone = crowded_out(coded.select("row", "vec_id", "name"), k)
     part = F.pmod(F.xxhash64("row"), F.lit(rows)).cast("int").alias("r")
     left = coded.join(gone, "row", "left_anti").select(

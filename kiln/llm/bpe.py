@@ -10,6 +10,7 @@ gets its state once. A word's encoding is read off by going back token by token.
 from __future__ import annotations
 
 import array
+import hashlib
 import json
 from itertools import chain
 
@@ -214,7 +215,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 names=["doc_id", "ids", "n_tokens"],
             )
 
-    return C.small_batches(df, 1500).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return C.small_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         C.lean_batches(run, lambda: vocabulary(path).kept.clear()),
         f"doc_id {dict(df.dtypes)[id_col]}, ids binary, n_tokens long",
     )
@@ -253,12 +254,26 @@ def id_array(ids: str = "ids"):
     )
 
 
-def round_trip(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes what was encoded."""
-    both = decode(encode(df, path), path)
-    return both.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes whole texts, then decodes what was encoded.
+
+    Both in one worker, which holds one vocabulary. Nulls, repeated rows and empty tables as in encode() and decode().
+    """
+
+    def run(batches):
+        v = vocabulary(path)
+        for batch in batches:
+            ids = v.encode(batch.column("text").to_pylist())
+            shas = [hashlib.sha256(x).hexdigest() for x in ids]
+            decoded = [hashlib.sha256(text.encode()).hexdigest() for text in v.decode(ids)]
+            sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), sizes, pa.array(shas, pa.string()), pa.array(decoded, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    rows = C.small_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(
+        C.lean_batches(run, lambda: vocabulary(path).kept.clear()),
+        f"doc_id {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )

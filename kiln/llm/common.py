@@ -24,6 +24,8 @@ BUCKET_BYTES = 2 << 20
 SALTS = 256
 #: Estimates from here on are Catalyst's word for not knowing.
 UNKNOWN = 1 << 50
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: Bytes of groups after which a worker gives memory back.
 LEAN_BYTES = 1 << 20
 #: Bytes whose running sums are held at a time, and bytes of the longest word that they serve.
@@ -242,11 +244,14 @@ def discard(*frames: DataFrame) -> None:
                 target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Bounds the rows of an Arrow batch, so that long texts do not fill a Python worker."""
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the rows of an Arrow batch at BATCH_ROWS, so that long texts do not fill a Python worker.
+
+    The session has one such bound. All operators ask for the same, and a smaller one that is set already holds.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= rows:  # the smallest bound asked for holds
-        conf.set(name, str(rows))
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
     return df
 
 

@@ -171,7 +171,7 @@ def write(pages: DataFrame) -> DataFrame:
         if bundle.index:
             yield out()
 
-    return C.materialise(C.small_batches(plan(pages), 500).mapInArrow(run, BUNDLES), "warc", by="shelf")
+    return C.materialise(C.small_batches(plan(pages)).mapInArrow(run, BUNDLES), "warc", by="shelf")
 
 
 def index(bundles: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def read(bundles: DataFrame) -> DataFrame:
                     plain = read_frame(content, where)
                     yield found_batch([parse(plain[r["at"] : r["at"] + r["length"]]) for r in own])
 
-    return C.small_batches(bundles, 4).select("content", "records").mapInArrow(run, FOUND)
+    return C.small_batches(bundles).select("content", "records").mapInArrow(run, FOUND)
 
 
 def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
