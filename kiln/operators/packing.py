@@ -97,6 +97,22 @@ def differencing(lengths: list[int], k: int, equal_size: bool = False) -> list[l
     return [sorted(p[1]) for p in heap[0][2]]
 
 
+def checked(parts: list[list[int]], items: int, k: int, equal_size: bool = False) -> list[list[int]]:
+    """The parts, if there are k, none empty, and together they hold each item once (and equally many); else an error."""
+    if len(parts) != k or any(not p for p in parts):
+        raise ValueError(f"{k} parts that are not empty were asked for")
+    if sorted(i for p in parts for i in p) != list(range(items)):
+        raise ValueError("the parts do not hold each item once")
+    if equal_size and len({len(p) for p in parts}) > 1:
+        raise ValueError("the parts differ in size")
+    return [sorted(p) for p in parts]
+
+
+def balanced_parts(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
+    """k checked parts of near equal sums, by differencing."""
+    return checked(differencing(lengths, k, equal_size), len(lengths), k, equal_size)
+
+
 def in_order(lengths: list[int], k: int) -> list[list[int]]:
     """k parts, each item to the part of least sum, in the order given."""
     heap = [(0, p) for p in range(k)]

@@ -135,6 +135,21 @@ def shards_joined(parts: list[DataFrame]) -> DataFrame:
     return running(rows, ["rank", *[c for c in rows.columns if c != "rank"]])
 
 
+def mapped(df: DataFrame, change: Callable[[dict], dict], schema: str, keep: Callable[[dict], bool] | None = None) -> DataFrame:
+    """Rows through a plain function, and those that keep() takes: for functions that no column expression can say.
+
+    Rows travel in Arrow batches; schema names what change() returns.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out = [change(r) for r in pdf.to_dict("records") if keep is None or keep(r)]
+            yield pd.DataFrame(out, columns=names)
+
+    names = df.sparkSession.createDataFrame([], schema).columns
+    return df.mapInPandas(run, schema)
+
+
 def reward_function(path: str) -> Callable:
     """reward_func of a Python file."""
     spec = importlib.util.spec_from_file_location("reward_file", path)

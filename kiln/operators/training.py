@@ -126,6 +126,35 @@ def dpo_eval(df: DataFrame, batch: str, pc: str, pr: str, rc: str, rr: str, beta
     return each.agg(F.avg("l").alias("eval_loss"), F.avg("a").alias("acc_mean"))
 
 
+def rm_eval(df: DataFrame, batch: str, chosen: str, rejected: str, margin: float = 0.0) -> DataFrame:
+    """(loss, acc, reward_mean, reward_std): means of the batches' means, and mean and deviation (1e-8 at least) of all
+    rewards, chosen and rejected: what a reward model keeps to normalise by."""
+    c, r = F.col(chosen), F.col(rejected)
+    each = df.groupBy(batch).agg(F.avg(losses.pairwise(c, r, margin)).alias("l"), F.avg((c > r).cast("double")).alias("a"))
+    both = df.select(F.explode(F.array(c, r)).alias("x"))
+    stats = both.agg(F.avg("x").alias("reward_mean"), F.greatest(F.stddev_samp("x"), F.lit(1e-8)).alias("reward_std"))
+    return each.agg(F.avg("l").alias("loss"), F.avg("a").alias("acc")).crossJoin(stats)  # one row each
+
+
+def normalised_by(reward: Column, mean: float, std: float) -> Column:
+    """A reward by statistics that were stored with its model."""
+    return (reward - mean) / std
+
+
+def reduced(df: DataFrame, metrics: list[str], op: str = "mean", *by: str) -> DataFrame:
+    """What all ranks agree on: each metric's mean, sum, max or min over the ranks' rows."""
+    how = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
+    if op not in how:
+        raise ValueError(f"unknown reduction {op}")
+    return df.groupBy(*by).agg(*[how[op](m).alias(m) for m in metrics])
+
+
+def gathered(df: DataFrame, rank: str, value: str, *by: str) -> DataFrame:
+    """(by, values): every rank's value, in order of rank: one entry a rank."""
+    pairs = F.array_sort(F.collect_list(F.struct(rank, value)))
+    return df.groupBy(*by).agg(pairs.alias("_p")).select(*by, F.col(f"_p.{value}").alias("values"))
+
+
 def prm_eval(df: DataFrame, batch: str, logits: str, index: str) -> DataFrame:
     """(eval_loss, acc): cross-entropy and accuracy of step labels, means of the batches' means."""
     right = (losses.argmax(F.col(logits)) == F.col(index)).cast("double")

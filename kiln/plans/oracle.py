@@ -135,10 +135,6 @@ SELECT a.vec_id, round(-sum(exp(b.v - zb.z) * (a.v - za.z)), 6) AS loss FROM v a
     "topk_logits": "WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings) SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i)::INT AS rank, i::INT AS id, round(v, 6) AS value FROM v QUALIFY rank <= 5",
     "preference_losses": f"SELECT l_orderkey, pos, round({_dpo(0.0)}, 6) AS dpo, round({_dpo(0.1)}, 6) AS cdpo, round(power((pc - pr) - (rc - rr) - 1, 2), 6) AS ipo, round(-{_sig('(pc - pr - 0.2)')}, 6) AS pairwise, round(CASE WHEN y THEN 1 - 1 / (1 + exp(-(0.5 * (pc - rc) - 0.1))) ELSE 1 - 1 / (1 + exp(-(0.1 - 0.5 * (pc - rc)))) END, 6) AS kto FROM {PREF}",
     "policy_loss": f"SELECT l_orderkey, pos, round(-{FIRST}, 6) AS loss, round(-CASE WHEN {A} < 0 THEN greatest({FIRST}, 3.0 * {A}) ELSE {FIRST} END, 6) AS dual, ({_cl(R, 0.8, 1.2)} * {A} < {R} * {A})::INT::DOUBLE AS clipped, round(0.5 * greatest(power(rc + {_cl('pc - rc', -0.2, 0.2)} - rr, 2), power(pc - rr, 2)), 6) AS value, round(CASE WHEN {R} BETWEEN 0.5 AND 2.0 THEN {R} ELSE 0 END, 6) AS icepop FROM {PREF}",
-    "rank_shard": """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
-w AS (SELECT o_orderkey, i, n FROM o UNION ALL SELECT o_orderkey, i + n, n FROM o WHERE i + n < ((n + 6) // 7) * 7)
-SELECT (i % 7)::INT AS rank, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM w GROUP BY 1""",
-    "chunk_shard": "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT (i // ((n + 5) // 6))::INT AS actor, count(*) AS n, min(o_orderkey) AS first FROM o GROUP BY 1",
     "concat_blend": "SELECT doc_id, source, 'clean' AS \"from\" FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id, source, 'augment' FROM documents WHERE source IS DISTINCT FROM 'src1'",
     "char_budget_groups": """WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
 r(source, doc_id, k, used, grp) AS (SELECT source, doc_id, k, n_chars, 0 FROM d WHERE k = 1 UNION ALL
@@ -152,17 +148,12 @@ m AS (SELECT doc_id, i, min(h) AS h FROM e JOIN v USING (g) GROUP BY 1, 2)
 SELECT doc_id, (i // 8)::INT AS band, md5(string_agg(h, ',' ORDER BY i)) AS bucket FROM m GROUP BY 1, 2 UNION ALL SELECT doc_id, b::INT, md5('') FROM s, range(0, 16) r(b) WHERE coalesce(len(sh), 0) = 0""",
     "metric_lines": "SELECT event_type, 'step=' || count(*) || ' | mean=' || printf('%.3f', round(avg(value), 3)) AS line FROM events GROUP BY 1",
     "json_object_parse": "SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS has_k, (length(props) + 2)::INT AS n FROM events",
-    "snake_balance": """WITH o AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
-g AS (SELECT *, i // 4 AS g, i % 4 AS a, (n + 3) // 4 AS gs, n - ((n + 3) // 4 - 1) * 4 AS width FROM o),
-r AS (SELECT *, CASE WHEN g < gs // 2 THEN a ELSE least(4, n - g * 4) - 1 - a END AS rank FROM g)
-SELECT rank::INT AS rank, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM r WHERE rank < width GROUP BY 1""",
 }
 
 SQL |= {
     "step_status": f"""WITH b AS (SELECT l_orderkey % 16 AS k, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem GROUP BY 1), w AS (SELECT sum(l_discount * l_quantity) / sum(l_quantity) AS w FROM lineitem)
 SELECT round(avg(d), 6) AS discount, round(avg(t), 6) AS tax, round(any_value(w), 6) AS weighted FROM b, w""",
     "replay_cap": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 100",
-    "padded_batch": "WITH n AS (SELECT count(*) AS n FROM documents) SELECT false AS padding, n, 0::BIGINT AS first FROM n UNION ALL SELECT true, (48 - n % 48) % 48, n FROM n WHERE n % 48 > 0",
     "positional_slice": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 64 OFFSET 128",
     "first_hundredth": "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) <= floor(count(*) OVER () * 0.01)",
     "length_imbalance": "WITH o AS (SELECT n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), p AS (SELECT i % 8 AS p, sum(n_chars)::BIGINT AS n FROM o GROUP BY 1) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM p",
@@ -181,4 +172,18 @@ SELECT round(avg(d), 6) AS discount, round(avg(t), 6) AS tax, round(any_value(w)
 # rounding may leave a negative zero, which is a zero
 SQL = {name: re.sub(r"(, [456]\)( END)?) AS ", r"\1 + 0.0::DOUBLE AS ", sql) for name, sql in SQL.items()}
 
+SQL |= {
+    "rank_shard": """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
+w AS (SELECT o_orderkey, i, n FROM o UNION ALL SELECT o_orderkey, i + n, n FROM o WHERE i + n < ((n + 6) // 7) * 7)
+SELECT o_orderkey, (i % 7)::INT AS rank, (i // 7)::BIGINT AS place FROM w""",
+    "chunk_shard": """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, (i // ((n + 5) // 6))::INT AS actor FROM o""",
+    "padded_batch": """WITH o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id FROM documents), n AS (SELECT count(*) AS n FROM documents)
+SELECT i, doc_id, false AS padding FROM o UNION ALL SELECT n + unnest(range(0, (48 - n % 48) % 48)), NULL, true FROM n""",
+    "snake_balance": """WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
+g AS (SELECT *, i // 4 AS g, i % 4 AS a, (n + 3) // 4 AS gs, n - ((n + 3) // 4 - 1) * 4 AS width FROM o),
+r AS (SELECT *, CASE WHEN g < gs // 2 THEN a ELSE least(4, n - g * 4) - 1 - a END AS rank, CASE WHEN g < gs // 2 THEN 2 * g WHEN gs - 1 - g < gs // 2 THEN 2 * (gs - 1 - g) + 1 ELSE 2 * (gs // 2) END AS turn FROM g)
+SELECT doc_id, rank::INT AS rank, turn::INT AS turn FROM r WHERE rank < width""",
+}
+
 SQL |= training.SQL | records.SQL

@@ -526,24 +526,18 @@ def policy_loss(s, d):
 @query
 def rank_shard(s, d):
     rows = packing.number_rows(t(s, d, "orders").select("o_orderkey"), "o_orderkey")
-    return packing.rank_shard(rows, "i", rows.count(), 7).groupBy("rank").agg(
-        F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")
-    )
+    return packing.rank_shard(rows, "i", rows.count(), 7).select("o_orderkey", "rank", "place")
 
 
 @query
 def chunk_shard(s, d):
     rows = packing.number_rows(t(s, d, "orders").select("o_orderkey"), "o_orderkey")
-    return rows.withColumn("actor", packing.chunk_shard(F.col("i"), rows.count(), 6)).groupBy("actor").agg(
-        F.count("*").alias("n"), F.min("o_orderkey").alias("first")
-    )
+    return rows.select("o_orderkey", packing.chunk_shard(F.col("i"), rows.count(), 6).alias("actor"))
 
 
 @query
 def snake_balance(s, d):
-    return packing.snake(
-        t(s, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 4
-    ).groupBy("rank").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return packing.snake(t(s, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 4).select("doc_id", "rank", "turn")
 
 
 @query
@@ -661,9 +655,7 @@ def replay_cap(s, d):
 @query
 def padded_batch(s, d):
     rows = packing.number_rows(t(s, d, "documents").select("doc_id"), "doc_id")
-    return rollout.with_padding(rows, "i", rows.count(), 48).groupBy("padding").agg(
-        F.count("*").alias("n"), F.min("i").alias("first")
-    )
+    return rollout.with_padding(rows, "i", rows.count(), 48).select("i", "doc_id", "padding")
 
 
 @query

@@ -277,3 +277,33 @@ def distill_rows(s, d):
         "doc_id", F.lit(kind).alias("kind"), "weight"
     )
     return out("weighed", "w").unionByName(out("plain"))
+
+
+@equals(
+    f"""WITH b AS (SELECT l_orderkey % 32 AS k, avg((pc > pr)::INT::DOUBLE) AS a, avg(-(least(pc - pr, 0) - ln(1 + exp(-abs(pc - pr))))) AS l FROM {PREF} GROUP BY 1),
+x AS (SELECT pc AS x FROM {PREF} UNION ALL SELECT pr FROM {PREF})
+SELECT (SELECT round(avg(l), 6) FROM b) AS loss, (SELECT round(avg(a), 6) FROM b) AS acc, round(avg(x), 6) AS reward_mean, round(stddev_samp(x), 6) AS reward_std FROM x"""
+)
+def reward_model_stats(s, d):
+    rows = preference_rows(s, d).withColumn("batch", F.col("l_orderkey") % 32)
+    out = training.rm_eval(rows, "batch", "pc", "pr")
+    return out.select(*[r6(c).alias(c) for c in ("loss", "acc", "reward_mean", "reward_std")])
+
+
+@equals("SELECT event_id, round((value - 12.5) / 3.0, 6) + 0.0::DOUBLE AS reward FROM events")
+def stored_normalisation(s, d):
+    return t(s, d, "events").select("event_id", r6(training.normalised_by(F.col("value"), 12.5, 3.0)).alias("reward"))
+
+
+@equals(
+    """WITH r AS (SELECT user_id % 5 AS step, event_id % 4 AS rank, avg(value) AS v FROM events GROUP BY 1, 2)
+SELECT step, round(avg(v), 6) AS mean, round(max(v), 6) AS most, string_agg(round(v, 3)::DECIMAL(18, 3)::VARCHAR, ',' ORDER BY rank) AS ranks FROM r GROUP BY 1"""
+)
+def rank_reductions(s, d):
+    step, rank = (F.col("user_id") % 5).alias("step"), (F.col("event_id") % 4).alias("rank")
+    rows = t(s, d, "events").groupBy(step, rank).agg(F.avg("value").alias("v"))
+    mean, most = training.reduced(rows, ["v"], "mean", "step"), training.reduced(rows, ["v"], "max", "step")
+    shown = F.array_join(F.transform("values", lambda x: F.round(x, 3).cast("decimal(18,3)").cast("string")), ",")
+    lists = training.gathered(rows, "rank", "v", "step").select("step", shown.alias("ranks"))
+    out = mean.select("step", r6("v").alias("mean")).join(most.select("step", r6("v").alias("most")), "step")
+    return out.join(lists, "step")

@@ -166,3 +166,15 @@ def test_reward_files(spark, tmp_path):
 
 def test_total_steps():
     assert training.total_steps(1000, 4, 1, 2, 8, 2, 64) == 1000 * 4 * 2 // 8 // 2 // 4
+
+
+def test_checked_parts():
+    assert packing.balanced_parts([5, 4, 3, 3, 1], 2) == [[1, 2, 4], [0, 3]] or sum(map(len, packing.balanced_parts([5, 4, 3, 3, 1], 2))) == 5
+    for parts, items, k, equal in (([[0], []], 1, 2, False), ([[0], [0]], 2, 2, False), ([[0, 1], [2]], 3, 2, True)):
+        with pytest.raises(ValueError):
+            packing.checked(parts, items, k, equal)
+
+
+def test_mapped_rows(spark):
+    out = records.mapped(spark.range(6), lambda r: {"x": r["id"] * 2}, "x long", keep=lambda r: r["id"] % 2 == 1)
+    assert sorted(r.x for r in out.collect()) == [2, 6, 10]
