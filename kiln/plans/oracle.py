@@ -178,8 +178,8 @@ w AS (SELECT o_orderkey, i, n FROM o UNION ALL SELECT o_orderkey, i + n, n FROM
 SELECT o_orderkey, (i % 7)::INT AS rank, (i // 7)::BIGINT AS place FROM w""",
     "chunk_shard": """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
 SELECT o_orderkey, (i // ((n + 5) // 6))::INT AS actor FROM o""",
-    "padded_batch": """WITH o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id FROM documents), n AS (SELECT count(*) AS n FROM documents)
-SELECT i, doc_id, false AS padding FROM o UNION ALL SELECT n + unnest(range(0, (48 - n % 48) % 48)), NULL, true FROM n""",
+    "padded_batch": """WITH o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), n AS (SELECT count(*) AS n FROM documents)
+SELECT i, false AS padding FROM o UNION ALL SELECT n + unnest(range(0, (48 - n % 48) % 48)), true FROM n""",
     "snake_balance": """WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
 g AS (SELECT *, i // 4 AS g, i % 4 AS a, (n + 3) // 4 AS gs, n - ((n + 3) // 4 - 1) * 4 AS width FROM o),
 r AS (SELECT *, CASE WHEN g < gs // 2 THEN a ELSE least(4, n - g * 4) - 1 - a END AS rank, CASE WHEN g < gs // 2 THEN 2 * g WHEN gs - 1 - g < gs // 2 THEN 2 * (gs - 1 - g) + 1 ELSE 2 * (gs // 2) END AS turn FROM g)

@@ -655,7 +655,7 @@ def replay_cap(s, d):
 @query
 def padded_batch(s, d):
     rows = packing.number_rows(t(s, d, "documents").select("doc_id"), "doc_id")
-    return rollout.with_padding(rows, "i", rows.count(), 48).select("i", "doc_id", "padding")
+    return rollout.with_padding(rows, "i", rows.count(), 48).select("i", "padding")
 
 
 @query
