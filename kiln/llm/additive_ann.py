@@ -31,7 +31,7 @@ SAMPLE, ROUNDS = 8192, 5
 #: Rows of a block of queries and of a block of codes; queries and candidates of one group that is ranked.
 QUERY_BLOCK, ROW_BLOCK, RANKED, CANDIDATES = 2048, 32_768, 16, 4096
 #: Slacks by which a score may be off.
-SLACKS = 1.0
+SLACKS = 1.5
 
 
 def fit(x: np.ndarray, seed: int = 0) -> np.ndarray:
