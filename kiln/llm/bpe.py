@@ -25,6 +25,8 @@ from . import common as C
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose encodings a worker keeps between batches.
 KEPT_WORDS = 250_000
+#: Pairs of tokens known to stand behind one another that a worker keeps between tasks.
+KEPT_PAIRS = 300_000
 END = -1
 
 
@@ -165,6 +167,12 @@ class Vocabulary:
             self.kept = table if len(table) <= KEPT_WORDS else {}
         return out
 
+    def rest(self) -> None:
+        """Between tasks: gives back what grew with the texts, but for pairs of tokens that most texts need."""
+        self.kept.clear()
+        if len(self.fits) > KEPT_PAIRS:
+            self.fits.clear()
+
     def decode(self, ids: list[bytes | None]) -> list[str]:
         """Texts of token ids; bytes that are no UTF-8 become U+FFFD. Special tokens are kept. Null: empty."""
         look, out = self.bytes_of.__getitem__, []
@@ -216,7 +224,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             )
 
     return C.small_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        C.lean_batches(run, lambda: vocabulary(path).kept.clear()),
+        C.lean_batches(run, lambda: vocabulary(path).rest()),
         f"doc_id {dict(df.dtypes)[id_col]}, ids binary, n_tokens long",
     )
 
@@ -274,6 +282,6 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     rows = C.small_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(
-        C.lean_batches(run, lambda: vocabulary(path).kept.clear()),
+        C.lean_batches(run, lambda: vocabulary(path).rest()),
         f"doc_id {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )

@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Odd multipliers of the polynomial and of the finaliser.
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Parquet bytes that one bucket of documents should hold, so that a Python worker stays small.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
 #: Groups of rows into which a key's rows are dealt where one key may be hot.
 SALTS = 256
 #: Estimates from here on are Catalyst's word for not knowing.
