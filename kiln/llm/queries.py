@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, bpe, jaccard_join, license_scan, mixing, mpeg_audio, pu_quality, sharding, substring_dedup, warc
+from . import (
+    additive_ann,
+    bpe,
+    fill_in_middle,
+    filter_audit,
+    jaccard_join,
+    license_scan,
+    mixing,
+    mpeg_audio,
+    pu_quality,
+    secret_scan,
+    sharding,
+    substring_dedup,
+    warc,
+)
 from .common import table
 
 
@@ -94,6 +108,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transform(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[secret_scan.count_of(spans, kind).alias(f"n_{kind}") for kind in secret_scan.BASE],
+        F.sha2(secret_scan.listed(secret_scan.base_spans(spans)), 256).alias("base_sha256"),
+        secret_scan.listed(spans).alias("spans"),
+    )
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -108,6 +140,9 @@ def queries() -> dict:
             op8_mixing,
             op9_substring_dedup,
             op10_license_scan,
+            op11_fill_in_middle,
+            op12_filter_audit,
+            op13_secret_scan,
         )
     }
 
@@ -143,6 +178,47 @@ FROM s QUALIFY rank <= 20
 """
 
 
+OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+      ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+      CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+           WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, substring(t, 1, i) AS prefix, substring(t, i + 1, j - i) AS middle, substring(t, j + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+OP12 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic, (len(w) < 200)::INT AS A,
+      (100 * list_unique(w) < 50 * len(w))::INT AS B, (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::INT AS C,
+      regexp_matches(t, '[#$%&*|]')::INT AS D, coalesce(w.doc_id > least, false)::INT AS E FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+g AS (SELECT part, [A, B, C, D, E] AS fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x)
+      WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o WHERE length(filter_order) = 5),
+m AS (SELECT filter_order, step, position(filter_order[step] IN 'ABCDE') AS f,
+      list_transform(range(1, step), lambda i: position(filter_order[i] IN 'ABCDE')) AS before FROM s),
+x AS (SELECT part, filter_order, step, f, n, good, toxic, fails[f] = 1 AS bad, list_sum(fails) = 1 AS sole,
+      len(list_filter(before, lambda i: fails[i] = 1)) > 0 AS gone FROM g, m),
+r AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END)::BIGINT AS kept,
+      sum(CASE WHEN NOT gone AND bad THEN n ELSE 0 END)::BIGINT AS removed,
+      sum(CASE WHEN gone AND bad THEN n ELSE 0 END)::BIGINT AS redundant,
+      sum(CASE WHEN bad AND sole THEN n ELSE 0 END)::BIGINT AS unique_fails,
+      sum(CASE WHEN NOT gone AND bad THEN n * good ELSE 0 END)::BIGINT AS good_lost,
+      sum(CASE WHEN NOT gone AND bad THEN n * toxic ELSE 0 END)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
+"""
+
+
 def _draw(value: str, key: str) -> str:
     t = f"((({value})::BIGINT * 1103515245 + ({key})::BIGINT * 12345 + 99991) % 2147483647)"
     t = f"(({t} * {t} + ({key})) % 2147483629)"
@@ -196,4 +272,11 @@ FROM d LEFT JOIN t ON d.rank = t.rank AND d.start = t.start
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express in full. The others are tested against brute force."""
-    return {"op2_warc": OP2, "op5_additive_ann": OP5, "op8_mixing": _op8(), "op9_substring_dedup": OP9}
+    return {
+        "op2_warc": OP2,
+        "op5_additive_ann": OP5,
+        "op8_mixing": _op8(),
+        "op9_substring_dedup": OP9,
+        "op11_fill_in_middle": OP11,
+        "op12_filter_audit": OP12,
+    }

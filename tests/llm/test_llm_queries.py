@@ -1,5 +1,7 @@
 """The folder's queries against their SQL, and the pipeline's stages."""
 
+from numbers import Real
+
 import duckdb
 import pandas as pd
 import pytest
@@ -10,13 +12,13 @@ from kiln.llm import queries as Q
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want, got = con.execute(Q.oracle_sql()[name]).df(), Q.queries()[name](spark, sf).toPandas()
     assert set(want.columns) == set(got.columns)
     tidy = lambda df: sorted(
         (
-            tuple("~" if pd.isna(v) else str(float(v)) if isinstance(v, (int, float)) else str(v) for v in r)
+            tuple("~" if pd.isna(v) else str(float(v)) if isinstance(v, Real) else str(v) for v in r)
             for r in df[sorted(df.columns)].itertuples(index=False)
         )
     )
