@@ -1,11 +1,15 @@
-"""Answers: extraction, normal form, and grading in tiers. The symbolic tier is left to a provider."""
+"""Answers: extraction, normal form, and grading. Forms are Columns; the graders decide in one pass over Arrow batches."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from kiln.functions import algebra, equality
 
 from .text import last_boxed, let, put, response_part, split_tuple, strip, strip_think, thousands_removed, unicode_to_latex
 
@@ -139,43 +143,11 @@ def stated_or_last(s: Column, use_last_number: bool) -> Column:
 
 
 def simple_answer(c: Column) -> Column:
-    """Shorter cascade: boxed, label, "answer is", last line."""
-    label = F.nullif(strip(F.regexp_extract(c, r"####\s*(.+)", 1)), F.lit(""))
-    said = F.nullif(strip(F.regexp_extract(c, r"(?i)answer is:?\s*(.+?)(\.|\n|$)", 1)), F.lit(""))
-    return F.coalesce(last_boxed(c), label, said, strip(F.element_at(F.split(strip(c), "\n"), -1)))
-
-
-def parse_number(c: Column) -> Column:
-    """A number with commas dropped; a trailing percent sign divides by 100; null if it is none."""
-    s = strip(put(c, ","))
-    plain = F.when(s.rlike(NUMBER), s.try_cast("double"))
-    cut = F.regexp_replace(s, r"\\?%$", "")
-    return F.coalesce(plain, F.when(s.endswith("%") & cut.rlike(NUMBER), cut.try_cast("double") / 100))
-
-
-def close(a: Column, b: Column, rel: float = 1e-4) -> Column:
-    return F.abs(a - b) <= rel * F.greatest(F.abs(a), F.abs(b))
-
-
-def number_tier(p: Column, r: Column) -> Column:
-    """Null unless both are numbers; then whether p is r, r/100 or 100 r."""
-    x, y = parse_number(p), parse_number(r)
-    return F.when(x.isNotNull() & y.isNotNull(), close(x, y) | close(x, y / 100) | close(x, y * 100))
-
-
-def unbracketed(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"[{}()]", ""))
-
-
-def same_kind(p: Column, r: Column) -> Column:
-    square = p.startswith("[") & p.endswith("]") & ~r.startswith("(")
-    round_ = p.startswith("(") & p.endswith(")") & ~r.startswith("[")
-    return square | round_
-
-
-def item_equal(p: Column, r: Column) -> Column:
-    same = F.lower(strip(p)) == F.lower(strip(r))
-    return same | F.coalesce(number_tier(p, r), unbracketed(strip(p)) == unbracketed(strip(r)))
+    """Shorter cascade: boxed, label, the line behind "answer is" without its full stop, last line."""
+    label, said = r"(?d)####\s*(.+)", r"(?id)answer is[:\s]*(.+)"
+    behind = lambda pattern: F.when(c.rlike(pattern), strip(F.regexp_extract(c, pattern, 1)))
+    last = strip(F.element_at(F.split(strip(c), "\n"), -1))
+    return F.coalesce(last_boxed(c), behind(label), F.regexp_replace(behind(said), r"\.+$", ""), last)
 
 
 def set_to_pmatrix(c: Column) -> Column:
@@ -187,74 +159,6 @@ def set_to_pmatrix(c: Column) -> Column:
     return F.array_join(F.transform(sets, vector), ", ")
 
 
-def matrix_cells(c: Column) -> Column:
-    """Rows of cells of a pmatrix or bmatrix; null if it is none."""
-    shape = r"(?s)^\\begin\{[pb]matrix\}(.*)\\end\{[pb]matrix\}$"
-    lines = F.filter(F.transform(F.split(F.regexp_extract(c, shape, 1), r"\\\\"), strip), lambda x: x != "")
-    return F.when(c.rlike(shape), F.transform(lines, lambda x: F.split(x, "&")))
-
-
-def all_equal(a: Column, b: Column) -> Column:
-    return (F.size(a) == F.size(b)) & F.forall(
-        F.zip_with(a, b, lambda x, y: F.coalesce(item_equal(x, y), F.lit(False))), lambda x: x
-    )
-
-
-def matrices_equal(p: Column, r: Column) -> Column:
-    a, b = matrix_cells(p), matrix_cells(r)
-    rows = F.zip_with(a, b, lambda x, y: F.coalesce(all_equal(x, y), F.lit(False)))
-    return F.coalesce((F.size(a) == F.size(b)) & F.forall(rows, lambda x: x), F.lit(False))
-
-
-def equations_equal(p: Column, r: Column) -> Column:
-    """Both equations: equal sides, in either order. One of them "x = value": its value against the other."""
-    sides = lambda c: F.transform(F.split(c, "="), strip)
-    side = lambda c, i: F.get(sides(c), F.lit(i))
-    one = lambda c: F.size(sides(c)) == 2
-    named = lambda c: one(c) & (F.length(side(c, 0)) <= 2)
-    none = lambda c: ~F.contains(c, F.lit("="))
-    straight = item_equal(side(p, 0), side(r, 0)) & item_equal(side(p, 1), side(r, 1))
-    crossed = item_equal(side(p, 0), side(r, 1)) & item_equal(side(p, 1), side(r, 0))
-    found = F.when(one(p) & one(r), straight | crossed).when(
-        named(p) & none(r), item_equal(side(p, 1), r)
-    ).when(named(r) & none(p), item_equal(p, side(r, 1)))
-    return F.coalesce(found, F.lit(False))
-
-
-def both(p: Column, r: Column, f) -> Column:
-    """f(p, r) with either side computed once."""
-    return let(F.struct(p.alias("p"), r.alias("r")), lambda x: f(x["p"], x["r"]))
-
-
-def math_equal(p: Column, r: Column) -> Column:
-    """Native tiers: case, numbers (final when both are), brackets, tuples, matrices by cell, equations. Null on either
-    side: false.
-
-    Answers that only symbolic algebra could equate count as different here; undecided() tells which they are.
-    """
-    return F.coalesce(both(strip(p), strip(r), tiers), F.lit(False))
-
-
-def tiers(p: Column, r: Column) -> Column:
-    same = F.lower(p) == F.lower(r)
-    r = F.when(F.contains(p, F.lit("pmatrix")) & ~F.contains(r, F.lit("pmatrix")), set_to_pmatrix(r)).otherwise(r)
-    edge = lambda c: F.regexp_replace(c, r"^[\[\]()]+|[\[\]()]+$", "")
-    brackets = F.when(
-        same_kind(p, r), unbracketed(edge(p)) == unbracketed(edge(r))
-    ).otherwise(unbracketed(p) == unbracketed(r))
-    shaped = lambda c: c.rlike(r"^[(\[].+[)\]]")
-    parts = lambda c: F.split(F.substr(c, F.lit(2), F.length(c) - 2), ",")
-    tuple_ = shaped(p) & shaped(r) & all_equal(parts(p), parts(r))
-    return F.when(same, F.lit(True)).otherwise(
-        F.coalesce(number_tier(p, r), (p != "") & (brackets | tuple_ | matrices_equal(p, r) | equations_equal(p, r)))
-    )
-
-
-def undecided(p: Column, r: Column) -> Column:
-    """Whether native tiers say different and both sides hold letters or commands, so that algebra might equate them."""
-    return ~math_equal(p, r) & p.rlike(r"[a-zA-Z\\^]") & r.rlike(r"[a-zA-Z\\^]")
-
-
 def to_interval(c: Column) -> Column:
     """struct(lo, lo_closed, hi, hi_closed) of interval notation or of a one-variable inequality; null if it is neither."""
     s = put(put(c, "\\infty", "oo"), "+oo", "oo")
@@ -301,7 +205,24 @@ def may_evaluate(c: Column, forbidden: tuple[str, ...] = ("^{", "^(")) -> Column
 
 
 # Units that the grade normaliser drops, and words for powers of ten, in order.
-UNITS = "degree cm centimeter meter mile second minute hour day week month year foot feet inch yard".split()
+UNITS = [
+    "degree",
+    "cm",
+    "centimeter",
+    "meter",
+    "mile",
+    "second",
+    "minute",
+    "hour",
+    "day",
+    "week",
+    "month",
+    "year",
+    "foot",
+    "feet",
+    "inch",
+    "yard",
+]
 POWERS = [("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")]
 
 
@@ -351,44 +272,6 @@ def deep_normalised(c: Column) -> Column:
     return let(strip(F.regexp_replace(s, r"\s+", " ")), strip_string)
 
 
-def value_of(c: Column) -> Column:
-    """The number that a decimal, a/b or \\frac{a}{b} states; null for anything else."""
-    n = r"([+-]?(?:\d+\.?\d*|\.\d+))"
-    quotient = lambda pattern: F.try_divide(
-        F.regexp_extract(c, pattern, 2).try_cast("double"), F.regexp_extract(c, pattern, 3).try_cast("double")
-    ) * F.when(F.regexp_extract(c, pattern, 1) == "-", -1).otherwise(1)
-    plain = F.when(c.rlike(NUMBER), c.try_cast("double"))
-    return F.coalesce(plain, quotient(rf"^(-?)\s*\\frac\{{{n}\}}\{{{n}\}}$"), quotient(rf"^(-?){n}\s*/\s*{n}$"))
-
-
-def enhanced_equal(p: Column, r: Column) -> Column:
-    """math_equal, or that of deep normal forms, equal intervals, equal chains of inequalities, or equal values."""
-
-    def intervals(x: Column, y: Column) -> Column:
-        a, b = to_interval(x), to_interval(y)
-        ends = lambda i, j: (i["lo_closed"] == j["lo_closed"]) & (i["hi_closed"] == j["hi_closed"]) & item_equal(
-            strip_string(i["lo"]), strip_string(j["lo"])
-        ) & item_equal(strip_string(i["hi"]), strip_string(j["hi"]))
-        return F.coalesce(both(a, b, ends), F.lit(False))
-
-    def chains(x: Column, y: Column) -> Column:
-        terms = lambda i, j: (F.size(i["terms"]) == F.size(j["terms"])) & (i["ops"] == j["ops"]) & F.forall(
-            F.zip_with(i["terms"], j["terms"], lambda u, v: item_equal(strip_string(u), strip_string(v))), lambda e: e
-        )
-        return F.coalesce(both(inequality_chain(x), inequality_chain(y), terms), F.lit(False))
-
-    deep = both(
-        deep_normalised(p),
-        deep_normalised(r),
-        lambda a, b: tiers(a, b)
-        | F.coalesce(
-            both(value_of(a), value_of(b), lambda u, v: F.abs(u - v) < 1e-6 * F.greatest(F.lit(1.0), F.abs(v))),
-            F.lit(False),
-        ),
-    )
-    return F.coalesce(math_equal(p, r) | intervals(p, r) | chains(p, r) | F.coalesce(deep, F.lit(False)), F.lit(False))
-
-
 def competition_form(c: Column) -> Column:
     """The competition normal form; the trimmed answer itself where its commands break off."""
     answer = strip(c)
@@ -444,6 +327,43 @@ def competition_steps(a: Column) -> Column:
     )
 
 
+#: Commands as text.
+SYMBOLS = {"pi": "pi", "infty": "inf", "cup": "U", "cap": "∩", "cdot": "*", "times": "*", "div": "÷", "pm": "±", "leq": "≤"}
+SYMBOLS |= {"le": "≤", "geq": "≥", "ge": "≥", "neq": "≠", "ne": "≠", "in": "∈", "ldots": "…"}
+
+
+def latex_text(c: Column) -> Column:
+    """LaTeX as plain text: fractions a/b behind a space, roots sqrt(a) without their index, Greek letters, no commands.
+
+    Each turn takes the innermost braces away, so there are as many turns as braces are nested. Fractions get no
+    parentheses, since answers are compared as the text has them.
+    """
+    s = fold(c, [("\\tfrac", "\\frac"), ("\\dfrac", "\\frac"), ("\\frac", " \\frac")])
+    s = F.regexp_replace(s, r"\\(left|right|displaystyle)(?![a-zA-Z])|\\[,;:! ]", "")
+    step = lambda d, ch: F.struct(
+        (d["now"] + F.when(ch == "{", 1).otherwise(-1)).alias("now"),
+        F.greatest(d["most"], d["now"] + F.when(ch == "{", 1).otherwise(-1)).alias("most"),
+    )
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    turns = F.aggregate(F.regexp_extract_all(s, F.lit("[{}]"), F.lit(0)), zero, step)["most"] + 1
+
+    def turn(v: Column) -> Column:
+        v = F.regexp_replace(v, r"\\frac\s*([^\s{\\])", r"\\frac{$1}")
+        v = F.regexp_replace(v, r"(\\frac\s*\{[^{}]*\})\s*([^\s{\\])", "$1{$2}")
+        v = F.regexp_replace(v, r"\\sqrt\s*([^\s{\\\[])", r"\\sqrt{$1}")
+        v = F.regexp_replace(v, r"\\(?:text|mathrm|mathbf|textbf|mbox|operatorname)\s*\{([^{}]*)\}", "$1")
+        v = F.regexp_replace(v, r"(?<!\\frac)(?<!\\sqrt)(?<![\]}\s])\{([^{}]*)\}", "$1")
+        v = F.regexp_replace(v, r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", "$1/$2")
+        return F.regexp_replace(v, r"\\sqrt\s*(?:\[[^\]]*\])?\s*\{([^{}]*)\}", "sqrt($1)")
+
+    s = F.aggregate(F.sequence(F.lit(1), turns), s, lambda v, _: turn(v))
+    names = algebra.GREEK | SYMBOLS
+    known = F.map_from_arrays(*[F.array(*[F.lit(x) for x in column]) for column in (list(names), list(names.values()))])
+    parts = F.regexp_extract_all(s, F.lit(r"\\[a-zA-Z]+|\\.?|[^\\]+"), F.lit(0))
+    named = lambda x: F.when(x.startswith("\\"), F.coalesce(F.try_element_at(known, F.substring(x, 2, 99)), F.lit(""))).otherwise(x)
+    return strip(F.array_join(F.transform(parts, named), ""))
+
+
 def grade_form(c: Column) -> Column:
     """The grade normal form: no units, signs of money and percent, spaces or braces; whole numbers without decimals."""
     inner = F.regexp_extract(c, r"^\\text\{(.+?)\}$", 1)
@@ -460,53 +380,89 @@ def grade_form(c: Column) -> Column:
             F.format_string("%.0f", strip(v).try_cast("double")),
         ).otherwise(v),
     )
-    s = fold(s, [("\\tfrac", "\\frac"), ("\\dfrac", "\\frac")])
-    s = F.regexp_replace(s, r"\\frac\{([^{}]*)\}\{([^{}]*)\}", " $1/$2")
-    s = fold(
-        F.regexp_replace(s, r"\\sqrt\{([^{}]*)\}", "sqrt($1)"),
-        [("\\pi", "pi"), ("\\infty", "inf"), ("\\cup", "U"), ("\\cdot", "*"), ("\\times", "*")],
-    )
+    s = let(s, lambda v: F.when(F.contains(v, F.lit("\\")), latex_text(v)).otherwise(v))
     s = F.regexp_replace(F.regexp_replace(strip(s), "- *", "-"), "([0-9]) +([0-9])", "$1+$2")
     s = F.lower(fold(s, [(" ", ""), ("{", ""), ("}", "")]))
+    both = let(s, lambda v: F.struct(v.alias("text"), thousands_removed(v).alias("bare")))
+    number = lambda x: x["bare"].try_cast("double")
     return let(
-        s,
-        lambda v: let(
-            thousands_removed(v),
-            lambda x: F.when(
-                x.rlike(NUMBER) & (F.abs(x.try_cast("double") % 1) < 1e-7),
-                F.format_string("%.0f", x.try_cast("double")),
-            ).otherwise(v),
-        ),
+        both,
+        lambda x: F.when(
+            x["bare"].rlike(NUMBER) & (F.abs(number(x) % 1) < 1e-7), F.format_string("%.0f", number(x))
+        ).otherwise(x["text"]),
     )
 
 
+def math_reward(query: Column, prompt: Column, label: Column) -> Column:
+    """1.0 where the boxed answer of the response is graded equal to the label, else 0.0."""
+    return let(response_part(query, prompt), lambda r: grade_answer(boxed_only(r), label).cast("double"))
+
+
+def math_equal(p: Column, r: Column) -> Column:
+    """Whether two answers are equal by letters, numbers (final when both are), brackets, tuples, matrices by cell,
+    equations, or as expressions. Null on either side: false."""
+    return _math_equal(p, r)
+
+
+def algebra_equal(p: Column, r: Column) -> Column:
+    """Whether two expressions in LaTeX or infix notation are identical. Null, or one that cannot be read: false."""
+    return _algebra_equal(p, r)
+
+
+def undecided(p: Column, r: Column) -> Column:
+    """Whether two answers count as different and one of them cannot be read as an expression, though both hold letters."""
+    return _undecided(p, r)
+
+
+def enhanced_equal(p: Column, r: Column) -> Column:
+    """math_equal, or that of deep normal forms, equal intervals, equal chains of inequalities, or equal values."""
+
+    def side(c: Column) -> Column:
+        interval, chain = to_interval(c), inequality_chain(c)
+        closed = F.when(interval.isNotNull(), F.concat(interval["lo_closed"].cast("string"), interval["hi_closed"].cast("string")))
+        signs = F.array_join(chain["ops"], "")
+        ends = F.transform(F.array(interval["lo"], interval["hi"]), strip_string)
+        terms = F.transform(chain["terms"], strip_string)
+        return F.array(F.array(deep_normalised(c)), ends, F.array(closed), terms, F.array(signs))
+
+    return _forms_equal(p, r, F.transform(F.array(p, r), side))
+
+
 def grade_answer(given: Column, truth: Column) -> Column:
     """Equal competition forms, or equal grade forms, or equal elements: fractions literally, whole numbers only with
-    whole numbers, others by value. Symbolic equality of other expressions is not decided here. Null: false."""
-
-    def elements(a: Column, b: Column) -> Column:
-        frac = lambda c: c.rlike(r"^-?[0-9]+.?/0*[1-9][0-9]*.?$")
-        whole = lambda c: F.coalesce(F.abs(c.try_cast("double") % 1) < 1e-7, F.lit(False))
-        value = lambda x, y: F.coalesce(F.abs(value_of(x) - value_of(y)) < 1e-9, x == y)
-        pair = lambda x, y: F.when(frac(x) & frac(y), x == y).when(whole(x) != whole(y), False).otherwise(value(x, y))
-        x, y = split_tuple(thousands_removed(a)), split_tuple(thousands_removed(b))
-        return (a == b) | (b != "") & (a != "") & (F.size(x) == F.size(y)) & F.forall(
-            F.zip_with(x, y, pair), lambda e: e
-        )
-
-    equal = both(
-        competition_form(given), competition_form(truth), lambda a, b: a == b
-    ) | both(grade_form(given), grade_form(truth), elements)
-    return F.coalesce(equal, F.lit(False))
+    whole numbers, others by algebra. Null: false."""
+    two = F.array(given, truth)
+    plain = F.transform(two, competition_form)
+    graded = F.transform(two, lambda c: let(grade_form(c), lambda g: F.array(F.array(g), split_tuple(thousands_removed(g)))))
+    return _grades_equal(given, truth, plain, graded)
 
 
 def math_reward(query: Column, prompt: Column, label: Column) -> Column:
     """1.0 where the boxed answer of the response is graded equal to the label, else 0.0."""
-    return let(response_part(query, prompt), lambda r: grade_answer(boxed_only(r), label).cast("double"))
+    return grade_answer(let(response_part(query, prompt), boxed_only), label).cast("double")
 
 
 def verify_answer(response: Column, label: Column) -> Column:
     """Whether a response's extracted answer equals the label, both in normal form."""
-    return both(
-        extract_answer(response), strip_string(label), lambda a, b: F.coalesce(tiers(strip(a), strip(b)), F.lit(False))
-    )
+    return math_equal(extract_answer(response), strip_string(label))
+
+
+def in_batches(decide):
+    """A decision on a row's values over Arrow batches; a null value makes it false."""
+
+    @F.arrow_udf(BooleanType())
+    def run(*columns: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in columns))
+        return pa.array([None not in row and decide(*row) for row in rows], pa.bool_())
+
+    return run
+
+
+_math_equal = in_batches(equality.answers_equal)
+_algebra_equal = in_batches(algebra.expressions_equal)
+_undecided = in_batches(equality.undecided)
+_forms_equal = in_batches(lambda p, r, sides: equality.forms_equal(p, r, *sides))
+_grades_equal = in_batches(
+    lambda given, truth, plain, graded: plain[0] == plain[1]
+    or equality.elements_equal(graded[1][0][0], graded[0][0][0], graded[1][1], graded[0][1])
+)

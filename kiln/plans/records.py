@@ -214,33 +214,40 @@ def small_parsers(s, d):
     )
 
 
-PAIRS = [
-    ("\\frac12", "0.5", True),
-    ("x=5", "5", True),
-    ("(1, 2]", "1 < x \\le 2", True),
-    ("c > a > b", "b < a < c", True),
-    ("3,000", "3000", True),
-    ("a+b=c", "c = a+b", True),
-    ("B. 7", "7", True),
-    ("x", "y", False),
-]
+NUMBERS = "p_size % 6 AS a, length(p_name) % 6 AS b, length(p_type) % 6 AS c, p_partkey % 6 AS d"
 
 
-@equals(
-    "SELECT p_partkey, p_partkey % 8 < 7 AS equal, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM part"
-)
+@equals(rf"""WITH x AS (SELECT p_partkey, p_partkey // 6 % 4 AS shape, {NUMBERS} FROM part)
+SELECT p_partkey, CASE shape WHEN 0 THEN a * (d + 1) = c * (b + 1) WHEN 1 THEN a = c AND b = d WHEN 2 THEN a = d AND b = c
+       ELSE a - b = c AND a * b = d END AS equal, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM x""")
 def graded_answers(s, d):
-    i = F.col("p_partkey") % len(PAIRS)
-    pick = lambda at: F.get(F.array(*[F.lit(p[at]) for p in PAIRS]), i.cast("int"))
+    """Fractions, an interval against an inequality, chains read from either end, equations."""
+    pair = lambda p, r: F.struct(F.format_string(p, "a", "b").alias("p"), F.format_string(r, "c", "d").alias("r"))
+    shapes = [
+        pair(r"\frac{%d}{%d + 1}", "%d/(%d+1)"),
+        pair("(%d, %d]", r"%d < x \le %d"),
+        pair("x+%d > y+%d > z", "z < y+%d < x+%d"),
+        pair("y = (x+%d)(x-%d)", "x^2 + %dx - %d = y"),
+    ]
+    rows = t(s, d, "part").selectExpr("p_partkey", "p_size", *NUMBERS.split(", "))
     query_ = F.concat(F.lit("How many? It is \\boxed{"), F.col("p_size").cast("string"), F.lit(".0}"))
     label = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise("-1")
-    return t(s, d, "part").select(
+    rows = rows.withColumn("answers", F.get(F.array(*shapes), F.expr("cast(p_partkey / 6 as int) % 4")))
+    return rows.select(
         "p_partkey",
-        grading.enhanced_equal(pick(0), pick(1)).alias("equal"),
+        grading.enhanced_equal(F.col("answers.p"), F.col("answers.r")).alias("equal"),
         grading.math_reward(query_, F.lit("How many?"), label).alias("reward"),
     )
 
 
+@equals("""WITH x AS (SELECT p_partkey, p_size % 4 AS a, length(p_name) % 4 AS b, length(p_type) % 3 AS c, p_partkey % 5 AS d FROM part)
+SELECT p_partkey, a = b AND a * a - c = d AS equal FROM x""")
+def algebra_equal(s, d):
+    a = F.expr(r"concat('\\left(x+', p_size % 4, '\\right)^2 - ', length(p_type) % 3)")
+    b = F.expr(r"concat('x^{2}+2\\cdot ', length(p_name) % 4, 'x+\\frac{', p_partkey % 5 * 2, '}{2}')")
+    return t(s, d, "part").select("p_partkey", grading.algebra_equal(a, b).alias("equal"))
+
+
 @equals(
     "SELECT o_orderkey, (i % 5)::INT AS robin, CASE WHEN i = 0 THEN 1 WHEN i = 1 THEN 1 WHEN i = 2 THEN 2 ELSE ([0, 1, 2])[(i - 3) % 3 + 1] END::INT AS engine FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)"
 )
