@@ -219,9 +219,14 @@ def unicode_to_latex(c: Column) -> Column:
     return F.regexp_replace(c, r"\\sqrt(\d+)", r"\\sqrt{$1}")
 
 
+def collapsed(c: Column) -> Column:
+    """The text in lower case with white space collapsed."""
+    return F.regexp_replace(strip(F.lower(c)), r"(?U)\s+", " ")
+
+
 def shingles(c: Column, n: int = 3) -> Column:
-    """Distinct character n-grams of the text in lower case with white space collapsed; none if it is shorter than n."""
-    text = F.regexp_replace(strip(F.lower(c)), r"(?U)\s+", " ")
+    """Distinct character n-grams of the collapsed text; none if it is shorter than n."""
+    text = collapsed(c)
     # an array of characters: substr() would walk a long text from its start for every n-gram
     own = lambda v: F.array_distinct(
         F.transform(F.sequence(F.lit(0), F.size(v) - n), lambda i: F.concat(*[F.get(v, i + k) for k in range(n)]))
