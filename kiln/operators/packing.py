@@ -61,16 +61,27 @@ def snake(df: DataFrame, length: str, pos: str, ranks: int) -> DataFrame:
 
 
 def first_fit(lengths: list[int], most: int) -> list[int]:
-    """Bin of each length, each into the first bin with room."""
-    room: list[int] = []
-    out = []
+    """Bin of each length, each into the first bin with room; one that is longer than a bin gets a bin of its own.
+
+    A tournament tree over the bins holds the largest room below each node, so a bin is found in logarithmic time. Bins
+    that are not open yet have all their room.
+    """
+    width = 1
+    while width < len(lengths):
+        width *= 2
+    room, out, opened = [most] * (2 * width), [], 0
     for n in lengths:
-        at = next((b for b, r in enumerate(room) if r >= n), None)
-        if at is None:
-            at = len(room)
-            room.append(most)
+        at = 1
+        if n > most:
+            at = width + opened  # no bin has room: the next one
+        while at < width:
+            at = 2 * at if room[2 * at] >= n else 2 * at + 1
+        out.append(at - width)
+        opened = max(opened, at - width + 1)
         room[at] -= n
-        out.append(at)
+        while at > 1:
+            at //= 2
+            room[at] = max(room[2 * at], room[2 * at + 1])
     return out
 
 
@@ -153,28 +164,6 @@ def first_fit_bins(df: DataFrame, batch: str, key: str, length: str, most: int)
     )
 
 
-def budget_groups(df: DataFrame, doc: str, pos: str, length: str, budget: int) -> DataFrame:
-    """(doc, pos, grp): blocks of a document in order, a new group begun when the budget would be passed.
-
-    Whether a group begins depends on all blocks before, so a document is one task's: two numbers a block, one walk.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([pos, length])
-        used, grp, out = 0, 0, []
-        for n in pdf[length].tolist():
-            if used > 0 and used + n > budget:
-                used, grp = 0, grp + 1
-            used += n
-            out.append(grp)
-        return pd.DataFrame({doc: pdf[doc].values, pos: pdf[pos].values, "grp": out})
-
-    kinds = dict(df.dtypes)
-    return df.select(doc, pos, length).groupBy(doc).applyInPandas(
-        run, f"{doc} {kinds[doc]}, {pos} {kinds[pos]}, grp int"
-    )
-
-
 def fewest_bins(lengths: list[int], most: int) -> int:
     return max(first_fit(lengths, most), default=-1) + 1
 

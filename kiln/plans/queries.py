@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions import grading, losses, text
-from kiln.operators import chat, curation, evaluation, neardup, packing, preference, rollout, uncertainty
+from kiln.operators import chat, curation, evaluation, neardup, packing, preference, rollout, scans, uncertainty
 from kiln.operators.records import tier_weights
 from kiln.plans import records, training  # noqa: F401  their queries register themselves
 from kiln.plans.registry import QUERIES, preference_rows, query, r6, t, with_pos  # noqa: F401
@@ -256,26 +256,18 @@ def group_baselines(s, d):
     )
 
 
-def by_user(s, d) -> DataFrame:
-    lists = F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")))
-    return t(s, d, "events").groupBy("user_id").agg(lists.alias("e"))
-
-
 @query
 def return_to_go(s, d):
-    # gamma 1: a running sum from the end
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(0, Window.unboundedFollowing)
-    return t(s, d, "events").select("event_id", (F.round(F.sum("value").over(w), 4) + F.lit(0.0)).alias("togo"))
+    own = t(s, d, "events").select("user_id", "ts", "event_id", "value")
+    out = scans.returns(own, "user_id", ["ts", "event_id"], F.col("value"), 1.0)
+    return out.select("event_id", (F.round("togo", 4) + F.lit(0.0)).alias("togo"))
 
 
 @query
 def gae(s, d):
-    rows = by_user(s, d).select(
-        "user_id", losses.gae(F.transform("e.value", lambda v: v / 2), F.col("e.value"), 0.9, 0.8).alias("adv")
-    )
-    return rows.select("user_id", F.posexplode("adv").alias("p", "a")).select(
-        "user_id", "p", (F.round("a", 5) + F.lit(0.0)).alias("advantage")
-    )
+    own = scans.positions(t(s, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"])
+    out = scans.advantages(own, "user_id", ["ts", "event_id"], F.col("value"), F.col("value") / 2, 0.9, 0.8)
+    return out.select("user_id", F.col("p").cast("int").alias("p"), (F.round("advantage", 5) + F.lit(0.0)).alias("advantage"))
 
 
 @query
@@ -556,7 +548,7 @@ def karmarkar_karp(s, d):
 
 @query
 def char_budget_groups(s, d):
-    return packing.budget_groups(
+    return scans.budget_groups(
         t(s, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 6000
     )
 

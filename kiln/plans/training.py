@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kiln.functions import losses
-from kiln.operators import training
+from kiln.operators import scans, training
 from kiln.plans.registry import preference_rows, query, r6, t, with_pos
 
 SQL = {}
@@ -181,25 +181,15 @@ d AS (SELECT user_id, p, r, v, r + 0.9 * coalesce(lead(v) OVER (PARTITION BY use
 SELECT a.user_id, a.p::INT AS p, round(sum(power(0.72, b.p - a.p) * b.d), 4) + 0.0::DOUBLE AS advantage, round(sum(power(0.72, b.p - a.p) * b.d) + any_value(a.v), 4) + 0.0::DOUBLE AS returns,
 round(sum(power(0.9, b.p - a.p) * b.r), 4) + 0.0::DOUBLE AS togo FROM d a JOIN d b ON a.user_id = b.user_id AND b.p >= a.p GROUP BY 1, 2""")
 def masked_gae(s, d):
-    lists = F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")))
-    rows = t(s, d, "events").groupBy("user_id").agg(lists.alias("e"))
-    rows = rows.select(
-        "user_id",
-        F.col("e.value").alias("r"),
-        F.transform("e.value", lambda x: x / 2).alias("v"),
-        F.transform("e.event_id", lambda i: i % 3 > 0).alias("m"),
-    )
-    m = F.col("m")
-    rows = rows.withColumn(
-        "a", losses.gae(F.col("v"), F.col("r"), 0.9, 0.8, m)
-    ).withColumn("g", losses.discounted(F.col("r"), 0.9, m))
-    rows = rows.select(
-        "user_id",
-        F.posexplode(F.arrays_zip("a", losses.gae_returns(F.col("a"), F.col("v"), m).alias("b"), "g")).alias("p", "z"),
-    )
+    order, seen = ["ts", "event_id"], F.col("event_id") % 3 > 0
+    own = t(s, d, "events").select("user_id", *order, F.when(seen, F.col("value")).alias("r"), F.when(seen, F.col("value") / 2).alias("v"))
+    own = scans.positions(own, "user_id", order)
+    own = scans.advantages(own, "user_id", order, F.col("r"), F.col("v"), 0.9, 0.8)
+    own = scans.returns(own, "user_id", order, F.col("r"), 0.9)
     r4 = lambda c: F.round(c, 4) + F.lit(0.0)
-    return rows.select(
-        "user_id", "p", r4("z.a").alias("advantage"), r4("z.b").alias("returns"), r4("z.g").alias("togo")
+    back = F.col("advantage") + F.coalesce("v", F.lit(0.0))
+    return own.select(
+        "user_id", F.col("p").cast("int").alias("p"), r4("advantage").alias("advantage"), r4(back).alias("returns"), r4("togo").alias("togo")
     )
 
 
