@@ -3,22 +3,54 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in local mode a folder of our own takes its place where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        found = f"file://{tempfile.mkdtemp(prefix='kiln-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in spark.checkpoint.dir. In local mode a folder of our own takes its place where none is set."""
+    """df checkpointed in the shared folder; its partitions stay as they are."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="kiln-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
+class Tables:
+    """Tables in the shared folder, for loops: a table's plan is its scan alone, while a checkpoint keeps what the optimizer
+    has inferred on the way, which grows from turn to turn.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/kiln-table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[path] = out
+        return out
+
+    def drop(self, *kept: DataFrame) -> None:
+        """Deletes all tables but those."""
+        for path in [p for p, df in self.held.items() if not any(df is k for k in kept)]:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            del self.held[path]
+
+
 def running(df: DataFrame, order: list, sums: dict[str, Column] | None = None) -> DataFrame:
     """Adds i, from 0 in the given order, and running sums up to and with each row.
 
