@@ -36,6 +36,22 @@ def long_enough(prompt_len: Column, response_len: Column, most: int) -> Column:
     return (prompt_len > 0) & (response_len > 0) & (prompt_len < most - 2)
 
 
+def prompt_fits(prompt_len: Column, most: int) -> Column:
+    """Whether a prompt, cut to `most` tokens, leaves two for an answer: for pairs of direct preference and for unpaired
+    rows. Rows of a reward model are not filtered."""
+    return F.least(prompt_len, F.lit(most)) < most - 2
+
+
+def template_for(dataset: Column, templates: dict[str, list[str]], default: list[str], shots: int) -> Column:
+    """The first `shots` examples of the template that a data set's short name asks for, else of the default."""
+    name = F.lower(F.element_at(F.split(dataset, "/"), -1))
+    some = lambda own: F.array(*[F.lit(x) for x in own[:shots]]).cast("array<string>")
+    out = some(default)
+    for short, own in templates.items():
+        out = F.when(name == short, some(own)).otherwise(out)
+    return out
+
+
 def range_mask(n: Column, ranges: Column) -> Column:
     """Booleans of length n, true inside any closed range."""
     return F.when(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kiln.operators.lineage import running
@@ -49,6 +51,42 @@ def translated(df: DataFrame, key: str, fields: list[str], needs, provider) -> D
     )
 
 
+def source_draws(spark: SparkSession, shares: list[float], total: int, seed: int) -> DataFrame:
+    """(n, source_idx) of the first `total` draws: hashes of the row number, so reruns and longer draws agree."""
+    edges = list(accumulate(shares))
+    u = F.pmod(F.xxhash64("n", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * edges[-1]
+    pick = F.lit(len(edges) - 1)
+    for i in range(len(edges) - 2, -1, -1):
+        pick = F.when(u < edges[i], i).otherwise(pick)
+    return spark.range(total).withColumnRenamed("id", "n").withColumn("source_idx", pick.cast("int"))
+
+
+def ranked_draws(draws: DataFrame, sources: int) -> DataFrame:
+    """Adds k: how often the row's source was drawn before it."""
+    picks = {f"k{i}": (F.col("source_idx") == i).cast("long") for i in range(sources)}
+    out = running(draws, ["n"], picks)
+    return out.withColumn("k", F.get(F.array(*picks), F.col("source_idx")) - 1).drop("i", *picks)
+
+
+def drawn_rows(draws: DataFrame, parts: list[DataFrame], sizes: list[int], key: str) -> DataFrame:
+    """The rows that draws (n, source_idx, k) stand for: the k-th of a source, in order of key, starting again when used up."""
+    rows = None
+    for i, df in enumerate(parts):
+        own = running(df, [key]).withColumnRenamed("i", "place").withColumn("source_idx", F.lit(i))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    of = F.get(F.array(*[F.lit(n).cast("long") for n in sizes]), F.col("source_idx"))
+    return draws.withColumn("place", F.col("k") % of).drop("k").join(rows, ["source_idx", "place"]).drop("place")
+
+
+def with_rows(parts: list[tuple[DataFrame, float]]) -> tuple[list[DataFrame], list[float], list[int]]:
+    """Sources that have rows, their shares and sizes; empty ones take no part."""
+    sized = [(df, p, df.count()) for df, p in parts]
+    kept = [x for x in sized if x[2]]
+    if not kept:
+        return [sized[0][0]], [1.0], [0]
+    return [x[0] for x in kept], [x[1] for x in kept], [x[2] for x in kept]
+
+
 def interleave(
     parts: list[tuple[DataFrame, float]], key: str, total: int, seed: int = 0, oversample: bool = True
 ) -> DataFrame:
@@ -56,32 +94,44 @@ def interleave(
     or the draw ends with it. Draws are hashes of the row number, so reruns agree.
     """
     spark = parts[0][0].sparkSession
-    edges, at = [], 0.0
-    for _, p in parts:
-        at += p
-        edges.append(at)
-    u = F.pmod(F.xxhash64("n", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * edges[-1]
-    pick = F.lit(len(parts) - 1)
-    for i in range(len(parts) - 2, -1, -1):
-        pick = F.when(u < edges[i], i).otherwise(pick)
-    draws = spark.range(total).withColumnRenamed("id", "n").withColumn("source_idx", pick.cast("int"))
-    picks = {f"k{i}": (F.col("source_idx") == i).cast("long") for i in range(len(parts))}
-    draws = running(draws, ["n"], picks)
-    draws = draws.withColumn("k", F.get(F.array(*picks), F.col("source_idx")) - 1).drop("i", *picks)
-    rows = None
-    for i, (df, _) in enumerate(parts):
-        own = running(df, [key]).withColumnRenamed("i", "place").join(
-            F.broadcast(df.agg(F.count("*").alias("size")))
-        ).withColumn("source_idx", F.lit(i))
-        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
-    sizes = rows.groupBy("source_idx").agg(F.max("size").alias("of"))
-    draws = draws.join(F.broadcast(sizes), "source_idx")  # a row for each source
+    sources, shares, sizes = with_rows(parts)
+    draws = ranked_draws(source_draws(spark, shares, total if sum(sizes) else 0, seed), len(sources))
     if not oversample:
-        end = draws.filter("k >= of").agg(F.min("n").alias("stop"))
-        draws = draws.crossJoin(F.broadcast(end)).filter("stop is null or n < stop").drop("stop")
-    return draws.withColumn(
-        "place", F.col("k") % F.col("of")
-    ).join(rows, ["source_idx", "place"]).drop("place", "size", "of", "k")
+        draws = draws.where(F.col("n") < used_up(draws, sizes, min))
+    return drawn_rows(draws, sources, sizes, key)
+
+
+def used_up(draws: DataFrame, sizes: list[int], of) -> int:
+    """Draws until sources are used up: with the first one (of=min) or with the last (of=max). One row a source is looked at."""
+    size = F.get(F.array(*[F.lit(n).cast("long") for n in sizes]), F.col("source_idx"))
+    ends = draws.where(F.col("k") == size - 1).groupBy("source_idx").agg(F.min("n").alias("n")).collect()
+    return of((r.n for r in ends), default=(1 << 62) - 1) + 1
+
+
+def interleave_until(parts: list[tuple[DataFrame, float]], key: str, mode: str = "first_exhausted", seed: int = 0) -> DataFrame:
+    """Rows drawn source by source until the first source is used up ("first_exhausted"), or each has been, those that were
+    starting again ("all_exhausted"). The row that uses it up is the last. Sources without rows take no part.
+
+    The number of draws is not known before: as many are made as should do by the shares, and half as many again while they
+    do not; draws are hashes of their number, so longer ones begin alike. Running counts on ranges give the last one.
+    """
+    if mode not in ("first_exhausted", "all_exhausted"):
+        raise ValueError(mode)
+    spark = parts[0][0].sparkSession
+    sources, shares, sizes = with_rows(parts)
+    of = min if mode == "first_exhausted" else max
+    whole = sum(shares)
+    total = int(of(n * whole / p for n, p in zip(sizes, shares)) * 1.05) + 64 if sum(sizes) else 0
+    while True:
+        draws = source_draws(spark, shares, total, seed)
+        counts = {r.source_idx: r["count"] for r in draws.groupBy("source_idx").count().collect()}  # a row a source
+        done = [counts.get(i, 0) >= n for i, n in enumerate(sizes)]
+        if (any if of is min else all)(done):
+            break
+        total += total // 2
+    draws = ranked_draws(draws, len(sources))
+    stop = used_up(draws, sizes, of) if total else 0
+    return drawn_rows(draws.where(F.col("n") < stop), sources, sizes, key)
 
 
 def weighted_choice(

@@ -195,6 +195,25 @@ def strategies(spark) -> DataFrame:
     )
 
 
+#: What a model is asked for under each strategy; {problem} is the seed problem. A caller may give its own.
+PROMPTS = {
+    "harder": "Write a harder problem about the same idea as this one:\n\n{problem}",
+    "rewrite": "Write this problem anew, in another setting and with other numbers:\n\n{problem}",
+    "algebraize": "Put letters in place of the numbers of this problem, and ask for a formula:\n\n{problem}",
+    "apply": "Write a problem from everyday life that needs the same steps as this one:\n\n{problem}",
+    "compose": "Write one problem that needs this one and another topic to be solved together:\n\n{problem}",
+    "competition": "Write this problem as one of a mathematics competition:\n\n{problem}",
+}
+
+
+def evolution_prompts(df: DataFrame, problem: str, strategy: str, prompts: dict[str, str] | None = None) -> DataFrame:
+    """Adds prompt: the strategy's template with the problem in it; null for an unknown strategy or a null problem."""
+    own = prompts or PROMPTS
+    text = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
+    found = F.try_element_at(text, F.col(strategy)) if own else F.lit(None).cast("string")
+    return df.withColumn("prompt", F.replace(found, F.lit("{problem}"), F.col(problem)))
+
+
 def tier_weights(difficulty: str) -> dict[str, float]:
     """Weights of a difficulty; an unknown one draws as a medium one."""
     return TIERS.get(difficulty, TIERS["medium"])

@@ -35,13 +35,11 @@ def first_accepted(df: DataFrame, group: str, n: int) -> DataFrame:
 
 def whitened(df: DataFrame, a: str, mask: str) -> DataFrame:
     """a less its masked mean, over its masked deviation (biased, at least 1e-8 squared)."""
-    m = F.col(mask).cast("double")
-    stats = df.agg(
-        (F.sum(F.col(a) * m) / F.sum(m)).alias("_m"), (F.sum(F.col(a) * F.col(a) * m) / F.sum(m)).alias("_q")
-    )
-    return df.crossJoin(F.broadcast(stats)).withColumn(
-        a, (F.col(a) - F.col("_m")) / F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(1e-8)))
-    ).drop("_m", "_q")
+    own = F.when(F.col(mask).cast("boolean"), F.col(a).cast("double"))
+    stats = df.agg(F.avg(own).alias("_m"), F.var_pop(own).alias("_v"))
+    return df.crossJoin(F.broadcast(stats)).withColumn(  # one row
+        a, (F.col(a) - F.col("_m")) / F.sqrt(F.greatest(F.col("_v"), F.lit(1e-8)))
+    ).drop("_m", "_v")
 
 
 def overlong(reward: Column, length: Column, most: int, buffer: int, factor: float = 1.0) -> Column:

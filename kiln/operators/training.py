@@ -19,6 +19,14 @@ def sft_loss(df: DataFrame, logps: str, mask: str, token_level: bool = True) ->
     return df.agg(F.avg(-losses.masked_mean(F.col(logps), F.col(mask))).alias("loss"))
 
 
+def eval_loss(df: DataFrame, batch: str, logps: str, mask: str) -> DataFrame:
+    """(loss, batches): mean of the batches' losses, each a mean of -logp over its masked tokens. A batch without a masked
+    token does not count."""
+    tokens = F.zip_with(logps, mask, lambda a, m: -a * m), F.transform(mask, lambda m: m.cast("double"))
+    each = df.groupBy(batch).agg(F.try_divide(*[F.sum(losses.total(x)) for x in tokens]).alias("x"))
+    return each.agg(F.avg("x").alias("loss"), F.count("x").alias("batches"))
+
+
 def lm_loss(df: DataFrame, logp: str, label: str, ignore: int = -100) -> DataFrame:
     """(loss): mean of -logp over the rows, one a token, whose label is not ignored."""
     return df.agg(F.avg(F.when(F.col(label) != ignore, -F.col(logp))).alias("loss"))
@@ -35,15 +43,18 @@ def policy_sequences(
     high: float = 0.2,
     bounds=(0.5, 2.0),
 ) -> DataFrame:
-    """Adds gspo (a sequence's loss with one ratio for all its tokens) and gated (its clipped loss where the rollout's
+    """Adds gspo (a sequence's loss with one ratio for all its tokens), gspo_rollout (the same, its ratio taken against the
+    rollout's log-probabilities, as correction asks for) and gated (its clipped loss where the rollout's
     geometric mean ratio lies within bounds, else 0): masked means of a row."""
     m = F.col(mask)
     minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
-    ratio = losses.sequence_ratio(minus(logps, old), m)
+    ratio, against = losses.sequence_ratio(minus(logps, old), m), losses.sequence_ratio(minus(logps, rollout), m)
     loss = lambda r: F.zip_with(r, advantages, lambda x, a: losses.policy(x, a, low, high))
     token = loss(F.transform(minus(logps, old), lambda x: F.exp(x)))
     gate = losses.sequence_gate(minus(old, rollout), m, *bounds)
     return df.withColumn("gspo", losses.masked_mean(loss(ratio), m)).withColumn(
+        "gspo_rollout", losses.masked_mean(loss(against), m)
+    ).withColumn(
         "gated", losses.masked_mean(F.zip_with(gate, token, lambda g, x: g * x), m)
     )
 

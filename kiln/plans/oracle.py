@@ -142,7 +142,12 @@ SELECT d.source, d.doc_id, d.k, CASE WHEN used > 0 AND used + n_chars > 6000 THE
 SELECT source, doc_id, grp::INT AS grp FROM r""",
     "image_filter": "SELECT page_id, page_id % 3 = 0 AS image FROM pages",
     "ordered_topn": "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10",
-    "shingle_jaccard_pairs": f"WITH s AS {SHING}, p AS (SELECT x.doc_id AS i, y.doc_id AS j, len(list_intersect(x.sh, y.sh)) AS b, len(x.sh) + len(y.sh) AS n FROM s x JOIN s y ON y.doc_id = x.doc_id + 1) SELECT i, j, round(CASE WHEN n - b > 0 THEN b::DOUBLE / (n - b) ELSE 0 END, 6) AS jaccard FROM p",
+    "shingle_jaccard_pairs": f"""WITH s0 AS {SHING}, s AS (SELECT min(doc_id) AS doc_id, sh FROM (SELECT doc_id, list_sort(sh) AS sh FROM s0 WHERE len(sh) > 0) GROUP BY sh),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s), v AS (SELECT g, i, left(md5(i::VARCHAR || '_' || g), 15) AS h FROM (SELECT DISTINCT g FROM e), range(0, 128) r(i)),
+m AS (SELECT doc_id, i, min(h) AS h FROM e JOIN v USING (g) GROUP BY 1, 2), k AS (SELECT doc_id, i // 8 AS band, string_agg(h, ',' ORDER BY i) AS bucket FROM m GROUP BY 1, 2),
+p AS (SELECT DISTINCT x.doc_id AS i, y.doc_id AS j FROM k x JOIN k y ON x.band = y.band AND x.bucket = y.bucket AND x.doc_id < y.doc_id),
+q AS (SELECT i, j, len(list_intersect(x.sh, y.sh)) AS b, len(x.sh) + len(y.sh) AS n FROM p JOIN s x ON x.doc_id = i JOIN s y ON y.doc_id = j)
+SELECT i, j, round(b::DOUBLE / (n - b), 6) AS jaccard FROM q WHERE b::DOUBLE / (n - b) >= 0.7""",
     "minhash_bands": f"""WITH s AS {SHING}, e AS (SELECT doc_id, unnest(sh) AS g FROM s), v AS (SELECT g, i, left(md5(i::VARCHAR || '_' || g), 15) AS h FROM (SELECT DISTINCT g FROM e), range(0, 128) r(i)),
 m AS (SELECT doc_id, i, min(h) AS h FROM e JOIN v USING (g) GROUP BY 1, 2)
 SELECT doc_id, (i // 8)::INT AS band, md5(string_agg(h, ',' ORDER BY i)) AS bucket FROM m GROUP BY 1, 2 UNION ALL SELECT doc_id, b::INT, md5('') FROM s, range(0, 16) r(b) WHERE coalesce(len(sh), 0) = 0""",

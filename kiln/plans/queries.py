@@ -570,6 +570,22 @@ def interleave(s, d):
     return curation.interleave([(docs.filter(first), 0.7), (docs.filter(~first), 0.3)], "doc_id", docs.count())
 
 
+def two_sources(s, d):
+    docs = t(s, d, "documents").select("doc_id", "source")
+    first = F.coalesce(F.col("source") == "src1", F.lit(False))
+    return [(docs.filter(first), 0.1), (docs.filter(~first), 0.9)]
+
+
+@query
+def interleave_first(s, d):
+    return curation.interleave_until(two_sources(s, d), "doc_id", "first_exhausted", 3)
+
+
+@query
+def interleave_all(s, d):
+    return curation.interleave_until(two_sources(s, d), "doc_id", "all_exhausted", 3)
+
+
 @query
 def image_filter(s, d):
     raw = F.when(
@@ -585,19 +601,8 @@ def ordered_topn(s, d):
 
 @query
 def shingle_jaccard_pairs(s, d):
-    # every document with its successor: pairs grow with the rows; texts are shuffled, their larger n-gram sets are not
-    own = t(s, d, "documents").select("doc_id", "text")
-    pairs = own.alias("x").join(own.alias("y"), F.col("y.doc_id") == F.col("x.doc_id") + 1)
-    return pairs.select(
-        F.col("x.doc_id").alias("i"),
-        F.col("y.doc_id").alias("j"),
-        r6(
-            text.let(
-                F.struct(text.shingles(F.col("x.text")).alias("x"), text.shingles(F.col("y.text")).alias("y")),
-                lambda sets: text.jaccard(sets["x"], sets["y"]),
-            )
-        ).alias("jaccard"),
-    )
+    found = neardup.similar_pairs(t(s, d, "documents"), "doc_id", "text")
+    return found.select("i", "j", r6("jaccard").alias("jaccard"))
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kiln.functions import grading, text
-from kiln.operators import evaluation, packing, records, uncertainty
+from kiln.operators import chat, evaluation, packing, records, uncertainty
 from kiln.plans.registry import query, r6, t, with_pos
 
 SQL = {}
@@ -297,7 +297,53 @@ def histogram_by_class(s, d):
     return evaluation.histogram(rows, "v", 0.0, 5000.0, 50, "label")
 
 
-@equals("""SELECT tier, strategy, weight::DOUBLE AS weight FROM (VALUES ('easy', [0.3, 0.2, 0.15, 0.15, 0.1, 0.1]), ('medium', [0.25, 0.15, 0.15, 0.15, 0.15, 0.15]), ('hard', [0.2, 0.15, 0.15, 0.1, 0.2, 0.2]),
-('competition', [0.15, 0.2, 0.15, 0.1, 0.2, 0.2])) t(tier, w), LATERAL (SELECT unnest(['harder', 'rewrite', 'algebraize', 'apply', 'compose', 'competition']) AS strategy, unnest(w) AS weight)""")
+TIERS = """(VALUES ('easy', [0.3, 0.2, 0.15, 0.15, 0.1, 0.1]), ('medium', [0.25, 0.15, 0.15, 0.15, 0.15, 0.15]), ('hard', [0.2, 0.15, 0.15, 0.1, 0.2, 0.2]),
+('competition', [0.15, 0.2, 0.15, 0.1, 0.2, 0.2])) t(tier, w)"""
+SIZED = "CASE WHEN p_size <= 10 THEN 'easy' WHEN p_size <= 25 THEN 'medium' WHEN p_size <= 40 THEN 'hard' ELSE 'competition' END"
+
+
+@equals(f"""WITH n AS (SELECT {SIZED} AS tier, count(*) AS parts FROM part GROUP BY 1)
+SELECT tier, strategy, round(weight * parts, 6)::DOUBLE AS expected FROM n JOIN (SELECT tier, unnest(['harder', 'rewrite', 'algebraize', 'apply', 'compose', 'competition']) AS strategy, unnest(w)::DOUBLE AS weight FROM {TIERS}) USING (tier)""")
 def strategy_table(s, d):
-    return records.strategies(s)
+    sized = t(s, d, "part").groupBy(F.expr(SIZED).alias("tier")).agg(F.count("*").alias("parts"))
+    return sized.join(records.strategies(s), "tier").select("tier", "strategy", r6(F.col("weight") * F.col("parts")).alias("expected"))
+
+
+@equals("""SELECT lang, count(*) FILTER (n < 298) AS kept, count(*) FILTER (n >= 298) AS dropped
+FROM (SELECT lang, least(len(string_split(text, ' ')), 300) AS n FROM documents) GROUP BY 1""")
+def preference_length_filter(s, d):
+    rows = t(s, d, "documents").withColumn("fits", chat.prompt_fits(F.size(F.split("text", " ", -1)), 300))
+    return rows.groupBy("lang").agg(F.count_if("fits").alias("kept"), F.count_if(~F.col("fits")).alias("dropped"))
+
+
+@equals("""SELECT doc_id, CASE source WHEN 'src1' THEN 'a b' WHEN 'src2' THEN 'c' ELSE 'x y' END AS shots FROM documents""")
+def template_choice(s, d):
+    name = F.concat(F.lit("team/"), F.upper("source"))
+    shots = chat.template_for(name, {"src1": ["a", "b", "z"], "src2": ["c"]}, ["x", "y", "z"], 2)
+    return t(s, d, "documents").select("doc_id", F.array_join(shots, " ").alias("shots"))
+
+
+@equals("""SELECT p_partkey, coalesce(starts_with(prompt, 'Write') AND ends_with(prompt, p_name), false) AS whole, length(prompt)::INT AS n FROM (SELECT p_partkey, p_name,
+CASE p_size % 3 WHEN 0 THEN 'Write a harder problem about the same idea as this one:' || chr(10) || chr(10) || p_name WHEN 1 THEN 'Write this problem as one of a mathematics competition:' || chr(10) || chr(10) || p_name END AS prompt FROM part)""")
+def evolution_prompts(s, d):
+    chosen = F.expr("CASE p_size % 3 WHEN 0 THEN 'harder' WHEN 1 THEN 'competition' ELSE 'unknown' END")
+    rows = records.evolution_prompts(t(s, d, "part").withColumn("strategy", chosen), "p_name", "strategy")
+    whole = F.startswith("prompt", F.lit("Write")) & F.endswith("prompt", F.col("p_name"))
+    return rows.select("p_partkey", F.coalesce(whole, F.lit(False)).alias("whole"), F.length("prompt").alias("n"))
+
+
+@equals("""WITH c AS (SELECT l_orderkey AS k, list(l_linenumber ORDER BY l_linenumber, l_partkey, l_suppkey) AS ids FROM lineitem GROUP BY 1)
+SELECT k, CASE WHEN ids[-1] = 3 THEN len(ids) ELSE len(ids) + 1 END::INT AS closed, len(list_filter(ids, lambda x: x % 2 = 1))::INT AS odd, ceil(len(ids) / 4)::BIGINT AS quarters,
+CASE WHEN k % 2 = 0 THEN 7 ELSE 15 END::INT AS opened FROM c""")
+def row_endings(s, d):
+    order = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: x.l_linenumber)
+    rows = t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(order.alias("ids"))
+    odd = chat.unpadded(F.col("ids"), F.transform("ids", lambda x: x % 2))
+    prompt = F.when(F.col("k") % 2 == 0, F.lit("<think>")).otherwise("problem")
+    return rows.select(
+        "k",
+        F.size(chat.with_eos(F.col("ids"), 3)).alias("closed"),
+        F.size(odd).alias("odd"),
+        packing.ceildiv(F.size("ids"), 4).alias("quarters"),
+        F.length(chat.with_think(prompt)).alias("opened"),
+    )

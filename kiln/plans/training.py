@@ -76,6 +76,19 @@ def sequence_policy(s, d):
     return out.select("k", r6("gspo").alias("gspo"), r6("gated").alias("gated"))
 
 
+@equals(f"""WITH s AS (SELECT *, exp(sum((lp - roll) * m) OVER w / nullif(sum(m) OVER w, 0)) AS r FROM {TOKENS} WINDOW w AS (PARTITION BY k)),
+p AS (SELECT *, -least(r * adv, least(greatest(r, 0.8), 1.2) * adv) AS a FROM s) SELECT k, round(sum(a * m) / nullif(sum(m), 0), 6) + 0.0::DOUBLE AS gspo FROM p GROUP BY 1""")
+def gspo_corrected(s, d):
+    out = training.policy_sequences(sequences(s, d), "lp", "old", "roll", "adv", "m")
+    return out.select("k", r6("gspo_rollout").alias("gspo"))
+
+
+@equals(f"""WITH b AS (SELECT k % 16 AS b, sum(-lp * m) / nullif(sum(m), 0) AS x FROM {TOKENS} GROUP BY 1) SELECT round(avg(x), 6) AS loss, count(x) AS batches FROM b""")
+def eval_batches(s, d):
+    rows = sequences(s, d).withColumn("b", F.col("k") % 16)
+    return training.eval_loss(rows, "b", "lp", "m").select(r6("loss").alias("loss"), "batches")
+
+
 @equals(f"""WITH b AS (SELECT *, greatest(avg(pr - rr) OVER (PARTITION BY l_orderkey % 32), 0) AS kl FROM {PREF})
 SELECT l_orderkey % 32 AS batch, round(avg(CASE WHEN y THEN 1 - 1 / (1 + exp(-(0.3 * (pc - rc) - 0.3 * kl))) ELSE 0.5 * (1 - 1 / (1 + exp(-(0.3 * kl - 0.3 * (pc - rc))))) END), 6) AS loss,
 round(avg(0.3 * (pc - rc)) FILTER (y), 6) + 0.0::DOUBLE AS chosen_reward, round(avg(0.3 * (pc - rc)) FILTER (NOT y), 6) + 0.0::DOUBLE AS rejected_reward, round(any_value(kl), 6) AS kl FROM b GROUP BY 1""")

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.functions.text import file_number
-from kiln.operators.curation import interleave
+from kiln.operators.curation import interleave, interleave_until
+from kiln.operators.lineage import running
 
 CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
@@ -121,12 +122,18 @@ def blended(
     key: str | None = None,
     total: int | None = None,
     seed: int = 0,
+    stopping: str = "first_exhausted",
+    most: int | None = None,
 ) -> DataFrame:
-    """Sets one after another; with probabilities drawn from in turn until `total` rows, in order of key."""
+    """Sets one after another, each with its first `most` rows by key; with probabilities drawn from in turn until `total`
+    rows, in order of key, or without a total until one set is used up or all are (stopping)."""
     sets = [read(spark, p) for p in paths]
+    if most is not None:
+        sets = [running(df, [key]).where(F.col("i") < most).drop("i") for df in sets]
     if probabilities is None:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets)
-    return interleave(list(zip(sets, probabilities)), key, total or sum(df.count() for df in sets), seed)
+    parts = list(zip(sets, probabilities))
+    return interleave_until(parts, key, stopping, seed) if total is None else interleave(parts, key, total, seed)
 
 
 def any_split(spark: SparkSession, path: str, splits: list[str]) -> tuple[DataFrame, str] | None:
@@ -209,9 +216,8 @@ def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
 
 
 def write_report(results: DataFrame, summary: dict, path: str) -> None:
-    """path/json: one object of the summary and all results; path/txt: the same for people, a line a result.
-
-    results: idx, ground_truth, predicted, correct. A report is of one test set, so it is one file each.
+    """path/summary: one object; path/json: the results, an object a line; path/txt: head and results for people, a line a
+    result in order of idx, a file a range. results: idx, ground_truth, predicted, correct.
     """
     rows = results.select("idx", "ground_truth", "predicted", "correct")
     counts = rows.agg(
@@ -219,10 +225,9 @@ def write_report(results: DataFrame, summary: dict, path: str) -> None:
     ).first()
     share = counts["right"] / counts["total"] if counts["total"] else 0.0
     head = summary | {"accuracy": share, "correct": counts["right"], "total": counts["total"]}
-    listed = rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("results"))
-    listed.select(
-        *[F.lit(v).alias(k) for k, v in head.items()], "results"
-    ).coalesce(1).write.mode("overwrite").json(f"{path}/json", ignoreNullFields=False)
+    one = results.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in head.items()])
+    one.write.mode("overwrite").json(f"{path}/summary", ignoreNullFields=False)
+    rows.orderBy("idx").write.mode("overwrite").json(f"{path}/json", ignoreNullFields=False)
     line = F.format_string(
         "[%s] #%2d  gt=%s  pred=%s",
         F.when(F.col("correct"), "O").otherwise("X"),
@@ -235,7 +240,7 @@ def write_report(results: DataFrame, summary: dict, path: str) -> None:
     ]
     first = results.sparkSession.createDataFrame([(-1, "\n".join(lines))], "idx long, value string")
     both = first.unionByName(rows.select(F.col("idx").cast("long").alias("idx"), line.alias("value")))
-    both.coalesce(1).sortWithinPartitions("idx").select("value").write.mode("overwrite").text(f"{path}/txt")
+    both.orderBy("idx").select("value").write.mode("overwrite").text(f"{path}/txt")
 
 
 def cached_phase(make, path: str, expected: int, spark: SparkSession) -> DataFrame:
