@@ -35,7 +35,7 @@ def medians(df: DataFrame, by: list[str], value: str, few: int = FEW) -> DataFra
     while not (wide := state.where((F.col("inside") > few) & (F.col("lo") < F.col("hi")))).isEmpty():
         cuts = F.array(*[F.lit(i / CUTS) for i in range(CUTS + 1)])
         sketch = inside(wide).groupBy(*[F.col(f"y.{k}").alias(k) for k in keys]).agg(F.percentile_approx("v", cuts, CUTS * 10).alias("cuts"))
-        at = F.floor((F.col("rank") - F.col("below")) / F.col("inside") * CUTS).cast("int")
+        at = F.floor((F.col("x.rank") - F.col("below")) / F.col("inside") * CUTS).cast("int")
         pick = lambda i: F.get("cuts", F.least(F.greatest(i, F.lit(0)), F.lit(CUTS)))
         tried = wide.alias("x").join(sketch.alias("y"), same(keys)).select(
             *[F.col(f"x.{k}").alias(k) for k in keys], "lo", "hi", "below", "inside", pick(at - 1).alias("a"), pick(at + 2).alias("b")

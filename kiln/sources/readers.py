@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import io
-import re
 import uuid
-import zipfile
 from functools import reduce
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -17,6 +14,7 @@ from pyspark.sql import functions as F
 from kiln.functions.text import file_number
 from kiln.operators.curation import interleave, interleave_until
 from kiln.operators.lineage import running
+from kiln.sources.workbook import sheet_rows
 
 CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
@@ -45,7 +43,7 @@ def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """Rows that have both question and answer."""
-    return read(spark, path).filter("question is not null and answer is not null and question <> '' and answer <> ''")
+    return read(spark, path).filter(" and ".join(f"coalesce(cast({c} as string), '') <> ''" for c in ("question", "answer")))
 
 
 def test_set(spark: SparkSession, path: str) -> DataFrame:
@@ -54,25 +52,7 @@ def test_set(spark: SparkSession, path: str) -> DataFrame:
 
 def cells(raw: bytes) -> list[list[str]]:
     """Rows of the first sheet of a workbook: stripped texts, empty ones where cells are absent."""
-    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(io.BytesIO(raw)) as book:
-        names = book.namelist()
-        words = lambda e: "".join(t.text or "" for t in e.iter(f"{space}t"))
-        shared = [
-            words(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{space}si")
-        ] if "xl/sharedStrings.xml" in names else []
-        first = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
-        rows = []
-        for row in ElementTree.fromstring(book.read(first)).iter(f"{space}row"):
-            own: dict[int, str] = {}
-            for c in row.iter(f"{space}c"):
-                letters = re.match("[A-Z]*", c.get("r", "")).group()
-                at = reduce(lambda n, x: n * 26 + ord(x) - 64, letters, 0) - 1 if letters else len(own)
-                value = c.find(f"{space}v")
-                text = words(c) if c.get("t") == "inlineStr" else "" if value is None else value.text or ""
-                own[at] = (shared[int(text)] if c.get("t") == "s" and text else text).strip()
-            rows.append([own.get(i, "") for i in range(max(own, default=-1) + 1)])
-    return rows
+    return list(sheet_rows(io.BytesIO(raw)))
 
 
 def sheet(spark: SparkSession, path: str) -> DataFrame:

@@ -73,9 +73,11 @@ def test_sinks(spark, tmp_path):
         [(1, "7", "7", True), (2, "8", None, False)], "idx int, ground_truth string, predicted string, correct boolean"
     )
     readers.write_report(df, {"model": "m", "dataset": "d"}, str(tmp_path / "r"))
-    found = spark.read.json(str(tmp_path / "r/json")).first()
-    assert (found.accuracy, found.total, len(found.results)) == (0.5, 2, 2)
-    lines = [r.value for r in spark.read.text(str(tmp_path / "r/txt")).collect()]
+    found = spark.read.json(str(tmp_path / "r/summary")).first()
+    assert (found.accuracy, found.total, found.model) == (0.5, 2, "m")
+    assert sorted((r.idx, r.correct) for r in spark.read.json(str(tmp_path / "r/json")).collect()) == [(1, True), (2, False)]
+    parts = sorted((tmp_path / "r/txt").glob("part-*"))
+    lines = "".join(p.read_text() for p in parts).splitlines()
     assert lines[2] == "Accuracy: 1/2 = 50.0%" and lines[4] == "[O] # 1  gt=7  pred=7"
     readers.write_csv(df, str(tmp_path / "c"), bom=True)
     raw = next((tmp_path / "c").glob("*.csv")).read_bytes()
@@ -104,3 +106,58 @@ def test_registry_and_zip(spark):
     names = spark.createDataFrame([("a",), ("z",), ("z",)], "name string")
     known, unknown = records.registered(names, spark.createDataFrame([("a", 1)], "name string, size int"), "name")
     assert [tuple(r) for r in known.collect()] == [("a", 1)] and [r.name for r in unknown.collect()] == ["z"]
+
+
+def test_one_arrow_file_by_many_tasks(spark, tmp_path):
+    import pyarrow as pa
+
+    from kiln.sources import formats
+
+    formats.register(spark)
+    table = pa.table({"n": list(range(1000)), "text": [None if i % 7 == 0 else f"t{i}" for i in range(1000)], "f": [i / 2 for i in range(1000)]})
+    path = str(tmp_path / "a.arrow")
+    with pa.ipc.new_file(path, table.schema) as out:
+        out.write_table(table, max_chunksize=50)
+    found = spark.read.format("kiln_arrow").option("batches", 3).load(path)
+    assert found.rdd.getNumPartitions() == 7 and found.schema == readers.read(spark, path).schema
+    assert sorted(found.collect()) == sorted(readers.read(spark, path).collect())
+    with pa.ipc.new_stream(str(tmp_path / "b.arrow"), table.schema) as out:
+        out.write_table(table, max_chunksize=50)
+    both = spark.read.format("kiln_arrow").load(str(tmp_path))
+    assert both.count() == 2000 and both.where("text IS NULL").count() == 2 * 143
+    assert spark.read.format("kiln_arrow").schema("text string").load(path).distinct().count() == 858
+
+
+def test_one_sheet_by_many_tasks(spark, tmp_path):
+    import zipfile
+
+    from kiln.sources import formats
+
+    formats.register(spark)
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    row = lambda i: f'<row r="{i + 2}"><c r="A{i + 2}" t="s"><v>{i % 3 + 2}</v></c><c r="C{i + 2}"><v>{i}</v></c></row>'
+    head = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>mid</t></is></c><c r="C1" t="s"><v>1</v></c></row>'
+    path = str(tmp_path / "a.xlsx")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/sharedStrings.xml", f"<sst {space}>" + "".join(f"<si><t>{x}</t></si>" for x in ("name", "last", " a ", "b", "c")) + "</sst>")
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet {space}><dimension ref="A1:C501"/><sheetData>{head}' + "".join(map(row, range(500))) + "</sheetData></worksheet>")
+    found = spark.read.format("kiln_sheet").option("rows", 100).load(path)
+    assert found.columns == ["name", "mid", "last"] and found.rdd.getNumPartitions() == 5
+    assert sorted(found.collect()) == sorted(readers.read(spark, path).collect()) and found.count() == 500
+    assert found.where("last = '499'").first().name == "b"
+
+
+def test_blends_stop_by_mode(spark, tmp_path):
+    for name, n in (("a", 5), ("b", 50)):
+        spark.range(n).select(F.lit(name).alias("s"), "id").write.parquet(str(tmp_path / name))
+    paths = [str(tmp_path / name) for name in "ab"]
+    count = lambda **how: {r.s: r["count"] for r in readers.blended(spark, paths, [0.5, 0.5], "id", **how).groupBy("s").count().collect()}
+    assert count(stopping="first_exhausted")["a"] == 5
+    assert count(stopping="all_exhausted")["b"] == 50
+    assert readers.blended(spark, paths, key="id", most=4).count() == 8
+
+
+def test_test_sets_and_entries(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text('{"question": "q", "answer": 5}\n{"question": "", "answer": 6}\n')
+    assert [r.answer for r in readers.test_set(spark, str(tmp_path / "t.jsonl")).collect()] == ["5", "6"]
+    assert [r.question for r in readers.entries(spark, str(tmp_path / "t.jsonl")).collect()] == ["q"]
