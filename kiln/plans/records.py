@@ -323,13 +323,13 @@ def template_choice(s, d):
     return t(s, d, "documents").select("doc_id", F.array_join(shots, " ").alias("shots"))
 
 
-@equals("""SELECT p_partkey, coalesce(starts_with(prompt, 'Write') AND ends_with(prompt, p_name), false) AS whole, length(prompt)::INT AS n FROM (SELECT p_partkey, p_name,
+@equals("""SELECT p_partkey, coalesce(starts_with(prompt, 'Write') AND ends_with(prompt, p_name), false) AS whole, coalesce(length(prompt), 0)::INT AS n FROM (SELECT p_partkey, p_name,
 CASE p_size % 3 WHEN 0 THEN 'Write a harder problem about the same idea as this one:' || chr(10) || chr(10) || p_name WHEN 1 THEN 'Write this problem as one of a mathematics competition:' || chr(10) || chr(10) || p_name END AS prompt FROM part)""")
 def evolution_prompts(s, d):
     chosen = F.expr("CASE p_size % 3 WHEN 0 THEN 'harder' WHEN 1 THEN 'competition' ELSE 'unknown' END")
     rows = records.evolution_prompts(t(s, d, "part").withColumn("strategy", chosen), "p_name", "strategy")
     whole = F.startswith("prompt", F.lit("Write")) & F.endswith("prompt", F.col("p_name"))
-    return rows.select("p_partkey", F.coalesce(whole, F.lit(False)).alias("whole"), F.length("prompt").alias("n"))
+    return rows.select("p_partkey", F.coalesce(whole, F.lit(False)).alias("whole"), F.coalesce(F.length("prompt"), F.lit(0)).alias("n"))
 
 
 @equals("""WITH c AS (SELECT l_orderkey AS k, list(l_linenumber ORDER BY l_linenumber, l_partkey, l_suppkey) AS ids FROM lineitem GROUP BY 1)

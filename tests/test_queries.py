@@ -39,6 +39,8 @@ def test_every_query_has_sql_or_a_test():
         "first_fit",
         "karmarkar_karp",
         "interleave",
+        "interleave_all",
+        "interleave_first",
         "near_dup_removed",
         "shuffled_cap",
         "strategy_draw",

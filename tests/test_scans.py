@@ -164,3 +164,46 @@ def test_prompt_lengths_and_templates(spark):
         chat.prompt_fits(F.col("n"), 100).alias("fits"), chat.template_for(F.col("d"), {"gsm8k": ["1", "2"]}, ["m"], 1).alias("shots")
     ).collect()
     assert [r.fits for r in out] == [True, False, False] and [r.shots for r in out] == [["1"], ["m"], ["m"]]
+
+
+def plain_differencing(lengths, k):
+    """States as lists of (sum, members); the two of largest spread are merged, the earliest made of equal ones first."""
+    order = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
+    states = [(n, sorted([(lengths[i], [i])] + [(0, [])] * (k - 1), key=lambda p: (-p[0], p[1]))) for n, i in enumerate(order)]
+    n = len(states)
+    spread = lambda s: s[1][0][0] - s[1][-1][0]
+    while len(states) > 1:
+        states.sort(key=lambda s: (-spread(s), s[0]))
+        a, b, *rest = states
+        merged = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a[1], b[1][::-1])]
+        states = [*rest, (n, sorted(merged, key=lambda p: (-p[0], p[1])))]
+        n += 1
+    return [sorted(p[1]) for p in states[0][1]]
+
+
+def test_karmarkar_karp_equals_a_plain_version(spark, sf):
+    rnd = random.Random(4)
+    for k in (2, 3, 5):
+        for n in (k, 12, 40):
+            lengths = [rnd.randrange(1, 30) for _ in range(n)]
+            assert packing.differencing(lengths, k) == plain_differencing(lengths, k)
+    docs = {r.doc_id: r.n_chars for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {}
+    for r in QUERIES["karmarkar_karp"](spark, sf).collect():
+        got.setdefault(r.batch, {})[r.doc_id] = r.part
+    assert sum(map(len, got.values())) == len(docs)
+    for own in got.values():
+        ids, k = sorted(own), max(own.values()) + 1
+        want = {i: p for p, members in enumerate(plain_differencing([docs[i] for i in ids], k)) for i in members}
+        assert [own[i] for i in ids] == [want[i] for i in range(len(ids))]
+
+
+def test_interleave_query_equals_a_walk(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    own = [[r.doc_id for r in docs if r.source == "src1"], [r.doc_id for r in docs if r.source != "src1"]]
+    got = [(r.n, r.doc_id) for r in QUERIES["interleave"](spark, sf).orderBy("n").collect()]
+    want, at = [], [0, 0]
+    for n, s in enumerate(drawn(spark, [0.7, 0.3], len(docs), 0)):
+        want.append((n, own[s][at[s] % len(own[s])]))
+        at[s] += 1
+    assert got == want
