@@ -164,7 +164,7 @@ def packed(rows: DataFrame, src: DataFrame) -> DataFrame:
     """rows (with source, size, doc_id) with rank, source_size, target and start: the document's first word in its source.
 
     doc_id is a number. A source's documents are dealt to parts by a draw from their ids; parts follow one another, and
-    within a part documents follow by id and size. Parts of a source have about PART_ROWS rows, whatever its size.
+    within a part documents follow by id, size and tie, a hash of what else they hold. Parts of a source have about PART_ROWS rows, whatever its size.
     """
     of = src.select(F.col("source").alias("of"), "rank", "source_size", "target", "parts")
     rows = rows.join(of, rows["source"].eqNullSafe(of["of"])).drop("of")
@@ -175,10 +175,10 @@ def packed(rows: DataFrame, src: DataFrame) -> DataFrame:
     offsets = totals.select(
         "rank", "part", F.coalesce(F.sum("part_words").over(before), F.lit(0)).alias("words_before")
     )
-    within = Window.partitionBy("rank", "part").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("rank", "part").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("run", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = rows.join(offsets.hint("merge"), ["rank", "part"])
-    return placed.withColumn("start", F.col("words_before") + F.col("run")).drop("part", "run", "words_before")
+    return placed.withColumn("start", F.col("words_before") + F.col("run")).drop("part", "run", "words_before", "tie")
 
 
 def taken_pieces(placed: DataFrame, src: DataFrame, seed: int = 0) -> DataFrame:
@@ -206,10 +206,11 @@ def mix(df: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken, shards for every row of df. shards: the output shards with words of it.
 
     size: words of the text (null: 0). Null source: a source of its own, the last. Null id: a document like any other.
-    Repeated rows: one row each, each with words of its own. Empty text: taken 0. Empty table: no rows. Ties in the order
-    are between rows that are alike. Reruns take the same words. Other columns are not read.
+    Repeated rows: one row each, each with words of its own. Very long texts are counted whole. Empty text: taken 0. Empty
+    table: no rows. Ties in the order are between rows of one id, size and text. Reruns take the same words. Other columns are not read.
     """
-    rows = C.materialise(df.select("doc_id", "source", word_count(F.col("text")).alias("size")), "words")
+    tie = F.xxhash64("text").alias("tie")
+    rows = C.materialise(df.select("doc_id", "source", word_count(F.col("text")).alias("size"), tie), "words")
     src = C.materialise(targets(rows), "targets", narrow=True)
     placed = packed(rows, src)
     shards = F.array_join(F.sort_array(F.collect_set("shard")), ",").alias("shards")
@@ -231,7 +232,7 @@ def mixed_documents(df: DataFrame, seed: int = 0, shard: str | None = None) -> D
 
     A document taken whole keeps its text; of one taken in part the words taken are joined by one space. n_chars, if it
     is a column, is counted again. Documents without words (null or empty text) are in no block and go. All columns of
-    df stay, under any names; `shard` names one more, for the output shard of the document's first words. Null source: a
+    df stay, under any names; very long texts are cut like any other; `shard` names one more, for the output shard of the document's first words. Null source: a
     source of its own. Repeated rows: each has words of its own. Empty table: no rows. Reruns agree.
     """
     names = df.columns
@@ -240,6 +241,7 @@ def mixed_documents(df: DataFrame, seed: int = 0, shard: str | None = None) -> D
         "source",
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         word_count(F.col("text")).alias("size"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("tie"),
     )
     src = C.materialise(targets(wide.select("source", "size")), "targets", narrow=True)
     placed = packed(wide, src)
