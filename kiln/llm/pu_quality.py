@@ -226,9 +226,11 @@ def summed(rows: DataFrame, f, width: int) -> np.ndarray:
 
 
 def train(table: DataFrame) -> Model:
-    """Fits on a table of featured(): its trusted rows against all rows that are not held out."""
+    """Fits on a table of featured(): its trusted ids against all rows that are not held out. Of rows that repeat a trusted id
+    the one with the least features stands for all, so no more than LABELLED rows come to the driver, however often an id occurs."""
     open_, wide = table.filter("not held_out"), 2 * WIDTH
-    positive = matrix(table.filter("trusted").select("x").toArrow().column("x").combine_chunks())  # LABELLED rows
+    trusted = table.filter("trusted").groupBy("doc_id").agg(F.min("x").alias("x"))
+    positive = matrix(trusted.select("x").toArrow().column("x").combine_chunks())  # LABELLED rows
     positive = positive[np.lexsort(positive.T)]  # in one order, whatever the tasks' was
     sums = summed(open_, lambda x: np.concatenate([[len(x)], expand(x).sum(0), (expand(x) ** 2).sum(0)]), 1 + 2 * wide)
     n = sums[0]
@@ -257,7 +259,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs, whole texts.
 
     score: probability that the label is 1; predicted: 1 from THRESHOLD on. A score depends on the text alone. Null or
-    empty text: features zero, scored like any other. Null id: scored, held_out as the checksum of an empty string says.
+    empty text: features zero, scored like any other; very long texts are read whole. Null id: scored, held_out as the checksum of an empty string says.
     Repeated rows: one row each, with equal scores. No positive labels: every score is one half. Empty table: no rows.
     Other columns are not read.
     """
@@ -279,8 +281,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns, which may have any names besides doc_id and text.
 
-    Null or empty text: scored like any other. Null ids and repeated rows: each row by its own text. No positive labels:
-    all stay. Empty table: no rows.
+    Null or empty text: scored like any other. Null ids and repeated rows: each row by its own text. Very long texts are
+    read whole. No positive labels: all stay. Empty table: no rows.
     """
     table = featured(docs, labels)
     model = train(table)
