@@ -1,6 +1,6 @@
-"""Arrow files and workbooks as Spark data sources: one large file is read by many tasks.
+"""Arrow files, workbooks and whole texts as Spark data sources: one large file, or many small ones, are read by many tasks.
 
-register(spark) makes spark.read.format("kiln_arrow") and spark.read.format("kiln_sheet") known. Paths are those that
+register(spark) makes the formats kiln_arrow, kiln_sheet and kiln_text known to spark.read.format(). Paths are those that
 pyarrow's file systems open (file, hdfs, s3, gs, abfs), since Python workers read them; readers.read() stays the way for
 stores that only Spark reaches. To plan, only a footer, or the head of a sheet, is read.
 """
@@ -22,6 +22,8 @@ from kiln.sources.workbook import first_sheet, sheet_rows
 
 #: Record batches, and rows of a sheet, that a task reads; rows of a batch that it hands on.
 BATCHES, ROWS, HANDED = 8, 100_000, 10_000
+#: Bytes of whole text files that a task reads.
+BYTES = 64 << 20
 
 
 def opened(path: str):
@@ -151,6 +153,50 @@ class SheetReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=self.names)
 
 
+@dataclass
+class Group(InputPartition):
+    """Files that one task reads."""
+
+    paths: list[str]
+
+
+class TextSource(DataSource):
+    """(value, path) of whole text files, as many small ones a task as BYTES holds."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "kiln_text"
+
+    def schema(self) -> str:
+        return "value string, path string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        path, suffix = self.options["path"], self.options.get("suffix", ".md")
+        return TextReader(files(path, suffix), int(self.options.get("bytes", BYTES)))
+
+
+class TextReader(DataSourceReader):
+    def __init__(self, paths: list[str], each: int):
+        self.paths, self.each = paths, each
+
+    def partitions(self) -> list[InputPartition]:
+        groups, room = [Group([])], self.each
+        for path in self.paths:
+            fs, inner = pa.fs.FileSystem.from_uri(path)
+            size = fs.get_file_info(inner).size or 0
+            if groups[-1].paths and size > room:
+                groups.append(Group([]))
+                room = self.each
+            groups[-1].paths.append(path)
+            room -= size
+        return groups
+
+    def read(self, group: Group) -> Iterator[tuple[str, str]]:
+        for path in group.paths:
+            with opened(path) as f:
+                yield f.read().decode(errors="replace"), path
+
+
 def register(spark: SparkSession) -> None:
-    for source in (ArrowSource, SheetSource):
+    for source in (ArrowSource, SheetSource, TextSource):
         spark.dataSource.register(source)

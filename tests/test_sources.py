@@ -161,3 +161,19 @@ def test_test_sets_and_entries(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"question": "q", "answer": 5}\n{"question": "", "answer": 6}\n')
     assert [r.answer for r in readers.test_set(spark, str(tmp_path / "t.jsonl")).collect()] == ["5", "6"]
     assert [r.question for r in readers.entries(spark, str(tmp_path / "t.jsonl")).collect()] == ["q"]
+
+
+def test_whole_texts_by_many_tasks(spark, tmp_path):
+    from kiln.sources import formats
+
+    formats.register(spark)
+    for i in range(9):
+        (tmp_path / f"{i}.md").write_text(f"# é {i}\n\n" + "x" * 40 * i)
+    (tmp_path / "other.txt").write_text("no")
+    found = spark.read.format("kiln_text").option("bytes", 500).load(str(tmp_path))
+    assert found.rdd.getNumPartitions() > 2
+    want = spark.read.option("pathGlobFilter", "*.md").text(str(tmp_path), wholetext=True)
+    assert sorted(r.value for r in found.collect()) == sorted(r.value for r in want.collect())
+    assert {r.path.rsplit("/", 1)[-1] for r in found.collect()} == {f"{i}.md" for i in range(9)}
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("kiln_text").load(str(tmp_path / "none")).count() == 0
