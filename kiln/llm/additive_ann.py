@@ -151,7 +151,7 @@ def nearest(
     and candidates; rows with the query's own id are not. Fewer than k candidates: all of them. Vectors that are null,
     zero, or hold null or non-finite components, and rows without an id, take no part. Shorter vectors count as if zeros
     followed. Repeated rows: each is a candidate; a repeated query id is searched once, with one of its vectors. Empty
-    table: no rows. Other columns are not read.
+    table: no rows. Other columns, under any names, are not read.
     """
     spark = df.sparkSession
     good = usable(df, id_col, vec_col)

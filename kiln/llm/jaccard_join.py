@@ -298,7 +298,8 @@ def similar_groups(
     is one shingle. Sets link when 100 |both| >= percent |either|; component_id is the smallest id reachable.
     Null text or no words: n_shingles 0, linked with nothing, component_id the own id. Null id: takes part in linking;
     its component_id is the least id of its component, null if there is none. Repeated rows: one row each, linked.
-    Empty table: no rows. Other columns are not read.
+    Very long texts are hashed whole, in running sums over their bytes. Empty table: no rows. Other columns, under any
+    names, are not read.
     """
     found = grouped(df, id_col, text_col, k, percent)
     return found.select(
@@ -458,7 +459,7 @@ def one_of_each(
     Null ids come last, so a group keeps one of them only if it has no other. Rows that repeat an id stand for
     themselves: they go only if their own sets are linked with those of a row that stays. Of rows of a group with equal
     ids the least key stays, of rows with equal texts too the least by a hash of all columns. Rows without words (null or
-    empty text) stay. Empty table: no rows. Columns may have any names; all stay.
+    empty text) stay. Very long texts are compared whole. Empty table: no rows. Columns may have any names; all stay.
     """
     found = grouped(df, id_col, text_col, k, percent).filter("n > 0")
     first = found.groupBy("label").agg(

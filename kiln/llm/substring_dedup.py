@@ -382,7 +382,7 @@ def repeated_passages(
 
     begin and stop count words, stop is behind the last one; least_id: the least document that has one of the windows;
     passage: the text from the first word to the last. Null texts and ids, and documents of fewer words, have no rows.
-    Rows that repeat an id do not make each other's passages repeat. Empty table: no rows. Other columns are not read.
+    Rows that repeat an id do not make each other's passages repeat. Very long texts are read whole. Empty table: no rows. Other columns are not read.
     """
     docs = dealt(df.select(id_col, text_col), id_col, text_col, window)
     kind = "doc_id long, begin long, stop long, least_id long, passage string"
@@ -403,7 +403,8 @@ def remove_repeats(
     A word is removed when a window of `window` words that covers it also starts in a document with a smaller id.
     kept_text: the text itself if nothing was removed, else the kept words joined by one space.
     Null text: no words, nothing removed (kept_text null). Null id: its words stay and remove none elsewhere. Rows that
-    repeat an id do not remove each other's words. Fewer than `window` words: nothing removed. Empty table: no rows.
+    repeat an id do not remove each other's words. Fewer than `window` words: nothing removed. Very long texts are cut whole, none of
+    their words is left out. Empty table: no rows.
     Other columns may have any names: they travel as one struct.
     """
     docs = dealt(df if keep_text else df.select(id_col, text_col), id_col, text_col, window)

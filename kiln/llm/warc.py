@@ -175,7 +175,8 @@ def write(pages: DataFrame) -> DataFrame:
 
 
 def index(bundles: DataFrame) -> DataFrame:
-    """page_id -> bundle, frame, offset and length in the frame. No bundles: no rows; null ids have rows too."""
+    """page_id -> bundle, frame, offset and length in the frame. No bundles: no rows. Null ids and ids that repeat have a row
+    for each record; the length of a payload does not matter."""
     return bundles.select("bundle", F.explode("records").alias("r")).select("bundle", "r.*")
 
 
@@ -196,7 +197,10 @@ def found_batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def read(bundles: DataFrame) -> DataFrame:
-    """Every record of the bundles, frame by frame."""
+    """Every record of the bundles, frame by frame; nulls as write() defines them.
+
+    No bundles: no rows. Records that repeat an id: one row each. A very long payload is one frame and read whole.
+    """
 
     def run(batches):
         for batch in batches:
