@@ -17,7 +17,8 @@ from kiln.llm.queries import tokenizer_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go.
 
-    Null and empty texts are scored like any other; a null id takes no part in the fit; repeated rows are judged alike.
+    Null, empty and very long texts are scored like any other, whole; a null id takes no part in the fit; repeated rows are
+    judged alike.
     """
     return pu_quality.accepted(docs, common.table(spark, sf_dir, "labels"))
 
@@ -26,7 +27,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays.
 
     Documents without words stay. Null ids come last in a group. Of rows that repeat an id only those that are near
-    copies of one that stays go; of rows that are alike in all one stays.
+    copies of one that stays go; of rows that are alike in all one stays. Very long texts are compared whole.
     """
     return jaccard_join.one_of_each(docs)
 
@@ -34,7 +35,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that start in a document with a smaller id are cut out; documents stay.
 
-    Null text and null id: the row stays as it is. Rows that repeat an id do not cut each other. n_chars is counted again.
+    Null text and null id: the row stays as it is. Rows that repeat an id do not cut each other.
+    Very long texts are cut whole. n_chars is counted again.
     """
     cut = substring_dedup.remove_repeats(docs, keep_text=True)
     own = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
@@ -45,7 +47,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights: documents are taken once, twice, in part or not at all.
 
     Documents without words go, since a mix is made of words. A null source is a source; null ids and repeated rows are
-    documents like any other. n_chars is counted again.
+    documents like any other. Very long texts are cut by words like any other. n_chars is counted again.
     """
     return mixing.mixed_documents(docs)
 
@@ -53,7 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the token ids and of the text decoded from them, a row for each row.
 
-    Null and empty text: no tokens. Null ids and repeated rows have rows like any other.
+    Null and empty text: no tokens. Very long texts are encoded whole. Null ids and repeated rows have rows like any other.
     """
     return bpe.round_trip(docs, tokenizer_path())
 
