@@ -197,13 +197,10 @@ def numbers(raw: bytes) -> array.array:
 
 
 LITTLE = array.array("I", [1]).tobytes()[0] == 1
-LOADED: dict[str, Vocabulary] = {}
 
 
 def vocabulary(path: str) -> Vocabulary:
-    if path not in LOADED:
-        LOADED[path] = Vocabulary(path)
-    return LOADED[path]
+    return C.held(("vocabulary", path), lambda: Vocabulary(path))
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +221,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             )
 
     return C.small_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        C.lean_batches(run, lambda: vocabulary(path).rest()),
+        C.lean_batches(run, lambda: vocabulary(path).rest(), holds=True),
         f"doc_id {dict(df.dtypes)[id_col]}, ids binary, n_tokens long",
     )
 
@@ -245,7 +242,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
             )
 
     return df.select("doc_id", "ids", "n_tokens").mapInArrow(
-        C.lean_batches(run), f"doc_id {dict(df.dtypes)['doc_id']}, ids binary, n_tokens long, decoded string"
+        C.lean_batches(run, holds=True), f"doc_id {dict(df.dtypes)['doc_id']}, ids binary, n_tokens long, decoded string"
     )
 
 
@@ -282,6 +279,6 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     rows = C.small_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(
-        C.lean_batches(run, lambda: vocabulary(path).rest()),
+        C.lean_batches(run, lambda: vocabulary(path).rest(), holds=True),
         f"doc_id {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )

@@ -265,8 +265,27 @@ def release() -> None:
         pass
 
 
-def lean_batches(run, at_end=lambda: None):
+#: What one operator keeps in a worker from task to task; the next operator that runs there lets it go.
+HELD: dict = {}
+
+
+def held(key, make):
+    """make(), kept in this worker until another operator runs in it. Its tasks must be wrapped with holds=True."""
+    if key not in HELD:
+        HELD[key] = make()
+    return HELD[key]
+
+
+def let_go() -> None:
+    if HELD:
+        HELD.clear()
+        release()
+
+
+def lean_batches(run, at_end=lambda: None, holds: bool = False):
     def wrapped(batches):
+        if not holds:
+            let_go()
         try:
             yield from run(batches)
         finally:
@@ -288,6 +307,7 @@ def seen(*tables: pa.Table) -> None:
 
 def lean_group(run):
     def wrapped(key, tbl):
+        let_go()
         try:
             return run(key, tbl)
         finally:
@@ -298,6 +318,7 @@ def lean_group(run):
 
 def lean_pair(run):
     def wrapped(key, left, right):
+        let_go()
         try:
             return run(key, left, right)
         finally:
